@@ -58,9 +58,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word begins and ends, and for each row the number of its first word (one more for the end)."""
-    gap = SEPARATOR[data]
+    gap = separator[data]
     full = offsets[:-1][offsets[1:] > offsets[:-1]]
     begin, end = ~gap, ~gap
     if len(data):
