@@ -1,15 +1,15 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document's set of five-word shingles gives a signature of 32 b-bit numbers (b = 16). Two documents whose signatures
-differ in at most 15 numbers differ, by the pigeonhole principle, in at most one number of at least one of the 8 chunks
-of 4. So each chunk is indexed four times, each time without one of its numbers: the keys enumerate the allowed chunk
-error, and all pairs within that distance share a key (at similarity 0.75 a pair shares none once in 45,000).
+A document's set of five-word shingles gives a signature of 50 b-bit numbers (b = 13). Two documents whose signatures
+differ in at most 19 numbers differ, by the pigeonhole principle, in at most one number of at least one of the 10 chunks
+of 5. So each chunk is indexed five times, each time without one of its numbers: the keys enumerate the allowed chunk
+error, and all pairs within that distance share a key (at similarity 0.75 a pair shares none once in 20,000).
 
 Links are confirmed on the full sets. Equal sets are one class from the start. In a bucket every class is first compared
-with the least class only; components of these links leave few buckets with more than one component, and only there the
-classes outside the largest component are compared with all others, in blocks: first each with the most similar
-signature of another component, then with every one that is near enough. So no link between components is lost and
-no bucket lists its pairs.
+with the least class only, where their signatures are not far apart; such pairs also make families of classes. A family
+whose confirmed links leave several components is then compared in blocks, the classes outside its largest component
+with all others, on the full sets; each sends one link to each component it reaches. So no link between components is
+lost and no bucket or family lists its pairs.
 """
 
 from __future__ import annotations
@@ -22,16 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
-from ._arrow import LOWER, hash_spans, mix, ngrams, slices, utf8, words
+from ._arrow import LOWER, group_starts, hash_spans, mix, ngrams, ranges, slices, utf8, words
 from .graph import components
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
-NUMBERS, CHUNK = 32, 4
-#: Signatures of candidates may differ in so many numbers; beyond, a pair of similarity 0.75 is 6 deviations off the mean of 8.
-FAR = 23
-#: Rows of a block of a bucket.
-BLOCK = 4096
+NUMBERS, CHUNK, BITS = 50, 5, 13
+#: Classes whose signatures differ in more numbers (similarity well below 0.4) are no family.
+FAR = 35
+#: Classes of a block of a family.
+BLOCK = 512
 
 _SEEDS = mix(np.arange(1, 2 * NUMBERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -52,13 +52,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """NUMBERS 16-bit numbers of each set; sets must not be empty."""
+    """NUMBERS numbers of BITS bits of each set; sets must not be empty."""
     flat = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     out = np.empty((len(sets), NUMBERS), "<u2")
     for k in range(NUMBERS):
         least = np.minimum.reduceat((flat ^ _SEEDS[2 * k]) * (_SEEDS[2 * k + 1] | np.uint64(1)), at)
-        out[:, k] = mix(least).astype(np.uint16)
+        out[:, k] = mix(least) >> np.uint64(64 - BITS)
     return out
 
 
@@ -93,7 +93,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = np.full(len(sig), chunk * CHUNK + error + 1, np.uint64)
                 for k in range(CHUNK):
                     if k != error:
-                        key = key * np.uint64(65536) + part[:, k]  # below 2**54: exact, no collisions
+                        key = key << np.uint64(BITS) | part[:, k]  # below 2**58: exact, no collisions
                 out.append(key.astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.tile(b["rep"].to_numpy(), len(out)))], names=["key", "rep"])
 
@@ -116,42 +116,47 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _across(best: bool):
-    """Pairs of one bucket's block whose components differ and whose signatures and sizes allow a link."""
-
-    def block(key, rep, comp, n, sig, guest) -> tuple[np.ndarray, np.ndarray]:
-        own, few = np.flatnonzero(~guest), np.flatnonzero(guest)
-        found = []
-        for i in few:
-            near = (sig[own] == sig[i]).sum(axis=1)
-            small, large = np.minimum(n[own], n[i]), np.maximum(n[own], n[i])
-            ok = (near >= NUMBERS - FAR) & (comp[own] != comp[i]) & (SIMILARITY[1] * small >= SIMILARITY[0] * large)
-            if ok.any():
-                if best:
-                    at = own[np.argmax(np.where(ok, near, -1))][None]
-                else:
-                    at = own[ok]
-                found.append(np.stack([np.full(len(at), rep[i]), rep[at]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pairs.min(axis=0), pairs.max(axis=0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows)
-        key, part, rep, comp, n, guest = (t[c].to_numpy() for c in ("key", "block", "rep", "comp", "n", "guest"))
-        sig = _matrix(t["sig"].combine_chunks())
-        order = np.lexsort((part, key))
-        cut = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(part[order]) != 0)) + 1
-        seen: list[np.ndarray] = []
-        for at in np.split(order, cut):
-            a, b = block(key[at], rep[at], comp[at], n[at], sig[at], guest[at])
-            seen.append(np.stack([a, b], axis=1))
-        pairs = np.unique(np.concatenate(seen), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return run
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            far = (_matrix(b["sig_a"]) != _matrix(b["sig_b"])).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(far <= FAR))
+
+
+def _block(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sets: list[np.ndarray], guest: np.ndarray) -> list[tuple[int, int]]:
+    """Links of each guest with one class of each other component."""
+    own = np.flatnonzero(~guest)
+    if not len(own):
+        return []
+    flat = np.concatenate([sets[i] for i in own])
+    holder = np.repeat(np.arange(len(own)), n[own])
+    order = np.argsort(flat, kind="stable")
+    flat, holder = flat[order], holder[order]
+    found = []
+    for i in np.flatnonzero(guest):
+        first = np.searchsorted(flat, sets[i])
+        common = np.bincount(holder[ranges(first, np.searchsorted(flat, sets[i], "right") - first)], minlength=len(own))
+        ok = np.flatnonzero((SIMILARITY[1] * common >= SIMILARITY[0] * (n[own] + n[i] - common)) & (comp[own] != comp[i]))
+        _, one = np.unique(comp[own[ok]], return_index=True)
+        found += [(min(rep[i], j), max(rep[i], j)) for j in rep[own[ok[one]]]]
+    return found
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    t = pa.Table.from_batches(rows)
+    family, g, o, rep, comp, guest = (t[c].to_numpy() for c in ("family", "g", "o", "rep", "comp", "guest"))
+    data, offsets = utf8(t["set"])
+    flat, first = data.view("<u8"), offsets // 8
+    n = np.diff(first)
+    order = np.lexsort((o, g, family))
+    found: list[tuple[int, int]] = []
+    for at in np.split(order, np.flatnonzero(group_starts(family[order], g[order], o[order]))[1:]):
+        found += _block(rep[at], comp[at], n[at], [flat[first[k] : first[k + 1]] for k in at], guest[at])
+    pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -164,31 +169,26 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     shared = _store.written(shared.filter("pivot < last").drop("last"), "shared")
     members = _store.written(_store.lookup(keys, shared, ["key"], "of"), "members")
     stars = members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = _store.written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, set binary"), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        two = one.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        return _store.written(two.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long"), "links")
-
-    sized = classes.select("rep", "n", "sig")
-    found = confirmed(stars)
-    for best in (True, False):
-        label = components(found)
-        named = members.select("key", "rep", "of").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "of", F.coalesce("component", "rep").alias("comp"))
-        named = _store.written(named, "named")
-        mixed = named.groupBy("key", "comp").agg(F.count("*").alias("here"), F.max("of").alias("of"))
-        mixed = mixed.groupBy("key").agg(F.max_by("comp", F.struct("here", "comp")).alias("most"), F.count("*").alias("kinds"), F.max("of").alias("of"))
-        mixed = _store.written(mixed.filter("kinds > 1").select("key", "most", "of"), "mixed")
-        open_ = _store.lookup(named.drop("of"), mixed, ["key"], "of").join(sized, "rep")
-        blocks = F.ceil(F.col("of") / BLOCK).cast("int")
-        own = open_.withColumn("guest", F.lit(False)).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        guests = open_.filter("comp != most").withColumn("guest", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = own.unionByName(guests).select("key", "block", "rep", "comp", "n", "sig", "guest").repartition("key", "block")
-        pairs = rows.mapInArrow(_across(best), "a long, b long").distinct()
-        found = _store.written(found.union(confirmed(pairs)), "links")
-    return found
+    sig = classes.select("rep", "sig")
+    stars = stars.join(sig.toDF("b", "sig_b"), "b").join(sig.toDF("a", "sig_a"), "a").select("a", "b", "sig_a", "sig_b")
+    stars = _store.written(stars.mapInArrow(_near, "a long, b long"), "stars")
+    family = components(stars)  # of every class that has a star
+    sets = _store.written(docs.join(family.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "id long, set binary"), "sets")
+    pairs = stars.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+    found = _store.written(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long"), "links")
+
+    label = components(found)
+    named = family.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    named = _store.written(named.select("rep", "family", F.coalesce("component", "rep").alias("comp")), "named")
+    each = named.groupBy("family", "comp").agg(F.count("*").alias("here"))
+    mixed = each.groupBy("family").agg(F.max_by("comp", F.struct("here", "comp")).alias("most"), F.count("*").alias("kinds"), F.sum("here").alias("of"), F.max("here").alias("in_most"))
+    mixed = _store.written(mixed.filter("kinds > 1").select("family", "most", "of", "in_most"), "mixed")
+    open_ = _store.written(_store.lookup(named, mixed, ["family"], "of"), "open")
+    own_blocks, guest_blocks = (F.ceil(x / BLOCK).cast("int") for x in (F.col("of"), F.col("of") - F.col("in_most")))
+    own = open_.withColumn("guest", F.lit(False)).withColumn("o", F.pmod(F.xxhash64("rep"), own_blocks).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), guest_blocks - 1)))
+    guests = open_.filter("comp != most").withColumn("guest", F.lit(True)).withColumn("g", F.pmod(F.xxhash64("rep"), guest_blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), own_blocks - 1)))
+    rows = own.unionByName(guests).join(sets.withColumnRenamed("id", "rep"), "rep").select("family", "g", "o", "rep", "comp", "guest", "set")
+    return found.union(_store.written(rows.repartition("family", "g", "o").mapInArrow(_across, "a long, b long"), "links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
