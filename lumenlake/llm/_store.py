@@ -51,8 +51,8 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
-    """left inner-joined with right, which is unique by keys and holds in `count` how many rows of left each key has.
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """left joined (inner or left) with right, which is unique by keys and holds in `count` how many rows of left each key has.
 
     Keys with more than 1/share of all counted rows, of which there are fewer than `share`, are joined by broadcast,
     so that no task gets all rows of one key; the rest is an ordinary join. Both sides are read twice: pass written tables.
@@ -64,5 +64,5 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str, share
     names = hot.select(*keys, F.lit(True).alias("_hot"))
     marked = left.join(F.broadcast(names), keys, "left")
     one = marked.filter("_hot").drop("_hot").join(F.broadcast(hot), keys)
-    two = marked.filter("_hot is null").drop("_hot").join(cold, keys)
+    two = marked.filter("_hot is null").drop("_hot").join(cold, keys, how)
     return one.unionByName(two)
