@@ -3,6 +3,19 @@
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL: dict[str, str] = {
+    "op7_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no FROM d),
+w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
+k AS (SELECT doc_id, line_no, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS tokens FROM w WHERE len(w) >= 3),
+s AS (SELECT tokens, min(doc_id * 1000000 + line_no) AS first, row_number() OVER () AS id FROM k GROUP BY tokens),
+t AS (SELECT id, first, len(tokens) AS n, unnest(tokens) AS token FROM s),
+pairs AS (SELECT b.id, a.id AS earlier, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common FROM t a JOIN t b ON a.token = b.token AND a.first < b.first GROUP BY ALL),
+gone AS (SELECT DISTINCT id FROM pairs WHERE 4 * common >= 3 * (n + m - common)),
+out AS (SELECT k.doc_id, k.line_no FROM k JOIN s ON k.tokens = s.tokens WHERE k.doc_id * 1000000 + k.line_no > s.first OR s.id IN (SELECT id FROM gone)),
+o AS (SELECT doc_id, count(*) AS n, string_agg(line_no, ',' ORDER BY line_no) AS removed FROM out GROUP BY ALL)
+SELECT d.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(o.n, 0)::BIGINT AS n_removed, coalesce(o.removed, '') AS removed FROM d LEFT JOIN o USING (doc_id)
+""",
     "op9_lm_scoring": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
