@@ -138,7 +138,7 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = buckets(docs)
-    chunks = max(-(-size // chunk_bytes), n // 8)
+    chunks = max(-(-size // chunk_bytes), n // 2)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long")))  # both uses below read one exchange
     exploded = dealt.groupBy("chunk").applyInArrow(_exploded(n), "bucket long, chunk long, blob binary")
     counted = exploded.repartition("bucket").mapInArrow(_added, "chunk long, bucket long, blob binary")
