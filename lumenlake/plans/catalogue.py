@@ -4,14 +4,606 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenlake.functions import geometry as g
+from lumenlake.functions import heatmaps as h
+from lumenlake.functions import labels, rules
+from lumenlake.operators import decide, images, inference, metrics, relational, sampling
+from lumenlake.streaming import windows
+
+from . import adapters as a
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _r(c: Column) -> Column:
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def _box(prefix: str = "") -> Column:
+    return g.box(*(F.col(f"{prefix}{c}") for c in ("x0", "y0", "x1", "y1")))
+
+
+# Geometry
+
+
+def _box_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    b = a.boxes(spark, sf)
+    left, right = b.filter("role = 'worker'").alias("w"), b.filter("role = 'object'").alias("o")
+    return left.join(right, F.col("w.sample_id") == F.col("o.sample_id"))
+
+
+_PAIRS = f"WITH {a.BOXES} SELECT w.sample_id, w.ord AS worker, o.ord AS object"
+_FROM_PAIRS = "FROM boxes w JOIN boxes o ON w.sample_id = o.sample_id WHERE w.role = 'worker' AND o.role = 'object'"
+
+
+@query(f"WITH {a.BOXES} SELECT sample_id, ord, greatest(x1 - x0, 0) * greatest(y1 - y0, 0) AS area FROM boxes")
+def box_area(spark: SparkSession, sf: str) -> DataFrame:
+    return a.boxes(spark, sf).select("sample_id", "ord", g.area(_box()).alias("area"))
+
+
+@query(f"{_PAIRS}, round({a.iou_sql('w', 'o')}, 6) AS iou {_FROM_PAIRS}")
+def iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _box_pairs(spark, sf).select("w.sample_id", F.col("w.ord").alias("worker"), F.col("o.ord").alias("object"), _r(g.iou(_box("w."), _box("o."))).alias("iou"))
+
+
+@query(f"{_PAIRS}, ({a.iou_sql('w', 'o')} > 0) OR {a.near_sql('w', 'o', '12')} AS close {_FROM_PAIRS}")
+def boxes_close(spark: SparkSession, sf: str) -> DataFrame:
+    return _box_pairs(spark, sf).select("w.sample_id", F.col("w.ord").alias("worker"), F.col("o.ord").alias("object"), g.close(_box("w."), _box("o."), 12.0).alias("close"))
+
+
+@query(f"WITH {a.BOXES}, p AS (SELECT *, y1 - y0 AS h, x1 - x0 AS w FROM boxes WHERE role = 'worker'), q AS (SELECT *, h * 0.22 AS hh, least(w, h * 0.22 * 1.3) AS hw FROM p) "
+       "SELECT sample_id, ord, round(x0 + (w - hw) / 2, 6) AS x0, round(y0, 6) AS y0, round(x0 + (w - hw) / 2 + hw, 6) AS x1, round(y0 + hh, 6) AS y1 FROM q")
+def head_box(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.boxes(spark, sf).filter("role = 'worker'").select("sample_id", "ord", g.head(_box()).alias("b"))
+    return rows.select("sample_id", "ord", *(_r(F.col(f"b.{c}")).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query(f"WITH {a.BOXES}, r AS (SELECT sample_id, ord, greatest(round_even(x0 * 3.1 - 20.5, 0), 0) AS x0, greatest(round_even(y0 * 3.1 - 20.5, 0), 0) AS y0, least(round_even(x1 * 3.1 - 20.5, 0), 640.0) AS x1, least(round_even(y1 * 3.1 - 20.5, 0), 480.0) AS y1 FROM boxes) "
+       "SELECT sample_id, ord, CASE WHEN ok THEN x0 END AS x0, CASE WHEN ok THEN y0 END AS y0, CASE WHEN ok THEN x1 END AS x1, CASE WHEN ok THEN y1 END AS y1 FROM (SELECT *, x1 > x0 AND y1 > y0 AS ok FROM r)")
+def round_clip_box(spark: SparkSession, sf: str) -> DataFrame:
+    wide = g.box(*(F.col(c) * 3.1 - 20.5 for c in ("x0", "y0", "x1", "y1")))
+    rows = a.boxes(spark, sf).select("sample_id", "ord", g.to_frame(wide, F.lit(a.WIDTH), F.lit(a.HEIGHT)).alias("b"))
+    return rows.select("sample_id", "ord", *(F.col(f"b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query("WITH s AS (SELECT DISTINCT n_nationkey AS k, 100.0 + n_nationkey * 10 AS w, 80.0 + n_regionkey * 20 AS h FROM nation) "
+       "SELECT k, r.i * 4 + c.i AS cell, round((c.i * (w / 4))::DOUBLE, 6) AS x0, round((r.i * (h / 4))::DOUBLE, 6) AS y0, round(((c.i + 1) * (w / 4))::DOUBLE, 6) AS x1, round(((r.i + 1) * (h / 4))::DOUBLE, 6) AS y1 FROM s, range(4) r(i), range(4) c(i)")
+def grid_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), (100.0 + F.col("n_nationkey") * 10).alias("w"), (80.0 + F.col("n_regionkey") * 20).alias("h"))
+    cells = rows.select("k", F.posexplode(g.grid(F.col("w"), F.col("h"))).alias("cell", "b"))
+    return cells.select("k", F.col("cell").cast("long").alias("cell"), *(_r(F.col(f"b.{c}")).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query(f"WITH {a.RANKED} SELECT sample_id, ord, rank, area FROM ranked")
+def rank_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return a.ranked(spark, sf).select("sample_id", "ord", "rank", "area")
+
+
+def _regions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = decide.in_row(a.samples(spark, sf), a.boxes(spark, sf))
+    names = labels.box_labels(F.col("assigned_rule_id"), F.size("workers"), F.size("objects"))
+    return rows.withColumn("regions", g.rank_regions(F.concat("workers", "objects"), names, F.lit(a.WIDTH), F.lit(a.HEIGHT)))
+
+
+@query(f"WITH {a.SAMPLES}, {a.RANKED}, n AS (SELECT sample_id, count(*) AS n FROM boxes GROUP BY 1) "
+       "SELECT s.image_id, s.assigned_rule_id, CASE WHEN n.n IS NULL THEN 16 ELSE n.n END AS n_regions, CASE WHEN n.n IS NULL THEN 'grid' ELSE 'model' END AS source, "
+       "CASE WHEN n.n IS NULL THEN 'grid' WHEN t.role = 'worker' THEN 'worker' ELSE CASE s.assigned_rule_id WHEN 'rule_1' THEN 'hard hat' WHEN 'rule_2' THEN 'harness' WHEN 'rule_3' THEN 'guardrail' ELSE 'excavator' END END AS label, "
+       "coalesce(t.x0, 0.0) AS x0, coalesce(t.x1, 160.0) AS x1 FROM samples s LEFT JOIN n USING (sample_id) LEFT JOIN ranked t ON t.sample_id = s.sample_id AND t.rank = 1")
+def top_region(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _regions(spark, sf).withColumn("t", g.top(F.col("regions")))
+    return rows.select("image_id", "assigned_rule_id", F.size("regions").cast("long").alias("n_regions"), F.col("t.source").alias("source"), F.col("t.label").alias("label"), F.col("t.box.x0").alias("x0"), F.col("t.box.x1").alias("x1"))
+
+
+# Answers
+
+_ANSWERS = f"WITH {a.RANKED}, {a.answer_sql('full', 0)}"
+
+
+@query(f"{_ANSWERS} SELECT sample_id, answer FROM \"full\"".replace("full AS", '"full" AS'))
+def coverage_answer(spark: SparkSession, sf: str) -> DataFrame:
+    return decide.coverage_exploded(a.samples(spark, sf), a.boxes(spark, sf), a.NEAR)
+
+
+@query(_SQL["coverage_answer"])
+def coverage_answer_in_row(spark: SparkSession, sf: str) -> DataFrame:
+    rows = decide.in_row(a.samples(spark, sf), a.boxes(spark, sf))
+    return rows.select("sample_id", decide.presence(F.col("workers"), F.col("objects"), F.lit(a.NEAR)).alias("answer"))
+
+
+@query(f"WITH {a.SAMPLES}, {a.RANKED}, {a.answer_sql('base', 0)} SELECT primary_class, avg((answer = 'violation')::INT) AS violation_rate, count(*) AS n FROM samples JOIN base USING (sample_id) GROUP BY 1")
+def coverage_rate_by_class(spark: SparkSession, sf: str) -> DataFrame:
+    answers = decide.coverage_exploded(a.samples(spark, sf), a.boxes(spark, sf), a.NEAR)
+    joined = a.samples(spark, sf).select("sample_id", "primary_class").join(answers, "sample_id")
+    return relational.rate_by(joined, "primary_class", F.col("answer") == "violation", "violation_rate")
+
+
+@query(f"WITH {a.BOXES}, s AS (SELECT o_orderkey AS sample_id FROM orders) SELECT s.sample_id, CASE WHEN EXISTS (SELECT 1 FROM boxes w JOIN boxes o ON w.sample_id = o.sample_id WHERE w.sample_id = s.sample_id AND w.role = 'worker' AND o.role = 'object' AND {a.near_sql('w', 'o', '32')}) THEN 'hazard' ELSE 'safe' END AS answer FROM s")
+def proximity_answer(spark: SparkSession, sf: str) -> DataFrame:
+    rows = decide.in_row(a.samples(spark, sf), a.boxes(spark, sf))
+    return rows.select("sample_id", decide.proximity(F.col("workers"), F.col("objects"), g.threshold(rules.THRESHOLD["rule_4"], F.lit(a.WIDTH), F.lit(a.HEIGHT))).alias("answer"))
+
+
+_LIMIT = "CASE assigned_rule_id WHEN 'rule_1' THEN 0.08 WHEN 'rule_2' THEN 0.08 WHEN 'rule_3' THEN 0.2 ELSE 0.05 END * 640"
+
+
+@query(f"""WITH {a.SAMPLES}, {a.BOXES}, s AS (SELECT sample_id, assigned_rule_id, {_LIMIT} AS lim FROM samples),
+w AS (SELECT w.sample_id, w.ord, bool_or(coalesce({a.near_sql('w', 'o', 's.lim')}, false)) AS near FROM boxes w JOIN s USING (sample_id) LEFT JOIN boxes o ON o.sample_id = w.sample_id AND o.role = 'object' WHERE w.role = 'worker' GROUP BY ALL),
+x AS (SELECT sample_id, bool_and(near) AS all_near, bool_or(near) AS any_near FROM w GROUP BY 1), o AS (SELECT sample_id, count(*) AS n FROM boxes WHERE role = 'object' GROUP BY 1)
+SELECT s.sample_id, s.assigned_rule_id, CASE WHEN assigned_rule_id = 'rule_4' THEN CASE WHEN coalesce(any_near, false) THEN 'hazard' ELSE 'safe' END
+ WHEN all_near IS NULL THEN CASE WHEN o.n > 0 THEN 'compliant' ELSE 'violation' END WHEN all_near THEN 'compliant' ELSE 'violation' END AS answer FROM s LEFT JOIN x USING (sample_id) LEFT JOIN o USING (sample_id)""")
+def answer_rule(spark: SparkSession, sf: str) -> DataFrame:
+    rows = decide.in_row(a.samples(spark, sf), a.boxes(spark, sf))
+    return rows.select("sample_id", "assigned_rule_id", decide.answer(F.col("assigned_rule_id"), F.col("workers"), F.col("objects"), F.lit(a.WIDTH), F.lit(a.HEIGHT)).alias("answer"))
+
+
+@query("""WITH x AS (SELECT vec_id, label, (vec_id % 3) AS step, list_transform(embedding, lambda x: x::DOUBLE) AS l FROM embeddings),
+p AS (SELECT label, step, 1 / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))) AS p FROM x), s AS (SELECT label, step, avg(p) AS p FROM p GROUP BY ALL)
+SELECT label, round(avg(p), 6) AS confidence FROM s GROUP BY 1""")
+def detection_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    steps = a.heatmaps(spark, sf).select("label", (F.col("vec_id") % 3).alias("step"), F.col("vec_id").alias("beam"), F.col("raw").alias("logits"))
+    return decide.detection_confidence(steps, ["label"]).select("label", _r(F.col("confidence")).alias("confidence"))
+
+
+# Samples
+
+
+@query(f"WITH {a.SAMPLES} SELECT image_id, primary_class, violated AS violated_rules, assigned_rule_id FROM samples")
+def classify_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return a.samples(spark, sf).select("image_id", "primary_class", labels.piped(F.col("violated_rules")).alias("violated_rules"), "assigned_rule_id")
+
+
+@query(f"""WITH {a.SAMPLES}, pool AS (SELECT *, row_number() OVER (PARTITION BY primary_class ORDER BY sample_id, image_id) AS pos FROM samples QUALIFY pos <= 500),
+d AS (SELECT *, row_number() OVER (PARTITION BY primary_class ORDER BY md5(image_id || '#42'), image_id) AS rn FROM pool QUALIFY rn <= 50)
+SELECT image_id, primary_class, CASE WHEN primary_class = 'compliant' THEN 'rule_' || ((rn - 1) % 4 + 1) ELSE assigned_rule_id END AS assigned_rule_id FROM d""")
+def balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = sampling.balanced_sample(a.samples(spark, sf).drop("assigned_rule_id"), 50, 42, F.col("sample_id"))
+    return drawn.select("image_id", "primary_class", "assigned_rule_id")
+
+
+@query(f"WITH {a.SAMPLES}, c AS (SELECT unnest(['ppe_violation', 'fall_hazard', 'struck_by_risk', 'compliant']) AS primary_class) SELECT primary_class, count(sample_id) AS n FROM c LEFT JOIN samples USING (primary_class) GROUP BY 1")
+def class_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.class_counts(a.samples(spark, sf))
+
+
+@query(f"WITH {a.SAMPLES}, c AS (SELECT unnest(['ppe_violation', 'fall_hazard', 'struck_by_risk', 'compliant']) AS primary_class) SELECT primary_class, count(sample_id) AS n FROM c LEFT JOIN samples USING (primary_class) GROUP BY 1 HAVING count(sample_id) < 3000")
+def underfilled_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.underfilled(a.samples(spark, sf), 3000)
+
+
+# Joins
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def semi_target(spark: SparkSession, sf: str) -> DataFrame:
+    keys = a.table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return relational.semi(a.table(spark, sf, "orders"), keys, ["o_custkey"]).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def anti_missing(spark: SparkSession, sf: str) -> DataFrame:
+    found = a.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return relational.missing(a.table(spark, sf, "orders").select("o_orderkey"), found, ["o_orderkey"])
+
+
+@query("SELECT l.l_partkey, l.l_suppkey, count(*) AS n, round(sum(l.l_extendedprice), 2) AS price FROM lineitem l JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') r ON l.l_partkey = r.l_partkey AND l.l_suppkey = r.l_suppkey GROUP BY ALL")
+def join_two_key(spark: SparkSession, sf: str) -> DataFrame:
+    t = a.table(spark, sf, "lineitem")
+    keys = t.filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
+    return t.join(keys, ["l_partkey", "l_suppkey"]).groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@query("SELECT r_name, c_mktsegment, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def join_four_way(spark: SparkSession, sf: str) -> DataFrame:
+    o, c, n, r = (a.table(spark, sf, t) for t in ("orders", "customer", "nation", "region"))
+    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy("r_name", "c_mktsegment").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+
+
+@query("SELECT d.doc_id, l.quality, CASE WHEN l.quality IS NULL THEN 'not_labelled' WHEN l.toxic = 1 THEN 'toxic' END AS excluded_reason FROM documents d LEFT JOIN labels l USING (doc_id)")
+def lookup_left(spark: SparkSession, sf: str) -> DataFrame:
+    joined = a.table(spark, sf, "documents").select("doc_id").join(a.table(spark, sf, "labels"), "doc_id", "left")
+    return joined.select("doc_id", "quality", F.when(F.col("quality").isNull(), "not_labelled").when(F.col("toxic") == 1, "toxic").alias("excluded_reason"))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")
+def first_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.first_by(a.table(spark, sf, "events"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT o_orderkey, p.perturbation, o_orderkey % 2 = 0 AS even FROM orders, (VALUES ('blur'), ('low_light'), ('occlude'), ('contrast_shift')) p(perturbation)")
+def sample_x_perturbation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 2 == 0).alias("even"))
+    return relational.cross_with(rows, list(images.PERTURBATIONS), "perturbation")
+
+
+# Sparsity
+
+_MAPS = f"WITH {a.HEATMAPS}, n AS (SELECT vec_id, label, {a.MIN_MAX} AS c FROM maps)"
+
+
+@query(f"{_MAPS} SELECT vec_id, round(list_sum(list_reverse_sort(c)[1:5]) / list_sum(c), 6) AS top5, round(list_sum(list_reverse_sort(c)[1:20]) / list_sum(c), 6) AS top20 FROM n")
+def topk_mass_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.heatmaps(spark, sf).withColumn("c", h.min_max(F.col("raw")))
+    return rows.select("vec_id", _r(h.top_mass_ratio(F.col("c"), 5)).alias("top5"), _r(h.top_mass_ratio(F.col("c"), 20)).alias("top20"))
+
+
+@query(f"{_MAPS} SELECT vec_id, len(list_filter(c, lambda x: x >= 0.5)) AS cells FROM n")
+def cells_above_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return a.heatmaps(spark, sf).select("vec_id", h.count_above(h.min_max(F.col("raw"))).cast("long").alias("cells"))
+
+
+@query(f"{_MAPS}, u AS (SELECT vec_id, unnest(c[2:]) AS v, generate_subscripts(c[2:], 1) AS i FROM n) SELECT vec_id, i, round(v, 6) AS v FROM u")
+def minmax_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    cells = a.heatmaps(spark, sf).select("vec_id", F.posexplode(h.patch_cells(h.min_max(F.col("raw")))).alias("i", "v"))
+    return cells.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), _r(F.col("v")).alias("v"))
+
+
+@query(f"{_MAPS} SELECT vec_id, CASE WHEN label = 0 THEN NULL ELSE round(list_sum(list_reverse_sort(c)[1:5]) / list_sum(c), 6) END AS top5, CASE WHEN label = 0 THEN 'grid_fallback_no_box' END AS excluded_reason FROM n")
+def sparsity_excluded(spark: SparkSession, sf: str) -> DataFrame:
+    grid = F.col("label") == 0
+    return a.heatmaps(spark, sf).select("vec_id", F.when(~grid, _r(h.top_mass_ratio(h.min_max(F.col("raw")), 5))).alias("top5"), F.when(grid, "grid_fallback_no_box").alias("excluded_reason"))
+
+
+# Stability
+
+
+@query(f"WITH {a.runs_sql()} SELECT x.sample_id, count(DISTINCT x.run) AS runs, round(avg((x.answer = y.answer)::INT) FILTER (WHERE x.run < y.run), 6) AS agreement_rate FROM runs x JOIN runs y ON x.sample_id = y.sample_id GROUP BY 1")
+def answer_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.agreement(a.runs(spark, sf), ["sample_id"]).select("sample_id", "runs", _r(F.col("agreement_rate")).alias("agreement_rate"))
+
+
+@query(f"WITH {a.runs_sql(7)}, c AS (SELECT sample_id, answer, count(*) AS n FROM runs GROUP BY ALL), m AS (SELECT sample_id, answer AS majority_answer FROM c QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, answer) = 1) "
+       "SELECT m.sample_id, majority_answer, r.answer = majority_answer AS deterministic_matches FROM m JOIN runs r ON r.sample_id = m.sample_id AND r.run = 1")
+def majority_answer(spark: SparkSession, sf: str) -> DataFrame:
+    runs = a.runs(spark, sf, 7)
+    found = metrics.majority(runs, ["sample_id"]).join(runs.filter("run = 1"), "sample_id")
+    return found.select("sample_id", "majority_answer", (F.col("answer") == F.col("majority_answer")).alias("deterministic_matches"))
+
+
+def _overlap_sql(guard: str) -> str:
+    return f"WITH {a.runs_sql()}, b AS (SELECT sample_id, {guard} OR count(*) < 2 AS bad FROM runs GROUP BY 1), p AS (SELECT x.sample_id, avg({a.iou_sql('x', 'y')}) AS s FROM runs x JOIN runs y ON x.sample_id = y.sample_id AND x.run < y.run GROUP BY 1) SELECT b.sample_id, CASE WHEN bad THEN NULL ELSE round(s, 6) END AS overlap_score FROM b LEFT JOIN p USING (sample_id)"
+
+
+@query(_overlap_sql("bool_or(source = 'grid')"))
+def region_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.overlap(a.runs(spark, sf), ["sample_id"]).select("sample_id", _r(F.col("overlap_score")).alias("overlap_score"))
+
+
+@query(_overlap_sql("bool_or(value < 2)"))
+def object_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    runs = a.runs(spark, sf).withColumn("box", F.when(F.col("value") >= 2, F.col("box")))
+    return metrics.overlap(runs, ["sample_id"], source=None).select("sample_id", _r(F.col("overlap_score")).alias("overlap_score"))
+
+
+# Descriptive accuracy, robustness and completeness: answers with the largest boxes masked
+
+
+def _masked(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    kept = a.ranked(spark, sf).filter(F.col("rank") > k)
+    return decide.coverage_exploded(a.samples(spark, sf), kept, a.NEAR)
+
+
+def _accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    s = a.samples(spark, sf)
+    n = a.boxes(spark, sf).groupBy("sample_id").agg(F.count("*").alias("n_regions"))
+    joined = s.join(_masked(spark, sf, 0).withColumnRenamed("answer", "base"), "sample_id").join(_masked(spark, sf, 1).withColumnRenamed("answer", "one"), "sample_id")
+    joined = joined.join(_masked(spark, sf, 2).withColumnRenamed("answer", "two"), "sample_id").join(n, "sample_id", "left")
+    two = F.when(F.coalesce("n_regions", F.lit(0)) >= 2, F.col("two")).otherwise(F.col("one"))
+    confidence = lambda x: F.when(F.col(x) == "compliant", 0.9).otherwise(0.6)
+    c1, d1 = metrics.answer_change(F.col("base"), confidence("base"), F.col("one"), confidence("one"))
+    return joined.withColumn("two", two).select(
+        "sample_id", "image_id", "primary_class", "assigned_rule_id", "violated_rules", "base", F.coalesce("n_regions", F.lit(0)).alias("n_regions"),
+        F.when(F.col("n_regions").isNull(), "grid").otherwise("model").alias("source"), c1.alias("changed_1"), (F.col("base") != F.col("two")).alias("changed_2"), d1.alias("drop_1"),
+    )
+
+
+_ACCURACY = f"""WITH {a.SAMPLES}, {a.RANKED}, {a.answer_sql('a0', 0)}, {a.answer_sql('a1', 1)}, {a.answer_sql('a2', 2)}, n AS (SELECT sample_id, count(*) AS n FROM boxes GROUP BY 1),
+acc AS (SELECT s.*, a0.answer AS base, coalesce(n.n, 0) AS n_regions, CASE WHEN n.n IS NULL THEN 'grid' ELSE 'model' END AS source, a0.answer <> a1.answer AS changed_1, CASE WHEN n.n >= 2 THEN a0.answer <> a2.answer ELSE a0.answer <> a1.answer END AS changed_2,
+  CASE WHEN a0.answer = 'compliant' THEN 0.9 ELSE 0.6 END::DOUBLE - CASE WHEN a1.answer = 'compliant' THEN 0.9 ELSE 0.6 END::DOUBLE AS drop_1, a0.workers > 0 AND a1.workers = 0 AS worker_lost
+  FROM samples s JOIN a0 USING (sample_id) JOIN a1 USING (sample_id) JOIN a2 USING (sample_id) LEFT JOIN n USING (sample_id)),
+v AS (SELECT *, CASE WHEN source = 'grid' THEN 'no_usable_explanation' WHEN changed_1 OR changed_2 THEN 'explanation_supported' ELSE 'explanation_weak' END AS verdict FROM acc)"""
+
+
+@query(f"{_ACCURACY} SELECT image_id, base AS baseline_answer, n_regions, changed_1, changed_2, round(drop_1, 6) AS drop_1 FROM acc")
+def descriptive_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return _accuracy(spark, sf).select("image_id", F.col("base").alias("baseline_answer"), "n_regions", "changed_1", "changed_2", _r(F.col("drop_1")).alias("drop_1"))
+
+
+@query(f"{_ACCURACY} SELECT count(*) FILTER (WHERE changed_1 AND NOT changed_2) AS unflipped, count(*) AS n FROM acc")
+def unflip(spark: SparkSession, sf: str) -> DataFrame:
+    return _accuracy(spark, sf).agg(F.count_if(metrics.unflipped(F.col("changed_1"), F.col("changed_2"))).alias("unflipped"), F.count("*").alias("n"))
+
+
+def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _accuracy(spark, sf)
+    return rows.withColumn("verdict", labels.verdict(F.col("source"), F.col("changed_1"), F.col("changed_2")))
+
+
+@query(f"{_ACCURACY} SELECT image_id, verdict, contains(violated, '|') AS is_multi_rule_violation FROM v")
+def verdict(spark: SparkSession, sf: str) -> DataFrame:
+    return _verdicts(spark, sf).select("image_id", "verdict", labels.is_multi(labels.piped(F.col("violated_rules"))).alias("is_multi_rule_violation"))
+
+
+@query(f"{_ACCURACY} SELECT verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM v GROUP BY 1")
+def verdict_share(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.shares(_verdicts(spark, sf), "verdict").select("verdict", "n", _r(F.col("share")).alias("share"))
+
+
+@query(f"{_ACCURACY} SELECT assigned_rule_id, count(*) FILTER (WHERE verdict = 'explanation_supported') AS explanation_supported, count(*) FILTER (WHERE verdict = 'explanation_weak') AS explanation_weak, count(*) FILTER (WHERE verdict = 'no_usable_explanation') AS no_usable_explanation FROM v GROUP BY 1")
+def verdict_crosstab(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.crosstab(_verdicts(spark, sf), "assigned_rule_id", "verdict", ["explanation_supported", "explanation_weak", "no_usable_explanation"])
+
+
+@query(f"{_ACCURACY}, m AS (SELECT verdict FROM v WHERE contains(violated, '|')) SELECT verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM m GROUP BY 1")
+def hard_subset(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.shares(_verdicts(spark, sf).filter(F.size("violated_rules") > 1), "verdict").select("verdict", "n", _r(F.col("share")).alias("share"))
+
+
+def _by_class(value: str) -> str:
+    cls = ", ".join(f"avg({value}) FILTER (WHERE primary_class = '{c}') AS {c}" for c in rules.CLASSES)
+    return f"avg({value}) AS overall, {cls}, count(*) AS n"
+
+
+@query(f"{_ACCURACY}, r AS (SELECT {_by_class('changed_1::INT')} FROM acc) SELECT round(overall, 6) AS overall, round(ppe_violation, 6) AS ppe_violation, round(fall_hazard, 6) AS fall_hazard, round(struck_by_risk, 6) AS struck_by_risk, round(compliant, 6) AS compliant, n FROM r")
+def rate_by_class(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _accuracy(spark, sf)
+    found = rows.agg(*relational.rate_by_class(rows, F.col("changed_1")))
+    return found.select(*(_r(F.col(c)).alias(c) for c in ("overall", *rules.CLASSES)), "n")
+
+
+@query(f"""{_ACCURACY}, r AS (SELECT 'descriptive_accuracy' AS metric, {_by_class('changed_1::INT')} FROM acc UNION ALL SELECT 'bounded_completeness', {_by_class("(verdict = 'explanation_supported')::INT")} FROM v
+UNION ALL SELECT 'robustness', {_by_class("(NOT changed_2)::INT")} FROM acc)
+SELECT metric, 'higher is better' AS direction, round(overall, 6) AS overall, round(compliant, 6) AS compliant, round(ppe_violation, 6) AS ppe_violation, round(fall_hazard, 6) AS fall_hazard, round(struck_by_risk, 6) AS struck_by_risk, n FROM r""")
+def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _verdicts(spark, sf)
+    parts = [metrics.summary_row(rows, m, v, "lineitem") for m, v in (("descriptive_accuracy", F.col("changed_1")), ("bounded_completeness", F.col("verdict") == "explanation_supported"), ("robustness", ~F.col("changed_2")))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.select("metric", "direction", *(_r(F.col(c)).alias(c) for c in ("overall", "compliant", "ppe_violation", "fall_hazard", "struck_by_risk")), "n")
+
+
+def _variants(spark: SparkSession, sf: str) -> DataFrame:
+    def at(k: int) -> DataFrame:
+        rows = decide.in_row(a.samples(spark, sf).select("sample_id"), a.ranked(spark, sf).filter(F.col("rank") > k))
+        return rows.withColumn("answer", decide.presence(F.col("workers"), F.col("objects"), F.lit(a.NEAR))).withColumn("confidence", F.lit(0.9) - F.size("workers") / 100.0)
+
+    variants = at(1).withColumn("perturbation", F.lit("top_1")).unionByName(at(2).withColumn("perturbation", F.lit("top_2")))
+    return metrics.robustness(at(0), variants, ["sample_id"])
+
+
+_VARIANTS = f"""WITH {a.RANKED}, {a.answer_sql('a0', 0)}, {a.answer_sql('a1', 1)}, {a.answer_sql('a2', 2)},
+x AS (SELECT *, 'top_1' AS perturbation, 1 AS k FROM a1 UNION ALL SELECT *, 'top_2', 2 FROM a2),
+f AS (SELECT k.k, sample_id, x0, y0, x1, y1 FROM ranked, (VALUES (0), (1), (2)) k(k) WHERE role = 'object' AND rank > k.k QUALIFY row_number() OVER (PARTITION BY k.k, sample_id ORDER BY ord) = 1),
+r AS (SELECT x.sample_id, x.perturbation, a0.answer <> x.answer AS answer_changed, (0.9::DOUBLE - a0.workers / 100) - (0.9::DOUBLE - x.workers / 100) AS confidence_drop,
+  CASE WHEN p.sample_id IS NULL OR q.sample_id IS NULL THEN NULL ELSE {a.iou_sql('p', 'q')} END AS object_box_iou, a0.workers > 0 AND x.workers = 0 AS worker_lost
+  FROM x JOIN a0 USING (sample_id) LEFT JOIN f p ON p.sample_id = x.sample_id AND p.k = 0 LEFT JOIN f q ON q.sample_id = x.sample_id AND q.k = x.k)"""
+
+
+@query(f"{_VARIANTS} SELECT sample_id, perturbation, answer_changed, round(confidence_drop, 6) AS confidence_drop, round(object_box_iou, 6) AS object_box_iou, worker_lost FROM r")
+def robustness_compare(spark: SparkSession, sf: str) -> DataFrame:
+    return _variants(spark, sf).select("sample_id", "perturbation", "answer_changed", _r(F.col("confidence_drop")).alias("confidence_drop"), _r(F.col("object_box_iou")).alias("object_box_iou"), "worker_lost")
+
+
+@query(f"{_VARIANTS} SELECT perturbation, round(avg(answer_changed::INT), 6) AS change_rate, round(avg(worker_lost::INT), 6) AS lost_rate, round(avg(object_box_iou), 6) AS mean_iou, count(*) AS n FROM r GROUP BY 1")
+def robustness_rates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _variants(spark, sf).groupBy("perturbation")
+    return rows.agg(_r(relational.rate(F.col("answer_changed"))).alias("change_rate"), _r(relational.rate(F.col("worker_lost"))).alias("lost_rate"), _r(relational.rate(F.col("object_box_iou"))).alias("mean_iou"), F.count("*").alias("n"))
+
+
+@query(f"{_VARIANTS} SELECT count(*) AS n, round(avg((NOT answer_changed AND coalesce(object_box_iou < 0.3, false))::INT), 6) AS rate FROM r WHERE NOT answer_changed")
+def stable_but_moved(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _variants(spark, sf).filter(~F.col("answer_changed"))
+    return rows.agg(F.count("*").alias("n"), _r(relational.rate(F.coalesce(F.col("object_box_iou") < 0.3, F.lit(False)))).alias("rate"))
+
+
+@query(f"{_ACCURACY}, p AS (SELECT base, base = 'violation' AND changed_1 AS flip FROM acc) SELECT round(avg(flip::INT), 6) AS naive_rate, round(avg(flip::INT) FILTER (WHERE base = 'violation'), 6) AS eligible_rate, count(*) AS n, count(*) FILTER (WHERE base = 'violation') AS n_eligible FROM p")
+def flip_rate_corrected(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _accuracy(spark, sf).withColumn("patched", F.when(F.col("changed_1"), F.when(F.col("base") == "violation", "compliant").otherwise("violation")).otherwise(F.col("base")))
+    found = rows.agg(*relational.corrected_rate(metrics.patch_flip(F.col("base"), F.col("patched")), F.col("base") == "violation"))
+    return found.select(_r(F.col("naive_rate")).alias("naive_rate"), _r(F.col("eligible_rate")).alias("eligible_rate"), "n", "n_eligible")
+
+
+@query(f"{_ACCURACY} SELECT image_id, assigned_rule_id, CASE WHEN assigned_rule_id <> 'rule_4' THEN changed_1 END AS answer_changed, CASE WHEN assigned_rule_id = 'rule_4' THEN 'rule_4_has_no_second_phrasing' END AS excluded_reason FROM acc")
+def prompt_exclusion(spark: SparkSession, sf: str) -> DataFrame:
+    reason = metrics.excluded_level_2(F.col("assigned_rule_id"))
+    return _accuracy(spark, sf).select("image_id", "assigned_rule_id", F.when(reason.isNull(), F.col("changed_1")).alias("answer_changed"), reason.alias("excluded_reason"))
+
+
+@query(f"{_ACCURACY} SELECT count(*) FILTER (WHERE verdict = 'explanation_supported' AND worker_lost) AS supported_lost, count(*) FILTER (WHERE verdict = 'explanation_weak' AND worker_lost) AS weak_lost FROM v")
+def supported_worker_lost(spark: SparkSession, sf: str) -> DataFrame:
+    def with_worker(k: int) -> DataFrame:
+        return a.ranked(spark, sf).filter((F.col("rank") > k) & (F.col("role") == "worker")).groupBy("sample_id").agg(F.count("*").alias(f"w{k}"))
+
+    rows = _verdicts(spark, sf).join(with_worker(0), "sample_id", "left").join(with_worker(1), "sample_id", "left")
+    lost = F.col("w0").isNotNull() & F.col("w1").isNull()
+    return rows.agg(F.count_if(lost & (F.col("verdict") == "explanation_supported")).alias("supported_lost"), F.count_if(lost & (F.col("verdict") == "explanation_weak")).alias("weak_lost"))
+
+
+# Efficiency
+
+
+@query("SELECT event_type AS stage, count(value) AS n, round(avg(value), 6) AS mean_ms, round(median(value), 6) AS median_ms, round(stddev_pop(value), 6) AS std_ms, max(value) AS max_ms FROM events GROUP BY 1")
+def timing_stats(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(*metrics.timing_stats("value"))
+    return rows.select("stage", "n", *(_r(F.col(c)).alias(c) for c in ("mean_ms", "median_ms", "std_ms")), "max_ms")
+
+
+@query(f"WITH {a.RANKED}, n AS (SELECT sample_id, count(*) AS n FROM boxes GROUP BY 1) SELECT n.n >= 2 AS several, count(*) AS samples, sum(CASE WHEN n.n >= 2 THEN 2 ELSE 1 END)::BIGINT AS calls, round(sum(CASE WHEN n.n >= 2 THEN 2 ELSE 1 END * (o_totalprice / 1000)), 3) AS cost_ms FROM n JOIN orders ON o_orderkey = sample_id GROUP BY 1")
+def cost_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    n = a.boxes(spark, sf).groupBy("sample_id").agg(F.count("*").alias("n"))
+    rows = n.join(a.table(spark, sf, "orders"), F.col("o_orderkey") == F.col("sample_id"))
+    calls = metrics.reruns(F.col("n"))
+    return rows.groupBy((F.col("n") >= 2).alias("several")).agg(F.count("*").alias("samples"), F.sum(calls).alias("calls"), F.round(F.sum(calls * (F.col("o_totalprice") / 1000)), 3).alias("cost_ms"))
+
+
+@query("SELECT event_type AS stage, round(avg(value) * 1000 / 1000.0, 6) AS seconds, round(avg(value) * 1000 / 1000.0 / 60, 6) AS minutes, round(avg(value) * 1000 / 1000.0 / 3600, 6) AS hours FROM events GROUP BY 1")
+def extrapolate(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(F.avg("value").alias("ms")).select("stage", *metrics.extrapolate(F.col("ms"), 1000))
+    return rows.select("stage", *(_r(F.col(c)).alias(c) for c in ("seconds", "minutes", "hours")))
+
+
+@query("WITH c AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 15), n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type AS stage, round(avg(value), 6) AS mean_ms, round(avg(value) * 3, 6) AS mean_ms_per_sample, round(avg(value) * 3 * any_value(n) / 1000, 6) AS total_seconds FROM c JOIN n USING (event_type) GROUP BY 1")
+def calibration(spark: SparkSession, sf: str) -> DataFrame:
+    t = a.table(spark, sf, "events")
+    few = metrics.calibration(t, ["event_type"], [F.col("ts"), F.col("event_id")], 15).groupBy("event_type").agg(F.avg("value").alias("ms"))
+    rows = few.join(t.groupBy("event_type").agg(F.count("*").alias("n")), "event_type")
+    return rows.select(F.col("event_type").alias("stage"), _r(F.col("ms")).alias("mean_ms"), _r(F.col("ms") * 3).alias("mean_ms_per_sample"), _r(F.col("ms") * 3 * F.col("n") / 1000).alias("total_seconds"))
+
+
+# Findings
+
+
+@query(f"WITH {a.RANKED} SELECT round(corr(ln(area), o_totalprice), 6) AS r, count(*) AS n FROM ranked JOIN orders ON o_orderkey = sample_id WHERE rank = 1")
+def corr_area(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.ranked(spark, sf).filter("rank = 1").join(a.table(spark, sf, "orders"), F.col("o_orderkey") == F.col("sample_id"))
+    return rows.agg(_r(F.corr(F.log("area"), F.col("o_totalprice"))).alias("r"), F.count("*").alias("n"))
+
+
+@query("SELECT round(quantile_cont(abs(value - 100), 0.5), 6) AS median_all, round(quantile_cont(abs(value - 100), 0.75), 6) AS p75_all, round(quantile_cont(abs(value - 100), 0.5) FILTER (WHERE event_type = 'view'), 6) AS median_view, round(quantile_cont(abs(value - 100), 0.75) FILTER (WHERE event_type = 'view'), 6) AS p75_view FROM events")
+def confidence_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.abs(F.col("value") - 100)
+    view = F.when(F.col("event_type") == "view", x)
+    cols = {"median_all": (x, 0.5), "p75_all": (x, 0.75), "median_view": (view, 0.5), "p75_view": (view, 0.75)}
+    return a.table(spark, sf, "events").agg(*(_r(F.percentile(c, p)).alias(k) for k, (c, p) in cols.items()))
+
+
+@query(f"WITH {a.SAMPLES}, {a.RANKED}, {a.answer_sql('a0', 0)} SELECT round(avg((answer = 'violation')::INT) FILTER (WHERE primary_class <> 'compliant'), 6) AS sensitivity, round(avg((answer = 'compliant')::INT) FILTER (WHERE primary_class = 'compliant'), 6) AS specificity, count(*) FILTER (WHERE primary_class <> 'compliant') AS positives, count(*) FILTER (WHERE primary_class = 'compliant') AS negatives FROM samples JOIN a0 USING (sample_id) WHERE assigned_rule_id <> 'rule_4'")
+def sens_spec(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.samples(spark, sf).filter("assigned_rule_id != 'rule_4'").join(_masked(spark, sf, 0), "sample_id")
+    bad = F.col("primary_class") != "compliant"
+    return rows.agg(
+        _r(relational.rate(F.when(bad, (F.col("answer") == "violation").cast("double")))).alias("sensitivity"),
+        _r(relational.rate(F.when(~bad, (F.col("answer") == "compliant").cast("double")))).alias("specificity"),
+        F.count_if(bad).alias("positives"),
+        F.count_if(~bad).alias("negatives"),
+    )
+
+
+@query(f"{_ACCURACY} SELECT role = 'worker' AS top_is_worker, count(*) FILTER (WHERE verdict = 'explanation_supported') AS supported, count(*) FILTER (WHERE verdict = 'explanation_weak') AS weak FROM v JOIN ranked USING (sample_id) WHERE rank = 1 GROUP BY 1")
+def verdict_by_top_label(spark: SparkSession, sf: str) -> DataFrame:
+    top = a.ranked(spark, sf).filter("rank = 1").select("sample_id", (F.col("role") == "worker").alias("top_is_worker"))
+    rows = _verdicts(spark, sf).join(top, "sample_id")
+    return rows.groupBy("top_is_worker").agg(F.count_if(F.col("verdict") == "explanation_supported").alias("supported"), F.count_if(F.col("verdict") == "explanation_weak").alias("weak"))
+
+
+# Text forms
+
+
+@query(f"WITH {a.BOXES} SELECT sample_id, count(*) AS n, round(sum(x1), 6) AS x1, round(max(y1), 6) AS y1 FROM boxes WHERE role = 'worker' GROUP BY 1")
+def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    rows = decide.in_row(a.samples(spark, sf).select("sample_id"), a.boxes(spark, sf)).filter(F.size("workers") > 0)
+    text = rows.select("sample_id", F.to_json(F.transform("workers", g.to_list)).alias("j"))
+    back = text.select("sample_id", F.transform(labels.boxes_json(F.col("j")), g.from_list).alias("b"))
+    return back.select("sample_id", F.size("b").cast("long").alias("n"), _r(F.aggregate("b", F.lit(0.0), lambda s, x: s + x.x1)).alias("x1"), _r(F.array_max(F.transform("b", lambda x: x.y1))).alias("y1"))
+
+
+@query(f"WITH {a.SAMPLES} SELECT image_id, violated AS piped, CASE WHEN violated = '' THEN 0 ELSE len(string_split(violated, '|')) END AS n, contains(violated, '|') AS multi, replace(o_orderpriority, ' ', '_') AS slug FROM samples")
+def pipe_lists(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.samples(spark, sf).withColumn("piped", labels.piped(F.col("violated_rules")))
+    return rows.select("image_id", "piped", F.size(labels.unpiped(F.col("piped"))).cast("long").alias("n"), labels.is_multi(F.col("piped")).alias("multi"), labels.slug(F.col("o_orderpriority")).alias("slug"))
+
+
+@query(f"WITH {a.SAMPLES} SELECT image_id, CASE WHEN sample_id % 2 = 0 THEN 'worker' ELSE CASE assigned_rule_id WHEN 'rule_1' THEN 'hard hat' WHEN 'rule_2' THEN 'safety harness' WHEN 'rule_3' THEN 'guardrail' ELSE 'excavator' END END AS phrase, "
+       "CASE assigned_rule_id WHEN 'rule_1' THEN 'high-visibility vest' WHEN 'rule_2' THEN 'fall-protection lanyard' WHEN 'rule_3' THEN 'edge protection barrier' END AS reworded FROM samples")
+def region_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.samples(spark, sf)
+    label = F.when(F.col("sample_id") % 2 == 0, rules.PERSON).otherwise("other")
+    reworded = F.when(F.col("assigned_rule_id") != "rule_4", rules.grounding_query(F.when(F.col("assigned_rule_id") != "rule_4", F.col("assigned_rule_id")), 1))
+    return rows.select("image_id", labels.phrase_of(F.col("assigned_rule_id"), label).alias("phrase"), reworded.alias("reworded"))
+
+
+# Images: small synthetic pictures, a row of RGB pixels per vector
+
+
+def _pictures(spark: SparkSession, sf: str) -> DataFrame:
+    level = a.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.pmod(F.floor(F.abs(x.cast("double")) * 255), F.lit(256)).cast("int")).alias("v"))
+    grey = F.flatten(F.transform("v", lambda x: F.array(x, x, x)))
+    text = F.unhex(F.array_join(F.transform(grey, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    return level.select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), text.alias("pixels"))
+
+
+def _mean(df: DataFrame) -> DataFrame:
+    values = F.transform(F.sequence(F.lit(1), F.octet_length("pixels")), lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("long"))
+    return df.select("vec_id", F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+_LEVELS = "WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 255) % 256) AS v FROM embeddings)"
+
+
+@query(f"{_LEVELS} SELECT vec_id, (3 * list_sum(list_transform(v, lambda x: trunc(pow(x / 255.0::DOUBLE, 2.5) * 255))))::BIGINT AS total FROM p")
+def image_low_light(spark: SparkSession, sf: str) -> DataFrame:
+    return _mean(images.perturb(_pictures(spark, sf), "low_light"))
+
+
+@query(f"{_LEVELS} SELECT vec_id, (3 * (list_sum(v) - list_sum(list_transform(range(2, 6), lambda r: list_sum(v[r * 8 + 3:r * 8 + 6])))))::BIGINT AS total FROM p")
+def image_occlude(spark: SparkSession, sf: str) -> DataFrame:
+    return _mean(images.perturb(_pictures(spark, sf), "half", {"half": lambda x: images.occlude(x, 0.25)}))
+
+
+@query()
+def image_blur(spark: SparkSession, sf: str) -> DataFrame:
+    return _mean(images.perturb(_pictures(spark, sf), "blur"))
+
+
+@query()
+def image_contrast(spark: SparkSession, sf: str) -> DataFrame:
+    return _mean(images.perturb(_pictures(spark, sf), "contrast_shift"))
+
+
+@query()
+def image_mask(spark: SparkSession, sf: str) -> DataFrame:
+    return _mean(images.perturb(_pictures(spark, sf), "mask", {"mask": lambda x: images.mask_region(x, (1, 1, 4, 4))}))
+
+
+@query()
+def image_patch(spark: SparkSession, sf: str) -> DataFrame:
+    return _mean(images.perturb(_pictures(spark, sf), "patch", {"patch": lambda x: images.paste_patch(x, (1, 1, 6, 5), images.hard_hat_patch())}))
+
+
+# Inference boundary
+
+
+def _prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return a.table(spark, sf, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("image_id"), F.lit(rules.PERSON).alias("phrase"))
+
+
+@query()
+def infer_synthetic(spark: SparkSession, sf: str) -> DataFrame:
+    return inference.run_task(_prompts(spark, sf), inference.SyntheticBackend).select("image_id", F.size("boxes").alias("n_boxes"), "confidence")
+
+
+@query("SELECT lpad(c_custkey::VARCHAR, 7, '0') AS image_id, CASE WHEN c_custkey % 2 = 0 THEN round(c_acctbal, 6) END AS confidence FROM customer")
+def infer_replay(spark: SparkSession, sf: str) -> DataFrame:
+    recorded = a.table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("image_id"), F.lit(rules.PERSON).alias("phrase"), _r(F.col("c_acctbal")).alias("confidence"))
+    return inference.replay(_prompts(spark, sf), recorded).select("image_id", "confidence")
+
+
+# Beyond the reference: the same rates over windows of a stream
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000000 AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def windowed_rates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = windows.rates(a.table(spark, sf, "events"), "1 hour")
+    return rows.select(F.unix_seconds("start").alias("start"), "event_type", "n", _r(F.col("mean_value")).alias("mean_value"))
