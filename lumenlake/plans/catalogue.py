@@ -150,7 +150,7 @@ _LIMIT = "CASE assigned_rule_id WHEN 'rule_1' THEN 0.08 WHEN 'rule_2' THEN 0.08
 
 
 @query(f"""WITH {a.SAMPLES}, {a.BOXES}, s AS (SELECT sample_id, assigned_rule_id, {_LIMIT} AS lim FROM samples),
-w AS (SELECT w.sample_id, w.ord, bool_or(coalesce({a.near_sql('w', 'o', 's.lim')}, false)) AS near FROM boxes w JOIN s USING (sample_id) LEFT JOIN boxes o ON o.sample_id = w.sample_id AND o.role = 'object' WHERE w.role = 'worker' GROUP BY ALL),
+w AS (SELECT w.sample_id, w.ord, bool_or(o.ord IS NOT NULL AND {a.near_sql('w', 'o', 's.lim')}) AS near FROM boxes w JOIN s USING (sample_id) LEFT JOIN boxes o ON o.sample_id = w.sample_id AND o.role = 'object' WHERE w.role = 'worker' GROUP BY ALL),
 x AS (SELECT sample_id, bool_and(near) AS all_near, bool_or(near) AS any_near FROM w GROUP BY 1), o AS (SELECT sample_id, count(*) AS n FROM boxes WHERE role = 'object' GROUP BY 1)
 SELECT s.sample_id, s.assigned_rule_id, CASE WHEN assigned_rule_id = 'rule_4' THEN CASE WHEN coalesce(any_near, false) THEN 'hazard' ELSE 'safe' END
  WHEN all_near IS NULL THEN CASE WHEN o.n > 0 THEN 'compliant' ELSE 'violation' END WHEN all_near THEN 'compliant' ELSE 'violation' END AS answer FROM s LEFT JOIN x USING (sample_id) LEFT JOIN o USING (sample_id)""")
