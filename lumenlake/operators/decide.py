@@ -21,9 +21,8 @@ def proximity(workers: Column, machines: Column, threshold: Column) -> Column:
 
 def answer(rule: Column, workers: Column, objects: Column, width: Column, height: Column) -> Column:
     """The answer to a rule; other rules raise."""
-    fraction = rules.lookup(rules.known(rule, rules.RULES, "rule"), rules.THRESHOLD)
-    limit = g.threshold(fraction, width, height)
-    return F.when(rule == "rule_4", proximity(workers, objects, limit)).otherwise(presence(workers, objects, limit))
+    limit = g.threshold(rules.lookup(rule, rules.THRESHOLD), width, height)
+    return F.when(rules.known(rule, rules.RULES, "rule") == "rule_4", proximity(workers, objects, limit)).otherwise(presence(workers, objects, limit))
 
 
 def downstream_boxes(workers: Column, objects: Column) -> Column:

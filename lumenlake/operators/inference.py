@@ -9,6 +9,7 @@ from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 RESULT = "boxes array<array<double>>, confidence double, inference_ms double"
 
@@ -51,10 +52,7 @@ def run_task(rows: DataFrame, load: Callable[[], GroundingBackend], **options: A
             found = [backend.ground(i, m, p, **{**options, "seed": int(s)}) for i, m, p, s in zip(b["image_id"], images, b["phrase"], seeds, strict=True)]
             yield b.assign(boxes=[f[0] for f in found], confidence=[f[1] for f in found], inference_ms=[f[2] for f in found])
 
-    schema = rows.schema
-    for part in RESULT.split(", "):
-        schema = schema.add(*part.split(" ", 1))
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, StructType(rows.schema.fields + StructType.fromDDL(RESULT).fields))
 
 
 def replay(rows: DataFrame, recorded: DataFrame) -> DataFrame:

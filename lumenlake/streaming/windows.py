@@ -13,8 +13,9 @@ def read_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 def rates(events: DataFrame, size: str, late: str = "10 minutes") -> DataFrame:
     """start, event_type, n, mean_value of tumbling windows; a stream drops what is later than `late`."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    found = rows.groupBy(F.window(F.col("ts").cast("timestamp"), size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
+    found = rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
     return found.select(F.col("w.start").alias("start"), "event_type", "n", "mean_value")
 
 
