@@ -33,15 +33,14 @@ LINES = 1_000_000_000
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Runs of non-space characters. Splitting at one plain character needs no pattern."""
+    return F.array_remove(F.split(F.translate(line, "\t\v\f\r", "    "), " "), "")
 
 
 def _tokens(words: Column) -> Column:
     """Distinct hashes of the shingles."""
-    n = F.size(words)
-    at = F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1)))
-    # beyond the end of a short line try_element_at gives nulls, which add nothing to the hash
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*(F.try_element_at(words, i + k) for k in range(SHINGLE)))))
+    at = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i, SHINGLE))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -50,13 +49,21 @@ def _lines(docs: DataFrame) -> DataFrame:
     return text.select("doc_id", "line_no", _words(F.col("line")).alias("words")).filter(F.size("words") >= MIN_WORDS)
 
 
-def _rarity(lines: DataFrame) -> bytes:
-    """A byte for each cell of token hashes: how often its tokens occur, in eighths of a power of two."""
+def _rarity(lines: DataFrame) -> Column:
+    """A byte for each cell of token hashes, eight in a long: how often its tokens occur, in eighths of a power of two."""
     cells = lines.select(F.explode(_tokens(F.col("words"))).alias("token")).groupBy(F.pmod("token", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("n"))
     table = bytearray(CELLS)
     for cell, n in cells.collect():  # at most CELLS rows
         table[cell] = min(255, int(8 * math.log2(n)))
-    return bytes(table)
+    packed = (int.from_bytes(table[i : i + 8], "little", signed=True) for i in range(0, CELLS, 8))
+    return F.expr(f"from_json('[{','.join(map(str, packed))}]', 'array<bigint>')")  # a constant, which the optimizer folds
+
+
+def _ranked(token: Column, table: Column) -> Column:
+    """A number that orders tokens by the byte of their cell, then by hash."""
+    cell = F.pmod(token, F.lit(CELLS)).cast("int")
+    byte = F.call_function("shiftright", F.get(table, F.call_function("shiftright", cell, F.lit(3))), cell.bitwiseAND(F.lit(7)) * 8).bitwiseAND(F.lit(255))
+    return F.shiftleft(byte, 55).bitwiseOR(F.shiftrightunsigned(token, 9))
 
 
 def _least_overlap(n: Column, m: Column) -> Column:
@@ -81,12 +88,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = _lines(docs)
-    rarity = F.lit(_rarity(lines))
-    ordered = F.array_sort(F.transform(_tokens(F.col("words")), lambda t: F.struct(F.substring(rarity, F.pmod(t, F.lit(CELLS)).cast("int") + 1, F.lit(1)).alias("r"), t.alias("t"))))
+    table = _rarity(lines)
+    ordered = F.sort_array(F.transform(_tokens(F.col("words")), lambda t: _ranked(t, table)))
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(10,0)") + F.col("line_no")
     kept = F.col("n") - F.ceil(F.col("n") * NUMER / F.lit(DENOM)).cast("int") + 1
     rows = lines.select(place.cast("decimal(30,0)").alias("place"), ordered.alias("o")).select("place", F.size("o").alias("n"), F.xxhash64("o").alias("set"), "o")
-    rows = rows.select("place", "n", "set", F.transform(F.slice("o", F.lit(1), kept), lambda x: F.hash(x.t)).alias("prefix"))
+    rows = rows.select("place", "n", "set", F.transform(F.slice("o", F.lit(1), kept), lambda x: F.hash(x)).alias("prefix"))
     rows = _store.written(rows, "lines")
     sets = rows.groupBy("set", "n", "prefix").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
 
