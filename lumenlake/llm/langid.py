@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ._arrow import slices, utf8
 
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     priors, 0.0 for `und`. Only text is looked at, all of it; rows with equal texts get equal values.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.key not in _scorers and model.langs:

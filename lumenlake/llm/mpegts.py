@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ._arrow import slices
 
@@ -188,7 +189,7 @@ def demux(media: bytes) -> Units:
 def media_column(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a binary column: each text (null: empty), padded, as a transport stream. A column of that name is replaced."""
     rows = docs.drop(media)
-    schema = rows.schema.add(media, "binary")
+    schema = StructType([*rows.schema.fields, StructField(media, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
