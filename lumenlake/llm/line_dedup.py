@@ -33,8 +33,7 @@ LINES = 1_000_000_000
 
 
 def _words(line: Column) -> Column:
-    """Runs of non-space characters. Splitting at one plain character needs no pattern."""
-    return F.array_remove(F.split(F.translate(line, "\t\v\f\r", "    "), " "), "")
+    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
 def _tokens(words: Column) -> Column:
@@ -110,12 +109,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         room = F.lit(1) + F.least(an - 1 - ai, bn - 1 - bi)
         return (F.col(f"{a}_first") < F.col(f"{b}_first")) & (room >= need) & (F.least(an, bn) * DENOM >= F.greatest(an, bn) * NUMER)
 
+    full = _store.written(_positions(docs, shared.select(F.col("first").alias("place"))), "tokens")  # of all sets that can be similar to another
     later = [F.col(x).alias(f"b_{x}") for x in ("first", "n", "i")]
 
     def found(pairs: DataFrame) -> DataFrame:
         """The first places of later sets that are similar to the earlier set of a pair."""
         pairs = _store.written(pairs.select("a_first", "b_first").distinct(), "pairs")
-        full = _store.written(_positions(docs, pairs.select(F.col("a_first").alias("place")).union(pairs.select("b_first"))), "tokens")
         both = pairs.join(full.toDF("a_first", "a"), "a_first").join(full.toDF("b_first", "b"), "b_first")
         common = F.size(F.array_intersect("a", "b"))
         return both.filter(common * DENOM >= (F.size("a") + F.size("b") - common) * NUMER).select("b_first").distinct()
