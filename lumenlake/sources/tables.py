@@ -20,7 +20,7 @@ SCHEMAS: dict[str, str] = {
     "robustness_patch_stretch": "image_id STRING, baseline_answer STRING, patched_answer STRING, flipped_to_compliant BOOLEAN",
     "bounded_completeness": f"{KEYS}, verdict STRING, is_multi_rule_violation BOOLEAN, quality_of_info STRING, top_region_source STRING, worker_lost_in_top1_mask BOOLEAN",
     "efficiency_summary": "day INT, name STRING, calls_per_sample DOUBLE, mean_ms_per_call DOUBLE, mean_ms_per_sample DOUBLE, observed_total_seconds DOUBLE, n_observed STRING, extrapolated_1000_minutes DOUBLE, extrapolated_1000_hours DOUBLE",
-    "pilot_metric_summary": "metric STRING, direction STRING, overall DOUBLE, compliant DOUBLE, ppe_violation DOUBLE, fall_hazard DOUBLE, struck_by_risk DOUBLE, n STRING, source_csv STRING",
+    "metric_summary": "metric STRING, direction STRING, overall DOUBLE, compliant DOUBLE, ppe_violation DOUBLE, fall_hazard DOUBLE, struck_by_risk DOUBLE, n STRING, source_csv STRING",
     "source_rows": "image BINARY, image_id STRING, image_caption STRING, illumination STRING, camera_distance STRING, view STRING, quality_of_info STRING, "
     + ", ".join(f"rule_{i}_violation STRUCT<bounding_box: ARRAY<ARRAY<DOUBLE>>, reason: STRING>" for i in (1, 2, 3, 4)),
 }
