@@ -70,11 +70,17 @@ def _least_overlap(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * NUMER / F.lit(NUMER + DENOM))
 
 
-def _positions(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Adds the full tokens to rows with place: the lines are read again, for those documents alone."""
-    wanted = tokens.select((F.floor(F.col("place") / LINES)).cast("long").alias("doc_id"), F.pmod("place", F.lit(LINES)).cast("int").alias("line_no"), "place").distinct()
-    some = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return _lines(some).join(wanted, ["doc_id", "line_no"]).select("place", _tokens(F.col("words")).alias("tokens"))
+def _full(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """place and all tokens of the lines at places: their documents are read again, and only those lines are kept."""
+    number = F.pmod("place", F.lit(LINES)).cast("int")
+    wanted = places.select(F.floor(F.col("place") / LINES).cast("long").alias("doc_id"), number.alias("line_no")).groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
+    some = docs.join(wanted, "doc_id").select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    some = some.filter(F.array_contains("wanted", F.col("line_no"))).select(_place().alias("place"), _words(F.col("line")).alias("words"))
+    return some.select("place", _tokens(F.col("words")).alias("tokens"))
+
+
+def _place() -> Column:
+    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(30,0)")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -89,16 +95,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = _lines(docs)
     table = _rarity(lines)
     ordered = F.sort_array(F.transform(_tokens(F.col("words")), lambda t: _ranked(t, table)))
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(10,0)") + F.col("line_no")
     kept = F.col("n") - F.ceil(F.col("n") * NUMER / F.lit(DENOM)).cast("int") + 1
-    rows = lines.select(place.cast("decimal(30,0)").alias("place"), ordered.alias("o")).select("place", F.size("o").alias("n"), F.xxhash64("o").alias("set"), "o")
+    rows = lines.select(_place().alias("place"), ordered.alias("o")).select("place", F.size("o").alias("n"), F.xxhash64("o").alias("set"), "o")
     rows = rows.select("place", "n", "set", F.transform(F.slice("o", F.lit(1), kept), lambda x: F.hash(x)).alias("prefix"))
     rows = _store.written(rows, "lines")
-    sets = rows.groupBy("set", "n", "prefix").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
+    firsts = _store.written(rows.groupBy("set", "n").agg(F.min("place").alias("first"), F.count("*").alias("copies")), "firsts")
 
-    token = sets.select("set", "n", "first", "copies", F.posexplode("prefix").alias("i", "token"))
+    token = rows.select("set", "n", "prefix").distinct().select("set", "n", F.posexplode("prefix").alias("i", "token"))
     group = Window.partitionBy("token")
-    shared = token.withColumn("of", F.count("*").over(group)).filter("of > 1")
+    shared = _store.written(token.withColumn("of", F.count("*").over(group)).filter("of > 1").drop("of"), "tokens")
+    shared = shared.join(firsts, ["set", "n"]).select("token", "i", "n", "first", "copies")
     shared = shared.withColumn("earliest", F.min(F.struct("first", "n", "i")).over(group)).withColumn("common", F.max(F.struct("copies", "first", "n", "i")).over(group))
     shared = _store.written(shared, "shared")
 
@@ -109,7 +115,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         room = F.lit(1) + F.least(an - 1 - ai, bn - 1 - bi)
         return (F.col(f"{a}_first") < F.col(f"{b}_first")) & (room >= need) & (F.least(an, bn) * DENOM >= F.greatest(an, bn) * NUMER)
 
-    full = _store.written(_positions(docs, shared.select(F.col("first").alias("place"))), "tokens")  # of all sets that can be similar to another
+    full = _store.written(_full(docs, shared.select(F.col("first").alias("place"))), "full")  # of all sets that can be similar to another
     later = [F.col(x).alias(f"b_{x}") for x in ("first", "n", "i")]
 
     def found(pairs: DataFrame) -> DataFrame:
@@ -129,7 +135,6 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     two = found(rest.join(every, "token").filter(passes("a", "b")))
     matched = one.union(two).withColumnRenamed("b_first", "first").distinct()
 
-    firsts = sets.groupBy("set", "n").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
     marked = _store.written(firsts.join(matched.withColumn("gone", F.lit(True)), "first", "left").filter("gone or copies > 1"), "marked")
     again = _store.lookup(rows.select("set", "n", "place"), marked, ["set", "n"], "copies").filter("gone or place > first")
     return again.select(F.floor(F.col("place") / LINES).cast("long").alias("doc_id"), F.pmod("place", F.lit(LINES)).cast("int").alias("line_no")).distinct()
