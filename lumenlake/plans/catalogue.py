@@ -307,10 +307,16 @@ def _masked(spark: SparkSession, sf: str, k: int) -> DataFrame:
 
 
 def _accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    s = a.samples(spark, sf)
-    n = a.boxes(spark, sf).groupBy("sample_id").agg(F.count("*").alias("n_regions"))
-    joined = s.join(_masked(spark, sf, 0).withColumnRenamed("answer", "base"), "sample_id").join(_masked(spark, sf, 1).withColumnRenamed("answer", "one"), "sample_id")
-    joined = joined.join(_masked(spark, sf, 2).withColumnRenamed("answer", "two"), "sample_id").join(n, "sample_id", "left")
+    """Answers with no, one and two boxes masked, from one grouping of the ranked boxes."""
+    held = F.struct("ord", "rank", _box().alias("b"))
+    of = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, held)))
+    arrays = a.ranked(spark, sf).groupBy("sample_id").agg(of("worker").alias("w"), of("object").alias("o"), F.count("*").alias("n_regions"))
+
+    def answer(k: int) -> Column:
+        left = [F.coalesce(F.transform(F.filter(c, lambda x: x["rank"] > k), lambda x: x.b), F.array().cast(f"array<{g.BOX}>")) for c in ("w", "o")]
+        return decide.presence(*left, F.lit(a.NEAR))
+
+    joined = a.samples(spark, sf).join(arrays, "sample_id", "left").withColumns({"base": answer(0), "one": answer(1), "two": answer(2)})
     two = F.when(F.coalesce("n_regions", F.lit(0)) >= 2, F.col("two")).otherwise(F.col("one"))
     confidence = lambda x: F.when(F.col(x) == "compliant", 0.9).otherwise(0.6)
     c1, d1 = metrics.answer_change(F.col("base"), confidence("base"), F.col("one"), confidence("one"))
