@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters and digits and of bytes beyond ASCII, A-Z lower-cased. One pass over all documents counts
-how often each 3-gram of the benchmark occurs in the corpus. Seeds of an item are its rare 3-grams and, wherever eight in
-a row are common, the rarest of them, so a passage that half the corpus copies still has seeds. A second pass joins
-documents to items on seeds; seeds of one item on neighbouring diagonals are a candidate, and candidates are aligned
-word by word in batches. Items are broadcast in blocks of bounded size, one pair of passes each.
+Words are runs of ASCII letters and digits and of bytes beyond ASCII, A-Z lower-cased. One pass joins documents to items
+on their 3-grams: every 3-gram of an item is a seed, however often the corpus has it, and one seed makes a candidate.
+Seeds of one item on neighbouring diagonals share a candidate. Its window of the document holds every alignment through
+its seeds that can be a hit. Candidates with too few of the item's words for that are left out, which loses no hit, and
+the others are aligned word by word in batches. Items are broadcast in blocks of bounded size, one pass each.
 """
 
 from __future__ import annotations
@@ -18,18 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
-from ._arrow import LOWER, hash_spans, ngrams, ranges, row_of, slices, utf8, window_min, within, words
+from ._arrow import LOWER, group_starts, hash_spans, ngrams, ranges, row_of, slices, utf8, within, words
 
 SEED = 3
-#: A seed is rare if it makes up at most this share of the corpus' words, or occurs this often.
-RARE_SHARE, RARE_COUNT = 1e-6, 20
-#: Of so many common n-grams in a row the rarest is a seed.
-STRETCH = 8
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Hits reach this part of the score of a whole copy, or the score of this many words in a row.
 SCORE, LONG = 0.5, 25
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 8 << 20
+#: Seed hits of documents and items that are looked at together.
+HITS = 1 << 20
 
 _INSIDE = np.ones(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -75,36 +73,6 @@ class Known:
         return at[ok], where[ok]
 
 
-def _counted(known: Known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = np.zeros(len(known.sorted), np.int64), 0
-        for b in slices(batches, "text"):
-            w, first = tokens(b["text"])
-            at, where = known.find(ngrams(w, SEED))
-            n += np.bincount(where[within(first, SEED)[at]], minlength=len(n))
-            total += len(w)
-        seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(n[seen], total))], names=["gram", "n"])
-
-    return run
-
-
-def choose_seeds(items: Items, gram: np.ndarray, place: np.ndarray, count: np.ndarray, total: int) -> np.ndarray:
-    """Which 3-grams of the block are seeds: count is how often each occurs in the corpus, total the corpus' words."""
-    seed = count <= max(RARE_COUNT, int(total * RARE_SHARE))
-    item = np.searchsorted(items.first, place, "right") - 1
-    first = np.searchsorted(item, np.arange(len(items.ids) + 1))
-    rarity = count.astype(np.uint64) << np.uint64(28) | np.arange(len(gram), dtype=np.uint64)
-    place_of = np.uint64((1 << 28) - 1)
-    if len(gram) >= STRETCH:
-        least = window_min(rarity, STRETCH)[within(first, STRETCH)]
-        seed[(least & place_of).astype(np.int64)] = True
-    some = first[:-1][np.diff(first) > 0]  # every item has one, those shorter than a stretch too
-    if len(some):
-        seed[(np.minimum.reduceat(rarity, some) & place_of).astype(np.int64)] = True
-    return seed
-
-
 def align(query: np.ndarray, q_size: np.ndarray, text: np.ndarray, t_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smith-Waterman of padded rows: the best score, and where it ends (exclusive) in query and in text, the earliest of equals."""
     b, m, n = len(query), query.shape[1], text.shape[1]
@@ -133,22 +101,82 @@ def _padded(source: np.ndarray, start: np.ndarray, size: np.ndarray, fill: int)
     return out
 
 
-def _candidates(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, place: np.ndarray, size: np.ndarray, seeds: np.ndarray) -> list[tuple[int, int, int, int]]:
+def _least(size: np.ndarray) -> np.ndarray:
+    """The least score that makes a hit, for items of so many words."""
+    return np.minimum(np.ceil(SCORE * MATCH * size), LONG * MATCH).astype(np.int64)
+
+
+def _slack(size: np.ndarray) -> np.ndarray:
+    """How many diagonals a hit can cover on either side of one of its seeds: each costs a gap."""
+    return (MATCH * size - _least(size)) // GAP
+
+
+def _candidates(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, size: np.ndarray) -> np.ndarray:
     """(doc row, item, least and greatest diagonal) of hits sorted by doc, item and diagonal; hits of one item that are near in diagonal are together."""
+    slack = _slack(size)
+    begins = group_starts(doc, item)
+    begins[1:] |= np.diff(diagonal) > slack[item[1:]]
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(doc))
     out = []
-    a = 0
-    for z in range(1, len(doc) + 1):
-        slack = int(size[item[a]]) // 4 + 4
-        if z == len(doc) or doc[z] != doc[a] or item[z] != item[a] or diagonal[z] - diagonal[z - 1] > slack or diagonal[z] - diagonal[a] > 2 * size[item[a]]:
-            if len(set(place[a:z].tolist())) >= min(2, int(seeds[item[a]])):
-                out.append((int(doc[a]), int(item[a]), int(diagonal[a]), int(diagonal[z - 1])))
-            a = z
-    return out
+    for k in np.flatnonzero(diagonal[ends - 1] - diagonal[starts] > 2 * size[item[starts]]):  # long runs are cut
+        at, widest = int(starts[k]), 2 * int(size[item[starts[k]]])
+        while (at := at + int(np.searchsorted(diagonal[at : ends[k]], diagonal[at] + widest, "right"))) < ends[k]:
+            out.append(at)
+    starts = np.sort(np.concatenate([starts, np.array(out, np.int64)]))
+    ends = np.append(starts[1:], len(doc))
+    return np.stack([doc[starts], item[starts], diagonal[starts], diagonal[ends - 1]], axis=1)
 
 
-def _matched(items: Items, known: Known, order: np.ndarray, first_of: np.ndarray, place: np.ndarray, seeds: np.ndarray):
+def _matched(items: Items, known: Known, order: np.ndarray, place: np.ndarray):
     size = np.diff(items.first)
     item_of = row_of(items.first)
+    slack, least = _slack(size), _least(size)
+    vocabulary, word_of = np.unique(items.words, return_inverse=True)
+    listed = Known(vocabulary)
+    item_words = np.unique(item_of * len(vocabulary) + word_of, return_counts=True)  # distinct words of each item, and how often it has them
+    first_word = np.searchsorted(item_words[0], np.arange(len(items.ids) + 1) * len(vocabulary))
+    posting = np.searchsorted(known.sorted, items.grams()[0])[order] * len(items.ids) + item_of[place[order]]  # sorted
+
+    def hits(doc: np.ndarray, at: np.ndarray, where: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+        """The candidates of seeds where at words at of documents doc, for bounded numbers of hits at a time."""
+        n = len(items.ids)
+        many = np.searchsorted(posting, (where + 1) * n) - np.searchsorted(posting, where * n)
+        total = np.cumsum(many)
+        a = 0
+        while a < len(at):
+            z = int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, "right"))
+            if z < len(at):
+                z = int(np.searchsorted(doc, doc[z]))  # whole documents
+            if z <= a:
+                z = int(np.searchsorted(doc, doc[a], "right"))
+            parts = min(n, -(-int(many[a:z].sum()) // HITS))
+            for low, high in zip(*(np.linspace(0, n, parts + 1).astype(np.int64)[k : parts + k] for k in (0, 1)), strict=True):
+                begin, end = (np.searchsorted(posting, where[a:z] * n + k) for k in (low, high))
+                q = place[order[ranges(begin, end - begin)]]  # every place of the seed in the block
+                if not len(q):
+                    continue
+                t = np.repeat(at[a:z], end - begin)
+                d, item = np.repeat(doc[a:z], end - begin), item_of[q]
+                diagonal = (t - first[d]) - (q - items.first[item])
+                by = np.lexsort((diagonal, item, d))
+                yield _candidates(d[by], item[by], diagonal[by], size)
+            a = z
+
+    def possible(item: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Whether so many of the item's words occur in the window that a hit is possible. place, word: where words of the block are."""
+        keep = np.zeros(len(item), bool)
+        for k in range(0, len(item), 4096):
+            i = item[k : k + 4096]
+            low = np.searchsorted(place, start[k : k + 4096])
+            many = np.searchsorted(place, end[k : k + 4096]) - low
+            present = np.unique(np.repeat(np.arange(len(i)), many) * len(vocabulary) + word[ranges(low, many)])
+            own = first_word[i + 1] - first_word[i]
+            at, row = ranges(first_word[i], own), np.repeat(np.arange(len(i)), own)
+            wanted = row * len(vocabulary) + item_words[0][at] % len(vocabulary)
+            found = present[np.minimum(np.searchsorted(present, wanted), len(present) - 1)] == wanted
+            keep[k : k + 4096] = MATCH * np.bincount(row, item_words[1][at] * found, len(i)) >= least[i]
+        return keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -158,30 +186,27 @@ def _matched(items: Items, known: Known, order: np.ndarray, first_of: np.ndarray
             at, where = at[ok], where[ok]
             if not len(at):
                 continue
-            many = first_of[where + 1] - first_of[where]
-            q = place[order[ranges(first_of[where], many)]]  # every place of the seed in the block
-            at = np.repeat(at, many)
-            doc, item = row_of(first)[at], item_of[q]
-            diagonal = (at - first[doc]) - (q - items.first[item])
-            by = np.lexsort((q, diagonal, item, doc))
-            found = np.array(_candidates(doc[by], item[by], diagonal[by], q[by], size, seeds), np.int64).reshape(-1, 4)
-            found = found[np.argsort(size[found[:, 1]], kind="stable")]  # batches of like sizes
+            words_at, word = listed.find(w)
             rows = []
-            for k in range(0, len(found), 256):
-                d, i, low, high = found[k : k + 256].T
-                slack = size[i] // 4 + 4
-                start = np.clip(low - slack, 0, None) + first[d]
-                end = np.minimum(high + size[i] + slack + first[d], first[d + 1])
-                query, text = _padded(items.words, items.first[i], size[i], 0), _padded(w, start, end - start, 1)
-                best, q_end, t_end = align(query, size[i], text, end - start)
-                hit = np.flatnonzero((best >= SCORE * MATCH * size[i]) | (best >= LONG * MATCH))
-                if not len(hit):
-                    continue
-                d, i, start, best, q_end, t_end = d[hit], i[hit], start[hit], best[hit], q_end[hit], t_end[hit]
-                # the same alignment from its end finds where it begins
-                back_q, back_t = items.words[::-1], w[::-1]
-                _, _, t_len = align(_padded(back_q, len(items.words) - items.first[i] - q_end, q_end, 0), q_end, _padded(back_t, len(w) - start - t_end, t_end, 1), t_end)
-                rows.append(np.stack([d, i, best, start + t_end - t_len - first[d], start + t_end - first[d]]))
+            for found in hits(row_of(first)[at], at, where, first):
+                found = found[np.argsort(size[found[:, 1]], kind="stable")]  # batches of like sizes
+                d, i, low, high = found.T
+                start = np.clip(low - slack[i], 0, None) + first[d]
+                end = np.minimum(high + size[i] + slack[i] + first[d], first[d + 1])
+                ok = possible(i, start, end, words_at, word)
+                every = d[ok], i[ok], start[ok], end[ok]
+                for k in range(0, len(every[0]), 256):
+                    d, i, start, end = (x[k : k + 256] for x in every)
+                    query, text = _padded(items.words, items.first[i], size[i], 0), _padded(w, start, end - start, 1)
+                    best, q_end, t_end = align(query, size[i], text, end - start)
+                    hit = np.flatnonzero(best >= least[i])
+                    if not len(hit):
+                        continue
+                    d, i, start, best, q_end, t_end = d[hit], i[hit], start[hit], best[hit], q_end[hit], t_end[hit]
+                    # the same alignment from its end finds where it begins
+                    back_q, back_t = items.words[::-1], w[::-1]
+                    _, _, t_len = align(_padded(back_q, len(items.words) - items.first[i] - q_end, q_end, 0), q_end, _padded(back_t, len(w) - start - t_end, t_end, 1), t_end)
+                    rows.append(np.stack([d, i, best, start + t_end - t_len - first[d], start + t_end - first[d]]))
             if rows:
                 d, i, best, start, end = np.concatenate(rows, axis=1)
                 by = np.lexsort((end, start, -best, i, d))
@@ -212,19 +237,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
         gram, place = items.grams()
         if not len(gram):
             continue
-        known = Known(gram)
-        counted = dict(rows.select("text").mapInArrow(_counted(known), "gram long, n long").groupBy("gram").agg(F.sum("n")).collect())  # at most the block's n-grams
-        corpus = counted.pop(-1, 0)
-        n = np.zeros(len(known.sorted), np.int64)
-        n[list(counted)] = list(counted.values())
-        seed = choose_seeds(items, gram, place, n[np.searchsorted(known.sorted, gram)], corpus)
-        gram, place = gram[seed], place[seed]
         order = np.argsort(gram, kind="stable")
-        known = Known(gram)
-        first_of = np.searchsorted(gram[order], np.append(known.sorted, np.uint64(2**64 - 1)))
-        first_of[-1] = len(gram)
-        seeds = np.bincount(row_of(items.first)[place], minlength=len(items.ids))
-        found = rows.mapInArrow(_matched(items, known, order, first_of, place, seeds), "doc_id long, item_id long, score double, start long, end long")
+        found = rows.mapInArrow(_matched(items, Known(gram), order, place), "doc_id long, item_id long, score double, start long, end long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return rows.filter("false").selectExpr("doc_id", "doc_id as item_id", "0D as score", "0L as start", "0L as end")

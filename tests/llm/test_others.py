@@ -163,6 +163,33 @@ def test_seeds_of_common_passages_remain(spark):
     assert got.count() == 200
 
 
+@pytest.mark.parametrize("hits", [1 << 20, 50])
+def test_edited_copies_of_common_items_are_aligned(spark, hits, monkeypatch):
+    """Every document with a 3-gram of an item gets the score of a full alignment, however common the item is."""
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = random.Random(8)
+    items = {k: [f"p{k}x{i}" for i in range(n)] for k, n in enumerate((16, 25, 38))}
+    docs = {}
+    for item in items.values():
+        for d in range(150):
+            if d < 40:
+                edited = item
+            elif d < 110:
+                edited = [f"e{rng.randrange(10**6)}" if rng.random() < 0.25 else x for x in item]
+            else:  # words put in, so that the parts lie on far diagonals
+                at = rng.randrange(3, len(item) - 3)
+                edited = [*item[:at], *(f"i{rng.randrange(10**6)}" for _ in range(rng.randint(8, len(item) // 2))), *item[at:]]
+            docs[len(docs)] = [*(f"a{rng.randrange(10**6)}" for _ in range(9)), *edited, "z"]
+    want = {}
+    for d, w in docs.items():
+        for k, item in items.items():
+            grams = {tuple(item[i : i + 3]) for i in range(len(item) - 2)}
+            if any(tuple(w[i : i + 3]) in grams for i in range(len(w) - 2)) and (best := _brute_align(item, w)) >= min(len(item), 50):
+                want[d, k] = best / (2 * len(item))
+    found = decontaminate.matches(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.score for r in found.collect()} == want and len(want) > 300
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(max_size=9000))
 def test_transport_stream_round_trip(raw):
