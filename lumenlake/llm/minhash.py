@@ -6,10 +6,12 @@ of 5. So each chunk is indexed five times, each time without one of its numbers:
 error, and all pairs within that distance share a key (at similarity 0.75 a pair shares none once in 20,000).
 
 Links are confirmed on the full sets. Equal sets are one class from the start. In a bucket every class is first compared
-with the least class only, where their signatures are not far apart; such pairs also make families of classes. A family
-whose confirmed links leave several components is then compared in blocks, the classes outside its largest component
-with all others, on the full sets; each sends one link to each component it reaches. So no link between components is
-lost and no bucket or family lists its pairs.
+with the least class; those whose signatures are not far apart make families of classes. Classes far from it are compared
+in blocks with all classes of the bucket that are not close to it, and join the families of those they are not far from,
+by a tree of links a block. So any two near duplicates that share a key are in one family. A family whose confirmed
+links leave several components is then compared in blocks, the classes outside its largest component with all others, on
+the full sets; each sends one link to each component it reaches. So no link between components is lost and no bucket or
+family lists its pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
@@ -30,7 +32,10 @@ SIMILARITY = (75, 100)
 NUMBERS, CHUNK, BITS = 50, 5, 13
 #: Classes whose signatures differ in more numbers (similarity well below 0.4) are no family.
 FAR = 35
-#: Classes of a block of a family.
+#: Of a class no further than this from a bucket's least class, all that differ from it in at most FAR - CLOSE numbers
+#: (a pair of similarity 0.75 differs in more once in 10,000,000) are not far from the least class either.
+CLOSE = 5
+#: Classes of a block of a family or bucket.
 BLOCK = 512
 
 _SEEDS = mix(np.arange(1, 2 * NUMBERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -116,11 +121,40 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             far = (_matrix(b["sig_a"]) != _matrix(b["sig_b"])).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(far <= FAR))
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(far.astype(np.int32))], names=["a", "b", "far"])
+
+
+def _tree(rep: np.ndarray, sig: np.ndarray, guest: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join each guest with all classes it is not far from, none that the others make needless."""
+    own, (_, at) = np.flatnonzero(~guest), np.unique(rep, return_inverse=True)
+    label, found = np.arange(len(at)), []
+    for i in np.flatnonzero(guest):
+        near = own[((sig[own] != sig[i]).sum(axis=1) <= FAR) & (rep[own] != rep[i])]
+        labels, one = np.unique(label[at[near]], return_index=True)
+        other = labels != label[at[i]]
+        if other.any():
+            found += [(min(rep[i], j), max(rep[i], j)) for j in rep[near[one[other]]]]
+            label[np.isin(label, labels[other])] = label[at[i]]
+    return found
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    t = pa.Table.from_batches(rows)
+    key, g, o, rep, guest = (t[c].to_numpy() for c in ("key", "g", "o", "rep", "guest"))
+    sig = _matrix(t["sig"])
+    order = np.lexsort((rep, o, g, key))
+    found: set[tuple[int, int]] = set()
+    for at in np.split(order, np.flatnonzero(group_starts(key[order], g[order], o[order]))[1:]):
+        found.update(_tree(rep[at], sig[at], guest[at]))
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _block(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sets: list[np.ndarray], guest: np.ndarray) -> list[tuple[int, int]]:
@@ -159,6 +193,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _dealt(rows: DataFrame, of: str, guests: str, is_guest: Column) -> DataFrame:
+    """rows for each pair of a block of guests (g) and a block of all rows (o) of a group; of and guests hold how many it has."""
+    own_blocks, guest_blocks = (F.ceil(F.col(x) / BLOCK).cast("int") for x in (of, guests))
+    own = rows.withColumn("guest", F.lit(False)).withColumn("o", F.pmod(F.xxhash64("rep"), own_blocks).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), guest_blocks - 1)))
+    guest = rows.filter(is_guest).withColumn("guest", F.lit(True)).withColumn("g", F.pmod(F.xxhash64("rep"), guest_blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), own_blocks - 1)))
+    return own.unionByName(guest)
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between classes, enough of them to join all that the candidates' links join.
 
@@ -171,7 +213,15 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     stars = members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     sig = classes.select("rep", "sig")
     stars = stars.join(sig.toDF("b", "sig_b"), "b").join(sig.toDF("a", "sig_a"), "a").select("a", "b", "sig_a", "sig_b")
-    stars = _store.written(stars.mapInArrow(_near, "a long, b long"), "stars")
+    stars = _store.written(stars.mapInArrow(_apart, "a long, b long, far int"), "apart")
+    ring = members.join(stars.filter(F.col("far") > CLOSE).toDF("pivot", "rep", "far"), ["pivot", "rep"]).select("key", "rep", (F.col("far") > FAR).alias("is_far"))
+    ring = _store.written(ring, "ring")
+    busy = ring.groupBy("key").agg(F.count("*").alias("of"), F.count_if("is_far").alias("guests"))
+    busy = _store.written(busy.filter("guests > 0 and of > 1"), "busy")
+    others = _store.written(_store.lookup(ring, busy, ["key"], "of").join(sig, "rep"), "others")
+    rows = _dealt(others, "of", "guests", F.col("is_far")).select("key", "g", "o", "rep", "guest", "sig")
+    joined = rows.repartition("key", "g", "o").mapInArrow(_joined, "a long, b long")
+    stars = _store.written(stars.filter(F.col("far") <= FAR).select("a", "b").union(joined).distinct(), "stars")
     family = components(stars)  # of every class that has a star
     sets = _store.written(docs.join(family.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "id long, set binary"), "sets")
     pairs = stars.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
@@ -184,10 +234,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     mixed = each.groupBy("family").agg(F.max_by("comp", F.struct("here", "comp")).alias("most"), F.count("*").alias("kinds"), F.sum("here").alias("of"), F.max("here").alias("in_most"))
     mixed = _store.written(mixed.filter("kinds > 1").select("family", "most", "of", "in_most"), "mixed")
     open_ = _store.written(_store.lookup(named, mixed, ["family"], "of"), "open")
-    own_blocks, guest_blocks = (F.ceil(x / BLOCK).cast("int") for x in (F.col("of"), F.col("of") - F.col("in_most")))
-    own = open_.withColumn("guest", F.lit(False)).withColumn("o", F.pmod(F.xxhash64("rep"), own_blocks).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), guest_blocks - 1)))
-    guests = open_.filter("comp != most").withColumn("guest", F.lit(True)).withColumn("g", F.pmod(F.xxhash64("rep"), guest_blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), own_blocks - 1)))
-    rows = own.unionByName(guests).join(sets.withColumnRenamed("id", "rep"), "rep").select("family", "g", "o", "rep", "comp", "guest", "set")
+    dealt = _dealt(open_.withColumn("guests", F.col("of") - F.col("in_most")), "of", "guests", F.col("comp") != F.col("most"))
+    rows = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").select("family", "g", "o", "rep", "comp", "guest", "set")
     return found.union(_store.written(rows.repartition("family", "g", "o").mapInArrow(_across, "a long, b long"), "links"))
 
 

@@ -128,6 +128,43 @@ def test_a_large_group_keeps_its_links(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [1, 512])
+def test_links_whose_buckets_begin_with_far_documents(spark, block, monkeypatch):
+    """Near duplicates, each bucket they share with a smaller document in it that is far from both."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(3)
+    rows = []
+    for pair in range(4):
+        a = [f"p{pair}w{i}" for i in range(200)]
+        b = list(a)
+        for k in range(10, 200, 40):
+            b[k] = f"e{pair}x{k}"
+        texts = [" ".join(w) for w in (a, b)]
+        sets = [minhash.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts]
+        sig = minhash.signatures(sets)
+        data = np.frombuffer(texts[0].encode(), np.uint8)
+        grams = minhash.ngrams(minhash.hash_spans(data, *minhash.words(data, np.array([0, len(data)]))[:2]), minhash.SHINGLE)
+        least = [int(np.argmin((grams ^ minhash._SEEDS[2 * k]) * (minhash._SEEDS[2 * k + 1] | np.uint64(1)))) for k in range(minhash.NUMBERS)]
+        for chunk in range(0, minhash.NUMBERS, minhash.CHUNK):
+            same = [k for k in range(chunk, chunk + minhash.CHUNK) if sig[0, k] == sig[1, k]]
+            for left_out in range(chunk, chunk + minhash.CHUNK):
+                four = [k for k in range(chunk, chunk + minhash.CHUNK) if k != left_out]
+                if not set(four) <= set(same):
+                    continue
+                for _ in range(200):
+                    decoy = " ".join(f"r{rng.randrange(10**6)} " + " ".join(a[least[k] : least[k] + 5]) for k in four)
+                    s = minhash.signatures(minhash.shingle_sets(np.frombuffer(decoy.encode(), np.uint8), np.array([0, len(decoy)])))[0]
+                    if (s[four] == sig[0, four]).all() and (s != sig[0]).sum() > minhash.FAR:
+                        break
+                else:
+                    raise AssertionError("no decoy")
+                rows.append((len(rows), decoy))
+        rows += [(1000 + 2 * pair + k, t) for k, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert got == want and [want[1001 + 2 * k][1] for k in range(4)] == [1000 + 2 * k for k in range(4)]
+
+
 def test_signature_keys_meet_within_the_distance():
     rng = np.random.default_rng(3)
     import pyarrow as pa
