@@ -116,7 +116,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]],
         if gap < 2 or pairs[gap] <= 0:
             return None
         a = np.arange(gap // 2, 0, -1)
-        for x in a[(here[a] > 0) & (here[gap - a] > 0)][:4]:
+        for x in a[(here[a] > 0) & (here[gap - a] > 0)][:4]:  # at most three fail: those that need a piece of `first` again, and twice the same
             if enough([*first, int(x), gap - int(x)]):
                 return [*first, int(x), gap - int(x)]
         return None
@@ -130,7 +130,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]],
         if found := two([length], gap):
             return found
         a = np.arange(min(gap, length), 0, -1)  # triples: a single and a pair
-        for x in a[(here[a] > 0) & (pairs[gap - a] > 0)][:8]:
+        for x in a[(here[a] > 0) & (pairs[gap - a] > 0)]:
             if enough([length, int(x)]) and (found := two([length, int(x)], gap - int(x))):
                 return found
         return None

@@ -37,6 +37,14 @@ def test_exact_complements_are_used():
     assert sum(n for _, n in packing.plan(counts, 2048)) == 8
 
 
+def test_triples_are_searched_to_the_end():
+    """Nine lengths whose pair needs them once more come before the one exact triple."""
+    counts = np.zeros(2049, np.int64)
+    steps = [0, 1, 3, 4, 9, 10, 12, 13, 27]  # none is midway between two others
+    counts[[1000, 400, 348, 300, *(500 - k for k in steps), *(48 + 2 * k for k in steps)]] = 1
+    assert ([(300, 1), (348, 1), (400, 1), (1000, 1)], 1) in packing.plan(counts, 2048)
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
