@@ -59,17 +59,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Model:
     """A model of the rows (text, lang) of labelled that have both, from at most max_rows rows and max_bytes bytes a language.
 
-    The sample is ordered by a hash of the text, so it does not depend on ids, order or partitions. Languages are few
-    (codes such as ISO 639); what reaches the driver is their distinct byte 4-grams in the bounded sample. Without any
-    labelled text the model is empty and every prediction is `und`.
+    The sample is of distinct texts, ordered by a hash of the text, so it does not depend on ids, order, copies or
+    partitions. Texts of more than max_bytes come last, and the text that passes max_bytes is cut there, so every language
+    is in the model. Languages are few (codes such as ISO 639); what reaches the driver is their distinct byte 4-grams in
+    the bounded sample. Without any labelled text the model is empty and every prediction is `und`.
     """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null and text != ''")
-    per_lang = rows.groupBy("lang").agg(F.count("*").alias("n"))
     at = F.xxhash64("text")
-    few = rows.join(F.broadcast(per_lang), "lang").filter((at.cast("double") / 2.0**64 + 0.5) * F.col("n") <= 2 * max_rows)
-    order = Window.partitionBy("lang").orderBy(at, "text")
-    few = few.select("text", "lang", F.row_number().over(order).alias("nth"), F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
-    few = few.filter((F.col("nth") <= max_rows) & (F.col("total") <= max_bytes)).select("text", "lang")
+    per_lang = rows.select("lang", at.alias("at")).distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    few = rows.join(F.broadcast(per_lang), "lang").filter((at.cast("double") / 2.0**64 + 0.5) * F.col("n") <= 2 * max_rows).select("text", "lang").distinct()
+    size = F.octet_length("text")
+    order = Window.partitionBy("lang").orderBy(size > max_bytes, at, "text")
+    few = few.select("text", "lang", F.row_number().over(order).alias("nth"), (F.sum(size.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size).alias("before"))
+    few = few.filter((F.col("nth") <= max_rows) & (F.col("before") < max_bytes))
+    few = few.select(F.substring(F.col("text").cast("binary"), F.lit(1), (F.lit(max_bytes) - F.col("before")).cast("int")).alias("text"), "lang")
     found = few.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
     codes, at = np.unique(found["code"].to_numpy().astype(np.uint32), return_inverse=True)

@@ -111,6 +111,19 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_id_samples_distinct_texts(spark):
+    """Copies, a text over the limit of bytes, and the languages that have little else."""
+    ordinary = [(f"text {i} of aa", "aa") for i in range(30)]
+    model = langid.train(spark.createDataFrame(ordinary, "text string, lang string"), 40, 2000)
+    copied = langid.train(spark.createDataFrame([r for r in ordinary for _ in range(20)], "text string, lang string"), 40, 2000)
+    assert copied.codes.tolist() == model.codes.tolist() and copied.counts.tolist() == model.counts.tolist()
+    long = [(f"{i} long text " * 400, "aa") for i in range(12)]
+    kept = langid.train(spark.createDataFrame(ordinary + long, "text string, lang string"), 40, 300)
+    assert kept.counts.sum() == 300 and set(kept.codes) < set(model.codes)  # the ordinary texts fill it
+    few = [("one text of bb", "bb")] * 3000 + [("much longer than may be " * 200, "cc"), ("é" * 500, "dd")]
+    assert langid.train(spark.createDataFrame(few + ordinary, "text string, lang string"), 10, 300).langs == ["aa", "bb", "cc", "dd"]
+
+
 def test_code_lengths_are_those_of_the_counts():
     model = langid.Model(["x"], *np.unique(langid._fours(np.frombuffer(b"abab", np.uint8), np.array([0, 4])), return_counts=True))
     model.counts = model.counts.reshape(-1, 1)
