@@ -1,12 +1,12 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Documents are dealt to chunks of a few megabytes. Each chunk explodes its words into n-grams (here words and word pairs) and
+Documents are dealt to chunks of a few megabytes. Each chunk explodes its words into n-grams (words, word pairs and on to the model's order) and
 keeps one entry of each with its count: the exploded table, packed by hash bucket of the n-gram. A bucket adds the entries up
 to the count table of its n-grams and joins them back to each chunk's entries, in their order; the chunk joins the counts
 to its documents' n-grams and sums per document. An n-gram is at most one entry a chunk, however frequent it is.
 
 Counts are those of all other documents: a document's own occurrences are taken off, so that rare text does not vouch for
-itself. The order is 2: the third order alone would move more than the whole corpus again.
+itself. The order is a parameter.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from ._arrow import hash_spans, mix, ngrams, row_of, utf8, within, words
 from .repeats import buckets
 
 BACKOFF = 0.4
+ORDER = 2
 CHUNK_BYTES = 8 << 20
 _UNI = np.uint64(0xA0761D6478BD642F)
 #: Its count is the number of words.
@@ -31,21 +32,20 @@ _TOTAL = np.uint64(0)
 class _Chunk:
     """A chunk's n-grams: grams in the order of bucket and hash, and for each occurrence which of them it is."""
 
-    def __init__(self, text: pa.ChunkedArray, n: int):
+    def __init__(self, text: pa.ChunkedArray, n: int, order: int):
         data, offsets = utf8(text)
         starts, ends, self.first = words(data, offsets)
         hashed = hash_spans(data, starts, ends)
-        pairs = ngrams(hashed, 2)
-        self.pair_at = np.flatnonzero(within(self.first, 2))
-        every = np.concatenate([mix(hashed ^ _UNI), pairs[self.pair_at], [_TOTAL]])
+        self.at = [np.flatnonzero(within(self.first, k)) for k in range(1, order + 1)]  # where n-grams of each length begin
+        every = np.concatenate([mix(hashed ^ _UNI), *(ngrams(hashed, k)[at] for k, at in enumerate(self.at[1:], 2)), [_TOTAL]])
         grams, which, count = np.unique(every, return_inverse=True, return_counts=True)
         count[which[-1]] += len(hashed) - 1
         side = (grams % np.uint64(n)).astype(np.int64)
-        order = np.argsort(side, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.grams, self.count, self.side, which = grams[order], count[order], side[order], place[which]
-        self.words, self.pairs, self.total = which[: len(hashed)], which[len(hashed) : -1], which[-1]
+        by = np.argsort(side, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.grams, self.count, self.side, which = grams[by], count[by], side[by], place[which]
+        self.of, self.total = np.split(which[:-1], np.cumsum([len(at) for at in self.at])[:-1]), which[-1]
         self.cut = np.append(np.flatnonzero(np.diff(self.side, prepend=-1)), len(self.side))
 
 
@@ -62,9 +62,9 @@ def _large(raw: memoryview, at: int = 0) -> np.ndarray:
     return out
 
 
-def _exploded(n: int):
+def _exploded(n: int, order: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        c = _Chunk(rows["text"], n)
+        c = _Chunk(rows["text"], n, order)
         parts = list(zip(c.cut[:-1], c.cut[1:], strict=True))
         blobs = [np.array([z - a], "<i8").tobytes() + c.grams[a:z].astype("<u8").tobytes() + _small(c.count[a:z]) for a, z in parts]
         return pa.table({"bucket": pa.array(c.side[c.cut[:-1]]), "chunk": pa.array([key[0].as_py()] * len(parts), pa.int64()), "blob": pa.array(blobs, pa.binary())})
@@ -99,11 +99,11 @@ def _own(row: np.ndarray, which: np.ndarray, kinds: int) -> np.ndarray:
     return n[at]
 
 
-def _summed(n: int):
+def _summed(n: int, order: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        c = _Chunk(docs["text"], n)
+        c = _Chunk(docs["text"], n, order)
         every = np.zeros(len(c.grams), np.int64)
         begin = dict(zip(c.side[c.cut[:-1]].tolist(), c.cut[:-1].tolist(), strict=True))
         for bucket, blob in zip(counts["bucket"].to_pylist(), counts["blob"], strict=True):
@@ -111,15 +111,14 @@ def _summed(n: int):
             every[begin[bucket] : begin[bucket] + len(part)] = part
         size = np.diff(c.first)
         row = row_of(c.first)
-        others = every[c.words] - _own(row, c.words, len(c.grams))
-        total = np.maximum(every[c.total] - size[row], 1)
-        head = np.zeros(len(row), bool)
-        head[c.first[:-1][size > 0]] = True
-        score = np.where(head, 1, BACKOFF) * np.where(others > 0, others, BACKOFF) / total
-        pair = every[c.pairs] - _own(row[c.pair_at], c.pairs, len(c.grams))
-        seen = pair > 0
-        at = c.pair_at[seen]
-        score[at + 1] = pair[seen] / others[at]
+        others = every[c.of[0]] - _own(row, c.of[0], len(c.grams))
+        score = np.where(others > 0, others, BACKOFF) / np.maximum(every[c.total] - size[row], 1)
+        for k, (at, of) in enumerate(zip(c.at[1:], c.of[1:], strict=True), 1):
+            longer = np.zeros(len(row), np.int64)
+            longer[at] = every[of] - _own(row[at], of, len(c.grams))
+            seen = longer[at] > 0
+            score[at + k] = np.where(seen, longer[at] / np.where(seen, others[at], 1), BACKOFF * score[at + k])
+            others = longer
         total_log = np.bincount(row, weights=np.log10(score), minlength=len(size))
         mean = np.round(total_log / np.maximum(size, 1), 6)
         return pa.table({"doc_id": docs["doc_id"], "n_words": pa.array(size), "score": pa.array(mean, mask=size == 0)})
@@ -127,11 +126,12 @@ def _summed(n: int):
     return run
 
 
-def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, order: int = ORDER) -> DataFrame:
     """doc_id, n_words and score (mean log10 per word, 6 places) of each row of docs (doc_id long, text).
 
-    Words are runs of non-space characters. A word after another scores c(both)/c(before) if the other documents hold the
-    pair, else 0.4 c(word)/N; a first word scores c(word)/N; a word that no other document holds counts 0.4; N is the
+    Words are runs of non-space characters. A word after others scores c(all)/c(all before) over the longest context of at
+    most order - 1 words, if the other documents hold the n-gram, else 0.4 of its score in a context one shorter; without
+    context it scores c(word)/N. A word that no other document holds counts 0.4; N is the
     other documents' number of words, at least 1. Texts without words have a null score; repeated rows are
     documents of their own; other columns are ignored; an empty table gives no rows.
     """
@@ -140,6 +140,6 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     n = buckets(docs)
     chunks = max(-(-size // chunk_bytes), n // 2)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long")))  # both uses below read one exchange
-    exploded = dealt.groupBy("chunk").applyInArrow(_exploded(n), "bucket long, chunk long, blob binary")
+    exploded = dealt.groupBy("chunk").applyInArrow(_exploded(n, order), "bucket long, chunk long, blob binary")
     counted = exploded.repartition("bucket").mapInArrow(_added, "chunk long, bucket long, blob binary")
-    return dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_summed(n), "doc_id long, n_words long, score double")
+    return dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_summed(n, order), "doc_id long, n_words long, score double")

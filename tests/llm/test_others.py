@@ -276,6 +276,25 @@ def test_scores(docs, rows, empty):
     assert lm_score.scores(empty).count() == 0 and mpegts.digests(empty).count() == 0 and packing.pack(empty, tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 3])
+def test_scores_of_other_orders(docs, rows, order):
+    words = {d: (t or "").encode().split() for d, t in rows}
+    grams = lambda w: Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    every, total = sum((grams(w) for w in words.values()), Counter()), sum(map(len, words.values()))
+    got = {r.doc_id: r.score for r in lm_score.scores(docs, 2000, order=order).collect()}
+    for d, w in words.items():
+        own = grams(w)
+        left = lambda *g: every[g] - own[g]  # noqa: E731,B023
+
+        def score(*g):
+            if len(g) == 1:
+                return (left(*g) or 0.4) / max(1, total - len(w))  # noqa: B023
+            return left(*g) / left(*g[:-1]) if left(*g) else 0.4 * score(*g[1:])  # noqa: B023
+
+        if w:
+            assert got[d] == pytest.approx(sum(math.log10(score(*w[max(0, i - order + 1) : i + 1])) for i in range(len(w))) / len(w), abs=2e-6)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
