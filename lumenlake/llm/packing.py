@@ -87,70 +87,71 @@ def _pieces(path: str, capacity: int):
     return run
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Sequences for counts[length] pieces of each length: ([(length, how many)], how many such sequences)."""
-    left = np.asarray(counts, np.int64).copy()
-    left[0] = 0
-    out: list[tuple[list[tuple[int, int]], int]] = []
+Pattern = tuple[list[tuple[int, int]], int]
+
+
+def _exact(left: np.ndarray, capacity: int, most: int) -> list[Pattern]:
+    """Sequences that at most `most` pieces beside their longest fill exactly, largest first; takes their pieces off left."""
+    out: list[Pattern] = []
     here = (left[:capacity] > 0).astype(np.int64)  # index of single lengths
     pairs = np.rint(np.convolve(here, here)).astype(np.int64)[: 2 * capacity]  # index of pair sums: how many ordered pairs
 
+    def drop(length: int) -> None:
+        """From both indexes."""
+        here[length] = 0
+        at = np.flatnonzero(here)
+        pairs[at + length] -= 2
+        pairs[2 * length] -= 1
+
     def take(lengths: list[int]) -> None:
         used = np.unique(lengths, return_counts=True)
         n = int(min(left[used[0]] // used[1]))
         out.append(([(int(a), int(b)) for a, b in zip(*used, strict=True)], n))
         for a, b in zip(*used, strict=True):
             left[a] -= n * b
-            if left[a] == 0 and a < capacity:  # drop it from both indexes
-                here[a] = 0
-                at = np.flatnonzero(here)
-                pairs[at + a] -= 2
-                pairs[2 * a] -= 1
+            if left[a] == 0 and a < capacity:
+                drop(a)
 
     def enough(lengths: list[int]) -> bool:
         used = np.unique(lengths, return_counts=True)
         return bool((left[used[0]] >= used[1]).all())
 
-    def two(first: list[int], gap: int) -> list[int] | None:
-        """The pair with the most even lengths that fills the gap."""
+    def two(first: list[int], gap: int, top: int) -> list[int] | None:
+        """The pair that fills the gap under the counts that are left, with the longest length up to top."""
         if gap < 2 or pairs[gap] <= 0:
             return None
-        a = np.arange(gap // 2, 0, -1)
-        for x in a[(here[a] > 0) & (here[gap - a] > 0)][:4]:  # at most three fail: those that need a piece of `first` again, and twice the same
+        a = np.arange(min(gap - 1, top), (gap - 1) // 2, -1)
+        for x in a[(here[a] > 0) & (here[gap - a] > 0)]:
             if enough([*first, int(x), gap - int(x)]):
                 return [*first, int(x), gap - int(x)]
         return None
 
-    def fill(length: int) -> list[int] | None:
+    def fill(length: int, beside: int) -> list[int] | None:
+        """The pieces of a full sequence of `length` and `beside` others, none longer."""
         gap = capacity - length
-        if gap == 0:
-            return [length]
-        if here[gap] and enough([length, gap]):
-            return [length, gap]
-        if found := two([length], gap):
-            return found
-        a = np.arange(min(gap, length), 0, -1)  # triples: a single and a pair
+        if beside == 0:
+            return [length] if gap == 0 else None
+        if beside == 1:
+            return [length, gap] if 0 < gap <= length and here[gap] and enough([length, gap]) else None
+        if beside == 2:
+            return two([length], gap, length)
+        a = np.arange(min(gap - 2, length), (gap - 1) // 3, -1)  # triples: a single and a pair
         for x in a[(here[a] > 0) & (pairs[gap - a] > 0)]:
-            if enough([length, int(x)]) and (found := two([length, int(x)], gap - int(x))):
+            if enough([length, int(x)]) and (found := two([length, int(x)], gap - int(x), int(x))):
                 return found
         return None
 
-    rest = np.zeros(capacity + 1, np.int64)
-    for length in range(capacity, 0, -1):
-        while left[length] > 0:
-            found = fill(length)
-            if not found:
-                rest[length], left[length] = left[length], 0
-                if length < capacity:
-                    here[length] = 0
-                    at = np.flatnonzero(here)
-                    pairs[at + length] -= 2
-                    pairs[2 * length] -= 1
-                break
-            take(found)
-
-    # Best fit of the residuals: open[room] are patterns with that much room, each with how many sequences follow it.
-    room: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
+    for beside in range(most + 1):
+        for length in np.flatnonzero(left)[::-1].tolist():
+            while left[length] > 0 and (found := fill(length, beside)):
+                take(found)
+    return out
+
+
+def _best_fit(rest: np.ndarray, capacity: int) -> list[Pattern]:
+    """Sequences of the pieces of rest, longest first, each in the fullest sequence that has room."""
+    # room: patterns by the room they leave, each with how many sequences follow it.
+    room: dict[int, list[Pattern]] = {}
     for length in range(capacity, 0, -1):
         n = int(rest[length])
         while n:
@@ -165,11 +166,30 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]],
                 copies = -(-n // (capacity // length))
             each = min(r // length, -(-n // copies))
             full = min(copies, n // each)
-            if copies > full:
-                room.setdefault(r, []).append((pattern, copies - full)) if pattern else None
+            if copies > full and pattern:
+                room.setdefault(r, []).append((pattern, copies - full))
             room.setdefault(r - each * length, []).append(([*pattern, (length, each)], full))
             n -= full * each
-    return out + [x for v in room.values() for x in v]
+    return [x for v in room.values() for x in v]
+
+
+def plan(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """Sequences for counts[length] pieces of each length: ([(length, how many)], how many such sequences).
+
+    Exact complements of up to three pieces, then best fit of what is left. Small pieces that complete a sequence early
+    are missing in the end, so plans with complements of up to two, one and no pieces are made too and the one with the
+    fewest sequences is taken: it is never worse than best fit alone.
+    """
+    plans = []
+    for most in (3, 2, 1, 0):
+        left = np.asarray(counts, np.int64).copy()
+        left[0] = 0
+        least = -(-int((left * np.arange(len(left))).sum()) // capacity)
+        exact = _exact(left, capacity, most)
+        plans.append(exact + _best_fit(left, capacity))
+        if sum(n for _, n in plans[-1]) == least:
+            break
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def _places(found: list[tuple[list[tuple[int, int]], int]]):
@@ -214,5 +234,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    numbered = pieces.join(per_part, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "base")
+    numbered = pieces.join(per_part.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "base")
     return numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
