@@ -216,11 +216,13 @@ def digests(docs: DataFrame) -> DataFrame:
     """Store each text as a stream, read the stored bytes back and describe both. Equal texts have equal values.
 
     Returns doc_id, n_bytes (before padding), payload_bytes, payload_sha256 and tail_crc32 (of what was read back),
-    media_bytes, media_sha256 and feature: packets, elementary packets, access points, first and last timestamp,
-    breaks of continuity and the payload's mean byte. Null texts are empty; an empty text is one block of filling.
+    media_bytes, media_sha256, feature (packets, elementary packets, access points, first and last timestamp, breaks of
+    continuity and the payload's mean byte), and for each elementary packet its timestamp (pts) and whether it can be
+    accessed at random (random_access). Null texts are empty; an empty text is one block of filling; repeated rows and
+    null doc_ids keep their rows; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -230,10 +232,10 @@ def digests(docs: DataFrame) -> DataFrame:
                 media = mux(pad(raw))
                 u = demux(media)
                 feature = f"packets={u.packets};pes={len(u.pts)};access={int(u.random_access.sum())};pts={u.pts[0]}-{u.pts[-1]};lost={u.lost};mean={np.frombuffer(u.payload, np.uint8).mean():.3f}"
-                found = (doc, len(raw), len(u.payload), hashlib.sha256(u.payload).hexdigest(), zlib.crc32(u.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+                found = (doc, len(raw), len(u.payload), hashlib.sha256(u.payload).hexdigest(), zlib.crc32(u.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, u.pts, u.random_access)
                 for column, v in zip(out, found, strict=True):
                     column.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<boolean>")
