@@ -26,6 +26,8 @@ UNKNOWN = "und"
 TRAIN_ROWS, TRAIN_BYTES = 1000, 2 << 20
 #: Contexts of the full depth that were seen less often stay leaves of the context one shorter.
 MIN_SEEN = 2
+#: Contexts whose costs are worked out together.
+STEP = 1024
 
 
 @dataclass
@@ -62,7 +64,8 @@ def train(labelled: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAI
     The sample is of distinct texts, ordered by a hash of the text, so it does not depend on ids, order, copies or
     partitions. Texts of more than max_bytes come last, and the text that passes max_bytes is cut there, so every language
     is in the model. Languages are few (codes such as ISO 639); what reaches the driver is their distinct byte 4-grams in
-    the bounded sample. Without any labelled text the model is empty and every prediction is `und`.
+    the bounded sample. Repeated rows count once; without any labelled text, as in an empty table, the model is empty and
+    every prediction is `und`; other columns are ignored.
     """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null and text != ''")
     at = F.xxhash64("text")
@@ -92,23 +95,27 @@ class Scorer:
         a, b, c, s = (self.symbol[(model.codes >> k) & 255] for k in (24, 16, 8, 0))
         n = len(self.langs)
         cost = np.full((1, size, n), 8.0, np.float32)  # below the empty context
-        parent_of = np.zeros(1, np.int64)
         number = np.zeros(1, np.int64)  # of the context with this code
         for depth in range(DEPTH + 1):
             code = {0: a * 0, 1: c, 2: b * size + c, 3: (a * size + b) * size + c}[depth]
             kept, at = np.unique(code, return_inverse=True)
-            tally = np.zeros((len(kept), size, n))
-            np.add.at(tally, (at, s), model.counts)
             if depth == DEPTH:
-                often = tally.sum(axis=(1, 2)) >= MIN_SEEN
-                kept, tally = kept[often], tally[often]
-            short = kept % size ** (depth - 1) if depth else kept * 0
-            parent_of = number[short]
-            below = cost[parent_of]
-            total, kinds = tally.sum(axis=1, keepdims=True), (tally > 0).sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                here = np.where(tally > 0, -np.log2(tally / (total + kinds)), -np.log2(kinds / (total + kinds)) + below)
-            here = np.where(total > 0, here, below).astype(np.float32)
+                often = np.bincount(at, weights=model.counts.sum(axis=1), minlength=len(kept)) >= MIN_SEEN
+                renamed = np.where(often, np.cumsum(often) - 1, -1)
+                kept, at = kept[often], renamed[at]
+            below_of = number[kept % size ** (depth - 1) if depth else kept * 0]
+            here = np.empty((len(kept), size, n), np.float32)
+            order = np.argsort(at, kind="stable")
+            bounds = np.searchsorted(at[order], np.arange(0, len(kept) + STEP, STEP))
+            for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):  # a few contexts at a time: the counts are wide
+                rows, first = order[lo:hi], k * STEP
+                tally = np.zeros((min(STEP, len(kept) - first), size, n), np.float32)
+                np.add.at(tally, (at[rows] - first, s[rows]), model.counts[rows])
+                total, kinds = tally.sum(axis=1, keepdims=True), (tally > 0).sum(axis=1, keepdims=True)
+                below = cost[below_of[first : first + STEP]]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    costs = np.where(tally > 0, -np.log2(tally / (total + kinds)), -np.log2(kinds / (total + kinds)) + below)
+                here[first : first + STEP] = np.where(total > 0, costs, below)
             codes = np.arange(size**depth)
             inherited = number[codes % size ** (depth - 1)] if depth else np.zeros(1, np.int64)
             first = len(cost) if depth else 0
@@ -140,11 +147,12 @@ _scorers: dict[str, Scorer] = {}
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (any columns, text among them) with lang_pred and score added.
+    """docs (any columns, text among them) with lang_pred and score added, in the place of columns of these names.
 
     lang_pred is a language of the model, the first in alphabetical order of those with the fewest bits, or `und` for a
     text that is null or has no letter; score is its posterior probability among the model's languages with equal
-    priors, 0.0 for `und`. Only text is looked at, all of it; rows with equal texts get equal values.
+    priors, 0.0 for `und`. Only text is looked at, all of it; rows with equal texts get equal values; an empty table gives
+    no rows.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = StructType([*docs.select(*keep).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
