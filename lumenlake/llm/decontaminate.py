@@ -246,6 +246,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that copy an item; a row without doc_id stays."""
+    """docs without those that copy an item, with all their columns.
+
+    A row without doc_id stays, also a copy; null and empty texts stay; of rows that repeat a doc_id all go if one copies an
+    item; an empty table stays empty and an empty benchmark changes nothing.
+    """
     found = _store.written(matches(docs, benchmark).select("doc_id").distinct(), "contaminated")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
