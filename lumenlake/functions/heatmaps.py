@@ -34,3 +34,24 @@ def min_max(cells: Column) -> Column:
 def patch_cells(attention: Column, size: int = 576) -> Column:
     """The image cells of an attention row, whose first entry is no cell."""
     return F.slice(attention, 2, size)
+
+
+def normalised(attention: Column, size: int = 576) -> Column:
+    """The heat map of an attention row: its image cells, then scaled among themselves."""
+    return min_max(patch_cells(attention, size))
+
+
+def scored(source: Column, cells: Column, tokens: Column) -> list[Column]:
+    """n_generated_tokens, both mass ratios, the number of large cells and excluded_reason of a region's heat map.
+
+    A region of the grid was found by no phrase, so there is no map for it: no tokens, null scores and the reason.
+    """
+    grid = source == "grid"
+    own = lambda c: F.when(~grid, c)
+    return [
+        F.when(grid, F.lit(0)).otherwise(tokens).alias("n_generated_tokens"),
+        own(top_mass_ratio(cells, 5)).alias("topk5_mass_ratio"),
+        own(top_mass_ratio(cells, 20)).alias("topk20_mass_ratio"),
+        own(count_above(cells).cast("double")).alias("regions_above_0.5"),
+        F.when(grid, "grid_fallback_no_box").alias("excluded_reason"),
+    ]

@@ -25,6 +25,13 @@ def answer(rule: Column, workers: Column, objects: Column, width: Column, height
     return F.when(rules.known(rule, rules.RULES, "rule") == "rule_4", proximity(workers, objects, limit)).otherwise(presence(workers, objects, limit))
 
 
+def phrases(rule: Column, phrasing: int = 0) -> Column:
+    """The two phrases that an answer looks for, persons first. A proximity rule has one pair and ignores the phrasing."""
+    presence_rule = F.when(rules.known(rule, rules.RULES, "rule") != "rule_4", rule)
+    own = F.when(rule == "rule_4", F.lit(rules.PROXIMITY_PAIR[1])).otherwise(rules.grounding_query(presence_rule, phrasing))
+    return F.array(F.lit(rules.PERSON), own)
+
+
 def downstream_boxes(workers: Column, objects: Column) -> Column:
     return F.concat(workers, objects)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 Pixels = np.ndarray
@@ -37,13 +37,11 @@ def low_light(image: Pixels, gamma: float = 2.5) -> Pixels:
 
 
 def occlude(image: Pixels, fraction: float = 0.2) -> Pixels:
-    """A black square of that share of the area, in the centre."""
+    """Black wherever a pixel is at most half a side from the centre, the side being that of a square of that share of the area."""
     h, w = image.shape[:2]
-    side = int(round((fraction * w * h) ** 0.5))
-    x, y = (w - side) // 2, (h - side) // 2
-    out = image.copy()
-    out[max(y, 0) : max(y + side, 0), max(x, 0) : max(x + side, 0)] = 0
-    return out
+    side = round((fraction * w * h) ** 0.5)
+    rows, columns = (np.abs(2 * (np.arange(n) - (n - side) // 2) - side + 1) < side for n in (h, w))
+    return np.where((rows[:, None] & columns)[..., None], 0, image).astype(np.uint8)
 
 
 def contrast_shift(image: Pixels, factor: float = 0.3) -> Pixels:
@@ -115,10 +113,10 @@ def overlay_boxes(image: Pixels, boxes: list[tuple[float, ...]], colour: tuple[i
 
 
 def overlay_heatmap(image: Pixels, heatmap: np.ndarray, alpha: float = 0.5, gamma: float = 1.0) -> Pixels:
-    """The map, enlarged, as red of up to alpha."""
-    heat = _resized((np.clip(heatmap, 0, 1) ** gamma * 255).astype(np.uint8), *image.shape[:2]) / 255.0
-    weight = (alpha * heat)[..., None]
-    return (image * (1 - weight) + np.array([255.0, 0.0, 0.0]) * weight).astype(np.uint8)
+    """Each pixel moved towards red, by up to alpha where the enlarged map is 1."""
+    towards = np.array([255.0, 0.0, 0.0]) - image
+    share = alpha * _resized(np.clip(heatmap, 0.0, 1.0) ** gamma, *image.shape[:2])
+    return np.rint(image + share[..., None] * towards).astype(np.uint8)
 
 
 #: The image perturbations of the robustness metric by name.
@@ -126,12 +124,14 @@ PERTURBATIONS: dict[str, Callable[[Pixels], Pixels]] = {"blur": blur, "low_light
 
 
 def perturb(images: DataFrame, name: str, extra: dict[str, Callable[[Pixels], Pixels]] | None = None) -> DataFrame:
-    """images (height, width, pixels as bytes, and any columns) with a perturbation of PERTURBATIONS or extra applied."""
+    """images (height, width, pixels as bytes, and any columns) with a perturbation of PERTURBATIONS or extra applied. Null pixels stay null."""
     change = (PERTURBATIONS | (extra or {}))[name]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [change(np.frombuffer(p, np.uint8).reshape(h, w, 3)).tobytes() for p, h, w in zip(b["pixels"], b["height"], b["width"], strict=True)]
-            yield b.assign(pixels=out)
+            held, at = b["pixels"], b.schema.get_field_index("pixels")
+            sizes = zip(b["height"].to_pylist(), b["width"].to_pylist(), strict=True)
+            out = [change(np.frombuffer(p.as_buffer(), np.uint8).reshape(h, w, 3)).tobytes() if p.is_valid else None for p, (h, w) in zip(held, sizes, strict=True)]
+            yield b.set_column(at, b.schema.field(at), pa.array(out, held.type))
 
-    return images.mapInPandas(run, images.schema)
+    return images.mapInArrow(run, images.schema)

@@ -9,14 +9,15 @@ from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 RESULT = "boxes array<array<double>>, confidence double, inference_ms double"
 
 
 class GroundingBackend(Protocol):
-    def ground(self, image_id: str, image: bytes | None, phrase: str, **options: Any) -> tuple[list[list[float]], float | None, float]:
-        """Boxes of a phrase in an image, a confidence, and milliseconds."""
+    def ground(self, image_ids: list[str], images: list[bytes | None], phrases: list[str], seeds: list[int], **options: Any) -> list[tuple[list[list[float]], float | None, float]]:
+        """For a batch of images and phrases: the boxes, a confidence, and milliseconds of each."""
 
 
 @dataclass
@@ -27,8 +28,11 @@ class SyntheticBackend:
     height: float = 480.0
     most: int = 3
 
-    def ground(self, image_id: str, image: bytes | None, phrase: str, seed: int = 0, **options: Any) -> tuple[list[list[float]], float | None, float]:
-        d = hashlib.sha256(f"{image_id}\0{phrase}\0{seed}".encode()).digest()
+    def ground(self, image_ids: list[str], images: list[bytes | None], phrases: list[str], seeds: list[int], **options: Any) -> list[tuple[list[list[float]], float | None, float]]:
+        return [self._one(i, p, s) for i, p, s in zip(image_ids, phrases, seeds, strict=True)]
+
+    def _one(self, image_id: str, phrase: str, seed: int) -> tuple[list[list[float]], float | None, float]:
+        d = hashlib.sha256(f"{image_id}|{phrase}|{seed}".encode()).digest()
         out = []
         for k in range(d[0] % (self.most + 1)):
             x, y, w, h = (v / 255 for v in d[1 + 4 * k : 5 + 4 * k])
@@ -37,7 +41,11 @@ class SyntheticBackend:
         return out, round(0.5 + d[31] / 510, 6), 0.0
 
 
-def run_task(rows: DataFrame, load: Callable[[], GroundingBackend], **options: Any) -> DataFrame:
+#: Rows that a backend gets at once.
+BATCH = 64
+
+
+def run_task(rows: DataFrame, load: Callable[[], GroundingBackend], seed: int = 0, **options: Any) -> DataFrame:
     """rows (image_id, phrase, optionally image and seed) with boxes, confidence and inference_ms of a backend.
 
     Filter rows before: what should not be asked must not reach the model. load runs once in each task.
@@ -47,14 +55,25 @@ def run_task(rows: DataFrame, load: Callable[[], GroundingBackend], **options: A
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = load()
         for b in batches:
-            images = b["image"] if "image" in names else [None] * len(b)
-            seeds = b["seed"] if "seed" in names else [options.get("seed", 0)] * len(b)
-            found = [backend.ground(i, m, p, **{**options, "seed": int(s)}) for i, m, p, s in zip(b["image_id"], images, b["phrase"], seeds, strict=True)]
+            images = list(b["image"]) if "image" in names else [None] * len(b)
+            seeds = [int(s) for s in b["seed"]] if "seed" in names else [seed] * len(b)
+            found = []
+            for k in range(0, len(b), BATCH):
+                part = slice(k, k + BATCH)
+                found += backend.ground(list(b["image_id"][part]), images[part], list(b["phrase"][part]), seeds[part], **options)
             yield b.assign(boxes=[f[0] for f in found], confidence=[f[1] for f in found], inference_ms=[f[2] for f in found])
 
     return rows.mapInPandas(run, StructType(rows.schema.fields + StructType.fromDDL(RESULT).fields))
 
 
+def reruns(rows: DataFrame, load: Callable[[], GroundingBackend], n: int = 3, **options: Any) -> DataFrame:
+    """rows asked n times with sampling, as run 1 to n: each run is a row whose seed is its number."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    runs = rows.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("seed", F.col("run"))
+    return run_task(runs, load, **({"do_sample": True, "num_beams": 1, "temperature": 0.7} | options)).drop("seed")
+
+
 def replay(rows: DataFrame, recorded: DataFrame) -> DataFrame:
     """The same from recorded answers (image_id, phrase, boxes, confidence, inference_ms): a join, no Python; null where nothing is recorded."""
     return rows.join(recorded, ["image_id", "phrase"], "left")

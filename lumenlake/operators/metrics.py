@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geometry as g
-from lumenlake.functions import labels
-
-from .relational import rate_by_class
-
-#: name, direction: what the summary says of each metric.
-DIRECTIONS = {
-    "descriptive_accuracy": "higher is better",
-    "visual_sparsity": "higher is better",
-    "stability": "higher is better",
-    "robustness": "higher is better",
-    "bounded_completeness": "higher is better",
-    "efficiency": "lower is better",
+from lumenlake.functions import labels, rules
+
+from . import relational
+
+#: What the summary says of each metric: its direction and the table it is from. Fixed values.
+SUMMARY = {
+    "descriptive_accuracy": ("higher_better", "descriptive_accuracy.csv"),
+    "visual_sparsity_top5": ("higher_better", "visual_sparsity.csv"),
+    "stability_answer_agreement": ("higher_better", "stability.csv"),
+    "robustness_level1_answer_survival": ("higher_better", "robustness.csv"),
+    "bounded_completeness": ("higher_better", "bounded_completeness.csv"),
+    "efficiency_total_pipeline_1000hr": ("lower_better", "efficiency_summary.csv"),
 }
+NO_COUNT = "n/a -- aggregate runtime budget, not a per-sample classification"
 
 
 # Descriptive accuracy
@@ -66,16 +67,21 @@ def robustness(base: DataFrame, variants: DataFrame, on: list[str]) -> DataFrame
     """
     b, v = base.alias("b"), variants.alias("v")
     joined = v.join(b, [F.col(f"v.{k}") == F.col(f"b.{k}") for k in on])
-    first = [F.get(F.col(f"{t}.objects"), F.lit(0)) for t in ("b", "v")]
-    has = [F.size(F.col(f"{t}.workers")) > 0 for t in ("b", "v")]
-    return joined.select(
-        *(F.col(f"v.{k}") for k in on),
-        "v.perturbation",
-        (F.col("b.answer") != F.col("v.answer")).alias("answer_changed"),
-        (F.col("b.confidence") - F.col("v.confidence")).alias("confidence_drop"),
+    sides = [F.struct(*(F.col(f"{t}.{c}").alias(c) for c in ("answer", "confidence", "workers", "objects"))) for t in ("b", "v")]
+    return joined.select(*(F.col(f"v.{k}") for k in on), "v.perturbation", *compared(*sides))
+
+
+def compared(base: Column, variant: Column) -> list[Column]:
+    """The same for two structs of answer, confidence, workers and objects in one row."""
+    sides = (base, variant)
+    first = [F.get(t["objects"], F.lit(0)) for t in sides]
+    has = [F.size(t["workers"]) > 0 for t in sides]
+    return [
+        (base["answer"] != variant["answer"]).alias("answer_changed"),
+        (base["confidence"] - variant["confidence"]).alias("confidence_drop"),
         F.when(first[0].isNotNull() & first[1].isNotNull(), g.iou(*first)).alias("object_box_iou"),
         (has[0] & ~has[1]).alias("worker_lost"),
-    )
+    ]
 
 
 def excluded_level_2(rule: Column) -> Column:
@@ -104,14 +110,18 @@ def extrapolate(ms: Column, n: int) -> list[Column]:
 
 
 # Completeness
-def completeness(accuracy: DataFrame, regions: DataFrame, samples: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Verdicts with what breaks them down: four tables joined on image_id and assigned_rule_id, then on image_id."""
+def completeness(accuracy: DataFrame, regions: DataFrame, samples: DataFrame, predictions: DataFrame, quality: DataFrame, masked: DataFrame) -> DataFrame:
+    """Verdicts with what breaks them down, a row for each of accuracy that has its region, sample and prediction.
+
+    accuracy and regions are joined on image_id and assigned_rule_id, the others on image_id. predictions are baseline rows
+    as they are stored; masked (image_id, workers) has the workers that are found without the top region, where that is of
+    the model: worker_lost_in_top1_mask is null elsewhere. quality (image_id, quality_of_info) may lack images.
+    """
     keys = ["image_id", "assigned_rule_id"]
-    joined = (
-        accuracy.join(regions.select(*keys, "top_region_source", "top_region_label"), keys)
-        .join(samples.select("image_id", "violated_rule_ids"), "image_id")
-        .join(predictions.select("image_id", "quality_of_info"), "image_id", "left")
-    )
+    before = rehydrate(predictions).select("image_id", (F.size("workers") > 0).alias("_had"))
+    after = masked.select("image_id", (F.size("workers") > 0).alias("_has"))
+    joined = accuracy.join(regions.select(*keys, "top_region_source"), keys).join(samples.select("image_id", "violated_rule_ids"), "image_id").join(before, "image_id")
+    joined = joined.join(quality.select("image_id", "quality_of_info"), "image_id", "left").join(after, "image_id", "left")
     return joined.select(
         *keys,
         "primary_class",
@@ -119,13 +129,38 @@ def completeness(accuracy: DataFrame, regions: DataFrame, samples: DataFrame, pr
         labels.is_multi(F.col("violated_rule_ids")).alias("is_multi_rule_violation"),
         "quality_of_info",
         "top_region_source",
+        F.when(F.col("top_region_source") == "model", F.col("_had") & ~F.col("_has")).alias("worker_lost_in_top1_mask"),
     )
 
 
-def summary_row(rows: DataFrame, metric: str, value: Column, source: str) -> DataFrame:
-    """One row of the summary: overall, by class and n, in one pass."""
-    found = rows.agg(*rate_by_class(rows, value))
-    return found.select(F.lit(metric).alias("metric"), F.lit(DIRECTIONS[metric]).alias("direction"), "overall", "compliant", "ppe_violation", "fall_hazard", "struck_by_risk", "n", F.lit(source).alias("source"))
+def rehydrate(predictions: DataFrame) -> DataFrame:
+    """Stored predictions (image_id, answer, worker_boxes and object_boxes as JSON, confidence as text or number) as answers with boxes.
+
+    A null or empty list cell is no boxes; a confidence that is no number is null.
+    """
+    held = lambda c: F.transform(F.coalesce(labels.boxes_json(F.col(c)), F.array().cast("array<array<double>>")), g.from_list)
+    return predictions.select("image_id", "answer", held("worker_boxes").alias("workers"), held("object_boxes").alias("objects"), F.col("confidence").try_cast("double").alias("confidence"))
+
+
+def summary(rows: DataFrame, values: dict[str, tuple[Column, Column]], hours: DataFrame, cls: str = "primary_class") -> DataFrame:
+    """A row for each metric of SUMMARY: overall, by class, n and source.
+
+    values: for each metric by sample its value (null: not scored) and how many observations it stands for; rows are
+    read once. hours: one row with the pipeline's hours, which have neither classes nor n.
+    """
+    own = rows.select(cls, *(F.struct(v.cast("double").alias("v"), k.alias("k")).alias(m) for m, (v, k) in values.items()))
+
+    def of(m: str) -> Column:
+        value = F.col(m)["v"]
+        by_class = [relational.rate(F.when(F.col(cls) == c, value)).alias(c) for c in rules.CLASSES]
+        n = F.coalesce(F.sum(F.when(value.isNotNull(), F.col(m)["k"])), F.lit(0)).cast("string")
+        return F.struct(F.lit(m).alias("metric"), F.lit(SUMMARY[m][0]).alias("direction"), relational.rate(value).alias("overall"), *by_class, n.alias("n"), F.lit(SUMMARY[m][1]).alias("source_csv"))
+
+    found = own.agg(F.array(*(of(m) for m in values)).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+    m = "efficiency_total_pipeline_1000hr"
+    none = [F.lit(None).cast("double").alias(c) for c in rules.CLASSES]
+    total = hours.select(F.lit(m).alias("metric"), F.lit(SUMMARY[m][0]).alias("direction"), F.col("hours").alias("overall"), *none, F.lit(NO_COUNT).alias("n"), F.lit(SUMMARY[m][1]).alias("source_csv"))
+    return found.unionByName(total)
 
 
 def calibration(timings: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:

@@ -44,10 +44,9 @@ def rate_by_class(rows: DataFrame, value: Column, cls: str = "primary_class") ->
 
 
 def shares(rows: DataFrame, *keys: str) -> DataFrame:
-    """Each value's count and its share of all rows."""
+    """Each value's count and its share of all rows: one pass over rows, the total is that of the counts."""
     counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*").alias("total"))
-    return counted.withColumn("share", F.col("n") / total.scalar())
+    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def crosstab(rows: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:

@@ -40,3 +40,10 @@ def class_counts(rows: DataFrame) -> DataFrame:
 
 def underfilled(rows: DataFrame, target: int) -> DataFrame:
     return class_counts(rows).filter(F.col("n") < target)
+
+
+def budget(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key: what is drawn as figures."""
+    if n < 0:
+        raise ValueError("n must not be negative")
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_nth") <= n).drop("_nth")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geometry as g
@@ -17,24 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_id, role, ord, x0, y0, x1, y1: a box per line item, workers first."""
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, role, x0, y0, x1, y1 and what decides between equal boxes: a box per line item."""
     t = table(spark, sf_dir, "lineitem")
     role = F.when(F.col("l_returnflag") == "R", "object").otherwise("worker")
     x0, y0 = F.col("l_quantity") * 4, F.col("l_linenumber") * 20.0
-    rows = t.select(
+    return t.select(
         F.col("l_orderkey").alias("sample_id"),
         role.alias("role"),
         x0.alias("x0"),
         y0.alias("y0"),
         (x0 + 10 + F.round(F.col("l_discount") * 100) * 5).alias("x1"),
         (y0 + 10 + F.round(F.col("l_tax") * 100) * 5).alias("y1"),
-        "l_partkey",
-        "l_suppkey",
-        "l_extendedprice",
-        "l_linestatus",
+        *TIES,
     )
-    order = Window.partitionBy("sample_id").orderBy(F.desc("role"), "y0", "x0", "x1", "y1", "l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus")
+
+
+#: What orders boxes of equal corners.
+TIES = ["l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus"]
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, role, ord, x0, y0, x1, y1: workers first."""
+    rows = _boxes(spark, sf_dir)
+    order = Window.partitionBy("sample_id").orderBy(F.desc("role"), "y0", "x0", "x1", "y1", *TIES)
     return rows.withColumn("ord", F.row_number().over(order)).select("sample_id", "role", "ord", "x0", "y0", "x1", "y1")
 
 
@@ -64,6 +72,30 @@ samples AS (SELECT *, concat_ws('|', CASE WHEN r1 THEN 'rule_1' END, CASE WHEN r
   CASE WHEN r1 THEN 'rule_1' WHEN r2 THEN 'rule_2' WHEN r3 THEN 'rule_3' WHEN r4 THEN 'rule_4' ELSE 'rule_' || (sample_id % 4 + 1) END AS assigned_rule_id FROM flags)"""
 
 
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, primary_class, assigned_rule_id and the like, and held: each sample's boxes in order, as ord, rank, worker and b.
+
+    One grouping by sample: order and rank are places in sorted arrays. Samples without boxes have an empty array.
+    """
+    corners = ["x0", "y0", "x1", "y1"]
+    each = F.struct((F.col("role") == "object").alias("is_object"), "y0", "x0", "x1", "y1", *TIES)
+    arrays = _boxes(spark, sf_dir).groupBy("sample_id").agg(F.array_sort(F.collect_list(each)).alias("held"))
+    at = lambda x: g.box(*(x[c] for c in corners))
+    by_area = F.array_sort(F.transform("held", lambda x, i: F.struct((-g.area(at(x))).alias("less"), (i + 1).alias("ord"), (~x["is_object"]).alias("worker"), at(x).alias("b"))))
+    arrays = arrays.select("sample_id", by_area.alias("held"))
+    in_order = F.array_sort(F.transform("held", lambda x, i: F.struct(x["ord"].alias("ord"), (i + 1).alias("rank"), x["worker"].alias("worker"), x["b"].alias("b"))))
+    arrays = arrays.select("sample_id", in_order.alias("held"))
+    none = F.array().cast(arrays.schema["held"].dataType)
+    return samples(spark, sf_dir).join(arrays, "sample_id", "left").withColumn("held", F.coalesce("held", none))
+
+
+def sides(held: Column, keep: Callable[[Column], Column]) -> tuple[Column, Column]:
+    """The workers' and the objects' boxes among those that are kept."""
+    left = F.filter(held, keep)
+    workers, objects = F.filter(left, lambda x: x["worker"]), F.filter(left, lambda x: ~x["worker"])
+    return tuple(F.transform(c, lambda x: x["b"]) for c in (workers, objects))
+
+
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """boxes with rank by area, the largest first."""
     b = boxes(spark, sf_dir)
@@ -89,14 +121,15 @@ def iou_sql(a: str, b: str) -> str:
     return f"CASE WHEN {union} > 0 THEN {both} / {union} ELSE 0.0 END"
 
 
-def answer_sql(name: str, masked: int) -> str:
-    """A view of the presence answer of each sample without its largest boxes."""
+def answer_sql(name: str, masked: int = 0, kept: str = "") -> str:
+    """A view of the presence answer of each sample without its largest boxes, or of the boxes that a condition on {t}ord keeps."""
+    cond = lambda t: kept.format(t=t) if kept else f"{t}rank > {masked}"
     return f"""{name} AS (SELECT s.sample_id, CASE WHEN coalesce(n.workers, 0) = 0 THEN CASE WHEN coalesce(n.objects, 0) > 0 THEN 'compliant' ELSE 'violation' END
     WHEN coalesce(m.bare, 0) = 0 THEN 'compliant' ELSE 'violation' END AS answer, coalesce(n.workers, 0) AS workers
   FROM (SELECT o_orderkey AS sample_id FROM orders) s
-  LEFT JOIN (SELECT sample_id, count(*) FILTER (WHERE role = 'worker') AS workers, count(*) FILTER (WHERE role = 'object') AS objects FROM ranked WHERE rank > {masked} GROUP BY 1) n USING (sample_id)
-  LEFT JOIN (SELECT sample_id, count(*) AS bare FROM ranked w WHERE role = 'worker' AND rank > {masked} AND NOT EXISTS (
-    SELECT 1 FROM ranked o WHERE o.sample_id = w.sample_id AND o.role = 'object' AND o.rank > {masked} AND {near_sql('w', 'o')}) GROUP BY 1) m USING (sample_id))"""
+  LEFT JOIN (SELECT sample_id, count(*) FILTER (WHERE role = 'worker') AS workers, count(*) FILTER (WHERE role = 'object') AS objects FROM ranked WHERE {cond('')} GROUP BY 1) n USING (sample_id)
+  LEFT JOIN (SELECT sample_id, count(*) AS bare FROM ranked w WHERE role = 'worker' AND {cond('w.')} AND NOT EXISTS (
+    SELECT 1 FROM ranked o WHERE o.sample_id = w.sample_id AND o.role = 'object' AND {cond('o.')} AND {near_sql('w', 'o')}) GROUP BY 1) m USING (sample_id))"""
 
 
 def runs(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lumenlake.functions import geometry as g
 from lumenlake.functions import heatmaps as h
 from lumenlake.functions import labels, rules
-from lumenlake.operators import decide, images, inference, metrics, relational, sampling
+from lumenlake.operators import attribution, decide, images, inference, metrics, relational, sampling
+from lumenlake.sources import tables
 from lumenlake.streaming import windows
 
 from . import adapters as a
@@ -135,9 +136,7 @@ def coverage_answer_in_row(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {a.SAMPLES}, {a.RANKED}, {a.answer_sql('base', 0)} SELECT primary_class, avg((answer = 'violation')::INT) AS violation_rate, count(*) AS n FROM samples JOIN base USING (sample_id) GROUP BY 1")
 def coverage_rate_by_class(spark: SparkSession, sf: str) -> DataFrame:
-    answers = decide.coverage_exploded(a.samples(spark, sf), a.boxes(spark, sf), a.NEAR)
-    joined = a.samples(spark, sf).select("sample_id", "primary_class").join(answers, "sample_id")
-    return relational.rate_by(joined, "primary_class", F.col("answer") == "violation", "violation_rate")
+    return relational.rate_by(a.held(spark, sf), "primary_class", _without(0) == "violation", "violation_rate")
 
 
 @query(f"WITH {a.BOXES}, s AS (SELECT o_orderkey AS sample_id FROM orders) SELECT s.sample_id, CASE WHEN EXISTS (SELECT 1 FROM boxes w JOIN boxes o ON w.sample_id = o.sample_id WHERE w.sample_id = s.sample_id AND w.role = 'worker' AND o.role = 'object' AND {a.near_sql('w', 'o', '32')}) THEN 'hazard' ELSE 'safe' END AS answer FROM s")
@@ -255,16 +254,32 @@ def cells_above_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return a.heatmaps(spark, sf).select("vec_id", h.count_above(h.min_max(F.col("raw"))).cast("long").alias("cells"))
 
 
-@query(f"{_MAPS}, u AS (SELECT vec_id, unnest(c[2:]) AS v, generate_subscripts(c[2:], 1) AS i FROM n) SELECT vec_id, i, round(v, 6) AS v FROM u")
+_SLICED = f"WITH {a.HEATMAPS}, t AS (SELECT vec_id, label, raw[2:] AS raw FROM maps), n AS (SELECT vec_id, label, {a.MIN_MAX} AS c FROM t)"
+
+
+@query(f"{_SLICED}, u AS (SELECT vec_id, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM n) SELECT vec_id, i, round(v, 6) AS v FROM u")
 def minmax_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    cells = a.heatmaps(spark, sf).select("vec_id", F.posexplode(h.patch_cells(h.min_max(F.col("raw")))).alias("i", "v"))
+    cells = a.heatmaps(spark, sf).select("vec_id", F.posexplode(h.normalised(F.col("raw"))).alias("i", "v"))
     return cells.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), _r(F.col("v")).alias("v"))
 
 
-@query(f"{_MAPS} SELECT vec_id, CASE WHEN label = 0 THEN NULL ELSE round(list_sum(list_reverse_sort(c)[1:5]) / list_sum(c), 6) END AS top5, CASE WHEN label = 0 THEN 'grid_fallback_no_box' END AS excluded_reason FROM n")
+@query(f"""WITH {a.HEATMAPS}, e AS (SELECT label, vec_id % 3 AS step, unnest(raw) AS v, generate_subscripts(raw, 1) AS i FROM maps WHERE vec_id % 7 > 0),
+s AS (SELECT label, step, i, avg(v) AS v FROM e GROUP BY ALL), m AS (SELECT label, i, avg(v) AS v, count(*) AS steps FROM s GROUP BY ALL),
+k AS (SELECT *, max(v) OVER w - min(v) OVER w AS span, min(v) OVER w AS low FROM m WHERE i BETWEEN 2 AND 50 WINDOW w AS (PARTITION BY label))
+SELECT label, i - 1 AS cell, round(CASE WHEN span > 0 THEN (v - low) / span ELSE 0.0 END, 6) AS v, steps AS n_generated_tokens FROM k""")
+def attention_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.heatmaps(spark, sf).filter("vec_id % 7 > 0").select("label", (F.col("vec_id") % 3).alias("step"), F.col("raw").alias("weights"))
+    maps = attribution.heat_maps(rows.select("label").distinct(), rows, ["label"], 49)
+    cells = maps.select("label", "n_generated_tokens", F.posexplode("heatmap").alias("i", "v"))
+    return cells.select("label", (F.col("i") + 1).cast("long").alias("cell"), _r(F.col("v")).alias("v"), F.col("n_generated_tokens").cast("long").alias("n_generated_tokens"))
+
+
+@query(f"""{_MAPS} SELECT vec_id, CASE WHEN label = 0 THEN 0 ELSE vec_id % 5 + 1 END AS n_generated_tokens, CASE WHEN label = 0 THEN NULL ELSE round(list_sum(list_reverse_sort(c)[1:5]) / list_sum(c), 6) END AS top5,
+CASE WHEN label = 0 THEN NULL ELSE round(list_sum(list_reverse_sort(c)[1:20]) / list_sum(c), 6) END AS top20, CASE WHEN label = 0 THEN NULL ELSE len(list_filter(c, lambda x: x >= 0.5))::DOUBLE END AS cells, CASE WHEN label = 0 THEN 'grid_fallback_no_box' END AS excluded_reason FROM n""")
 def sparsity_excluded(spark: SparkSession, sf: str) -> DataFrame:
-    grid = F.col("label") == 0
-    return a.heatmaps(spark, sf).select("vec_id", F.when(~grid, _r(h.top_mass_ratio(h.min_max(F.col("raw")), 5))).alias("top5"), F.when(grid, "grid_fallback_no_box").alias("excluded_reason"))
+    rows = a.heatmaps(spark, sf).withColumn("source", F.when(F.col("label") == 0, "grid").otherwise("model"))
+    found = rows.select("vec_id", *h.scored(F.col("source"), h.min_max(F.col("raw")), F.col("vec_id") % 5 + 1))
+    return found.select("vec_id", F.col("n_generated_tokens").cast("long").alias("n_generated_tokens"), _r(F.col("topk5_mass_ratio")).alias("top5"), _r(F.col("topk20_mass_ratio")).alias("top20"), F.col("`regions_above_0.5`").alias("cells"), "excluded_reason")
 
 
 # Stability
@@ -301,28 +316,34 @@ def object_overlap(spark: SparkSession, sf: str) -> DataFrame:
 # Descriptive accuracy, robustness and completeness: answers with the largest boxes masked
 
 
-def _masked(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    kept = a.ranked(spark, sf).filter(F.col("rank") > k)
-    return decide.coverage_exploded(a.samples(spark, sf), kept, a.NEAR)
+def _answer(keep: Callable[[Column], Column]) -> Column:
+    return decide.presence(*a.sides(F.col("held"), keep), F.lit(a.NEAR))
 
 
-def _accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers with no, one and two boxes masked, from one grouping of the ranked boxes."""
-    held = F.struct("ord", "rank", _box().alias("b"))
-    of = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, held)))
-    arrays = a.ranked(spark, sf).groupBy("sample_id").agg(of("worker").alias("w"), of("object").alias("o"), F.count("*").alias("n_regions"))
+def _without(k: int) -> Column:
+    """The presence answer without the k largest boxes."""
+    return _answer(lambda x: x["rank"] > k)
+
+
+def _perturbed(p: int) -> Column:
+    """The presence answer where a perturbation loses every fourth box."""
+    return _answer(lambda x: (x["ord"] + p) % 4 != 0)
 
-    def answer(k: int) -> Column:
-        left = [F.coalesce(F.transform(F.filter(c, lambda x: x["rank"] > k), lambda x: x.b), F.array().cast(f"array<{g.BOX}>")) for c in ("w", "o")]
-        return decide.presence(*left, F.lit(a.NEAR))
 
-    joined = a.samples(spark, sf).join(arrays, "sample_id", "left").withColumns({"base": answer(0), "one": answer(1), "two": answer(2)})
-    two = F.when(F.coalesce("n_regions", F.lit(0)) >= 2, F.col("two")).otherwise(F.col("one"))
+def _workers(k: int) -> Column:
+    return F.size(F.filter("held", lambda x: x["worker"] & (x["rank"] > k)))
+
+
+def _accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers with no, one and two boxes masked, from one grouping of the boxes."""
+    rows = a.held(spark, sf).withColumn("n_regions", F.size("held").cast("long"))
+    rows = rows.withColumns({"base": _without(0), "one": _without(1), "two": _without(2), "worker_lost": (_workers(0) > 0) & (_workers(1) == 0), "top_is_worker": F.get(F.filter("held", lambda x: x["rank"] == 1), F.lit(0))["worker"]})
     confidence = lambda x: F.when(F.col(x) == "compliant", 0.9).otherwise(0.6)
     c1, d1 = metrics.answer_change(F.col("base"), confidence("base"), F.col("one"), confidence("one"))
-    return joined.withColumn("two", two).select(
-        "sample_id", "image_id", "primary_class", "assigned_rule_id", "violated_rules", "base", F.coalesce("n_regions", F.lit(0)).alias("n_regions"),
-        F.when(F.col("n_regions").isNull(), "grid").otherwise("model").alias("source"), c1.alias("changed_1"), (F.col("base") != F.col("two")).alias("changed_2"), d1.alias("drop_1"),
+    two = F.when(F.col("n_regions") >= 2, F.col("two")).otherwise(F.col("one"))
+    return rows.select(
+        "sample_id", "image_id", "primary_class", "assigned_rule_id", "violated_rules", "held", "base", "n_regions", "worker_lost", "top_is_worker",
+        F.when(F.col("n_regions") == 0, "grid").otherwise("model").alias("source"), c1.alias("changed_1"), (F.col("base") != two).alias("changed_2"), d1.alias("drop_1"),
     )
 
 
@@ -368,9 +389,9 @@ def hard_subset(spark: SparkSession, sf: str) -> DataFrame:
     return relational.shares(_verdicts(spark, sf).filter(F.size("violated_rules") > 1), "verdict").select("verdict", "n", _r(F.col("share")).alias("share"))
 
 
-def _by_class(value: str) -> str:
+def _by_class(value: str, counted: str = "*", times: int = 1) -> str:
     cls = ", ".join(f"avg({value}) FILTER (WHERE primary_class = '{c}') AS {c}" for c in rules.CLASSES)
-    return f"avg({value}) AS overall, {cls}, count(*) AS n"
+    return f"avg({value}) AS overall, {cls}, {times} * count({counted}) AS n"
 
 
 @query(f"{_ACCURACY}, r AS (SELECT {_by_class('changed_1::INT')} FROM acc) SELECT round(overall, 6) AS overall, round(ppe_violation, 6) AS ppe_violation, round(fall_hazard, 6) AS fall_hazard, round(struck_by_risk, 6) AS struck_by_risk, round(compliant, 6) AS compliant, n FROM r")
@@ -380,23 +401,50 @@ def rate_by_class(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*(_r(F.col(c)).alias(c) for c in ("overall", *rules.CLASSES)), "n")
 
 
-@query(f"""{_ACCURACY}, r AS (SELECT 'descriptive_accuracy' AS metric, {_by_class('changed_1::INT')} FROM acc UNION ALL SELECT 'bounded_completeness', {_by_class("(verdict = 'explanation_supported')::INT")} FROM v
-UNION ALL SELECT 'robustness', {_by_class("(NOT changed_2)::INT")} FROM acc)
-SELECT metric, 'higher is better' AS direction, round(overall, 6) AS overall, round(compliant, 6) AS compliant, round(ppe_violation, 6) AS ppe_violation, round(fall_hazard, 6) AS fall_hazard, round(struck_by_risk, 6) AS struck_by_risk, n FROM r""")
+_SURVIVAL = ", ".join(a.answer_sql(f"p{p}", kept=f"({{t}}ord + {p}) % 4 <> 0") for p in range(4))
+_HALF = f"x AS (SELECT sample_id, avg((x.answer = y.answer)::INT) AS agreement FROM runs x JOIN runs y USING (sample_id) WHERE x.run < y.run GROUP BY 1)"
+
+
+@query(f"""{_ACCURACY}, {_SURVIVAL}, {a.HEATMAPS}, mm AS (SELECT vec_id, {a.MIN_MAX} AS c FROM maps), t AS (SELECT vec_id, list_sum(list_reverse_sort(c)[1:5]) / list_sum(c) AS top5 FROM mm), {a.runs_sql()}, {_HALF},
+w AS (SELECT v.*, CASE WHEN source = 'model' THEN t.top5 END AS top5, x.agreement, ((p0.answer = base)::INT + (p1.answer = base)::INT + (p2.answer = base)::INT + (p3.answer = base)::INT) / 4.0 AS survival
+  FROM v JOIN p0 USING (sample_id) JOIN p1 USING (sample_id) JOIN p2 USING (sample_id) JOIN p3 USING (sample_id) LEFT JOIN t ON t.vec_id = sample_id % 50 LEFT JOIN x USING (sample_id)),
+r AS (SELECT 'descriptive_accuracy' AS metric, {_by_class('changed_1::INT', 'changed_1')} FROM w UNION ALL SELECT 'visual_sparsity_top5', {_by_class('top5', 'top5')} FROM w
+UNION ALL SELECT 'stability_answer_agreement', {_by_class('agreement', 'agreement')} FROM w UNION ALL SELECT 'robustness_level1_answer_survival', {_by_class('survival', 'survival', 4)} FROM w
+UNION ALL SELECT 'bounded_completeness', {_by_class("(verdict = 'explanation_supported')::INT", 'verdict')} FROM w),
+h AS (SELECT 'efficiency_total_pipeline_1000hr' AS metric, sum(m) AS overall FROM (SELECT avg(value) * 1000 / 1000.0 / 3600 AS m FROM events GROUP BY event_type))
+SELECT metric, 'higher_better' AS direction, round(overall, 6) AS overall, round(compliant, 6) AS compliant, round(ppe_violation, 6) AS ppe_violation, round(fall_hazard, 6) AS fall_hazard, round(struck_by_risk, 6) AS struck_by_risk, n::VARCHAR AS n,
+  CASE metric WHEN 'descriptive_accuracy' THEN 'descriptive_accuracy.csv' WHEN 'visual_sparsity_top5' THEN 'visual_sparsity.csv' WHEN 'stability_answer_agreement' THEN 'stability.csv' WHEN 'bounded_completeness' THEN 'bounded_completeness.csv' ELSE 'robustness.csv' END AS source_csv FROM r
+UNION ALL SELECT metric, 'lower_better', round(overall, 6), NULL, NULL, NULL, NULL, 'n/a -- aggregate runtime budget, not a per-sample classification', 'efficiency_summary.csv' FROM h""")
 def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _verdicts(spark, sf)
-    parts = [metrics.summary_row(rows, m, v, "lineitem") for m, v in (("descriptive_accuracy", F.col("changed_1")), ("bounded_completeness", F.col("verdict") == "explanation_supported"), ("robustness", ~F.col("changed_2")))]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return every.select("metric", "direction", *(_r(F.col(c)).alias(c) for c in ("overall", "compliant", "ppe_violation", "fall_hazard", "struck_by_risk")), "n")
+    top = a.heatmaps(spark, sf).select(F.col("vec_id").alias("slot"), h.top_mass_ratio(h.min_max(F.col("raw")), 5).alias("top5")).filter("slot < 50")
+    agreed = metrics.agreement(a.runs(spark, sf), ["sample_id"]).select("sample_id", "agreement_rate")
+    rows = _verdicts(spark, sf).join(F.broadcast(top), F.col("sample_id") % 50 == F.col("slot"), "left").join(agreed, "sample_id", "left")
+    survived = sum(((_perturbed(p) == F.col("base")).cast("double") for p in range(4)), F.lit(0.0)) / 4
+    one = F.lit(1)
+    hours = a.table(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("ms")).select(metrics.extrapolate(F.col("ms"), 1000)[2]).agg(F.sum("hours").alias("hours"))
+    found = metrics.summary(
+        rows,
+        {
+            "descriptive_accuracy": (F.col("changed_1"), one),
+            "visual_sparsity_top5": (F.when(F.col("source") == "model", F.col("top5")), one),
+            "stability_answer_agreement": (F.col("agreement_rate"), one),
+            "robustness_level1_answer_survival": (survived, F.lit(4)),
+            "bounded_completeness": (F.col("verdict") == "explanation_supported", one),
+        },
+        hours,
+    )
+    return found.select("metric", "direction", *(_r(F.col(c)).alias(c) for c in ("overall", "compliant", "ppe_violation", "fall_hazard", "struck_by_risk")), "n", "source_csv")
 
 
 def _variants(spark: SparkSession, sf: str) -> DataFrame:
-    def at(k: int) -> DataFrame:
-        rows = decide.in_row(a.samples(spark, sf).select("sample_id"), a.ranked(spark, sf).filter(F.col("rank") > k))
-        return rows.withColumn("answer", decide.presence(F.col("workers"), F.col("objects"), F.lit(a.NEAR))).withColumn("confidence", F.lit(0.9) - F.size("workers") / 100.0)
+    """The answers without the one and two largest boxes against the answer with all, from one grouping."""
+
+    def at(k: int) -> Column:
+        workers, objects = a.sides(F.col("held"), lambda x: x["rank"] > k)
+        return F.struct(_without(k).alias("answer"), (F.lit(0.9) - F.size(workers) / 100.0).alias("confidence"), workers.alias("workers"), objects.alias("objects"))
 
-    variants = at(1).withColumn("perturbation", F.lit("top_1")).unionByName(at(2).withColumn("perturbation", F.lit("top_2")))
-    return metrics.robustness(at(0), variants, ["sample_id"])
+    rows = a.held(spark, sf).select("sample_id", at(0).alias("b"), F.explode(F.array(*(F.struct(F.lit(f"top_{k}").alias("perturbation"), at(k).alias("v")) for k in (1, 2)))).alias("x"))
+    return rows.select("sample_id", "x.perturbation", *metrics.compared(F.col("b"), F.col("x.v")))
 
 
 _VARIANTS = f"""WITH {a.RANKED}, {a.answer_sql('a0', 0)}, {a.answer_sql('a1', 1)}, {a.answer_sql('a2', 2)},
@@ -439,12 +487,54 @@ def prompt_exclusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_ACCURACY} SELECT count(*) FILTER (WHERE verdict = 'explanation_supported' AND worker_lost) AS supported_lost, count(*) FILTER (WHERE verdict = 'explanation_weak' AND worker_lost) AS weak_lost FROM v")
 def supported_worker_lost(spark: SparkSession, sf: str) -> DataFrame:
-    def with_worker(k: int) -> DataFrame:
-        return a.ranked(spark, sf).filter((F.col("rank") > k) & (F.col("role") == "worker")).groupBy("sample_id").agg(F.count("*").alias(f"w{k}"))
+    lost = F.col("worker_lost")
+    return _verdicts(spark, sf).agg(F.count_if(lost & (F.col("verdict") == "explanation_supported")).alias("supported_lost"), F.count_if(lost & (F.col("verdict") == "explanation_weak")).alias("weak_lost"))
 
-    rows = _verdicts(spark, sf).join(with_worker(0), "sample_id", "left").join(with_worker(1), "sample_id", "left")
-    lost = F.col("w0").isNotNull() & F.col("w1").isNull()
-    return rows.agg(F.count_if(lost & (F.col("verdict") == "explanation_supported")).alias("supported_lost"), F.count_if(lost & (F.col("verdict") == "explanation_weak")).alias("weak_lost"))
+
+# Completeness from stored tables: four of them and the masked reruns
+
+
+def _stored(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The tables of the earlier stages as they are stored: lists piped or JSON, confidence as text."""
+    rows = _accuracy(spark, sf).filter("sample_id % 11 > 0")
+    boxes = lambda k, w: F.to_json(F.transform(a.sides(F.col("held"), lambda x: x["rank"] > k)[w], g.to_list))
+    masked = rows.filter("source = 'model'").select("image_id", a.sides(F.col("held"), lambda x: x["rank"] > 1)[0].alias("workers"))
+    return {
+        "accuracy": rows.select("image_id", "assigned_rule_id", "primary_class", F.col("changed_1").alias("answer_changed_top1"), F.col("changed_2").alias("answer_changed_top2")),
+        "regions": rows.select("image_id", "assigned_rule_id", F.col("source").alias("top_region_source")),
+        "samples": a.samples(spark, sf).select("image_id", labels.piped(F.col("violated_rules")).alias("violated_rule_ids")),
+        "predictions": rows.select("image_id", F.col("base").alias("answer"), boxes(0, 0).alias("worker_boxes"), boxes(0, 1).alias("object_boxes"), F.lit("0.75").alias("confidence")),
+        "quality": a.samples(spark, sf).filter("sample_id % 5 > 0").select("image_id", F.when(F.col("o_totalprice") < 60000, "poor info").otherwise("rich info").alias("quality_of_info")),
+        "masked": masked,
+    }
+
+
+_COMPLETE = f"""{_ACCURACY}, b AS (SELECT image_id, assigned_rule_id, primary_class, verdict, contains(violated, '|') AS is_multi_rule_violation,
+  CASE WHEN sample_id % 5 > 0 THEN CASE WHEN o_totalprice < 60000 THEN 'poor info' ELSE 'rich info' END END AS quality_of_info, source AS top_region_source, CASE WHEN source = 'model' THEN worker_lost END AS worker_lost_in_top1_mask FROM v WHERE sample_id % 11 > 0)"""
+
+
+@query(f"{_COMPLETE} SELECT * FROM b")
+def bounded_completeness(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.completeness(**_stored(spark, sf))
+
+
+@query(f"{_COMPLETE} SELECT verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM b WHERE quality_of_info = 'poor info' GROUP BY 1")
+def poor_info_subset(spark: SparkSession, sf: str) -> DataFrame:
+    poor = metrics.completeness(**_stored(spark, sf)).filter("quality_of_info = 'poor info'")
+    return relational.shares(poor, "verdict").select("verdict", "n", _r(F.col("share")).alias("share"))
+
+
+@query(f"{_COMPLETE} SELECT round(avg((top_region_source = 'grid')::INT), 6) AS grid_rate, count(worker_lost_in_top1_mask) AS scored, round(avg(worker_lost_in_top1_mask::INT), 6) AS lost_rate, round(avg(worker_lost_in_top1_mask::INT) FILTER (WHERE verdict = 'explanation_supported'), 6) AS supported_lost_rate FROM b")
+def worker_lost_audit(spark: SparkSession, sf: str) -> DataFrame:
+    lost = F.col("worker_lost_in_top1_mask")
+    rates = {"grid_rate": F.col("top_region_source") == "grid", "lost_rate": lost, "supported_lost_rate": F.when(F.col("verdict") == "explanation_supported", lost)}
+    return metrics.completeness(**_stored(spark, sf)).agg(F.count(lost).alias("scored"), *(_r(relational.rate(v)).alias(k) for k, v in rates.items()))
+
+
+@query(f"WITH {a.RANKED}, {a.answer_sql('base')} SELECT lpad(sample_id::VARCHAR, 7, '0') AS image_id, answer, workers::BIGINT AS workers, round(coalesce(x, 0), 6) AS x, 0.75::DOUBLE AS confidence FROM base LEFT JOIN (SELECT sample_id, sum(x0 + y1) AS x FROM boxes WHERE role = 'object' GROUP BY 1) USING (sample_id) WHERE sample_id % 11 > 0")
+def baseline_rehydration(spark: SparkSession, sf: str) -> DataFrame:
+    rows = metrics.rehydrate(_stored(spark, sf)["predictions"])
+    return rows.select("image_id", "answer", F.size("workers").cast("long").alias("workers"), _r(F.aggregate("objects", F.lit(0.0), lambda s, b: s + b.x0 + b.y1)).alias("x"), "confidence")
 
 
 # Efficiency
@@ -497,7 +587,7 @@ def confidence_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {a.SAMPLES}, {a.RANKED}, {a.answer_sql('a0', 0)} SELECT round(avg((answer = 'violation')::INT) FILTER (WHERE primary_class <> 'compliant'), 6) AS sensitivity, round(avg((answer = 'compliant')::INT) FILTER (WHERE primary_class = 'compliant'), 6) AS specificity, count(*) FILTER (WHERE primary_class <> 'compliant') AS positives, count(*) FILTER (WHERE primary_class = 'compliant') AS negatives FROM samples JOIN a0 USING (sample_id) WHERE assigned_rule_id <> 'rule_4'")
 def sens_spec(spark: SparkSession, sf: str) -> DataFrame:
-    rows = a.samples(spark, sf).filter("assigned_rule_id != 'rule_4'").join(_masked(spark, sf, 0), "sample_id")
+    rows = a.held(spark, sf).filter("assigned_rule_id != 'rule_4'").withColumn("answer", _without(0))
     bad = F.col("primary_class") != "compliant"
     return rows.agg(
         _r(relational.rate(F.when(bad, (F.col("answer") == "violation").cast("double")))).alias("sensitivity"),
@@ -509,8 +599,7 @@ def sens_spec(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_ACCURACY} SELECT role = 'worker' AS top_is_worker, count(*) FILTER (WHERE verdict = 'explanation_supported') AS supported, count(*) FILTER (WHERE verdict = 'explanation_weak') AS weak FROM v JOIN ranked USING (sample_id) WHERE rank = 1 GROUP BY 1")
 def verdict_by_top_label(spark: SparkSession, sf: str) -> DataFrame:
-    top = a.ranked(spark, sf).filter("rank = 1").select("sample_id", (F.col("role") == "worker").alias("top_is_worker"))
-    rows = _verdicts(spark, sf).join(top, "sample_id")
+    rows = _verdicts(spark, sf).filter("top_is_worker is not null")
     return rows.groupBy("top_is_worker").agg(F.count_if(F.col("verdict") == "explanation_supported").alias("supported"), F.count_if(F.col("verdict") == "explanation_weak").alias("weak"))
 
 
@@ -540,52 +629,127 @@ def region_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("image_id", labels.phrase_of(F.col("assigned_rule_id"), label).alias("phrase"), reworded.alias("reworded"))
 
 
-# Images: small synthetic pictures, a row of RGB pixels per vector
+@query(f"WITH {a.SAMPLES} SELECT image_id, assigned_rule_id || '_violation' AS field, assigned_rule_id AS rule, '<GROUND>' || CASE WHEN sample_id % 3 > 0 THEN o_orderpriority ELSE '' END AS prompt, CASE WHEN sample_id % 4 > 0 THEN (o_totalprice + 0.5) / 2 END AS confidence FROM samples")
+def prompt_texts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.samples(spark, sf).withColumn("field", F.concat("assigned_rule_id", F.lit("_violation")))
+    text = F.when(F.col("sample_id") % 3 > 0, F.col("o_orderpriority"))
+    pair = decide.run_confidence(F.when(F.col("sample_id") % 4 > 0, F.col("o_totalprice")), F.lit(0.5))
+    return rows.select("image_id", "field", labels.short_rule(F.col("field")).alias("rule"), labels.task_prompt(F.lit("<GROUND>"), text).alias("prompt"), pair.alias("confidence"))
+
+
+@query(f"""WITH {a.SAMPLES} SELECT image_id, 'worker' AS person, CASE assigned_rule_id WHEN 'rule_1' THEN 'hard hat' WHEN 'rule_2' THEN 'safety harness' WHEN 'rule_3' THEN 'guardrail' ELSE 'excavator' END AS first,
+CASE assigned_rule_id WHEN 'rule_1' THEN 'high-visibility vest' WHEN 'rule_2' THEN 'fall-protection lanyard' WHEN 'rule_3' THEN 'edge protection barrier' ELSE 'excavator' END AS second FROM samples""")
+def answer_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    pair = [decide.phrases(F.col("assigned_rule_id"), k) for k in (0, 1)]
+    return a.samples(spark, sf).select("image_id", pair[0][0].alias("person"), pair[0][1].alias("first"), pair[1][1].alias("second"))
+
+
+# Sources and sinks: written to the session's folder and read back
+
+
+def _written(df: DataFrame, name: str) -> str:
+    path = tables.scratch(df.sparkSession, name)
+    (tables.write_json if name == "json" else tables.write_csv)(df, path)
+    return path
+
+
+@query("SELECT lpad(c_custkey::VARCHAR, 7, '0') AS image_id, 'rule_1' AS assigned_rule_id, c_mktsegment AS primary_class, '[\"' || c_name || '\", \"x,y\"]' AS sampled_answers, CASE WHEN c_custkey % 3 > 0 THEN round(c_acctbal, 6) END AS answer_agreement_rate, c_custkey % 2 = 0 AS deterministic_matches_majority FROM customer")
+def csv_typed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.table(spark, sf, "customer").select(
+        F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("image_id"), F.lit("rule_1").alias("assigned_rule_id"), F.col("c_mktsegment").alias("primary_class"), F.lit("safe").alias("deterministic_answer"),
+        F.concat(F.lit('["'), "c_name", F.lit('", "x,y"]')).alias("sampled_answers"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")).otherwise(F.lit(float("nan"))).alias("answer_agreement_rate"),
+        F.lit("safe").alias("majority_sampled_answer"), (F.col("c_custkey") % 2 == 0).alias("deterministic_matches_majority"), F.lit(None).cast("double").alias("top_region_overlap_score"), F.lit(None).cast("double").alias("object_region_overlap_score"),
+    )
+    got = tables.read_csv(spark, _written(rows, "stability"), "stability")
+    return got.select("image_id", "assigned_rule_id", "primary_class", "sampled_answers", _r(F.col("answer_agreement_rate")).alias("answer_agreement_rate"), "deterministic_matches_majority")
+
+
+@query(f"WITH {a.SAMPLES} SELECT image_id, violated, CASE WHEN violated = '' THEN 0 ELSE len(string_split(violated, '|')) END AS n, CASE WHEN sample_id % 2 = 0 THEN round(o_totalprice, 6) END AS number FROM samples")
+def csv_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists are piped, every column comes back as text, and what is no number is null."""
+    rows = a.samples(spark, sf).select("image_id", F.col("violated_rules").alias("violated"), F.when(F.col("sample_id") % 2 == 0, F.col("o_totalprice").cast("string")).otherwise("n/a").alias("number"))
+    got = tables.read_text_csv(spark, _written(rows, "text"), ["image_id", "violated", "number"])
+    text = F.coalesce("violated", F.lit(""))
+    return got.select("image_id", text.alias("violated"), F.size(labels.unpiped(text)).cast("long").alias("n"), _r(tables.number(F.col("number"))).alias("number"))
+
+
+@query(f"WITH {a.SAMPLES} SELECT image_id, list_sort(string_split(violated, '|'))[1] AS first, primary_class FROM samples WHERE violated <> ''")
+def json_table(spark: SparkSession, sf: str) -> DataFrame:
+    rows = a.samples(spark, sf).filter(F.size("violated_rules") > 0).select("image_id", "violated_rules", "primary_class")
+    got = spark.read.schema(rows.schema).json(_written(rows, "json"))
+    return got.select("image_id", F.array_sort("violated_rules")[0].alias("first"), "primary_class")
+
+
+@query("SELECT n_name, n_regionkey FROM nation WHERE n_nationkey = 3")
+def probe_row(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.probe(a.table(spark, sf, "nation").filter("n_nationkey = 3").select("n_name", "n_regionkey"))
+
+
+@query("SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 4")
+def figure_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.budget(a.table(spark, sf, "events"), ["event_type"], [F.col("ts"), F.col("event_id")], 4).select("event_type", "event_id")
+
+
+# Images: small synthetic pictures of 4 x 16 coloured pixels, compared by a digest of all their bytes
+
+_WIDE = 16
 
 
 def _pictures(spark: SparkSession, sf: str) -> DataFrame:
     level = a.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.pmod(F.floor(F.abs(x.cast("double")) * 255), F.lit(256)).cast("int")).alias("v"))
-    grey = F.flatten(F.transform("v", lambda x: F.array(x, x, x)))
-    text = F.unhex(F.array_join(F.transform(grey, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
-    return level.select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), text.alias("pixels"))
+    colours = F.flatten(F.transform("v", lambda x: F.array(x, 255 - x, x * 3 % 256)))
+    text = F.unhex(F.array_join(F.transform(colours, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    return level.select("vec_id", F.lit(4).alias("height"), F.lit(_WIDE).alias("width"), text.alias("pixels"))
+
+
+def _digest(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", F.md5(F.lower(F.hex("pixels")).cast("binary")).alias("digest"))
 
 
-def _mean(df: DataFrame) -> DataFrame:
-    values = F.transform(F.sequence(F.lit(1), F.octet_length("pixels")), lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("long"))
-    return df.select("vec_id", F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+_PIXELS = """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: (floor(abs(x::DOUBLE) * 255) % 256)::INT) AS v FROM embeddings),
+q AS (SELECT vec_id, flatten(list_transform(v, lambda x: [x, 255 - x, x * 3 % 256])) AS c FROM p),
+u AS (SELECT vec_id, unnest(c) AS v, generate_subscripts(c, 1) - 1 AS i FROM q), e AS (SELECT vec_id, v, i, i % 3 AS ch, i // 3 % 16 AS x, i // 48 AS y FROM u)"""
 
 
-_LEVELS = "WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 255) % 256) AS v FROM embeddings)"
+def _pixel_sql(value: str, more: str = "", source: str = "e") -> str:
+    """The digests of pictures whose bytes are value."""
+    return f"{_PIXELS}{more} SELECT vec_id, md5(string_agg(format('{{:02x}}', ({value})::INT), '' ORDER BY i)) AS digest FROM {source} GROUP BY 1"
 
 
-@query(f"{_LEVELS} SELECT vec_id, (3 * list_sum(list_transform(v, lambda x: trunc(pow(x / 255.0::DOUBLE, 2.5) * 255))))::BIGINT AS total FROM p")
+_KERNEL = "k AS (SELECT d::INT AS d, exp(-0.5 * pow(d / 8.0::DOUBLE, 2)) / (SELECT sum(exp(-0.5 * pow(o / 8.0::DOUBLE, 2))) FROM range(-24, 25) r(o)) AS w FROM range(-24, 25) r(d))"
+_BLURRED = f""", {_KERNEL}, b1 AS (SELECT e.vec_id, e.i, e.ch, e.x, e.y, sum(k.w * o.v) AS v FROM e, k, e o WHERE o.vec_id = e.vec_id AND o.ch = e.ch AND o.x = e.x AND o.y = least(greatest(e.y + k.d, 0), 3) GROUP BY ALL),
+b2 AS (SELECT e.vec_id, e.i, sum(k.w * o.v) AS v FROM b1 e, k, b1 o WHERE o.vec_id = e.vec_id AND o.ch = e.ch AND o.y = e.y AND o.x = least(greatest(e.x + k.d, 0), 15) GROUP BY ALL)"""
+
+
+@query(_pixel_sql("trunc(pow(v / 255.0::DOUBLE, 2.5) * 255)"))
 def image_low_light(spark: SparkSession, sf: str) -> DataFrame:
-    return _mean(images.perturb(_pictures(spark, sf), "low_light"))
+    return _digest(images.perturb(_pictures(spark, sf), "low_light"))
 
 
-@query(f"{_LEVELS} SELECT vec_id, (3 * (list_sum(v) - list_sum(list_transform(range(2, 6), lambda r: list_sum(v[r * 8 + 3:r * 8 + 6])))))::BIGINT AS total FROM p")
+@query(_pixel_sql("CASE WHEN x BETWEEN 6 AND 9 THEN 0 ELSE v END"))
 def image_occlude(spark: SparkSession, sf: str) -> DataFrame:
-    return _mean(images.perturb(_pictures(spark, sf), "half", {"half": lambda x: images.occlude(x, 0.25)}))
+    return _digest(images.perturb(_pictures(spark, sf), "quarter", {"quarter": lambda x: images.occlude(x, 0.25)}))
 
 
-@query()
+@query(_pixel_sql("round_even(v, 0)", _BLURRED, "b2"))
 def image_blur(spark: SparkSession, sf: str) -> DataFrame:
-    return _mean(images.perturb(_pictures(spark, sf), "blur"))
+    return _digest(images.perturb(_pictures(spark, sf), "blur"))
 
 
-@query()
+@query(_pixel_sql("trunc(least(greatest(g + 0.3::DOUBLE * (v - g), 0), 255))", ", g AS (SELECT vec_id, floor(avg(CASE ch WHEN 0 THEN 0.299 WHEN 1 THEN 0.587 ELSE 0.114 END::DOUBLE * v) * 3 + 0.5) AS g FROM e GROUP BY 1), f AS (SELECT e.*, g.g FROM e JOIN g USING (vec_id))", "f"))
 def image_contrast(spark: SparkSession, sf: str) -> DataFrame:
-    return _mean(images.perturb(_pictures(spark, sf), "contrast_shift"))
+    return _digest(images.perturb(_pictures(spark, sf), "contrast_shift"))
 
 
-@query()
+@query(_pixel_sql("CASE WHEN x BETWEEN 2 AND 8 AND y BETWEEN 1 AND 2 THEN 0 ELSE v END"))
 def image_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return _mean(images.perturb(_pictures(spark, sf), "mask", {"mask": lambda x: images.mask_region(x, (1, 1, 4, 4))}))
+    return _digest(images.perturb(_pictures(spark, sf), "mask", {"mask": lambda x: images.mask_region(x, (2.2, 0.8, 9.4, 3.1))}))
 
 
-@query()
+@query(_pixel_sql("CASE WHEN x BETWEEN 2 AND 8 AND y BETWEEN 1 AND 2 THEN CASE ch WHEN 0 THEN 235 WHEN 1 THEN 220 ELSE 200 END ELSE v END"))
 def image_patch(spark: SparkSession, sf: str) -> DataFrame:
-    return _mean(images.perturb(_pictures(spark, sf), "patch", {"patch": lambda x: images.paste_patch(x, (1, 1, 6, 5), images.hard_hat_patch())}))
+    """A patch of one colour, so that its enlargement is that colour too."""
+    return _digest(images.perturb(_pictures(spark, sf), "patch", {"patch": lambda x: images.paste_patch(x, (2, 1, 9, 3), images.hard_hat_patch()[:2, :2])}))
 
 
 # Inference boundary
@@ -595,9 +759,20 @@ def _prompts(spark: SparkSession, sf: str) -> DataFrame:
     return a.table(spark, sf, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("image_id"), F.lit(rules.PERSON).alias("phrase"))
 
 
-@query()
+def _synthetic_sql(runs: str, seed: str) -> str:
+    """Of a digest's 32 bytes the first says how many boxes there are, the last the confidence."""
+    byte = lambda k: f"('0x' || substr(d, {2 * k + 1}, 2))::INT"
+    return f"WITH s AS (SELECT lpad(c_custkey::VARCHAR, 7, '0') AS image_id, r.run, sha256(lpad(c_custkey::VARCHAR, 7, '0') || '|worker|' || {seed}) AS d FROM customer, {runs} r(run)) SELECT image_id, run, ({byte(0)} % 4)::BIGINT AS n_boxes, round(0.5 + {byte(31)} / 510.0::DOUBLE, 6) AS confidence FROM s"
+
+
+@query(_synthetic_sql("range(0, 1)", "0"))
 def infer_synthetic(spark: SparkSession, sf: str) -> DataFrame:
-    return inference.run_task(_prompts(spark, sf), inference.SyntheticBackend).select("image_id", F.size("boxes").alias("n_boxes"), "confidence")
+    return inference.run_task(_prompts(spark, sf), inference.SyntheticBackend).select("image_id", F.lit(0).cast("long").alias("run"), F.size("boxes").cast("long").alias("n_boxes"), "confidence")
+
+
+@query(_synthetic_sql("range(1, 4)", "r.run"))
+def infer_reruns(spark: SparkSession, sf: str) -> DataFrame:
+    return inference.reruns(_prompts(spark, sf), inference.SyntheticBackend, 3).select("image_id", F.col("run").cast("long").alias("run"), F.size("boxes").cast("long").alias("n_boxes"), "confidence")
 
 
 @query("SELECT lpad(c_custkey::VARCHAR, 7, '0') AS image_id, CASE WHEN c_custkey % 2 = 0 THEN round(c_acctbal, 6) END AS confidence FROM customer")

@@ -1,6 +1,8 @@
 """Invariants of geometry, answers, metrics and tables on small inputs."""
 
 import math
+import random
+import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import geometry as g
 from lumenlake.functions import heatmaps as h
 from lumenlake.functions import labels, rules
-from lumenlake.operators import decide, images, inference, metrics, relational, sampling
+from lumenlake.operators import attribution, decide, images, inference, metrics, relational, sampling
 from lumenlake.sources import tables
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -27,13 +29,26 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize(
-    ("a", "b", "expected"),
-    [((0, 0, 10, 10), (0, 0, 10, 10), 1.0), ((0, 0, 5, 5), (10, 10, 15, 15), 0.0), ((0, 0, 10, 10), (5, 0, 15, 10), 50 / 150), ((3, 3, 3, 3), (3, 3, 3, 3), 0.0), ((10, 10, 0, 0), (0, 0, 10, 10), 0.0)],
-)
-def test_iou(spark, a, b, expected):
-    assert one(spark, g.iou(box(*a), box(*b))) == pytest.approx(expected)
-    assert one(spark, g.iou(box(*b), box(*a))) == pytest.approx(expected)
+def _cells(b):
+    """The unit cells of a box with whole corners."""
+    return {(x, y) for x in range(int(b[0]), int(b[2])) for y in range(int(b[1]), int(b[3]))}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_iou_counts_cells(spark, seed):
+    rng = random.Random(seed)
+    corner = lambda: sorted(rng.sample(range(13), 2)) if rng.random() < 0.9 else [rng.randrange(13)] * 2
+    pairs = []
+    for _ in range(12):
+        (ax0, ax1), (ay0, ay1), (bx0, bx1), (by0, by1) = corner(), corner(), corner(), corner()
+        pairs.append(((ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1)))
+    pairs.append((pairs[0][0], pairs[0][0]))
+    pairs.append(((7, 6, 2, 3), pairs[1][1]))  # inverted: no area
+    got = spark.createDataFrame([(k, tuple(map(float, a)), tuple(map(float, b))) for k, (a, b) in enumerate(pairs)], f"k int, a {BOX}, b {BOX}").select("k", g.iou(F.col("a"), F.col("b")).alias("x"), g.iou(F.col("b"), F.col("a")).alias("y")).collect()
+    for r in got:
+        a, b = map(_cells, pairs[r.k])
+        want = len(a & b) / len(a | b) if a | b else 0.0
+        assert r.x == pytest.approx(want) and r.y == pytest.approx(want)
 
 
 def test_closeness_includes_the_threshold(spark):
@@ -47,13 +62,22 @@ def test_coverage(spark, workers, objects, expected):
     assert one(spark, g.covered(boxes(*workers), boxes(*objects), 5.0)) is expected
 
 
-def test_grid_and_ranking(spark):
-    cells = one(spark, g.grid(F.lit(100.0), F.lit(80.0)))
-    assert len(cells) == 16 and cells[0][:2] == (0, 0) and cells[-1][2:] == (100, 80) and cells[1].x0 == 25
-    ranked = one(spark, g.rank_regions(boxes((0, 0, 10, 10), (0, 0, 100, 100), (0, 0, 5, 5), (9, 9, 19, 19)), F.array(*map(F.lit, "abcd")), F.lit(1.0), F.lit(1.0)))
-    assert [r.label for r in ranked] == ["b", "a", "d", "c"]  # equal areas keep their order
-    fallback = one(spark, g.rank_regions(boxes(), F.array().cast("array<string>"), F.lit(100.0), F.lit(80.0)))
-    assert len(fallback) == 16 and {r.source for r in fallback} == {"grid"}
+@pytest.mark.parametrize(("width", "height"), [(130.0, 52.0), (36.0, 90.0)])
+def test_grid_covers_the_frame_once(spark, width, height):
+    cells = [tuple(c) for c in one(spark, g.grid(F.lit(width), F.lit(height)))]
+    assert len(set(cells)) == 16 and sum((c[2] - c[0]) * (c[3] - c[1]) for c in cells) == pytest.approx(width * height)
+    assert cells == sorted(cells, key=lambda c: (c[1], c[0])) and min(c[0] for c in cells) == 0 and max(c[3] for c in cells) == height
+    fallback = one(spark, g.rank_regions(boxes(), F.array().cast("array<string>"), F.lit(width), F.lit(height)))
+    assert [tuple(r.box) for r in fallback] == cells and {r.source for r in fallback} == {"grid"}
+
+
+def test_ranking_is_by_area_and_stable(spark):
+    rng = random.Random(6)
+    held = [(x, y, x + rng.choice([3, 7, 20]), y + rng.choice([2, 9])) for x, y in ((rng.randrange(50), rng.randrange(50)) for _ in range(14))]
+    names = [f"n{k}" for k in range(14)]
+    ranked = one(spark, g.rank_regions(boxes(*held), F.array(*map(F.lit, names)), F.lit(90.0), F.lit(70.0)))
+    area = lambda k: (held[k][2] - held[k][0]) * (held[k][3] - held[k][1])
+    assert [r.label for r in ranked] == [names[k] for k in sorted(range(14), key=lambda k: -area(k))] and {r.source for r in ranked} == {"model"}
 
 
 def test_round_and_clip(spark):
@@ -92,24 +116,45 @@ def test_exploded_and_in_row_coverage_agree(spark):
 
 
 def test_sparsity(spark):
+    rng = random.Random(3)
     arr = lambda v: F.array(*(F.lit(float(x)) for x in v))
-    assert one(spark, h.top_mass_ratio(arr([0] * 15 + [1]), 1)) == 1
-    assert one(spark, h.top_mass_ratio(arr([1] * 16), 4)) == 0.25 and one(spark, h.top_mass_ratio(arr([1] * 4), 9)) == 1
-    assert one(spark, h.top_mass_ratio(arr([0] * 4), 2)) is None
-    assert one(spark, h.count_above(arr([0.9, 0.1, 0.6, 0.4]))) == 2 and one(spark, h.count_above(arr([0.2] * 9))) == 0
-    assert one(spark, h.min_max(arr([2, 4, 3]))) == [0, 1, 0.5] and one(spark, h.min_max(arr([7, 7]))) == [0, 0]
+    cells = [rng.choice([0, 1, 3, 8, 13]) / 13 for _ in range(23)]
+    for k in (1, 6, 23, 40):
+        assert one(spark, h.top_mass_ratio(arr(cells), k)) == pytest.approx(sum(sorted(cells)[-k:]) / sum(cells))
+    assert one(spark, h.top_mass_ratio(arr([0] * 5), 2)) is None
+    assert one(spark, h.count_above(arr(cells))) == sum(x >= 0.5 for x in cells) and one(spark, h.count_above(arr([0.49, 0.5, math.nan]))) == 1
+    assert one(spark, h.min_max(arr([-1, 7, 3]))) == [0, 1, 0.5] and one(spark, h.min_max(arr([6, 6, 6]))) == [0, 0, 0]
+    # the first entry is no cell: however extreme, it does not change the map
+    assert one(spark, h.normalised(arr([900, *cells]), 23)) == one(spark, h.min_max(arr(cells)))
     with pytest.raises(ValueError):
         h.top_mass_ratio(F.lit(None), 0)
 
 
+def test_heat_maps_are_means(spark):
+    rng = np.random.default_rng(4)
+    steps = {s: rng.random((3, 12)) for s in range(4)}
+    rows = [("a", s, w.tolist()) for s, ws in steps.items() for w in ws]
+    targets = spark.createDataFrame([("a",), ("b",)], "k string")
+    got = {r.k: r for r in attribution.heat_maps(targets, spark.createDataFrame(rows, "k string, step int, weights array<double>"), ["k"], 9).collect()}
+    mean = np.mean([w.mean(axis=0) for w in steps.values()], axis=0)[1:10]
+    assert got["a"].heatmap == pytest.approx((mean - mean.min()) / (mean.max() - mean.min())) and got["a"].n_generated_tokens == 4
+    assert got["b"].heatmap == [0.0] * 9 and got["b"].n_generated_tokens == 0
+
+
 def test_stability(spark):
-    runs = spark.createDataFrame([("a", 1, "C"), ("a", 2, "C"), ("a", 3, "C"), ("b", 1, "C"), ("b", 2, "V"), ("b", 3, "V"), ("c", 1, "C")], "k string, run int, answer string")
-    got = {r.k: r.agreement_rate for r in metrics.agreement(runs, ["k"]).collect()}
-    assert got["a"] == 1 and got["b"] == pytest.approx(1 / 3) and got["c"] is None
-    tie = spark.createDataFrame([("a", "z"), ("a", "b")], "k string, answer string")
-    assert metrics.majority(tie, ["k"]).first().majority_answer == "b"
-    regions = spark.createDataFrame([("a", r, (0.0, 0.0, 9.0, 9.0), "model") for r in (1, 2, 3)] + [("b", 1, (0.0, 0.0, 1.0, 1.0), "model"), ("b", 2, (5.0, 5.0, 6.0, 6.0), "model"), ("c", 1, (0.0, 0.0, 1.0, 1.0), "model"), ("c", 2, (0.0, 0.0, 1.0, 1.0), "grid")], f"k string, run int, box {BOX}, source string")
-    assert {r.k: r.overlap_score for r in metrics.overlap(regions, ["k"]).collect()} == {"a": 1, "b": 0, "c": None}
+    rng = random.Random(1)
+    runs = {f"s{k}": [rng.choice(["yes", "no", "unsure"]) for _ in range(rng.randint(1, 7))] for k in range(20)}
+    df = spark.createDataFrame([(k, i, x) for k, xs in runs.items() for i, x in enumerate(xs)], "k string, run int, answer string")
+    got = {r.k: r.agreement_rate for r in metrics.agreement(df, ["k"]).collect()}
+    most = {r.k: r.majority_answer for r in metrics.majority(df, ["k"]).collect()}
+    for k, xs in runs.items():
+        pairs = [x == y for i, x in enumerate(xs) for y in xs[:i]]
+        assert got[k] == (pytest.approx(sum(pairs) / len(pairs)) if pairs else None)
+        assert most[k] == min(sorted(set(xs)), key=lambda x: -xs.count(x))
+    unit = lambda x: (float(x), 0.0, x + 4.0, 3.0)
+    regions = [("a", r, unit(0), "model") for r in (1, 2, 3)] + [("b", 1, unit(0), "model"), ("b", 2, unit(9), "model"), ("c", 1, unit(0), "model"), ("c", 2, unit(0), "grid"), ("d", 1, unit(0), "model"), ("d", 2, unit(2), "model")]
+    found = metrics.overlap(spark.createDataFrame(regions, f"k string, run int, box {BOX}, source string"), ["k"])
+    assert {r.k: r.overlap_score and round(r.overlap_score, 9) for r in found.collect()} == {"a": 1, "b": 0, "c": None, "d": round(1 / 3, 9)}
 
 
 def test_robustness_and_verdict(spark):
@@ -125,11 +170,50 @@ def test_robustness_and_verdict(spark):
 
 
 def test_timings(spark):
-    rows = spark.createDataFrame([(100.0,), (200.0,), (300.0,)], "ms double")
+    values = np.random.default_rng(8).gamma(2, 40, 37)
+    rows = spark.createDataFrame([(float(v),) for v in values], "ms double")
     r = rows.agg(*metrics.timing_stats("ms")).first()
-    assert (r.n, r.mean_ms, r.median_ms, r.max_ms) == (3, 200, 200, 300) and r.std_ms == pytest.approx(np.std([100, 200, 300]))
+    assert r.n == 37 and (r.mean_ms, r.median_ms, r.std_ms, r.max_ms) == pytest.approx((values.mean(), np.median(values), values.std(), values.max()))
     assert rows.filter("false").agg(*metrics.timing_stats("ms")).first().mean_ms is None
-    assert tuple(spark.range(1).select(*metrics.extrapolate(F.lit(500.0), 1000)).first()) == (500, 500 / 60, 500 / 3600)
+    assert tuple(spark.range(1).select(*metrics.extrapolate(F.lit(72.0), 250)).first()) == pytest.approx((18, 0.3, 0.005))
+
+
+def test_summary_of_six_metrics(spark):
+    rows = spark.createDataFrame([("compliant", True, 0.5), ("fall_hazard", False, None), ("compliant", False, 1.0)], "primary_class string, hit boolean, v double")
+    own = {m: (F.col("hit") if m == "descriptive_accuracy" else F.col("v"), F.lit(4 if "robust" in m else 1)) for m in list(metrics.SUMMARY)[:5]}
+    got = {r.metric: r for r in metrics.summary(rows, own, spark.createDataFrame([(2.5,)], "hours double")).collect()}
+    assert list(got) == list(metrics.SUMMARY)
+    first, sparse, robust, hours = (got[m] for m in ("descriptive_accuracy", "visual_sparsity_top5", "robustness_level1_answer_survival", "efficiency_total_pipeline_1000hr"))
+    assert (first.overall, first.compliant, first.fall_hazard, first.struck_by_risk, first.n) == (pytest.approx(1 / 3), 0.5, 0.0, None, "3")
+    assert (sparse.overall, sparse.fall_hazard, sparse.n) == (0.75, None, "2") and robust.n == "8"
+    assert (hours.overall, hours.compliant, hours.direction) == (2.5, None, "lower_better") and hours.n.startswith("n/a")
+
+
+def test_stored_answers_come_back(spark):
+    rows = spark.createDataFrame([("1", "safe", "[[1, 2, 3, 4.5]]", "[]", "0.25"), ("2", "hazard", None, "", "none")], "image_id string, answer string, worker_boxes string, object_boxes string, confidence string")
+    a, b = metrics.rehydrate(rows).orderBy("image_id").collect()
+    assert [tuple(x) for x in a.workers] == [(1, 2, 3, 4.5)] and a.objects == [] and a.confidence == 0.25
+    assert b.workers == [] and b.objects == [] and b.confidence is None
+
+
+def test_phrases(spark):
+    both = lambda rule, k: one(spark, decide.phrases(F.lit(rule), k))
+    for rule, own in rules.PHRASES.items():
+        assert [both(rule, k) for k in (0, 1)] == [["worker", own[0]], ["worker", own[1]]]
+    assert both("rule_4", 0) == both("rule_4", 1) == list(rules.PROXIMITY_PAIR)  # it has no other
+    with pytest.raises(Exception, match="unknown rule"):
+        both("rule_7", 0)
+
+
+def test_reruns_are_runs_of_their_own(spark):
+    rows = spark.createDataFrame([(f"{i:02}", "worker") for i in range(6)], "image_id string, phrase string")
+    got = inference.reruns(rows, inference.SyntheticBackend, 4).collect()
+    assert sorted((r.image_id, r.run) for r in got) == [(f"{i:02}", k) for i in range(6) for k in range(1, 5)]
+    assert len({str(r.boxes) for r in got}) > 6
+    again = inference.run_task(rows, inference.SyntheticBackend, seed=2).collect()
+    assert {(r.image_id, r.confidence) for r in got if r.run == 2} == {(r.image_id, r.confidence) for r in again}
+    with pytest.raises(ValueError):
+        inference.reruns(rows, inference.SyntheticBackend, 0)
 
 
 def test_rates_skip_nan(spark):
@@ -150,7 +234,10 @@ def test_images():
     checker = ((np.indices((40, 40)).sum(axis=0) // 5 % 2)[..., None] * np.array([255, 255, 255])).astype(np.uint8)
     assert images.blur(checker).std() < checker.std() and (images.blur(checker, 0) == checker).all()
     assert (images.low_light(checker, 1.0) == checker).all() and images.low_light(np.full((2, 2, 3), 100, np.uint8)).max() < 100
-    assert (images.occlude(np.full((50, 40, 3), 9, np.uint8), 0.2) == 0).all(axis=2).sum() == 20 * 20
+    for h, w, part in ((50, 41, 0.2), (7, 30, 0.5), (4, 4, 0.0)):
+        dark = (images.occlude(np.full((h, w, 3), 9, np.uint8), part) == 0).all(axis=2)
+        side = round((part * h * w) ** 0.5)
+        assert dark.sum() == min(side, h) * side and (not side or abs(np.argwhere(dark)[:, 1].mean() - (w - 1) / 2) <= 0.5)
     assert (images.contrast_shift(checker, 1.0) == checker).all() and images.contrast_shift(checker, 0.3).std() < checker.std()
     white = np.full((20, 20, 3), 255, np.uint8)
     masked = images.mask_region(white, (2, 3, 5.5, 6))
@@ -166,6 +253,26 @@ def test_images():
     assert tuple(images.overlay_boxes(white, [(0, 0, 10, 10)])[0, 0]) == (255, 0, 0)
 
 
+def test_pictures_are_written_and_read(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    picture = rng.integers(0, 256, (5, 9, 3), np.uint8)
+    df = spark.createDataFrame([("a", 5, 9, bytearray(picture.tobytes()), 1), ("b", 1, 1, bytearray(b"xyz"), 2)], "name string, height int, width int, pixels binary, more int")
+    files = {r.name: r.file for r in tables.write_images(df, str(tmp_path / "out")).collect()}
+    raw = open(files["a"], "rb").read()
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and raw[16:24] == (9).to_bytes(4) + (5).to_bytes(4)
+    at = raw.index(b"IDAT")
+    rows = np.frombuffer(zlib.decompress(raw[at + 4 : at + 4 + int.from_bytes(raw[at - 4 : at])]), np.uint8).reshape(5, 28)
+    assert (rows[:, 1:].reshape(5, 9, 3) == picture).all()
+    assert {r.image_id: bytes(r.image)[:4] for r in tables.read_images(spark, str(tmp_path / "out")).collect()} == {k: b"\x89PNG" for k in "ab"}
+    dark = images.perturb(df.withColumn("pixels", F.when(F.col("name") == "a", F.col("pixels"))), "low_light").collect()
+    assert {r.name: r.pixels is None for r in dark} == {"a": False, "b": True}
+
+
+def test_cells_that_are_no_numbers(spark):
+    rows = spark.createDataFrame([("1.5",), ("n/a",), ("NaN",), (None,), ("",)], "x string")
+    assert [r.x for r in rows.select(tables.number(F.col("x")).alias("x")).collect()] == [1.5, None, None, None, None]
+
+
 def test_inference_is_asked_for_what_is_left_only(spark):
     rows = spark.createDataFrame([(f"{i:03}", "worker") for i in range(20)], "image_id string, phrase string")
     a = inference.run_task(rows.filter("image_id < '010'"), inference.SyntheticBackend).orderBy("image_id").collect()
