@@ -5,11 +5,12 @@ import shutil
 import subprocess
 import sys
 
+import pandas as pd
 import pytest
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
-CHECKED = ["box_area", "top_region", "coverage_answer", "coverage_answer_in_row", "answer_rule", "balanced_sample", "metric_summary", "robustness_compare", "answer_agreement", "region_overlap", "topk_mass_ratio", "json_roundtrip", "timing_stats", "image_low_light", "image_occlude"]
+CHECKED = ["box_area", "top_region", "coverage_answer", "coverage_answer_in_row", "answer_rule", "balanced_sample", "metric_summary", "robustness_compare", "answer_agreement", "region_overlap", "topk_mass_ratio", "json_roundtrip", "timing_stats", "image_low_light", "image_occlude", "image_blur", "image_contrast", "image_mask", "image_patch", "infer_synthetic", "infer_reruns", "bounded_completeness", "poor_info_subset", "worker_lost_audit", "baseline_rehydration", "attention_heatmap", "csv_typed", "csv_text", "json_table", "answer_phrases", "prompt_texts", "figure_budget"]
 
 
 def test_entry_gives_rows(spark):
@@ -19,17 +20,20 @@ def test_entry_gives_rows(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_entry_works_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("gone", [["lumenlake/llm", "tests/llm"], ["lumenlake/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_works_without_the_subpackage(tmp_path, gone):
     copy = tmp_path / "repo"
-    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
+    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    for name in gone:
+        shutil.rmtree(copy / name) if (copy / name).is_dir() else (copy / name).unlink()
+    code = f"import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and any(k.startswith('op') for k in q) == {gone == ['corpus_pipeline.py']}; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
 
 
 def _rows(df):
     out = []
     for r in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple("" if v is None or v != v else repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v) for v in r))
+        out.append(tuple("" if v is None or v is pd.NA or v != v else repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v) for v in r))
     return sorted(out)
 
 
