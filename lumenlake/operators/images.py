@@ -98,17 +98,38 @@ def hard_hat_patch(width: int = 60, height: int = 60) -> Pixels:
     return out
 
 
-def overlay_boxes(image: Pixels, boxes: list[tuple[float, ...]], colour: tuple[int, int, int] = (255, 0, 0), width: int = 3) -> Pixels:
-    """Outlines of boxes."""
+#: Letters of three by five pixels, rows from the top, for labels on pictures.
+GLYPHS = {
+    "a": ".#. #.# ### #.# #.#", "b": "##. #.# ##. #.# ##.", "c": ".## #.. #.. #.. .##", "d": "##. #.# #.# #.# ##.", "e": "### #.. ##. #.. ###", "f": "### #.. ##. #.. #..",
+    "g": ".## #.. #.# #.# .##", "h": "#.# #.# ### #.# #.#", "i": "### .#. .#. .#. ###", "j": "..# ..# ..# #.# .#.", "k": "#.# #.# ##. #.# #.#", "l": "#.. #.. #.. #.. ###",
+    "m": "#.# ### ### #.# #.#", "n": "##. #.# #.# #.# #.#", "o": ".#. #.# #.# #.# .#.", "p": "##. #.# ##. #.. #..", "q": ".#. #.# #.# .#. ..#", "r": "##. #.# ##. #.# #.#",
+    "s": ".## #.. .#. ..# ##.", "t": "### .#. .#. .#. .#.", "u": "#.# #.# #.# #.# ###", "v": "#.# #.# #.# #.# .#.", "w": "#.# #.# ### ### #.#", "x": "#.# #.# .#. #.# #.#",
+    "y": "#.# #.# .#. .#. .#.", "z": "### ..# .#. #.. ###", " ": "... ... ... ... ...",
+}
+
+
+def lettering(text: str) -> np.ndarray:
+    """Where a line of text has ink; a character without a letter is a full block."""
+    blocks = [[[c == "#" for c in row] + [False] for row in GLYPHS.get(ch, "### ### ### ### ###").split()] for ch in text.lower()]
+    return np.concatenate([np.array(b, bool) for b in blocks], axis=1) if blocks else np.zeros((5, 0), bool)
+
+
+def overlay_boxes(image: Pixels, boxes: list[tuple[float, ...]], labels: list[str | None] | None = None, colour: tuple[int, int, int] = (255, 0, 0), width: int = 3) -> Pixels:
+    """Outlines of boxes, each with its label, if any, above it, or inside where there is no room above."""
     out = image.copy()
-    for box in boxes:
+    for box, label in zip(boxes, labels or [None] * len(boxes), strict=True):
         at = _frame(box, image)
-        if at:
-            x0, y0, x1, y1 = at
-            inner = out[y0 + width : y1 - width, x0 + width : x1 - width].copy()
-            out[y0:y1, x0:x1] = colour
-            if inner.size:
-                out[y0 + width : y1 - width, x0 + width : x1 - width] = inner
+        if not at:
+            continue
+        x0, y0, x1, y1 = at
+        inner = out[y0 + width : y1 - width, x0 + width : x1 - width].copy()
+        out[y0:y1, x0:x1] = colour
+        if inner.size:
+            out[y0 + width : y1 - width, x0 + width : x1 - width] = inner
+        if label:
+            top, left = (y0 - 6, x0) if y0 >= 6 else (y0 + width + 1, x0 + width + 1)
+            ink = lettering(label)[: max(0, out.shape[0] - top), : max(0, out.shape[1] - left)]
+            out[top : top + ink.shape[0], left : left + ink.shape[1]][ink] = colour
     return out
 
 
@@ -135,3 +156,18 @@ def perturb(images: DataFrame, name: str, extra: dict[str, Callable[[Pixels], Pi
             yield b.set_column(at, b.schema.field(at), pa.array(out, held.type))
 
     return images.mapInArrow(run, images.schema)
+
+
+def overlay_heatmaps(images: DataFrame, map_height: int, map_width: int, alpha: float = 0.5, gamma: float = 1.0) -> DataFrame:
+    """images (height, width, pixels, heatmap as map_height * map_width doubles in 0..1, and any columns) under their maps; null maps change nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, h, w, m in zip(b["pixels"].to_pylist(), b["height"].to_pylist(), b["width"].to_pylist(), b["heatmap"], strict=True):
+                heat = np.array(m.as_py(), float).reshape(map_height, map_width) if m.is_valid else None
+                out.append(p if p is None or heat is None else overlay_heatmap(np.frombuffer(p, np.uint8).reshape(h, w, 3), heat, alpha, gamma).tobytes())
+            at = b.schema.get_field_index("pixels")
+            yield b.set_column(at, b.schema.field(at), pa.array(out, b["pixels"].type))
+
+    return images.mapInArrow(run, images.schema)

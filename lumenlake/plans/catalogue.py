@@ -752,6 +752,17 @@ def image_patch(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(images.perturb(_pictures(spark, sf), "patch", {"patch": lambda x: images.paste_patch(x, (2, 1, 9, 3), images.hard_hat_patch()[:2, :2])}))
 
 
+@query(_pixel_sql("CASE WHEN x BETWEEN 2 AND 8 AND y BETWEEN 0 AND 2 AND NOT (x BETWEEN 3 AND 7 AND y = 1) THEN CASE ch WHEN 0 THEN 255 ELSE 0 END ELSE v END"))
+def image_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return _digest(images.perturb(_pictures(spark, sf), "boxes", {"boxes": lambda x: images.overlay_boxes(x, [(2, 0, 9, 3), (30, 30, 40, 40)], width=1)}))
+
+
+@query(_pixel_sql("round_even(v + 0.5::DOUBLE * pow(heat, 2.0) * (CASE ch WHEN 0 THEN 255 ELSE 0 END - v), 0)", f", {a.HEATMAPS}, n AS (SELECT vec_id, {a.MIN_MAX} AS c FROM maps), w AS (SELECT e.*, n.c[i // 3 + 1] AS heat FROM e JOIN n USING (vec_id))", "w"))
+def image_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    maps = a.heatmaps(spark, sf).select("vec_id", h.min_max(F.col("raw")).alias("heatmap"))
+    return _digest(images.overlay_heatmaps(_pictures(spark, sf).join(maps, "vec_id"), 4, _WIDE, gamma=2.0))
+
+
 # Inference boundary
 
 

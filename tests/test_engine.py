@@ -253,6 +253,18 @@ def test_images():
     assert tuple(images.overlay_boxes(white, [(0, 0, 10, 10)])[0, 0]) == (255, 0, 0)
 
 
+def test_labels_on_pictures():
+    grey = np.full((30, 40, 3), 90, np.uint8)
+    plain = images.overlay_boxes(grey, [(5, 10, 30, 25)])
+    named = images.overlay_boxes(grey, [(5, 10, 30, 25)], ["hard hat"])
+    changed = (plain != named).any(axis=2)
+    assert changed.sum() == images.lettering("hard hat")[:, :35].sum() and set(np.argwhere(changed)[:, 0]) <= set(range(4, 9))
+    inside = images.overlay_boxes(grey, [(0, 2, 39, 29)], ["w?"])
+    assert (inside != images.overlay_boxes(grey, [(0, 2, 39, 29)])).any(axis=2).sum() == images.lettering("w?").sum()
+    assert (images.overlay_boxes(grey, [(50, 50, 60, 60)], ["far"]) == grey).all()
+    assert len({images.lettering(c).tobytes() for c in images.GLYPHS}) == len(images.GLYPHS)
+
+
 def test_pictures_are_written_and_read(spark, tmp_path):
     rng = np.random.default_rng(2)
     picture = rng.integers(0, 256, (5, 9, 3), np.uint8)
