@@ -2,53 +2,100 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
+import threading
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+_open = threading.local()
+_where: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests on one machine) a folder of our own."""
+    """spark.checkpoint.dir of the session; on one machine, where it is unset, a folder of the warehouse."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='lumenlake-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
     return at.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; what is written there goes when the driver ends."""
+    """A fresh folder in the shared one; it goes at the end of the scope around, or else when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/lumenlake/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    fs, at = _file_system(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)  # also after the session has been stopped
+    scopes = getattr(_open, "scopes", None)
+    if scopes:
+        scopes[-1].append((spark, path))
     return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet and read back."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _where[table] = path
+    return table
+
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
+    if paths:
+        free_shuffles(spark)
 
-def drop_written() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session has ended, and with it whoever could read the table
-            pass
-    _made.clear()
 
+def drop(table: DataFrame) -> None:
+    """Delete what `written` or `result` has written as table."""
+    _delete(table.sparkSession, [_where.pop(table)])
 
-atexit.register(drop_written)
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside go at its end, but for those that `result` writes; shuffle files of its jobs go too.
+
+    A DataFrame that reads such a table must not leave the scope.
+    """
+    if not hasattr(_open, "scopes"):
+        _open.scopes = []
+    _open.scopes.append([])
+    try:
+        yield
+    finally:
+        mine = _open.scopes.pop()
+        if mine:
+            _delete(mine[0][0], [path for _, path in mine])
+
+
+def result(df: DataFrame, name: str) -> DataFrame:
+    """As `written`, for what outlives the scope it is called in: it belongs to the scope around that one."""
+    scopes = getattr(_open, "scopes", None) or []
+    inner = [scopes.pop()] if scopes else []
+    try:
+        return written(df, name)
+    finally:
+        scopes.extend(inner)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver's garbage is collected, which a large heap puts off: do it now."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner", share: int = 1000) -> DataFrame:
