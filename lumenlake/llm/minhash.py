@@ -245,17 +245,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Words are runs of non-space characters, A-Z lower-cased; a text with fewer than five is one shingle; null, empty and
     blank texts have none, are linked with nothing and are kept. Texts with equal sets are one class (class_id is its
     least doc_id). component_id is the least doc_id reachable over links of Jaccard similarity 0.75 or more, kept whether
-    it is the row's own; repeated rows are kept or not together. Other columns are ignored; an empty table gives no rows.
+    it is the row's own. Rows that repeat a doc_id are one document, linked by any of their texts and kept or not together; a row
+    without doc_id is linked with nothing and kept. Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = _store.written(rows.mapInArrow(_signed, "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
-    full = signed.filter("n > 0")
-    classes = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    classes = _store.written(classes, "classes")
-    label = components(links(rows, classes.select("rep", "n", "sig")))
-    named = classes.select("h1", "h2", "n", "copies", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    named = _store.written(named.select("h1", "h2", "n", "copies", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")), "named")
+    full = signed.filter("n > 0 and doc_id is not null")
+    with _store.scope():
+        classes = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+        classes = _store.written(classes, "classes")
+        label = components(links(rows, classes.select("rep", "n", "sig")))
+        named = classes.select("h1", "h2", "n", "copies", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+        named = _store.result(named.select("h1", "h2", "n", "copies", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")), "named")
     some = _store.lookup(full.drop("sig"), named, ["h1", "h2", "n"], "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
-    none = signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    none = signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     every = some.unionByName(none)
     return every.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
