@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _seeds, _store
-from ._arrow import group_starts, mix, ngrams, ranges, row_of, slices, utf8, within
-from .repeats import _rows, buckets, spread
+from ._arrow import group_starts, mix, ngrams, ranges, slices, utf8
+from ._documents import documents
+from .repeats import buckets, spread
 from .suffix import permuted_lcp, suffix_array
 
 WINDOW, SEED = 100, 32
@@ -28,6 +29,7 @@ WINDOW, SEED = 100, 32
 MANY, SHARD = 1024, 1 << 20
 #: Between the reaches of a shard; no byte of UTF-8.
 END = 255
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def _reaches(window: int, seed: int, n: int):
@@ -35,15 +37,15 @@ def _reaches(window: int, seed: int, n: int):
         out = _seeds.Sender(window, n, keep_first=True)
         for b in slices(batches, "text", 1 << 19):
             data, offsets = utf8(b["text"])
-            found = _seeds.find(ngrams(data, seed), ngrams(data, window), window - seed + 1, row_of(offsets), offsets, b["doc_id"].to_numpy(), within(offsets, window))
+            found = _seeds.find(data, offsets, b["doc_id"].to_numpy(), b["own"].to_numpy(), window, seed)
             yield from out.add(found)
         yield from out.flush()
 
     return run
 
 
-def _pack(seed: np.ndarray, doc: np.ndarray, lo: np.ndarray, size: np.ndarray, text: np.ndarray) -> bytes:
-    return b"".join([np.array([len(seed)], "<i8").tobytes(), np.stack([seed, doc, lo, size]).astype("<i8").tobytes(), text.tobytes()])
+def _pack(seed: np.ndarray, doc: np.ndarray, own: np.ndarray, lo: np.ndarray, size: np.ndarray, text: np.ndarray) -> bytes:
+    return b"".join([np.array([len(seed)], "<i8").tobytes(), np.stack([seed, doc, own, lo, size]).astype("<i8").tobytes(), text.tobytes()])
 
 
 def _open_reaches(window: int, n: int, most: int = 8 << 20):
@@ -54,13 +56,13 @@ def _open_reaches(window: int, n: int, most: int = 8 << 20):
         held: list[tuple[np.ndarray, ...]] = []
 
         def sent() -> Iterator[pa.RecordBatch]:
-            seed, doc, lo, size = (np.concatenate([h[k] for h in held]) for k in range(4))
-            text = np.concatenate([h[4] for h in held])
+            seed, doc, own, lo, size = (np.concatenate([h[k] for h in held]) for k in range(5))
+            text = np.concatenate([h[5] for h in held])
             held.clear()
             first = np.cumsum(size) - size
             side = (mix(seed.view(np.uint64)) % np.uint64(n)).astype(np.int64)
             order = np.argsort(side, kind="stable")
-            rows = [(n + int(side[at[0]]), _pack(seed[at], doc[at], lo[at], size[at], text[ranges(first[at], size[at])])) for at in np.split(order, np.flatnonzero(np.diff(side[order])) + 1)]
+            rows = [(n + int(side[at[0]]), _pack(seed[at], doc[at], own[at], lo[at], size[at], text[ranges(first[at], size[at])])) for at in np.split(order, np.flatnonzero(np.diff(side[order])) + 1)]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=_seeds.PACKED)
 
         bytes_held = 0
@@ -68,18 +70,19 @@ def _open_reaches(window: int, n: int, most: int = 8 << 20):
             data, offsets = utf8(b["text"])
             row, open_ = spread(b["open"])
             lo, hi, seed, kinds = (open_.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "end", "seed", "kinds"))
-            doc = b["doc_id"].to_numpy()[row]
+            doc, own = b["doc_id"].to_numpy()[row], b["own"].to_numpy()[row]
             hot = kinds > MANY
             if hot.any():
                 size = (hi - lo)[hot] + 1
-                at = ranges(lo[hot] + offsets[row[hot]], size)
-                what = ngrams(data, window)[at]
-                rows = np.repeat(row[hot], size)
-                yield from single.add(_seeds.Reaches(what, what, b["doc_id"].to_numpy()[rows], at - offsets[rows], np.zeros(len(at), np.int64), np.zeros(len(at), bool)))
+                some = data[ranges(lo[hot] + offsets[row[hot]], size + window - 1)]
+                at = ranges(np.cumsum(size + window - 1) - (size + window - 1), size)  # where windows of the reaches begin in some
+                which, start = np.repeat(np.flatnonzero(hot), size), ranges(lo[hot], size)
+                seeds, whats = ngrams(some, window)[at], ngrams(mix(some.astype(np.uint64) ^ _OTHER), window)[at]  # 128 bits together
+                yield from single.add(_seeds.Reaches(seeds, whats, doc[which], own[which], start, np.zeros(len(at), np.int64), np.zeros(len(at), bool)))
             cold = ~hot
             size = (hi - lo)[cold] + window
             if len(size):
-                held.append((seed[cold], doc[cold], lo[cold], size, data[ranges(lo[cold] + offsets[row[cold]], size)]))
+                held.append((seed[cold], doc[cold], own[cold], lo[cold], size, data[ranges(lo[cold] + offsets[row[cold]], size)]))
                 bytes_held += int(size.sum())
                 if bytes_held > most:
                     yield from sent()
@@ -91,8 +94,8 @@ def _open_reaches(window: int, n: int, most: int = 8 << 20):
     return run
 
 
-def later_windows(doc: np.ndarray, lo: np.ndarray, size: np.ndarray, text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of reaches (size bytes of doc from lo; text holds them one after the other): the windows whose bytes also start earlier."""
+def later_windows(doc: np.ndarray, own: np.ndarray, lo: np.ndarray, size: np.ndarray, text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of reaches (size bytes of a document from lo; text holds them one after the other): the windows whose bytes also start earlier."""
     ended = np.full(int(size.sum()) + len(size), END, np.uint8)
     row = np.repeat(np.arange(len(size)), size)
     ended[np.arange(len(text)) + row] = text
@@ -104,13 +107,14 @@ def later_windows(doc: np.ndarray, lo: np.ndarray, size: np.ndarray, text: np.nd
     piece = np.cumsum(shared[sa] < window)
     starts = inner[sa] + window <= size[owner[sa]]  # a whole window begins here
     sa, piece = sa[starts], piece[starts]
-    at_doc, at_place = doc[owner[sa]], lo[owner[sa]] + inner[sa]
-    order = np.lexsort((at_place, at_doc, piece))
-    at_doc, at_place = at_doc[order], at_place[order]
+    at = owner[sa]
+    where = doc[at], own[at], lo[at] + inner[sa]
+    order = np.lexsort((*where[::-1], piece))
+    where = tuple(x[order] for x in where)
     new = group_starts(piece[order])
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = (at_doc != at_doc[head]) | (at_place != at_place[head])
-    return at_doc[later], at_place[later]
+    later = np.logical_or.reduce([x != x[head] for x in where])
+    return tuple(x[later] for x in where)
 
 
 def _sorted_shards(window: int, n: int):
@@ -124,12 +128,11 @@ def _sorted_shards(window: int, n: int):
             for blob in b["blob"].filter(pa.array(bucket >= n)):
                 raw = blob.as_buffer()
                 m = int(np.frombuffer(raw, "<i8", 1)[0])
-                parts.append((*np.frombuffer(raw, "<i8", 4 * m, 8).reshape(4, m), np.frombuffer(raw, np.uint8, offset=8 + 32 * m)))
+                parts.append((*np.frombuffer(raw, "<i8", 5 * m, 8).reshape(5, m), np.frombuffer(raw, np.uint8, offset=8 + 40 * m)))
         yield from _seeds.reduce(window, keep_first=True)(iter(single))
         if not parts:
             return
-        seed, doc, lo, size = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        text = np.concatenate([p[4] for p in parts])
+        seed, doc, own, lo, size, text = (np.concatenate([p[k] for p in parts]) for k in range(6))
         del parts
         first = np.cumsum(size) - size
         order = np.argsort(seed, kind="stable")
@@ -142,8 +145,8 @@ def _sorted_shards(window: int, n: int):
                 begin = int(z)
         for a, z in zip(cut, [*cut[1:], len(order)], strict=True):
             at = order[a:z]
-            d, p = later_windows(doc[at], lo[at], size[at], text[ranges(first[at], size[at])], window)
-            yield _seeds._told(*_seeds.joined(d, p, p + window))
+            d, o, p = later_windows(doc[at], own[at], lo[at], size[at], text[ranges(first[at], size[at])], window)
+            yield _seeds.told(*_seeds.joined(d, o, p, p + window))
 
     return run
 
@@ -153,7 +156,7 @@ def _remains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(b["text"])
         row, spans = spread(b["spans"].fill_null([]))
         start, end = (spans.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "end"))
-        row, start, end = _seeds.joined(row, start, end)
+        row, _, start, end = _seeds.joined(row, row, start, end)
         cut = np.searchsorted(row, np.arange(len(offsets)))
         raw, removed, digest = data.tobytes(), [], []
         for r, (a, z) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
@@ -168,28 +171,31 @@ def _remains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, text) with `spans`: array of (start, end) in bytes that are covered by windows which also start earlier; null: none.
+    """doc_id, text and `spans` of docs (doc_id, text): array of (start, end) in bytes that are covered by windows which also start earlier; null: none.
 
     Earlier is a smaller doc_id, or an earlier start in the same document. The spans of a document may overlap and come in
-    any order. Rows that repeat a doc_id are one document; a row without doc_id has no spans.
+    any order. Rows that repeat doc_id and text are one document, other rows with one doc_id are documents of their own,
+    in the order of a digest of their texts; a row without doc_id has no spans.
     """
-    rows = _rows(docs)
+    rows = documents(docs)
     known = rows.filter("doc_id is not null")  # both joins below read one exchange of these
     n = buckets(docs)
     packed = known.mapInArrow(_reaches(window, seed, n), _seeds.PACKED_DDL)
     told = _store.written(packed.repartition("bucket").mapInArrow(_seeds.reduce(window, keep_first=True), _seeds.TOLD_DDL), "told")
-    open_ = told.filter("seed is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "seed", "kinds")).alias("open"))
-    sent = known.join(open_, "doc_id").mapInArrow(_open_reaches(window, n), _seeds.PACKED_DDL)
+    open_ = told.filter("seed is not null").groupBy("doc_id", "own").agg(F.collect_list(F.struct("start", "end", "seed", "kinds")).alias("open"))
+    sent = known.join(open_, ["doc_id", "own"]).mapInArrow(_open_reaches(window, n), _seeds.PACKED_DDL)
     exact = sent.repartition("bucket").mapInArrow(_sorted_shards(window, n), _seeds.TOLD_DDL)
-    spans = told.filter("seed is null").unionByName(exact).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = told.filter("seed is null").unionByName(exact).groupBy("doc_id", "own").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     nameless = rows.filter("doc_id is null").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    return known.join(spans, "doc_id", "left").unionByName(nameless)
+    return known.join(spans, ["doc_id", "own"], "left").unionByName(nameless).drop("own")
 
 
 def remove_later(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of each row of docs (doc_id long, text).
 
     Each byte covered by a `window`-byte string that also starts earlier is removed; the rest is hashed. Null, empty and
-    short texts lose nothing; other columns are ignored; an empty table gives no rows.
+    short texts lose nothing; a row without doc_id loses nothing and makes no others lose anything; rows that repeat
+    doc_id and text are one document and lose the same, with other texts they are documents of their own; other columns
+    are ignored; an empty table gives no rows.
     """
     return with_spans(docs, window, seed).mapInArrow(_remains, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
