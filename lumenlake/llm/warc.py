@@ -2,7 +2,8 @@
 
 Reading plans whole files into partitions of bounded size. Predicates on the record type and on headers that are columns are
 pushed down: a reader parses a record's headers first and seeks over the block of one that fails, without reading or
-decoding its payload. Writing commits by manifest, so files of failed or repeated tasks are never read.
+decoding its payload. Each write commits by a manifest of its own, so files of failed or repeated tasks are never read,
+later writes add to earlier ones, and an overwrite takes the place of them only when it commits.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql.datasource import (
 
 from . import _store
 
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 PARTITION_BYTES = 32 << 20
 #: Smaller payloads are never revisits.
 LEAST_REVISIT = 1000
@@ -179,6 +180,16 @@ def read_records(stream: IO[bytes], path: str, tests: list, payload: bool = True
         offset += size + length + 4
 
 
+def _manifests(fs: pafs.FileSystem, root: str) -> dict[str, list[str]]:
+    """The files that each committed write has named, by manifest."""
+    found = {}
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith(MANIFEST):
+            with fs.open_input_stream(f.path) as m:
+                found[f.base_name] = json.loads(m.read())
+    return found
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -199,10 +210,10 @@ class WarcReader(DataSourceReader):
         info = fs.get_file_info(root)
         if info.type == pafs.FileType.File:
             return [Files((self.path,))]
-        files = [f for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith((".warc", ".warc.gz"))]
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as m:
-                named = set(json.loads(m.read()))
+        every = fs.get_file_info(pafs.FileSelector(root))
+        files = [f for f in every if f.base_name.endswith((".warc", ".warc.gz"))]
+        if manifests := _manifests(fs, root):
+            named = {name for own in manifests.values() for name in own}
             files = [f for f in files if f.base_name in named]
         out: list[Files] = []
         held: list[str] = []
@@ -276,8 +287,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows with record_type, headers (list of name and value) and block, in files of one task each."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _open(self.path)
@@ -294,8 +305,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as m:
-            m.write(json.dumps([x.name for x in messages if x and x.name]).encode())
+        before = fs.get_file_info(pafs.FileSelector(root)) if self.overwrite else []
+        names = [x.name for x in messages if x and x.name]
+        with fs.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as m:
+            m.write(json.dumps(names).encode())
+        for f in sorted(before, key=lambda f: not f.base_name.startswith(MANIFEST)):  # manifests first, so no file is named that is gone
+            if f.type == pafs.FileType.File and f.base_name not in names:
+                fs.delete_file(f.path)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = _open(self.path)
@@ -318,7 +334,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options)["path"])
+        return WarcWriter(dict(self.options)["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -333,7 +349,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for r in b.slice(k, 256).to_pylist():
                 name = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
-                headers = {"WARC-Record-ID": name(r["page_id"]), "WARC-Date": "2000-01-01T00:00:00Z", "WARC-Target-URI": r["url"], "WARC-Payload-Digest": sha1_label(r["digest"]), "Content-Type": "application/http;msgtype=response", "X-Page-Id": r["page_id"], "X-Payload-Length": r["size"]}
+                headers = {"WARC-Record-ID": name(r["page_id"]), "WARC-Date": "2000-01-01T00:00:00Z", "WARC-Target-URI": r["url"], "WARC-Payload-Digest": sha1_label(r["digest"]), "Content-Type": "application/http;msgtype=response", "X-Page-Id": r["page_id"], "X-Payload-Length": r["size"], "X-Payload-Sha1": r["digest"]}
                 if r["response_id"] is not None:
                     headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": name(r["response_id"]), "X-Refers-To-Page-Id": r["response_id"]}
                     rows.append(("revisit", headers, http_block(None)))
@@ -343,11 +359,12 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
-    """Archive pages (page_id long, url, html) at path, a response or revisit record each.
+    """Archive pages (page_id long, url, html) at path, a response or revisit record each, beside what is there already.
 
     Of pages with equal payloads of at least LEAST_REVISIT bytes the one with the largest page_id is the response and the
     others revisit it; rows that repeat that page_id are responses too. Null html is an empty payload; a null url leaves
-    its header out; a null page_id is never the response of others.
+    its header out; a null page_id is never the response of others and its record names no page; an empty table writes
+    no record; other columns are ignored.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
@@ -362,14 +379,17 @@ def write_pages(pages: DataFrame, path: str) -> None:
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Archive pages in the shared folder and describe them from the archives read back.
+    """Archive pages in the shared folder and describe them from the archives read back, a row for each row of pages.
 
     Returns page_id, payload_bytes, payload_digest (hex SHA-1), record_type and refers_to (the response's page_id, null for
     responses); lengths and digests of responses are those of the decoded payloads, of revisits those in their headers.
+    Null html is an empty payload; page_id may be null or repeated, and equal large payloads of which none has a page_id
+    are all responses; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     path = _store.new_path(spark, "warc")
-    write_pages(pages, path)
+    with _store.scope():
+        write_pages(pages, path)
 
     def records(kind: str, payload: str) -> DataFrame:
         # Scans of one loaded DataFrame share what was pushed down last, so each branch loads its own.
@@ -378,7 +398,6 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     def number(name: str) -> Column:
         return F.col("headers").getItem(name).cast("long")
 
-    label = F.udf(sha1_hex, "string")
     responses = records("response", "true").select(number("x-page-id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    revisits = records("revisit", "false").select(number("x-page-id").alias("page_id"), number("x-payload-length").alias("payload_bytes"), label("payload_digest").alias("payload_digest"), "record_type", number("x-refers-to-page-id").alias("refers_to"))
+    revisits = records("revisit", "false").select(number("x-page-id").alias("page_id"), number("x-payload-length").alias("payload_bytes"), F.col("headers").getItem("x-payload-sha1").alias("payload_digest"), "record_type", number("x-refers-to-page-id").alias("refers_to"))
     return responses.unionByName(revisits)
