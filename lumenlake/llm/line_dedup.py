@@ -5,6 +5,7 @@ similarity of 0.75 or more. Tokens are ordered by rarity, from counts over all l
 hash. Lines with equal token sets are one set, represented by its first line. Two similar sets share a token in their
 prefixes of n - ceil(0.75 n) + 1 rarest tokens (prefix filter); a shared token at places i and j leaves room for at most
 1 + min(n - i, m - j) common tokens (positional filter), and neither set is much longer than the other (length filter).
+So in the shorter set the token is among the first seventh, and tokens without such a place in any set are left out.
 What passes is verified on the full token sets.
 
 A set that many lines nearly repeat would pair with all of them. So the sets of a prefix token are first compared with two
@@ -22,47 +23,62 @@ from pyspark.sql import functions as F
 from . import _store
 
 SHINGLE = 5
-#: Lines with fewer words are never removed.
-MIN_WORDS = 3
+#: Lines with fewer words are never removed: only those without any.
+MIN_WORDS = 1
 #: Similarity as a fraction.
 NUMER, DENOM = 3, 4
 #: Cells of the table of token counts.
 CELLS = 1 << 16
-#: A place in the corpus is doc_id * LINES + line number.
-LINES = 1_000_000_000
+#: The row of a line: repeated doc_ids are told apart by a digest of the text.
+ROW = ["doc_id", "digest"]
+PLACE = [*ROW, "line_no"]
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
+def _hashes(line: Column) -> Column:
+    """A hash of each word."""
+    return F.transform(F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
 
 
-def _tokens(words: Column) -> Column:
-    """Distinct hashes of the shingles."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i, SHINGLE))))
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.split(text, "\n").alias("lines")).filter("doc_id is not null and lines is not null")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no and the words of each line that can be removed."""
-    text = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return text.select("doc_id", "line_no", _words(F.col("line")).alias("words")).filter(F.size("words") >= MIN_WORDS)
+def _with_tokens(lines: DataFrame) -> DataFrame:
+    """lines with `tokens` instead of their words' hashes `h`: distinct hashes of the shingles.
+
+    A shingle's hash is that of two runs of three words that overlap in one. Every step is a projection of its own, so
+    that none is evaluated twice.
+    """
+    three = F.transform("h", lambda h, i: F.xxhash64(h, F.get("h", i + 1), F.get("h", i + 2)))
+    rest = [c for c in lines.columns if c != "h"]
+    lines = lines.select(*rest, three.alias("h"))
+    starts = F.slice("h", F.lit(1), F.greatest(F.size("h") - (SHINGLE - 1), F.lit(1)))
+    return lines.select(*rest, F.array_distinct(F.transform(starts, lambda t, i: F.xxhash64(t, F.get("h", i + 2)))).alias("tokens"))
+
+
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, digest, line_no and the hashes of words (h) of each line that can be removed."""
+    every = _rows(docs).select(*ROW, F.posexplode("lines").alias("line_no", "line"))
+    return every.select(*PLACE, _hashes(F.col("line")).alias("h")).filter(F.size("h") >= max(min_words, 1))
 
 
 def _rarity(lines: DataFrame) -> Column:
-    """A byte for each cell of token hashes, eight in a long: how often its tokens occur, in eighths of a power of two."""
-    cells = lines.select(F.explode(_tokens(F.col("words"))).alias("token")).groupBy(F.pmod("token", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("n"))
-    table = bytearray(CELLS)
+    """A number for each cell of token hashes: how often its tokens occur in all lines, in eighths of a power of two, as the high byte of a long."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - SHINGLE, F.lit(0)))
+    each = lines.select("h", F.explode(starts).alias("i"))
+    three = [F.xxhash64(*(F.get("h", F.col("i") + k) for k in range(at, at + 3))) for at in (0, 2)]
+    cells = each.select(F.xxhash64(*three).bitwiseAND(CELLS - 1).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    table = [0] * CELLS
     for cell, n in cells.collect():  # at most CELLS rows
         table[cell] = min(255, int(8 * math.log2(n)))
-    packed = (int.from_bytes(table[i : i + 8], "little", signed=True) for i in range(0, CELLS, 8))
-    return F.expr(f"from_json('[{','.join(map(str, packed))}]', 'array<bigint>')")  # a constant, which the optimizer folds
+    high = (((x << 55) + 2**63) % 2**64 - 2**63 for x in table)
+    return F.expr(f"from_json('[{','.join(map(str, high))}]', 'array<bigint>')")  # a constant, which the optimizer folds
 
 
 def _ranked(token: Column, table: Column) -> Column:
     """A number that orders tokens by the byte of their cell, then by hash."""
-    cell = F.pmod(token, F.lit(CELLS)).cast("int")
-    byte = F.call_function("shiftright", F.get(table, F.call_function("shiftright", cell, F.lit(3))), cell.bitwiseAND(F.lit(7)) * 8).bitwiseAND(F.lit(255))
-    return F.shiftleft(byte, 55).bitwiseOR(F.shiftrightunsigned(token, 9))
+    return F.get(table, token.bitwiseAND(CELLS - 1)).bitwiseOR(F.shiftrightunsigned(token, 9))
 
 
 def _least_overlap(n: Column, m: Column) -> Column:
@@ -70,41 +86,40 @@ def _least_overlap(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * NUMER / F.lit(NUMER + DENOM))
 
 
-def _full(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """place and all tokens of the lines at places: their documents are read again, and only those lines are kept."""
-    number = F.pmod("place", F.lit(LINES)).cast("int")
-    wanted = places.select(F.floor(F.col("place") / LINES).cast("long").alias("doc_id"), number.alias("line_no")).groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
-    some = docs.join(wanted, "doc_id").select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    some = some.filter(F.array_contains("wanted", F.col("line_no"))).select(_place().alias("place"), _words(F.col("line")).alias("words"))
-    return some.select("place", _tokens(F.col("words")).alias("tokens"))
-
+def _full(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """first and all tokens of the lines at firsts: their documents are read again, and only those lines are looked at."""
+    wanted = firsts.select("first.*").groupBy(*ROW).agg(F.collect_set("line_no").alias("wanted"))
+    some = _rows(docs).join(wanted, ROW).select(*ROW, "lines", F.explode("wanted").alias("line_no"))
+    some = some.select(*PLACE, F.get("lines", F.col("line_no")).alias("line")).groupBy(*PLACE).agg(F.first("line").alias("line"))  # repeated rows
+    return _with_tokens(some.select(F.struct(*PLACE).alias("first"), _hashes(F.col("line")).alias("h")))
 
-def _place() -> Column:
-    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(30,0)")
 
-
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and line_no (from 0) of each line of docs (doc_id long, text) that is similar to an earlier line.
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, digest (of the text) and line_no (from 0) of each line of docs (doc_id long, text) that is similar to an earlier line.
 
     Earlier is a smaller doc_id, or an earlier line of the same document; lines are judged on the input, so a removed line
-    still removes later ones. Lines end at line feeds; words are runs of non-space characters. Lines of fewer than
-    MIN_WORDS words are never removed. Rows that repeat a doc_id are one document; rows without doc_id or text have no
-    lines here; an empty table gives no rows; other columns are ignored.
+    still removes later ones. Lines end at line feeds; words are runs of non-space characters. Lines without words, or with
+    fewer than min_words, are never removed. Rows that repeat doc_id and text are one document, with other texts they are
+    documents of their own in the order of their digests; rows without doc_id or text have no lines here; an empty
+    table gives no rows; other columns are ignored. Written tables of its work remain: call it in a `_store.scope`.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = _lines(docs)
+    lines = _lines(docs, min_words)
     table = _rarity(lines)
-    ordered = F.sort_array(F.transform(_tokens(F.col("words")), lambda t: _ranked(t, table)))
+    ordered = _with_tokens(lines).select(*PLACE, F.sort_array(F.transform("tokens", lambda t: _ranked(t, table))).alias("o"))
     kept = F.col("n") - F.ceil(F.col("n") * NUMER / F.lit(DENOM)).cast("int") + 1
-    rows = lines.select(_place().alias("place"), ordered.alias("o")).select("place", F.size("o").alias("n"), F.xxhash64("o").alias("set"), "o")
-    rows = rows.select("place", "n", "set", F.transform(F.slice("o", F.lit(1), kept), lambda x: F.hash(x)).alias("prefix"))
-    rows = _store.written(rows, "lines")
-    firsts = _store.written(rows.groupBy("set", "n").agg(F.min("place").alias("first"), F.count("*").alias("copies")), "firsts")
+    rows = ordered.select(*PLACE, F.size("o").alias("n"), F.xxhash64("o").alias("set"), F.xxhash64(F.lit(0), "o").alias("also"), "o")
+    rows = _store.written(rows.select(*PLACE, "n", "set", "also", F.transform(F.slice("o", F.lit(1), kept), lambda x: F.hash(x)).alias("prefix")), "lines")
+    firsts = rows.groupBy("set", "also", "n").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
+    firsts = _store.written(firsts, "firsts")
 
-    token = rows.select("set", "n", "prefix").distinct().select("set", "n", F.posexplode("prefix").alias("i", "token"))
     group = Window.partitionBy("token")
-    shared = _store.written(token.withColumn("of", F.count("*").over(group)).filter("of > 1").drop("of"), "tokens")
-    shared = shared.join(firsts, ["set", "n"]).select("token", "i", "n", "first", "copies")
+    token = firsts.select("set", "n", F.posexplode("prefix").alias("i", "token"))
+    short = F.col("i") * (NUMER + DENOM) <= F.col("n") * (DENOM - NUMER)
+    token = token.withColumn("of", F.count("*").over(group)).withColumn("short", F.count_if(short).over(group)).withColumn("least", F.min("n").over(group))
+    # the greatest set that can be similar, if it has the token at its first place, is at least the least one
+    token = token.filter((F.col("of") > 1) & (F.col("short") > 0) & (F.col("least") * NUMER <= (NUMER + DENOM) * (F.col("n") - F.col("i")) - F.col("n") * NUMER))
+    shared = _store.written(token.select("token", "i", "n", "set"), "tokens")
+    shared = shared.join(firsts.select("set", "n", "first", "copies"), ["set", "n"]).select("token", "i", "n", "first", "copies")
     shared = shared.withColumn("earliest", F.min(F.struct("first", "n", "i")).over(group)).withColumn("common", F.max(F.struct("copies", "first", "n", "i")).over(group))
     shared = _store.written(shared, "shared")
 
@@ -115,7 +130,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         room = F.lit(1) + F.least(an - 1 - ai, bn - 1 - bi)
         return (F.col(f"{a}_first") < F.col(f"{b}_first")) & (room >= need) & (F.least(an, bn) * DENOM >= F.greatest(an, bn) * NUMER)
 
-    full = _store.written(_full(docs, shared.select(F.col("first").alias("place"))), "full")  # of all sets that can be similar to another
+    full = _store.written(_full(docs, shared.select("first").distinct()), "full")  # of all sets that can be similar to another
     later = [F.col(x).alias(f"b_{x}") for x in ("first", "n", "i")]
 
     def found(pairs: DataFrame) -> DataFrame:
@@ -135,26 +150,46 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     two = found(rest.join(every, "token").filter(passes("a", "b")))
     matched = one.union(two).withColumnRenamed("b_first", "first").distinct()
 
-    marked = _store.written(firsts.join(matched.withColumn("gone", F.lit(True)), "first", "left").filter("gone or copies > 1"), "marked")
-    again = _store.lookup(rows.select("set", "n", "place"), marked, ["set", "n"], "copies").filter("gone or place > first")
-    return again.select(F.floor(F.col("place") / LINES).cast("long").alias("doc_id"), F.pmod("place", F.lit(LINES)).cast("int").alias("line_no")).distinct()
+    marked = firsts.drop("prefix").join(matched.withColumn("gone", F.lit(True)), "first", "left").filter("gone or copies > 1")
+    marked = _store.written(marked, "marked")
+    again = _store.lookup(rows.drop("prefix"), marked, ["set", "also", "n"], "copies").filter(F.col("gone") | (F.struct(*PLACE) > F.col("first")))
+    return again.select(*PLACE).distinct()
+
 
+def _removed(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, digest and the sorted numbers of removed lines (gone), as a written table."""
+    with _store.scope():
+        gone = removed_lines(docs, min_words).groupBy(*ROW).agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
+        return _store.result(gone, "gone")
 
-def _removed(docs: DataFrame) -> DataFrame:
-    return removed_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
 
+def summary(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, n_lines, n_removed and the removed lines' numbers, joined by commas, of each row of docs (doc_id long, text).
 
-def summary(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed and the removed lines' numbers, joined by commas, of each row of docs. A null text has no lines."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split("text", "\n")).alias("n")).select("doc_id", F.when(F.col("n") > 0, F.col("n")).otherwise(0).cast("long").alias("n_lines"))
-    gone = _store.written(_removed(docs), "gone")
-    return rows.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
+    A null text has no lines, an empty one has one; a row without doc_id loses none; repeated rows get equal values; an
+    empty table gives no rows; other columns are ignored.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.size(F.split(text, "\n")).alias("n"))
+    rows = rows.select(*ROW, F.when(F.col("n") > 0, F.col("n")).otherwise(0).cast("long").alias("n_lines"))
+    return rows.join(_removed(docs, min_words), ROW, "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (all columns) without the removed lines; a document that loses lines and has no word left goes."""
-    gone = _store.written(_removed(docs).withColumnRenamed("gone", "_gone"), "gone")
-    lines = F.split("text", "\n")
-    text = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    left = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text))
-    return left.filter(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs (doc_id long, text and any other columns, which stay as they are) without the removed lines.
+
+    A document that loses lines and has no word left goes; null, empty and blank texts and rows without doc_id stay;
+    repeated rows lose the same lines; an empty table gives no rows.
+    """
+    names = docs.columns
+    own, gone = "__digest", "__gone"
+    while {own, gone} & set(names):
+        own, gone = f"_{own}", f"_{gone}"
+    lost = _removed(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), F.col("gone").alias(gone))
+    text = F.col("text").cast("string")
+    left = docs.withColumn(own, F.xxhash64(text))
+    left = left.join(lost, (left["doc_id"].cast("long") == lost["__id"]) & (left[own] == lost["__of"]), "left").withColumn(own, F.split(text, "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(own), i)), "\n"))
+    left = left.withColumn("text", text)
+    return left.filter(F.col(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*names)

@@ -39,7 +39,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id) LEFT JOIN k USING (doc_i
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no FROM d),
 w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
-k AS (SELECT doc_id, line_no, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS tokens FROM w WHERE len(w) >= 3),
+k AS (SELECT doc_id, line_no, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS tokens FROM w WHERE len(w) >= 1),
 s AS (SELECT tokens, min(doc_id * 1000000 + line_no) AS first, row_number() OVER () AS id FROM k GROUP BY tokens),
 t AS (SELECT id, first, len(tokens) AS n, unnest(tokens) AS token FROM s),
 pairs AS (SELECT b.id, a.id AS earlier, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common FROM t a JOIN t b ON a.token = b.token AND a.first < b.first GROUP BY ALL),
