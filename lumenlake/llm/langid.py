@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         if model.key not in _scorers and model.langs:
             _scorers.clear()  # one model at a time in a worker
             _scorers[model.key] = Scorer(model)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             texts = batch["text"].to_pylist()
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             known = np.array([any(map(str.isalpha, t or "")) for t in texts], bool) & bool(model.langs)
