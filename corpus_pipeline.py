@@ -17,29 +17,50 @@ from lumenlake.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: those that the model can't assign (null, or without a letter) go."""
-    return predict(docs, train(docs)).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Documents whose text has a language, with that language where `lang` is null; the others go.
+
+    Rejected are texts that the model can't assign: null, empty or without a letter, and every text if no row is labelled.
+    Repeated rows fare alike; an empty table stays empty; other columns stay as they are.
+    """
+    found = predict(docs, train(docs)).filter(F.col("lang_pred") != UNKNOWN)
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return found.withColumn("lang", F.coalesce("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType))).select(*names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, nearly or exactly, go; so do documents that have no word left then."""
+    """Lines that repeat an earlier line, nearly or exactly, go; so do documents that lose lines and have no word left.
+
+    n_chars, where there is such a column, follows the text. Null and empty texts and null doc_ids stay; repeated rows
+    fare alike; an empty table stays empty; other columns stay as they are.
+    """
     left = dedup_lines(docs)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least doc_id."""
-    gone = _store.written(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "near")
+    """One document of each group of near duplicates stays, that with the least doc_id.
+
+    Null, empty and blank texts and null doc_ids are in no group and stay; of rows that repeat a doc_id all stay or go;
+    an empty table stays empty; all columns stay as they are.
+    """
+    with _store.scope():
+        gone = _store.result(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "near")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that copy a benchmark item go."""
+    """Documents that copy a benchmark item go.
+
+    Null and empty texts and null doc_ids stay; repeated rows fare alike; an empty table or benchmark changes nothing; all
+    columns stay as they are.
+    """
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces and their places in sequences."""
+    """Every document's pieces and their places in sequences; null and empty texts are one token, repeated rows are packed each."""
     return pack(docs, tokenizer_path())
 
 
@@ -56,7 +77,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed sequences of documents. A stage's own tables, and its input, go as soon as its output is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = _store.written(stage(spark, docs, sf_dir), name)
+        with _store.scope():
+            docs = _store.result(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            _store.drop(before)
+        before = docs
     return docs
