@@ -22,9 +22,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rejected are texts that the model can't assign: null, empty or without a letter, and every text if no row is labelled.
     Repeated rows fare alike; an empty table stays empty; other columns stay as they are.
     """
-    found = predict(docs, train(docs)).filter(F.col("lang_pred") != UNKNOWN)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return found.withColumn("lang", F.coalesce("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType))).select(*names)
+    own = {c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}  # names that predictions take
+    found = predict(docs.withColumnsRenamed(own), train(docs)).filter(F.col("lang_pred") != UNKNOWN)
+    found = found.withColumn("lang", F.coalesce("lang", F.col("lang_pred").cast(docs.schema["lang"].dataType))).drop("lang_pred", "score")
+    return found.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
