@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -94,8 +95,13 @@ def result(df: DataFrame, name: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go when the driver's garbage is collected, which a large heap puts off: do it now."""
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files of finished jobs go when the driver's garbage is collected, which a large heap puts off: do it now.
+
+    The first collection lets go of the plan, the next one of the shuffles that only the plan held.
+    """
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner", share: int = 1000) -> DataFrame:

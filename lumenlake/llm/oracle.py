@@ -51,23 +51,30 @@ SELECT d.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(o.n, 0)::B
     "op9_lm_scoring": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
-p AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM t),
+p AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before, lag(word, 2) OVER (PARTITION BY doc_id ORDER BY i) AS first FROM t),
 own1 AS (SELECT doc_id, word, count(*) AS n FROM t GROUP BY ALL),
 all1 AS (SELECT word, sum(n) AS n FROM own1 GROUP BY ALL),
 own2 AS (SELECT doc_id, before, word, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY ALL),
 all2 AS (SELECT before, word, sum(n) AS n FROM own2 GROUP BY ALL),
+own3 AS (SELECT doc_id, first, before, word, count(*) AS n FROM p WHERE first IS NOT NULL GROUP BY ALL),
+all3 AS (SELECT first, before, word, sum(n) AS n FROM own3 GROUP BY ALL),
 size AS (SELECT doc_id, len(w) AS n, sum(len(w)) OVER () AS total FROM d),
 x AS (
-  SELECT p.doc_id, p.before,
-    all1.n - own1.n AS c, prev.n - mine.n AS b, all2.n - own2.n AS pair,
+  SELECT p.doc_id, p.before, p.first,
+    all1.n - own1.n AS c, prev.n - mine.n AS b, all2.n - own2.n AS pair, pairs.n - both.n AS bb, all3.n - own3.n AS three,
     greatest(size.total - size.n, 1) AS total
   FROM p JOIN size USING (doc_id)
   JOIN own1 ON own1.doc_id = p.doc_id AND own1.word = p.word JOIN all1 ON all1.word = p.word
   LEFT JOIN own1 mine ON mine.doc_id = p.doc_id AND mine.word = p.before LEFT JOIN all1 prev ON prev.word = p.before
   LEFT JOIN own2 ON own2.doc_id = p.doc_id AND own2.before = p.before AND own2.word = p.word
-  LEFT JOIN all2 ON all2.before = p.before AND all2.word = p.word),
-s AS (SELECT doc_id, sum(log10(CASE WHEN pair > 0 THEN pair::DOUBLE / b
-  ELSE (CASE WHEN before IS NULL THEN 1 ELSE 0.4 END)::DOUBLE * (CASE WHEN c > 0 THEN c ELSE 0.4 END)::DOUBLE / total END)) AS total_log FROM x GROUP BY ALL)
+  LEFT JOIN all2 ON all2.before = p.before AND all2.word = p.word
+  LEFT JOIN own2 both ON both.doc_id = p.doc_id AND both.before = p.first AND both.word = p.before
+  LEFT JOIN all2 pairs ON pairs.before = p.first AND pairs.word = p.before
+  LEFT JOIN own3 ON own3.doc_id = p.doc_id AND own3.first = p.first AND own3.before = p.before AND own3.word = p.word
+  LEFT JOIN all3 ON all3.first = p.first AND all3.before = p.before AND all3.word = p.word),
+y AS (SELECT *, CASE WHEN pair > 0 THEN pair::DOUBLE / b
+  ELSE (CASE WHEN before IS NULL THEN 1 ELSE 0.4 END)::DOUBLE * (CASE WHEN c > 0 THEN c ELSE 0.4 END)::DOUBLE / total END AS two FROM x),
+s AS (SELECT doc_id, sum(log10(CASE WHEN three > 0 THEN three::DOUBLE / bb WHEN first IS NULL THEN two ELSE 0.4::DOUBLE * two END)) AS total_log FROM y GROUP BY ALL)
 SELECT size.doc_id, size.n::BIGINT AS n_words, round(s.total_log / size.n, 6) AS score FROM size LEFT JOIN s USING (doc_id)
 """,
 }

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumenlake.llm import decontaminate, langid, lm_score, mpegts, packing, warc
 from lumenlake.llm.queries import tokenizer_path
@@ -42,7 +43,43 @@ def test_triples_are_searched_to_the_end():
     counts = np.zeros(2049, np.int64)
     steps = [0, 1, 3, 4, 9, 10, 12, 13, 27]  # none is midway between two others
     counts[[1000, 400, 348, 300, *(500 - k for k in steps), *(48 + 2 * k for k in steps)]] = 1
-    assert ([(300, 1), (348, 1), (400, 1), (1000, 1)], 1) in packing.plan(counts, 2048)
+    assert packing._exact(counts.copy(), 2048, 3)
+    left = counts.copy()
+    packing._exact(left, 2048, 3)
+    assert left[1000] == 0
+
+
+def _best_fit(counts, capacity):
+    """Sequences by plain best fit, a piece at a time."""
+    room = []
+    for length in range(capacity, 0, -1):
+        for _ in range(int(counts[length])):
+            fits = [r for r in room if r >= length]
+            if fits:
+                room.remove(min(fits))
+            room.append((min(fits) if fits else capacity) - length)
+    return len(room)
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_plan_is_never_worse_than_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.choice([64, 256, 2048]))
+    kind = seed % 4
+    if kind == 0:
+        lengths = rng.integers(1, capacity + 1, 500)
+    elif kind == 1:
+        lengths = np.clip(rng.lognormal(np.log(capacity / 5), 1, 600).astype(int), 1, capacity)
+    elif kind == 2:
+        lengths = rng.choice(rng.integers(1, capacity + 1, 9), 400)
+    else:
+        lengths = rng.integers(capacity // 4, capacity // 2 + 2, 500)
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    n = sum(k for _, k in packing.plan(counts, capacity))
+    bound = max(-(-int(lengths.sum()) // capacity), int((lengths > capacity // 2).sum()))
+    assert bound <= n <= _best_fit(counts, capacity)
+    if kind == 1:
+        assert n <= bound + 2
 
 
 def test_packing(docs, rows):
@@ -81,6 +118,28 @@ def test_warc(spark):
     assert {p: got[p].refers_to for p in got if got[p].record_type == "revisit"} == {1: 7, 3: 7}
 
 
+def test_warc_of_odd_pages(spark):
+    """Repeated and missing ids, clashing names, no pages at all."""
+    big = "z" * 1500
+    rows = [(1, big), (1, big), (2, big), (2, big), (None, big), (None, None), (3, "y" * 1200)]
+    df = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'u' as url", "1 as digest", "2 as size", "'x' as headers", "3 as copies")
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect())
+    assert got == [(0, 0, "response", None), (0, 1500, "revisit", 2), (1, 1500, "revisit", 2), (1, 1500, "revisit", 2), (2, 1500, "response", None), (2, 1500, "response", None), (3, 1200, "response", None)]
+    assert warc.archive_round_trip(df.filter("page_id = 99")).collect() == []
+
+
+def test_warc_appends_and_overwrites(spark, tmp_path):
+    warc.register(spark)
+    at = str(tmp_path / "archive")
+    page = lambda k: spark.createDataFrame([(k, "u", f"page {k}")], "page_id long, url string, html string")
+    ids = lambda: sorted(r.headers["x-page-id"] for r in spark.read.format("warc").load(at).collect())
+    for k in (1, 2):
+        warc.write_pages(page(k), at)
+    assert ids() == ["1", "2"]
+    spark.createDataFrame([("response", {"X-Page-Id": "3"}, bytearray(b"x"))], "record_type string, headers map<string,string>, block binary").write.format("warc").mode("overwrite").save(at)
+    assert ids() == ["3"] and len(list((tmp_path / "archive").iterdir())) == 2
+
+
 def test_warc_skips_what_is_not_wanted(spark, tmp_path):
     broken = warc.record("response", {"WARC-Target-URI": "http://bad", "Content-Type": "application/http"}, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\nnot gzip")
     good = warc.record("response", {"WARC-Target-URI": "http://good", "Content-Type": "application/http"}, warc.http_block(b"fine"))
@@ -132,6 +191,66 @@ def test_code_lengths_are_those_of_the_counts():
     assert bits[0, 0] == pytest.approx(-math.log2(1 / 2))
 
 
+def _brute_bits(texts, lang, text):
+    """Code lengths a byte at a time, from counts in dictionaries. texts: (text, lang) of the whole sample."""
+    seen, every = Counter(), Counter()
+    for t, of in texts:
+        raw = b"\0\0\0" + t
+        for i in range(3, len(raw)):
+            every[raw[i - 3 : i]] += 1
+            if of == lang:
+                for d in range(4):
+                    seen[d, raw[i - d : i], raw[i]] += 1
+    follow = {}
+    for (d, context, byte), n in seen.items():
+        follow.setdefault((d, context), {})[byte] = n
+
+    def cost(d, context, byte):
+        if d < 0:
+            return 8.0
+        here = follow.get((d, context[3 - d :]))
+        if not here or d == 3 and every[context] < langid.MIN_SEEN:
+            return cost(d - 1, context, byte)
+        total, kinds = sum(here.values()), len(here)
+        return -math.log2(here[byte] / (total + kinds)) if byte in here else -math.log2(kinds / (total + kinds)) + cost(d - 1, context, byte)
+
+    raw = b"\0\0\0" + text
+    return sum(cost(3, raw[i - 3 : i], raw[i]) for i in range(3, len(raw)))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.text("abé ", min_size=1, max_size=30), st.sampled_from(["aa", "bb"])), min_size=1, max_size=8), st.lists(st.text("abcé \0", max_size=20), min_size=1, max_size=4))
+def test_code_lengths_equal_a_plain_model(sample, texts):
+    import pyarrow as pa
+
+    sample = [(t.encode(), k) for t, k in sample]
+    langs = sorted({k for _, k in sample})
+    tally = Counter()
+    for t, k in sample:
+        for code in langid._fours(np.frombuffer(t, np.uint8), np.array([0, len(t)])).tolist():
+            tally[code, k] += 1
+    codes = sorted({c for c, _ in tally})
+    model = langid.Model(langs, np.array(codes, np.uint32), np.array([[tally[c, k] for k in langs] for c in codes], np.int64))
+    data, offsets = langid.utf8(pa.array(texts))
+    got = langid.Scorer(model).bits(data, offsets)
+    want = [[_brute_bits(sample, k, t.encode()) for k in langs] for t in texts]
+    assert got == pytest.approx(np.array(want), rel=1e-5, abs=1e-4)
+
+
+def test_language_id_of_empty_tables_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "abc abd", "x")], "doc_id long, text string, lang string")
+    empty = langid.train(rows.filter("false"))
+    assert empty.langs == [] and [r.lang_pred for r in langid.predict(rows, empty).collect()] == ["und"]
+    model = langid.train(rows)
+    assert langid.predict(rows.filter("false"), model).collect() == []
+    clash = rows.selectExpr("*", "1 as score", "2 as lang_pred", "3 as n")
+    got = langid.predict(clash.union(clash), model).collect()
+    assert [(r.lang_pred, r.n) for r in got] == [("x", 3)] * 2 and got[0].score == 1.0
+    tie = langid.train(spark.createDataFrame([("same text", "b"), ("same text", "a")], "text string, lang string"))
+    got = langid.predict(rows, tie).first()
+    assert got.lang_pred == "a" and got.score == 0.5  # the first in alphabetical order
+
+
 def test_language_id_held_out_accuracy(spark):
     from lumenlake.llm.queries import op5_language_id
 
@@ -209,6 +328,18 @@ def test_edited_copies_of_common_items_are_aligned(spark, hits, monkeypatch):
                 want[d, k] = best / (2 * len(item))
     found = decontaminate.matches(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string"))
     assert {(r.doc_id, r.item_id): r.score for r in found.collect()} == want and len(want) > 300
+    without_seeds = sum(_brute_align(item, w) >= min(len(item), 50) for w in docs.values() for item in items.values())
+    assert len(want) >= 0.98 * without_seeds  # recall of the seeds against alignments of every document with every item
+
+
+def test_decontamination_of_odd_tables(spark):
+    """Repeated rows, equal items and clashing names."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"x {passage}"), (1, f"x {passage}"), (None, passage), (2, "")], "doc_id long, text string").selectExpr("*", "7 as start", "8 as score", "9 as item_id")
+    bench = spark.createDataFrame([(1, passage), (2, passage), (1, passage), (None, passage), (3, None)], "item_id long, text string").selectExpr("*", "1 as doc_id", "2 as end")
+    got = sorted((r.doc_id or 0, r.item_id, r.start, r.end) for r in decontaminate.matches(docs, bench).collect())
+    assert got == [(0, 1, 0, 20), (0, 2, 0, 20), (1, 1, 1, 21), (1, 1, 1, 21), (1, 2, 1, 21), (1, 2, 1, 21)]
+    assert [(r.doc_id, r.start) for r in decontaminate.clean(docs, bench).orderBy("doc_id").collect()] == [(None, 7), (2, 7)]
 
 
 @settings(max_examples=40, deadline=None)
@@ -251,6 +382,8 @@ def test_media_digests(docs, rows, spark):
     few = spark.createDataFrame([(1, "abc" * 2000)], "doc_id long, text string")
     units = mpegts.access_units(mpegts.media_column(few)).orderBy("unit").collect()
     assert b"".join(bytes(u.payload) for u in units) == mpegts.pad(b"abc" * 2000) and units[0].random_access
+    whole = mpegts.digests(few).first()
+    assert (whole.pts, whole.random_access) == ([u.pts for u in units], [u.random_access for u in units])
 
 
 def test_scores(docs, rows, empty):
@@ -260,7 +393,9 @@ def test_scores(docs, rows, empty):
         one.update(w)
         two.update(zip(w, w[1:], strict=False))
     total = sum(one.values())
-    got = {r.doc_id: r for r in lm_score.scores(docs, 2000).collect()}
+    got = {r.doc_id: r for r in lm_score.scores(docs, 2000, order=2).collect()}
+    table = Counter(r.n for r in lm_score.count_table(docs, 2000).collect())
+    assert table == Counter([*one.values(), *two.values(), total])
     for d, w in words.items():
         assert got[d].n_words == len(w)
         if not w:
@@ -276,7 +411,7 @@ def test_scores(docs, rows, empty):
     assert lm_score.scores(empty).count() == 0 and mpegts.digests(empty).count() == 0 and packing.pack(empty, tokenizer_path()).count() == 0
 
 
-@pytest.mark.parametrize("order", [1, 3])
+@pytest.mark.parametrize("order", [1, 3, 5])
 def test_scores_of_other_orders(docs, rows, order):
     words = {d: (t or "").encode().split() for d, t in rows}
     grams = lambda w: Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
@@ -295,6 +430,61 @@ def test_scores_of_other_orders(docs, rows, order):
             assert got[d] == pytest.approx(sum(math.log10(score(*w[max(0, i - order + 1) : i + 1])) for i in range(len(w))) / len(w), abs=2e-6)
 
 
+def test_pipeline_stages_equal_brute_force(spark, rows, tmp_path):
+    """Each stage against a plain version of its rule, on odd rows, copies and a benchmark; and with clashing names."""
+    import re
+
+    import corpus_pipeline as c
+    from test_dedup import brute_components, brute_lines
+
+    item = [f"q{i}x" for i in range(24)]
+    edited = ["changed" if i % 6 == 5 else w for i, w in enumerate(item)]
+    now = [*rows, (900, f"before {' '.join(item)}, after"), (902, " ".join(edited)), (904, " ".join(item[:9])), (906, "12 34"), (908, "alone\nalone\nnot alone")]
+    bench = [(1, " ".join(item)), (2, None), (3, "two words")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = {k: F.lit("clash") for k in ("n", "rank", "rep", "start", "digest", "__gone", "score", "lang_pred")}
+    docs = spark.createDataFrame([(d, t, "xx" if d % 2 else None) for d, t in now] + [(None, None, None)], "doc_id long, text string, lang string").withColumns(more)
+    docs = docs.unionByName(docs.filter("doc_id = 904"))  # a row twice
+    names = docs.columns
+
+    def stage(k):
+        nonlocal docs
+        docs = c._store.written(c.STAGES[k][1](spark, docs, str(tmp_path)), "stage")
+        return {r.doc_id: r.text for r in docs.collect()} if k < 4 else docs.collect()
+
+    left = {d: t for d, t in now if any(map(str.isalpha, t or ""))}
+    assert stage(0) == left and {r.lang for r in docs.collect()} == {"xx"} and docs.filter("doc_id = 904").count() == 2
+    gone, kept = brute_lines(list(left.items())), {}
+    for d, t in left.items():
+        lines = [x for k, x in enumerate(t.split("\n")) if (d, k) not in gone]
+        if len(lines) == len(t.split("\n")) or "".join(lines).encode().split():
+            kept[d] = "\n".join(lines)
+    assert stage(1) == kept and kept[908] == "alone\nnot alone"
+    kept = {d: kept[d] for d, (_, component) in brute_components(list(kept.items())).items() if d == component}
+    assert stage(2) == kept
+    words = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())
+    query = words(" ".join(item))
+    kept = {d: t for d, t in kept.items() if _brute_align(query, words(t)) < 24}
+    assert stage(3) == kept and not {900, 902} & set(kept) and docs.columns == names
+    packed = stage(4)
+    size = Counter(r.doc_id for r in packed if r.piece == 0)
+    assert size == Counter({d: 1 + (d == 904) for d in kept})
+    room = Counter()
+    for r in packed:
+        room[r.sequence_id] += r.length
+    assert max(room.values()) <= packing.CAPACITY and len(room) <= _best_fit(np.bincount([r.length for r in packed], minlength=packing.CAPACITY + 1), packing.CAPACITY)
+
+
+def test_pipeline_stages_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as c
+
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, n_chars int, component_id string")
+    for name, stage in c.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).collect() == [] and stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+    assert c.STAGES[-1][1](spark, docs, str(tmp_path)).collect() == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
