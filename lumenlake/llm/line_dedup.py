@@ -35,8 +35,10 @@ PLACE = [*ROW, "line_no"]
 
 
 def _hashes(line: Column) -> Column:
-    """A hash of each word."""
-    return F.transform(F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
+    """A hash of each word. Most lines have no white space but blanks, and splitting at one character takes half the time."""
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r"))
+    split = F.when(other, F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
+    return F.transform(F.array_remove(split, ""), lambda w: F.xxhash64(w))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
