@@ -131,7 +131,7 @@ TOLD_DDL = "doc_id long, own long, start int, end int, seed long, kinds int, don
 class Sender:
     """Collects a task's reaches; settles equal ones among them; packs the rest by bucket."""
 
-    def __init__(self, window: int, buckets: int, keep_first: bool, most: int = 2_000_000):
+    def __init__(self, window: int, buckets: int, keep_first: bool, most: int = 500_000):
         self.window, self.buckets, self.keep_first, self.most = window, buckets, keep_first, most
         self.parts: list[Reaches] = []
         self.held = 0
@@ -146,9 +146,9 @@ class Sender:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        r = Reaches.concat(self.parts)
-        self.parts, self.held = [], 0
-        r, new, size = _grouped(r)
+        parts, self.parts, self.held = self.parts, [], 0
+        r, new, size = _grouped(Reaches.concat(parts))
+        del parts
         many = np.repeat(size > 1, size)
         settled = many & ~new if self.keep_first else many
         rows: list[tuple[int, bytes]] = []
