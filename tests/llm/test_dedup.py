@@ -61,6 +61,55 @@ def test_suffix_dedup(docs, rows, window, seed, many, monkeypatch):
     assert got == brute_bytes(rows, window)
 
 
+@pytest.mark.parametrize("window", [35, 200])
+def test_long_reaches(spark, window):
+    """Windows that reach far beyond their seeds, in passages with and without the same surroundings."""
+    rng = random.Random(window)
+    passage = [f"w{rng.randrange(10**6)}" for _ in range(window + 60)]
+    rows = []
+    for d in range(12):
+        a, z = rng.randrange(0, 30), rng.randrange(window + 30, window + 60)
+        rows.append((d, " ".join([f"a{d}"] * (d % 3) + passage[a:z] + [f"z{d}"] * 40)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(df, window, 8).collect()}
+    assert got == brute_repeats(rows, window)
+    raw = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_later(df, 5 * window, 32).collect()}
+    assert raw == brute_bytes(rows, 5 * window)
+
+
+def test_rows_in_parts(rows, monkeypatch):
+    """A long row is looked at in overlapping parts; every window keeps its seed."""
+    from lumenlake.llm import _seeds
+
+    text = " ".join(t or "" for _, t in rows).encode() * 2
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    one = np.zeros(1, np.int64)
+    seeds = []
+    for part in (1 << 21, 1000):
+        r = _seeds.find(data, offsets, one, one, 100, 32, part)
+        size = r.span + 1
+        seeds.append((np.repeat(r.seed, size).tolist(), (np.repeat(r.lo - np.cumsum(size) + size, size) + np.arange(size.sum())).tolist()))
+    assert seeds[0] == seeds[1] and seeds[0][1] == list(range(len(text) - 99))
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text is a document of its own; rows that are equal in both are one."""
+    long = " ".join(f"w{i}" for i in range(300))
+    part, other = " ".join(f"w{i}" for i in range(100, 160)), " ".join(f"v{i}" for i in range(90))
+    rows = [(1, long), (1, "short text"), (2, other), (3, f"x {part} y"), (1, other), (1, "short text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in repeats.remove_repeats(df).collect())
+    assert got == [(1, 2, 0), (1, 2, 0), (1, 90, 90), (1, 300, 60), (2, 90, 90), (3, 62, 60)]
+    later = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_later(df).collect())
+    assert later == sorted([(1, len(long), 0), (1, 10, 0), (1, 10, 0), (1, len(other), 0), (2, len(other), len(other)), (3, len(part) + 4, len(part) + 2)])
+    lines = spark.createDataFrame([(1, "a b c d e\nf g h i j"), (1, "k l m n o\na b c d e"), (1, "k l m n o\na b c d e")], "doc_id long, text string")
+    kept = sorted(r.text for r in line_dedup.dedup_lines(lines).collect())
+    assert len(kept) == 3 and kept[0] == "a b c d e\nf g h i j" or kept[0] == "f g h i j"
+    assert all("f g h i j" in t or "k l m n o" in t for t in kept) and kept[1] == kept[2]
+    assert sum("a b c d e" in t for t in set(kept)) == 1
+    assert [r.n_removed for r in line_dedup.summary(lines.limit(0)).collect()] == []
+
+
 def test_repeated_rows_and_missing_ids(spark):
     long = "x y z " * 50
     df = spark.createDataFrame([(1, long), (1, long), (None, long), (None, None)], "doc_id long, text string")
@@ -113,6 +162,15 @@ def test_near_duplicates(docs, rows):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_of_odd_rows(spark):
+    """Rows without doc_id, rows that repeat one with the same and another text, clashing names."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(3, a), (3, a), (3, b), (5, a + " more"), (7, b), (None, a), (None, None), (9, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as rep", "3 as component_id", "4 as h1", "5 as sig")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(0, 0, True), (0, 0, True), (3, 3, True), (3, 3, True), (3, 3, True), (5, 3, False), (7, 3, False), (9, 9, True)]
+
+
 def test_a_large_group_keeps_its_links(spark, monkeypatch):
     """Edited copies, many of which are linked by way of others only, over several blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
@@ -181,6 +239,33 @@ def test_signature_keys_meet_within_the_distance():
         assert {1, 2} in keys.values()
 
 
+def test_pairs_within_the_distance_are_all_found(spark):
+    """Every pair of signatures that differ in at most 19 numbers and whose sets are similar ends in one component: recall 1."""
+    rng = random.Random(13)
+    rows = []
+    for group in range(25):
+        base = [f"g{group}w{i}" for i in range(rng.randint(30, 90))]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    sets = [minhash.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for _, t in rows]
+    sig = minhash.signatures(sets)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    within = similar = 0
+    for i in range(len(rows)):
+        for k in range(i):
+            both = len(np.intersect1d(sets[i], sets[k]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[k]) - both):
+                similar += 1
+                if (sig[i] != sig[k]).sum() <= 19:
+                    within += 1
+                    assert got[i] == got[k]
+    assert within >= 0.9 * similar > 20
+    assert got == {d: c for d, (_, c) in brute_components(rows).items()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (50, 50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -192,7 +277,7 @@ def brute_lines(rows):
     for d, t in rows:
         for k, line in enumerate((t or "").split("\n") if t is not None else []):
             w = line.encode().split()
-            if len(w) >= 3:
+            if w:
                 sets[d, k] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
     gone = set()
     places = sorted(sets)
