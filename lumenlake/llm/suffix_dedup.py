@@ -27,6 +27,8 @@ from .suffix import permuted_lcp, suffix_array
 WINDOW, SEED = 100, 32
 #: Seeds with more different reaches than this are settled window by window; a shard's text, but for one seed's.
 MANY, SHARD = 1024, 1 << 20
+#: Bytes of such reaches that are hashed at once.
+HOT_BYTES = 1 << 18
 #: Between the reaches of a shard; no byte of UTF-8.
 END = 255
 _OTHER = np.uint64(0x5851F42D4C957F2D)
@@ -72,12 +74,14 @@ def _open_reaches(window: int, n: int, most: int = 8 << 20):
             lo, hi, seed, kinds = (open_.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "end", "seed", "kinds"))
             doc, own = b["doc_id"].to_numpy()[row], b["own"].to_numpy()[row]
             hot = kinds > MANY
-            if hot.any():
-                size = (hi - lo)[hot] + 1
-                some = data[ranges(lo[hot] + offsets[row[hot]], size + window - 1)]
-                at = ranges(np.cumsum(size + window - 1) - (size + window - 1), size)  # where windows of the reaches begin in some
-                which, start = np.repeat(np.flatnonzero(hot), size), ranges(lo[hot], size)
-                seeds, whats = ngrams(some, window)[at], ngrams(mix(some.astype(np.uint64) ^ _OTHER), window)[at]  # 128 bits together
+            at_hot = np.flatnonzero(hot)
+            pieces = np.cumsum((hi - lo)[at_hot] + window) // HOT_BYTES
+            for some in np.split(at_hot, np.flatnonzero(np.diff(pieces)) + 1) if len(at_hot) else []:
+                size = (hi - lo)[some] + 1
+                text = data[ranges(lo[some] + offsets[row[some]], size + window - 1)]
+                at = ranges(np.cumsum(size + window - 1) - (size + window - 1), size)  # where windows of the reaches begin in text
+                which, start = np.repeat(some, size), ranges(lo[some], size)
+                seeds, whats = ngrams(text, window)[at], ngrams(mix(text.astype(np.uint64) ^ _OTHER), window)[at]  # 128 bits together
                 yield from single.add(_seeds.Reaches(seeds, whats, doc[which], own[which], start, np.zeros(len(at), np.int64), np.zeros(len(at), bool)))
             cold = ~hot
             size = (hi - lo)[cold] + window
