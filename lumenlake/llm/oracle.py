@@ -47,6 +47,22 @@ gone AS (SELECT DISTINCT id FROM pairs WHERE 4 * common >= 3 * (n + m - common))
 out AS (SELECT k.doc_id, k.line_no FROM k JOIN s ON k.tokens = s.tokens WHERE k.doc_id * 1000000 + k.line_no > s.first OR s.id IN (SELECT id FROM gone)),
 o AS (SELECT doc_id, count(*) AS n, string_agg(line_no, ',' ORDER BY line_no) AS removed FROM out GROUP BY ALL)
 SELECT d.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(o.n, 0)::BIGINT AS n_removed, coalesce(o.removed, '') AS removed FROM d LEFT JOIN o USING (doc_id)
+""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS every FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(every)::HUGEINT AS whole FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.total + v.v) AS p, 1 + 1000000000::HUGEINT * (k.every + 1) // (v.whole + v.v) AS q
+  FROM s JOIN k ON k.lang = s.lang JOIN v ON v.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o QUALIFY part = 'pair' OR rank <= 200
 """,
     "op9_lm_scoring": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -61,14 +77,14 @@ all3 AS (SELECT first, before, word, sum(n) AS n FROM own3 GROUP BY ALL),
 size AS (SELECT doc_id, len(w) AS n, sum(len(w)) OVER () AS total FROM d),
 x AS (
   SELECT p.doc_id, p.before, p.first,
-    all1.n - own1.n AS c, prev.n - mine.n AS b, all2.n - own2.n AS pair, pairs.n - both.n AS bb, all3.n - own3.n AS three,
+    all1.n - own1.n AS c, prev.n - mine.n AS b, all2.n - own2.n AS pair, pairs.n - mine2.n AS bb, all3.n - own3.n AS three,
     greatest(size.total - size.n, 1) AS total
   FROM p JOIN size USING (doc_id)
   JOIN own1 ON own1.doc_id = p.doc_id AND own1.word = p.word JOIN all1 ON all1.word = p.word
   LEFT JOIN own1 mine ON mine.doc_id = p.doc_id AND mine.word = p.before LEFT JOIN all1 prev ON prev.word = p.before
   LEFT JOIN own2 ON own2.doc_id = p.doc_id AND own2.before = p.before AND own2.word = p.word
   LEFT JOIN all2 ON all2.before = p.before AND all2.word = p.word
-  LEFT JOIN own2 both ON both.doc_id = p.doc_id AND both.before = p.first AND both.word = p.before
+  LEFT JOIN own2 mine2 ON mine2.doc_id = p.doc_id AND mine2.before = p.first AND mine2.word = p.before
   LEFT JOIN all2 pairs ON pairs.before = p.first AND pairs.word = p.before
   LEFT JOIN own3 ON own3.doc_id = p.doc_id AND own3.first = p.first AND own3.before = p.before AND own3.word = p.word
   LEFT JOIN all3 ON all3.first = p.first AND all3.before = p.before AND all3.word = p.word),
