@@ -47,6 +47,24 @@ gone AS (SELECT DISTINCT id FROM pairs WHERE 4 * common >= 3 * (n + m - common))
 out AS (SELECT k.doc_id, k.line_no FROM k JOIN s ON k.tokens = s.tokens WHERE k.doc_id * 1000000 + k.line_no > s.first OR s.id IN (SELECT id FROM gone)),
 o AS (SELECT doc_id, count(*) AS n, string_agg(line_no, ',' ORDER BY line_no) AS removed FROM out GROUP BY ALL)
 SELECT d.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(o.n, 0)::BIGINT AS n_removed, coalesce(o.removed, '') AS removed FROM d LEFT JOIN o USING (doc_id)
+""",
+    "op11_importance_resampling": r"""
+WITH tbl AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(4)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(16) r(i))),
+x AS (SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+d AS (SELECT row_number() OVER () AS row, side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+t AS (SELECT row, side, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+r AS (SELECT row, side, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM t WINDOW o AS (PARTITION BY row ORDER BY i)),
+f AS MATERIALIZED (SELECT row, side, a AS f FROM r UNION ALL SELECT row, side, a || ' ' || b FROM r WHERE b IS NOT NULL UNION ALL SELECT row, side, a || ' ' || b || ' ' || c FROM r WHERE c IS NOT NULL),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+c AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(2, len(h) + 2), lambda i: strpos('0123456789ABCDEF', h[i - 2 * (i % 2):i - 2 * (i % 2)]) - 1)), lambda c, b: xor(c // 16, t[xor(c % 16, b) + 1])), 4294967295) % 10000 AS bucket FROM u, tbl),
+n AS (SELECT row, side, bucket, count(*) AS n FROM f JOIN c USING (f) GROUP BY ALL),
+b AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 'b'), 0)::DOUBLE AS t FROM n GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM b) + 10000) / ((s + 1) * ((SELECT sum(t) FROM b) + 10000))))::BIGINT AS gain FROM b),
+v AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM n JOIN g USING (bucket) GROUP BY 1),
+y AS (SELECT d.doc_id, len(w) AS words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('42:' || d.doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN v USING (row) WHERE side = 'd'),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM y),
+k AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= (SELECT 5 * count(*) // 100 FROM z WHERE words >= 20) THEN place END AS rank FROM k
 """,
     "op12_source_divergence": r"""
 WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
