@@ -27,7 +27,7 @@ BUCKETS = 10_000
 LONGEST = 3
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
 #: Text of a batch, and what DuckDB may hold before it spills to the task's own temporary folder.
-BATCH_BYTES, MEMORY = 2 << 20, "400MB"
+BATCH_BYTES, MEMORY = 1 << 20, "256MB"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Buckets of each text of `texts` (row, text) with their counts, and its number of words. Only A-Z are lowered; words are
