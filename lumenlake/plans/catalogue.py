@@ -11,7 +11,7 @@ from lumenlake.functions import geometry as g
 from lumenlake.functions import heatmaps as h
 from lumenlake.functions import labels, rules
 from lumenlake.operators import attribution, decide, images, inference, metrics, relational, sampling
-from lumenlake.sources import tables
+from lumenlake.sources import pictures, tables
 from lumenlake.streaming import windows
 
 from . import adapters as a
@@ -721,6 +721,23 @@ _BLURRED = f""", {_KERNEL}, b1 AS (SELECT e.vec_id, e.i, e.ch, e.x, e.y, sum(k.w
 b2 AS (SELECT e.vec_id, e.i, sum(k.w * o.v) AS v FROM b1 e, k, b1 o WHERE o.vec_id = e.vec_id AND o.ch = e.ch AND o.y = e.y AND o.x = least(greatest(e.x + k.d, 0), 15) GROUP BY ALL)"""
 
 
+@query(_pixel_sql("v"))
+def image_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every picture written as a PNG file by the committing sink, listed, read back and decoded."""
+    path = tables.scratch(spark, "pictures")
+    pictures.write(_pictures(spark, sf).withColumn("image_id", F.col("vec_id").cast("string")), path)
+    return _digest(pictures.read(pictures.files(spark, path)).withColumn("vec_id", F.col("image_id").cast("long")))
+
+
+@query(_pixel_sql("v", ", w AS (SELECT e.* FROM e JOIN embeddings USING (vec_id) WHERE label % 2 = 1)", "w"))
+def image_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Source rows with coded images; only those of target ids are read and decoded."""
+    path = tables.scratch(spark, "source_rows")
+    pictures.coded(_pictures(spark, sf)).write.mode("overwrite").parquet(path)
+    targets = a.table(spark, sf, "embeddings").filter("label % 2 = 1").select("vec_id")
+    return _digest(pictures.decoded(pictures.scan(spark.read.parquet(path), targets, "vec_id")))
+
+
 @query(_pixel_sql("trunc(pow(v / 255.0::DOUBLE, 2.5) * 255)"))
 def image_low_light(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(images.perturb(_pictures(spark, sf), "low_light"))

@@ -5,13 +5,8 @@ Between stages Parquet is the format; CSV is for exchange.
 
 from __future__ import annotations
 
-import struct
 import uuid
-import zlib
-from collections.abc import Iterator
 
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +64,11 @@ def number(text: Column) -> Column:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables that last as long as the driver, in the folder that the session shares with its executors."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{top.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -78,34 +77,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def png(pixels: bytes, height: int, width: int) -> bytes:
-    """An RGB picture as a PNG file."""
-    row = 3 * width
-    raw = b"".join(b"\0" + pixels[k * row : (k + 1) * row] for k in range(height))
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-
-
-def write_images(images: DataFrame, path: str) -> DataFrame:
-    """Write images (name, height, width, pixels) as path/name.png; returns name and file of each. Names must be distinct.
-
-    A task that is repeated writes the same files again. The result is lazy: the files are there once it has been read.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-        fs.create_dir(root, recursive=True)
-        for b in batches:
-            files = []
-            for r in b.to_pylist():
-                with fs.open_output_stream(f"{root}/{r['name']}.png") as out:
-                    out.write(png(r["pixels"], r["height"], r["width"]))
-                files.append(f"{path}/{r['name']}.png")
-            yield pa.RecordBatch.from_arrays([b["name"], pa.array(files, pa.string())], names=["name", "file"])
-
-    return images.select("name", "height", "width", "pixels").mapInArrow(run, "name string, file string")
-
-
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Image files as image_id (the file's name without its suffix) and bytes."""
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("image_id"), F.col("content").alias("image"))
