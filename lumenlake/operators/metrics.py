@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import geometry as g
 from lumenlake.functions import labels, rules
 
-from . import relational
+from . import quantiles, relational
 
 #: What the summary says of each metric: its direction and the table it is from. Fixed values.
 SUMMARY = {
@@ -100,6 +100,16 @@ def timing_stats(ms: str | Column) -> list[Column]:
     return [F.count(x).alias("n"), F.avg(x).alias("mean_ms"), F.median(x).alias("median_ms"), F.stddev_pop(x).alias("std_ms"), F.max(x).alias("max_ms")]
 
 
+def timings(rows: DataFrame, keys: list[str], ms: Column) -> DataFrame:
+    """keys and the statistics of timing_stats, for groups of any size: the median is selected, not gathered in one task."""
+    named = rows.select(*keys, ms.cast("double").alias("_ms"))
+    plain = [c for c, name in zip(timing_stats("_ms"), ("n", "mean_ms", "median_ms", "std_ms", "max_ms"), strict=True) if name != "median_ms"]
+    medians = quantiles.exact(named, keys, F.col("_ms"), {"median_ms": 0.5}).withColumnsRenamed({k: f"_{k}" for k in keys})
+    stats = named.groupBy(*keys).agg(*plain)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return stats.join(medians, same, "left").select(*keys, "n", "mean_ms", "median_ms", "std_ms", "max_ms")
+
+
 def reruns(n_regions: Column) -> Column:
     return F.when(n_regions >= 2, 2).otherwise(1)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import geometry as g
 from lumenlake.functions import heatmaps as h
 from lumenlake.functions import labels, rules
-from lumenlake.operators import attribution, decide, images, inference, metrics, relational, sampling
+from lumenlake.operators import attribution, decide, images, inference, metrics, near, quantiles, relational, sampling
 from lumenlake.sources import pictures, tables
 from lumenlake.streaming import windows
 
@@ -145,6 +145,36 @@ def proximity_answer(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("sample_id", decide.proximity(F.col("workers"), F.col("objects"), g.threshold(rules.THRESHOLD["rule_4"], F.lit(a.WIDTH), F.lit(a.HEIGHT))).alias("answer"))
 
 
+# Ten pictures of very many boxes each, of all sizes; a third of them in one place
+_CROWD = """crowd AS (SELECT *, x0 + w AS x1, y0 + w * 0.75 AS y1 FROM (SELECT l_suppkey % 10 AS sample_id, CASE WHEN l_returnflag = 'R' THEN 'object' ELSE 'worker' END AS role,
+  CASE WHEN l_suppkey % 3 = 0 THEN 100 ELSE 0 END + (l_partkey * 7919 + l_orderkey * 13) % CASE WHEN l_suppkey % 3 = 0 THEN 50 ELSE 40000 END * 1.0::DOUBLE AS x0, (l_orderkey * 6007 + l_linenumber * 97) % 30000 * 1.0::DOUBLE AS y0,
+  CASE WHEN l_quantity >= 50 THEN 2000.0 WHEN l_quantity >= 45 THEN 150.0 ELSE l_quantity END::DOUBLE AS w FROM lineitem))"""
+
+
+def _crowd(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples, workers and objects."""
+    t = a.table(spark, sf, "lineitem")
+    dense, size = F.col("l_suppkey") % 3 == 0, F.col("l_quantity")
+    x0 = F.when(dense, 100).otherwise(0) + (F.col("l_partkey") * 7919 + F.col("l_orderkey") * 13) % F.when(dense, 50).otherwise(40000)
+    w = F.when(size >= 50, 2000.0).when(size >= 45, 150.0).otherwise(size)
+    rows = t.select((F.col("l_suppkey") % 10).alias("sample_id"), (F.col("l_returnflag") == "R").alias("is_object"), F.xxhash64(*t.columns).alias("ord"), x0.cast("double").alias("x0"), ((F.col("l_orderkey") * 6007 + F.col("l_linenumber") * 97) % 30000).cast("double").alias("y0"), w.alias("w"))
+    rows = rows.withColumns({"x1": F.col("x0") + F.col("w"), "y1": F.col("y0") + F.col("w") * 0.75})
+    return rows.select("sample_id").distinct(), rows.filter("not is_object"), rows.filter("is_object")
+
+
+@query(f"WITH {_CROWD}, s AS (SELECT sample_id, count(*) FILTER (WHERE role = 'worker') AS subjects, count(*) FILTER (WHERE role = 'object') AS refs FROM crowd GROUP BY 1), "
+       f"b AS (SELECT w.sample_id, count(*) AS bare FROM crowd w WHERE role = 'worker' AND NOT EXISTS (SELECT 1 FROM crowd o WHERE o.sample_id = w.sample_id AND o.role = 'object' AND {a.near_sql('w', 'o', '25')}) GROUP BY 1) "
+       "SELECT sample_id, subjects, refs AS \"references\", coalesce(bare, 0) AS bare, CASE WHEN subjects = 0 THEN CASE WHEN refs > 0 THEN 'compliant' ELSE 'violation' END WHEN coalesce(bare, 0) = 0 THEN 'compliant' ELSE 'violation' END AS answer, CASE WHEN coalesce(bare, 0) < subjects THEN 'hazard' ELSE 'safe' END AS proximity FROM s LEFT JOIN b USING (sample_id)")
+def crowded_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return near.coverage(*_crowd(spark, sf), 25.0)
+
+
+@query(f"WITH {_CROWD} SELECT w.sample_id, count(*) AS pairs FROM crowd w JOIN crowd o USING (sample_id) WHERE w.role = 'worker' AND o.role = 'object' AND {a.near_sql('w', 'o', '2')} GROUP BY 1")
+def crowded_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    _, workers, objects = _crowd(spark, sf)
+    return near.pairs(workers, objects, 2.0).groupBy("sample_id").agg(F.count("*").alias("pairs"))
+
+
 _LIMIT = "CASE assigned_rule_id WHEN 'rule_1' THEN 0.08 WHEN 'rule_2' THEN 0.08 WHEN 'rule_3' THEN 0.2 ELSE 0.05 END * 640"
 
 
@@ -542,7 +572,7 @@ def baseline_rehydration(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type AS stage, count(value) AS n, round(avg(value), 6) AS mean_ms, round(median(value), 6) AS median_ms, round(stddev_pop(value), 6) AS std_ms, max(value) AS max_ms FROM events GROUP BY 1")
 def timing_stats(spark: SparkSession, sf: str) -> DataFrame:
-    rows = a.table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(*metrics.timing_stats("value"))
+    rows = metrics.timings(a.table(spark, sf, "events").withColumnRenamed("event_type", "stage"), ["stage"], F.col("value"))
     return rows.select("stage", "n", *(_r(F.col(c)).alias(c) for c in ("mean_ms", "median_ms", "std_ms")), "max_ms")
 
 
@@ -579,10 +609,10 @@ def corr_area(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT round(quantile_cont(abs(value - 100), 0.5), 6) AS median_all, round(quantile_cont(abs(value - 100), 0.75), 6) AS p75_all, round(quantile_cont(abs(value - 100), 0.5) FILTER (WHERE event_type = 'view'), 6) AS median_view, round(quantile_cont(abs(value - 100), 0.75) FILTER (WHERE event_type = 'view'), 6) AS p75_view FROM events")
 def confidence_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.abs(F.col("value") - 100)
-    view = F.when(F.col("event_type") == "view", x)
-    cols = {"median_all": (x, 0.5), "p75_all": (x, 0.75), "median_view": (view, 0.5), "p75_view": (view, 0.75)}
-    return a.table(spark, sf, "events").agg(*(_r(F.percentile(c, p)).alias(k) for k, (c, p) in cols.items()))
+    groups = F.explode(F.when(F.col("event_type") == "view", F.array(F.lit("all"), F.lit("view"))).otherwise(F.array(F.lit("all"))))
+    rows = a.table(spark, sf, "events").select(groups.alias("g"), F.abs(F.col("value") - 100).alias("x"))
+    found = quantiles.exact(rows, ["g"], F.col("x"), {"median": 0.5, "p75": 0.75})  # two rows
+    return found.agg(*(F.max(F.when(F.col("g") == k, _r(F.col(q)))).alias(f"{q}_{k}") for k in ("all", "view") for q in ("median", "p75")))
 
 
 @query(f"WITH {a.SAMPLES}, {a.RANKED}, {a.answer_sql('a0', 0)} SELECT round(avg((answer = 'violation')::INT) FILTER (WHERE primary_class <> 'compliant'), 6) AS sensitivity, round(avg((answer = 'compliant')::INT) FILTER (WHERE primary_class = 'compliant'), 6) AS specificity, count(*) FILTER (WHERE primary_class <> 'compliant') AS positives, count(*) FILTER (WHERE primary_class = 'compliant') AS negatives FROM samples JOIN a0 USING (sample_id) WHERE assigned_rule_id <> 'rule_4'")

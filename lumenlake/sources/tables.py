@@ -85,3 +85,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 def probe(df: DataFrame) -> DataFrame:
     """The first row, to see that a source can be read."""
     return df.limit(1)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet to a scratch folder and read back: what later steps read more than once."""
+    path = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
