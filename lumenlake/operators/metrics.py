@@ -67,20 +67,18 @@ def robustness(base: DataFrame, variants: DataFrame, on: list[str]) -> DataFrame
     """
     b, v = base.alias("b"), variants.alias("v")
     joined = v.join(b, [F.col(f"v.{k}") == F.col(f"b.{k}") for k in on])
-    sides = [F.struct(*(F.col(f"{t}.{c}").alias(c) for c in ("answer", "confidence", "workers", "objects"))) for t in ("b", "v")]
+    sides = [F.struct(F.col(f"{t}.answer").alias("answer"), F.col(f"{t}.confidence").alias("confidence"), F.size(F.col(f"{t}.workers")).alias("workers"), F.get(F.col(f"{t}.objects"), F.lit(0)).alias("object")) for t in ("b", "v")]
     return joined.select(*(F.col(f"v.{k}") for k in on), "v.perturbation", *compared(*sides))
 
 
 def compared(base: Column, variant: Column) -> list[Column]:
-    """The same for two structs of answer, confidence, workers and objects in one row."""
-    sides = (base, variant)
-    first = [F.get(t["objects"], F.lit(0)) for t in sides]
-    has = [F.size(t["workers"]) > 0 for t in sides]
+    """The same for two structs of answer, confidence, workers (how many) and object (the first one's box) in one row."""
+    first = (base["object"], variant["object"])
     return [
         (base["answer"] != variant["answer"]).alias("answer_changed"),
         (base["confidence"] - variant["confidence"]).alias("confidence_drop"),
         F.when(first[0].isNotNull() & first[1].isNotNull(), g.iou(*first)).alias("object_box_iou"),
-        (has[0] & ~has[1]).alias("worker_lost"),
+        ((base["workers"] > 0) & (variant["workers"] == 0)).alias("worker_lost"),
     ]
 
 
@@ -155,15 +153,15 @@ def rehydrate(predictions: DataFrame) -> DataFrame:
 def summary(rows: DataFrame, values: dict[str, tuple[Column, Column]], hours: DataFrame, cls: str = "primary_class") -> DataFrame:
     """A row for each metric of SUMMARY: overall, by class, n and source.
 
-    values: for each metric by sample its value (null: not scored) and how many observations it stands for; rows are
-    read once. hours: one row with the pipeline's hours, which have neither classes nor n.
+    values: for each metric by sample its value and how many rows of the metric's table it stands for, 0 or null for
+    none; rows whose value is null count in n, but not in means. All are read once. hours: one row with the pipeline's hours, which have neither classes nor n.
     """
     own = rows.select(cls, *(F.struct(v.cast("double").alias("v"), k.alias("k")).alias(m) for m, (v, k) in values.items()))
 
     def of(m: str) -> Column:
-        value = F.col(m)["v"]
+        value = F.when(F.col(m)["k"] > 0, F.col(m)["v"])
         by_class = [relational.rate(F.when(F.col(cls) == c, value)).alias(c) for c in rules.CLASSES]
-        n = F.coalesce(F.sum(F.when(value.isNotNull(), F.col(m)["k"])), F.lit(0)).cast("string")
+        n = F.coalesce(F.sum(F.col(m)["k"]), F.lit(0)).cast("string")
         return F.struct(F.lit(m).alias("metric"), F.lit(SUMMARY[m][0]).alias("direction"), relational.rate(value).alias("overall"), *by_class, n.alias("n"), F.lit(SUMMARY[m][1]).alias("source_csv"))
 
     found = own.agg(F.array(*(of(m) for m in values)).alias("m")).select(F.explode("m").alias("m")).select("m.*")

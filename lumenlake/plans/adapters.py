@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,30 +70,6 @@ samples AS (SELECT *, concat_ws('|', CASE WHEN r1 THEN 'rule_1' END, CASE WHEN r
   CASE WHEN r1 THEN 'rule_1' WHEN r2 THEN 'rule_2' WHEN r3 THEN 'rule_3' WHEN r4 THEN 'rule_4' ELSE 'rule_' || (sample_id % 4 + 1) END AS assigned_rule_id FROM flags)"""
 
 
-def held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_id, primary_class, assigned_rule_id and the like, and held: each sample's boxes in order, as ord, rank, worker and b.
-
-    One grouping by sample: order and rank are places in sorted arrays. Samples without boxes have an empty array.
-    """
-    corners = ["x0", "y0", "x1", "y1"]
-    each = F.struct((F.col("role") == "object").alias("is_object"), "y0", "x0", "x1", "y1", *TIES)
-    arrays = _boxes(spark, sf_dir).groupBy("sample_id").agg(F.array_sort(F.collect_list(each)).alias("held"))
-    at = lambda x: g.box(*(x[c] for c in corners))
-    by_area = F.array_sort(F.transform("held", lambda x, i: F.struct((-g.area(at(x))).alias("less"), (i + 1).alias("ord"), (~x["is_object"]).alias("worker"), at(x).alias("b"))))
-    arrays = arrays.select("sample_id", by_area.alias("held"))
-    in_order = F.array_sort(F.transform("held", lambda x, i: F.struct(x["ord"].alias("ord"), (i + 1).alias("rank"), x["worker"].alias("worker"), x["b"].alias("b"))))
-    arrays = arrays.select("sample_id", in_order.alias("held"))
-    none = F.array().cast(arrays.schema["held"].dataType)
-    return samples(spark, sf_dir).join(arrays, "sample_id", "left").withColumn("held", F.coalesce("held", none))
-
-
-def sides(held: Column, keep: Callable[[Column], Column]) -> tuple[Column, Column]:
-    """The workers' and the objects' boxes among those that are kept."""
-    left = F.filter(held, keep)
-    workers, objects = F.filter(left, lambda x: x["worker"]), F.filter(left, lambda x: ~x["worker"])
-    return tuple(F.transform(c, lambda x: x["b"]) for c in (workers, objects))
-
-
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """boxes with rank by area, the largest first."""
     b = boxes(spark, sf_dir)
@@ -103,6 +77,44 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.withColumn("area", g.area(at)).withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("area"), "ord")))
 
 
+#: Masks of answers: without the so many largest boxes, and as a perturbation loses every fourth box.
+MASKS, LOSSES = (0, 1, 2), (0, 1, 2, 3)
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """samples with n_regions, top_is_worker, and what is found under each mask k (top_k) and each loss p (lost_p): a struct of
+    answer, workers (how many) and object (the first one's box).
+
+    Boxes are ranked by window and joined once with their sample's objects. The best rank of a close object tells for every
+    mask whether a worker is covered, and the places of close objects modulo four for every loss. Windows, join and
+    groupings are all by sample, so boxes are shuffled once.
+    """
+    b = ranked(spark, sf_dir)
+    at = lambda t: g.box(*(F.col(f"{t}.{c}") for c in ("x0", "y0", "x1", "y1")))
+    objects = b.filter("role = 'object'").select("sample_id", F.col("ord").alias("o_ord"), F.col("rank").alias("o_rank"), g.box(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))).alias("o_box"))
+    near = (F.col("b.sample_id") == F.col("o.sample_id")) & (F.col("b.role") == "worker") & g.close(at("b"), F.col("o.o_box"), NEAR)
+    joined = b.alias("b").join(objects.alias("o"), near, "left")
+    each = joined.groupBy("b.sample_id", "b.ord").agg(
+        F.first("b.role").alias("role"), F.first("b.rank").alias("rank"), F.first(at("b")).alias("box"),
+        F.coalesce(F.max("o_rank"), F.lit(0)).alias("best"), F.coalesce(F.bit_or(F.pow(F.lit(2), F.col("o_ord") % 4).cast("int")), F.lit(0)).alias("turns"),
+    )
+    worker = F.col("role") == "worker"
+
+    def found(kept: Column, covered: Column) -> Column:
+        """Under a condition on boxes, and on a worker's close objects."""
+        workers, others = F.count_if(kept & worker), F.count_if(kept & ~worker)
+        alone = F.when(others > 0, "compliant").otherwise("violation")
+        answer = F.when(workers == 0, alone).when(F.count_if(kept & worker & ~covered) == 0, "compliant").otherwise("violation")
+        return F.struct(answer.alias("answer"), workers.alias("workers"), F.min_by("box", F.when(kept & ~worker, F.col("ord"))).alias("object"))
+
+    top = {f"top_{k}": found(F.col("rank") > k, F.col("best") > k) for k in MASKS}
+    lost = {f"lost_{p}": found((F.col("ord") + p) % 4 != 0, F.col("turns").bitwiseAND(15 - (1 << (4 - p) % 4)) != 0) for p in LOSSES}
+    own = each.groupBy("sample_id").agg(F.count("*").alias("n_regions"), F.bool_or(worker & (F.col("rank") == 1)).alias("top_is_worker"), *(v.alias(k) for k, v in (top | lost).items()))
+    nothing = F.struct(F.lit("violation").alias("answer"), F.lit(0).cast("long").alias("workers"), F.lit(None).cast(g.BOX).alias("object"))
+    whole = samples(spark, sf_dir).join(own, "sample_id", "left")
+    return whole.withColumns({"n_regions": F.coalesce("n_regions", F.lit(0).cast("long"))} | {k: F.coalesce(k, nothing) for k in (*top, *lost)})
+
+
 RANKED = f"""{BOXES},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY area DESC, ord) AS rank FROM (SELECT *, greatest(x1 - x0, 0) * greatest(y1 - y0, 0) AS area FROM boxes))"""
 

@@ -136,7 +136,8 @@ def coverage_answer_in_row(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {a.SAMPLES}, {a.RANKED}, {a.answer_sql('base', 0)} SELECT primary_class, avg((answer = 'violation')::INT) AS violation_rate, count(*) AS n FROM samples JOIN base USING (sample_id) GROUP BY 1")
 def coverage_rate_by_class(spark: SparkSession, sf: str) -> DataFrame:
-    return relational.rate_by(a.held(spark, sf), "primary_class", _without(0) == "violation", "violation_rate")
+    answers = decide.coverage_exploded(a.samples(spark, sf), a.boxes(spark, sf), a.NEAR)
+    return relational.rate_by(a.samples(spark, sf).join(answers, "sample_id"), "primary_class", F.col("answer") == "violation", "violation_rate")
 
 
 @query(f"WITH {a.BOXES}, s AS (SELECT o_orderkey AS sample_id FROM orders) SELECT s.sample_id, CASE WHEN EXISTS (SELECT 1 FROM boxes w JOIN boxes o ON w.sample_id = o.sample_id WHERE w.sample_id = s.sample_id AND w.role = 'worker' AND o.role = 'object' AND {a.near_sql('w', 'o', '32')}) THEN 'hazard' ELSE 'safe' END AS answer FROM s")
@@ -293,12 +294,12 @@ def minmax_heatmap(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), _r(F.col("v")).alias("v"))
 
 
-@query(f"""WITH {a.HEATMAPS}, e AS (SELECT label, vec_id % 3 AS step, unnest(raw) AS v, generate_subscripts(raw, 1) AS i FROM maps WHERE vec_id % 7 > 0),
+@query(f"""WITH {a.HEATMAPS}, e AS (SELECT label, vec_id % 3 AS step, unnest(raw) AS v, generate_subscripts(raw, 1) AS i FROM maps),
 s AS (SELECT label, step, i, avg(v) AS v FROM e GROUP BY ALL), m AS (SELECT label, i, avg(v) AS v, count(*) AS steps FROM s GROUP BY ALL),
 k AS (SELECT *, max(v) OVER w - min(v) OVER w AS span, min(v) OVER w AS low FROM m WHERE i BETWEEN 2 AND 50 WINDOW w AS (PARTITION BY label))
 SELECT label, i - 1 AS cell, round(CASE WHEN span > 0 THEN (v - low) / span ELSE 0.0 END, 6) AS v, steps AS n_generated_tokens FROM k""")
 def attention_heatmap(spark: SparkSession, sf: str) -> DataFrame:
-    rows = a.heatmaps(spark, sf).filter("vec_id % 7 > 0").select("label", (F.col("vec_id") % 3).alias("step"), F.col("raw").alias("weights"))
+    rows = a.heatmaps(spark, sf).select("label", (F.col("vec_id") % 3).alias("step"), F.col("raw").alias("weights"))
     maps = attribution.heat_maps(rows.select("label").distinct(), rows, ["label"], 49)
     cells = maps.select("label", "n_generated_tokens", F.posexplode("heatmap").alias("i", "v"))
     return cells.select("label", (F.col("i") + 1).cast("long").alias("cell"), _r(F.col("v")).alias("v"), F.col("n_generated_tokens").cast("long").alias("n_generated_tokens"))
@@ -346,34 +347,17 @@ def object_overlap(spark: SparkSession, sf: str) -> DataFrame:
 # Descriptive accuracy, robustness and completeness: answers with the largest boxes masked
 
 
-def _answer(keep: Callable[[Column], Column]) -> Column:
-    return decide.presence(*a.sides(F.col("held"), keep), F.lit(a.NEAR))
-
-
-def _without(k: int) -> Column:
-    """The presence answer without the k largest boxes."""
-    return _answer(lambda x: x["rank"] > k)
-
-
-def _perturbed(p: int) -> Column:
-    """The presence answer where a perturbation loses every fourth box."""
-    return _answer(lambda x: (x["ord"] + p) % 4 != 0)
-
-
-def _workers(k: int) -> Column:
-    return F.size(F.filter("held", lambda x: x["worker"] & (x["rank"] > k)))
-
-
 def _accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers with no, one and two boxes masked, from one grouping of the boxes."""
-    rows = a.held(spark, sf).withColumn("n_regions", F.size("held").cast("long"))
-    rows = rows.withColumns({"base": _without(0), "one": _without(1), "two": _without(2), "worker_lost": (_workers(0) > 0) & (_workers(1) == 0), "top_is_worker": F.get(F.filter("held", lambda x: x["rank"] == 1), F.lit(0))["worker"]})
-    confidence = lambda x: F.when(F.col(x) == "compliant", 0.9).otherwise(0.6)
-    c1, d1 = metrics.answer_change(F.col("base"), confidence("base"), F.col("one"), confidence("one"))
-    two = F.when(F.col("n_regions") >= 2, F.col("two")).otherwise(F.col("one"))
+    """Answers with no, one and two boxes masked."""
+    rows = a.answers(spark, sf)
+    base, one, two = (F.col(f"top_{k}") for k in a.MASKS)
+    confidence = lambda x: F.when(x["answer"] == "compliant", 0.9).otherwise(0.6)
+    c1, d1 = metrics.answer_change(base["answer"], confidence(base), one["answer"], confidence(one))
+    last = F.when(F.col("n_regions") >= 2, two["answer"]).otherwise(one["answer"])
     return rows.select(
-        "sample_id", "image_id", "primary_class", "assigned_rule_id", "violated_rules", "held", "base", "n_regions", "worker_lost", "top_is_worker",
-        F.when(F.col("n_regions") == 0, "grid").otherwise("model").alias("source"), c1.alias("changed_1"), (F.col("base") != two).alias("changed_2"), d1.alias("drop_1"),
+        "sample_id", "image_id", "primary_class", "assigned_rule_id", "violated_rules", "o_totalprice", base["answer"].alias("base"), "n_regions", "top_is_worker", base["workers"].alias("workers"),
+        ((base["workers"] > 0) & (one["workers"] == 0)).alias("worker_lost"), F.when(F.col("n_regions") == 0, "grid").otherwise("model").alias("source"),
+        c1.alias("changed_1"), (base["answer"] != last).alias("changed_2"), d1.alias("drop_1"), *(F.col(f"lost_{p}.answer").alias(f"lost_{p}") for p in a.LOSSES),
     )
 
 
@@ -432,32 +416,33 @@ def rate_by_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SURVIVAL = ", ".join(a.answer_sql(f"p{p}", kept=f"({{t}}ord + {p}) % 4 <> 0") for p in range(4))
-_HALF = f"x AS (SELECT sample_id, avg((x.answer = y.answer)::INT) AS agreement FROM runs x JOIN runs y USING (sample_id) WHERE x.run < y.run GROUP BY 1)"
+_HALF = "x AS (SELECT sample_id, avg((x.answer = y.answer)::INT) FILTER (WHERE x.run < y.run) AS agreement, 1 AS k FROM runs x JOIN runs y USING (sample_id) GROUP BY 1)"
 
 
 @query(f"""{_ACCURACY}, {_SURVIVAL}, {a.HEATMAPS}, mm AS (SELECT vec_id, {a.MIN_MAX} AS c FROM maps), t AS (SELECT vec_id, list_sum(list_reverse_sort(c)[1:5]) / list_sum(c) AS top5 FROM mm), {a.runs_sql()}, {_HALF},
-w AS (SELECT v.*, CASE WHEN source = 'model' THEN t.top5 END AS top5, x.agreement, ((p0.answer = base)::INT + (p1.answer = base)::INT + (p2.answer = base)::INT + (p3.answer = base)::INT) / 4.0 AS survival
-  FROM v JOIN p0 USING (sample_id) JOIN p1 USING (sample_id) JOIN p2 USING (sample_id) JOIN p3 USING (sample_id) LEFT JOIN t ON t.vec_id = sample_id % 50 LEFT JOIN x USING (sample_id)),
-r AS (SELECT 'descriptive_accuracy' AS metric, {_by_class('changed_1::INT', 'changed_1')} FROM w UNION ALL SELECT 'visual_sparsity_top5', {_by_class('top5', 'top5')} FROM w
-UNION ALL SELECT 'stability_answer_agreement', {_by_class('agreement', 'agreement')} FROM w UNION ALL SELECT 'robustness_level1_answer_survival', {_by_class('survival', 'survival', 4)} FROM w
+w AS (SELECT v.*, CASE WHEN source = 'model' THEN t.top5 END AS top5, x.agreement, x.k, ((p0.answer = base)::INT + (p1.answer = base)::INT + (p2.answer = base)::INT + (p3.answer = base)::INT) / 4.0 AS survival
+  FROM v JOIN p0 USING (sample_id) JOIN p1 USING (sample_id) JOIN p2 USING (sample_id) JOIN p3 USING (sample_id) LEFT JOIN t ON t.vec_id = sample_id % (SELECT count(*) FROM embeddings) LEFT JOIN x USING (sample_id)),
+r AS (SELECT 'descriptive_accuracy' AS metric, {_by_class('changed_1::INT', 'changed_1')} FROM w UNION ALL SELECT 'visual_sparsity_top5', {_by_class('top5', "CASE WHEN source = 'model' THEN 1 END")} FROM w
+UNION ALL SELECT 'stability_answer_agreement', {_by_class('agreement', 'k')} FROM w UNION ALL SELECT 'robustness_level1_answer_survival', {_by_class('survival', 'survival', 4)} FROM w
 UNION ALL SELECT 'bounded_completeness', {_by_class("(verdict = 'explanation_supported')::INT", 'verdict')} FROM w),
 h AS (SELECT 'efficiency_total_pipeline_1000hr' AS metric, sum(m) AS overall FROM (SELECT avg(value) * 1000 / 1000.0 / 3600 AS m FROM events GROUP BY event_type))
 SELECT metric, 'higher_better' AS direction, round(overall, 6) AS overall, round(compliant, 6) AS compliant, round(ppe_violation, 6) AS ppe_violation, round(fall_hazard, 6) AS fall_hazard, round(struck_by_risk, 6) AS struck_by_risk, n::VARCHAR AS n,
   CASE metric WHEN 'descriptive_accuracy' THEN 'descriptive_accuracy.csv' WHEN 'visual_sparsity_top5' THEN 'visual_sparsity.csv' WHEN 'stability_answer_agreement' THEN 'stability.csv' WHEN 'bounded_completeness' THEN 'bounded_completeness.csv' ELSE 'robustness.csv' END AS source_csv FROM r
 UNION ALL SELECT metric, 'lower_better', round(overall, 6), NULL, NULL, NULL, NULL, 'n/a -- aggregate runtime budget, not a per-sample classification', 'efficiency_summary.csv' FROM h""")
 def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
-    top = a.heatmaps(spark, sf).select(F.col("vec_id").alias("slot"), h.top_mass_ratio(h.min_max(F.col("raw")), 5).alias("top5")).filter("slot < 50")
-    agreed = metrics.agreement(a.runs(spark, sf), ["sample_id"]).select("sample_id", "agreement_rate")
-    rows = _verdicts(spark, sf).join(F.broadcast(top), F.col("sample_id") % 50 == F.col("slot"), "left").join(agreed, "sample_id", "left")
-    survived = sum(((_perturbed(p) == F.col("base")).cast("double") for p in range(4)), F.lit(0.0)) / 4
+    maps = a.heatmaps(spark, sf)
+    top = maps.select(F.col("vec_id").alias("slot"), h.top_mass_ratio(h.min_max(F.col("raw")), 5).alias("top5"))
+    agreed = metrics.agreement(a.runs(spark, sf), ["sample_id"]).select("sample_id", "agreement_rate", F.lit(1).alias("sampled"))
+    rows = _verdicts(spark, sf).join(top, F.col("sample_id") % maps.count() == F.col("slot"), "left").join(agreed, "sample_id", "left")
+    survived = sum(((F.col(f"lost_{p}") == F.col("base")).cast("double") for p in a.LOSSES), F.lit(0.0)) / 4
     one = F.lit(1)
     hours = a.table(spark, sf, "events").groupBy("event_type").agg(F.avg("value").alias("ms")).select(metrics.extrapolate(F.col("ms"), 1000)[2]).agg(F.sum("hours").alias("hours"))
     found = metrics.summary(
         rows,
         {
             "descriptive_accuracy": (F.col("changed_1"), one),
-            "visual_sparsity_top5": (F.when(F.col("source") == "model", F.col("top5")), one),
-            "stability_answer_agreement": (F.col("agreement_rate"), one),
+            "visual_sparsity_top5": (F.col("top5"), F.when(F.col("source") == "model", 1)),
+            "stability_answer_agreement": (F.col("agreement_rate"), F.col("sampled")),
             "robustness_level1_answer_survival": (survived, F.lit(4)),
             "bounded_completeness": (F.col("verdict") == "explanation_supported", one),
         },
@@ -470,10 +455,10 @@ def _variants(spark: SparkSession, sf: str) -> DataFrame:
     """The answers without the one and two largest boxes against the answer with all, from one grouping."""
 
     def at(k: int) -> Column:
-        workers, objects = a.sides(F.col("held"), lambda x: x["rank"] > k)
-        return F.struct(_without(k).alias("answer"), (F.lit(0.9) - F.size(workers) / 100.0).alias("confidence"), workers.alias("workers"), objects.alias("objects"))
+        x = F.col(f"top_{k}")
+        return F.struct(x["answer"].alias("answer"), (F.lit(0.9) - x["workers"] / 100.0).alias("confidence"), x["workers"].alias("workers"), x["object"].alias("object"))
 
-    rows = a.held(spark, sf).select("sample_id", at(0).alias("b"), F.explode(F.array(*(F.struct(F.lit(f"top_{k}").alias("perturbation"), at(k).alias("v")) for k in (1, 2)))).alias("x"))
+    rows = a.answers(spark, sf).select("sample_id", at(0).alias("b"), F.explode(F.array(*(F.struct(F.lit(f"top_{k}").alias("perturbation"), at(k).alias("v")) for k in (1, 2)))).alias("x"))
     return rows.select("sample_id", "x.perturbation", *metrics.compared(F.col("b"), F.col("x.v")))
 
 
@@ -490,10 +475,10 @@ def robustness_compare(spark: SparkSession, sf: str) -> DataFrame:
     return _variants(spark, sf).select("sample_id", "perturbation", "answer_changed", _r(F.col("confidence_drop")).alias("confidence_drop"), _r(F.col("object_box_iou")).alias("object_box_iou"), "worker_lost")
 
 
-@query(f"{_VARIANTS} SELECT perturbation, round(avg(answer_changed::INT), 6) AS change_rate, round(avg(worker_lost::INT), 6) AS lost_rate, round(avg(object_box_iou), 6) AS mean_iou, count(*) AS n FROM r GROUP BY 1")
+@query(f"{_VARIANTS} SELECT perturbation, round(avg(answer_changed::INT), 6) AS change_rate, round(avg(worker_lost::INT), 6) AS lost_rate, round(avg(object_box_iou), 6) AS mean_iou, round(avg(confidence_drop), 6) AS mean_confidence_drop, count(*) AS n FROM r GROUP BY 1")
 def robustness_rates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _variants(spark, sf).groupBy("perturbation")
-    return rows.agg(_r(relational.rate(F.col("answer_changed"))).alias("change_rate"), _r(relational.rate(F.col("worker_lost"))).alias("lost_rate"), _r(relational.rate(F.col("object_box_iou"))).alias("mean_iou"), F.count("*").alias("n"))
+    means = {"change_rate": "answer_changed", "lost_rate": "worker_lost", "mean_iou": "object_box_iou", "mean_confidence_drop": "confidence_drop"}
+    return _variants(spark, sf).groupBy("perturbation").agg(*(_r(relational.rate(F.col(c))).alias(k) for k, c in means.items()), F.count("*").alias("n"))
 
 
 @query(f"{_VARIANTS} SELECT count(*) AS n, round(avg((NOT answer_changed AND coalesce(object_box_iou < 0.3, false))::INT), 6) AS rate FROM r WHERE NOT answer_changed")
@@ -525,20 +510,32 @@ def supported_worker_lost(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The tables of the earlier stages as they are stored: lists piped or JSON, confidence as text."""
-    rows = _accuracy(spark, sf).filter("sample_id % 11 > 0")
-    boxes = lambda k, w: F.to_json(F.transform(a.sides(F.col("held"), lambda x: x["rank"] > k)[w], g.to_list))
-    masked = rows.filter("source = 'model'").select("image_id", a.sides(F.col("held"), lambda x: x["rank"] > 1)[0].alias("workers"))
+    """The tables of the earlier stages as they are stored: lists piped or JSON, confidence as text. Only regions lack some samples."""
+    rows = tables.stored(_accuracy(spark, sf).select("sample_id", "image_id", "assigned_rule_id", "primary_class", "violated_rules", "o_totalprice", "base", "source", "changed_1", "changed_2"), "accuracy")
+    held = tables.stored(_boxes_of(spark, sf), "boxes")
+    known = rows.join(held, "sample_id")
+    boxes = lambda c: F.to_json(F.transform(c, g.to_list))
     return {
         "accuracy": rows.select("image_id", "assigned_rule_id", "primary_class", F.col("changed_1").alias("answer_changed_top1"), F.col("changed_2").alias("answer_changed_top2")),
-        "regions": rows.select("image_id", "assigned_rule_id", F.col("source").alias("top_region_source")),
-        "samples": a.samples(spark, sf).select("image_id", labels.piped(F.col("violated_rules")).alias("violated_rule_ids")),
-        "predictions": rows.select("image_id", F.col("base").alias("answer"), boxes(0, 0).alias("worker_boxes"), boxes(0, 1).alias("object_boxes"), F.lit("0.75").alias("confidence")),
-        "quality": a.samples(spark, sf).filter("sample_id % 5 > 0").select("image_id", F.when(F.col("o_totalprice") < 60000, "poor info").otherwise("rich info").alias("quality_of_info")),
-        "masked": masked,
+        "regions": rows.filter("sample_id % 11 > 0").select("image_id", "assigned_rule_id", F.col("source").alias("top_region_source")),
+        "samples": rows.select("image_id", labels.piped(F.col("violated_rules")).alias("violated_rule_ids")),
+        "predictions": known.select("image_id", F.col("base").alias("answer"), boxes("workers").alias("worker_boxes"), boxes("objects").alias("object_boxes"), F.lit("0.75").alias("confidence")),
+        "quality": rows.filter("sample_id % 5 > 0").select("image_id", F.when(F.col("o_totalprice") < 60000, "poor info").otherwise("rich info").alias("quality_of_info")),
+        "masked": known.filter("source = 'model'").select("image_id", F.col("left").alias("workers")),
     }
 
 
+def _boxes_of(spark: SparkSession, sf: str) -> DataFrame:
+    """sample_id, workers, objects, and left: the workers without the largest box. Arrays in order; empty ones where there is none."""
+    held = F.struct("ord", _box().alias("b"))
+    of = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, held))), lambda s: s.b)
+    worker = F.col("role") == "worker"
+    sides = {"workers": worker, "objects": ~worker, "left": worker & (F.col("rank") > 1)}
+    arrays = a.ranked(spark, sf).groupBy("sample_id").agg(*(of(c).alias(k) for k, c in sides.items()))
+    none = F.array().cast(f"array<{g.BOX}>")
+    return a.samples(spark, sf).select("sample_id").join(arrays, "sample_id", "left").withColumns({c: F.coalesce(c, none) for c in sides})
+
+
 _COMPLETE = f"""{_ACCURACY}, b AS (SELECT image_id, assigned_rule_id, primary_class, verdict, contains(violated, '|') AS is_multi_rule_violation,
   CASE WHEN sample_id % 5 > 0 THEN CASE WHEN o_totalprice < 60000 THEN 'poor info' ELSE 'rich info' END END AS quality_of_info, source AS top_region_source, CASE WHEN source = 'model' THEN worker_lost END AS worker_lost_in_top1_mask FROM v WHERE sample_id % 11 > 0)"""
 
@@ -561,7 +558,7 @@ def worker_lost_audit(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.completeness(**_stored(spark, sf)).agg(F.count(lost).alias("scored"), *(_r(relational.rate(v)).alias(k) for k, v in rates.items()))
 
 
-@query(f"WITH {a.RANKED}, {a.answer_sql('base')} SELECT lpad(sample_id::VARCHAR, 7, '0') AS image_id, answer, workers::BIGINT AS workers, round(coalesce(x, 0), 6) AS x, 0.75::DOUBLE AS confidence FROM base LEFT JOIN (SELECT sample_id, sum(x0 + y1) AS x FROM boxes WHERE role = 'object' GROUP BY 1) USING (sample_id) WHERE sample_id % 11 > 0")
+@query(f"WITH {a.RANKED}, {a.answer_sql('base')} SELECT lpad(sample_id::VARCHAR, 7, '0') AS image_id, answer, workers::BIGINT AS workers, round(coalesce(x, 0), 6) AS x, 0.75::DOUBLE AS confidence FROM base LEFT JOIN (SELECT sample_id, sum(x0 + y1) AS x FROM boxes WHERE role = 'object' GROUP BY 1) USING (sample_id)")
 def baseline_rehydration(spark: SparkSession, sf: str) -> DataFrame:
     rows = metrics.rehydrate(_stored(spark, sf)["predictions"])
     return rows.select("image_id", "answer", F.size("workers").cast("long").alias("workers"), _r(F.aggregate("objects", F.lit(0.0), lambda s, b: s + b.x0 + b.y1)).alias("x"), "confidence")
@@ -617,7 +614,8 @@ def confidence_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {a.SAMPLES}, {a.RANKED}, {a.answer_sql('a0', 0)} SELECT round(avg((answer = 'violation')::INT) FILTER (WHERE primary_class <> 'compliant'), 6) AS sensitivity, round(avg((answer = 'compliant')::INT) FILTER (WHERE primary_class = 'compliant'), 6) AS specificity, count(*) FILTER (WHERE primary_class <> 'compliant') AS positives, count(*) FILTER (WHERE primary_class = 'compliant') AS negatives FROM samples JOIN a0 USING (sample_id) WHERE assigned_rule_id <> 'rule_4'")
 def sens_spec(spark: SparkSession, sf: str) -> DataFrame:
-    rows = a.held(spark, sf).filter("assigned_rule_id != 'rule_4'").withColumn("answer", _without(0))
+    answers = decide.coverage_exploded(a.samples(spark, sf), a.boxes(spark, sf), a.NEAR)
+    rows = a.samples(spark, sf).filter("assigned_rule_id != 'rule_4'").join(answers, "sample_id")
     bad = F.col("primary_class") != "compliant"
     return rows.agg(
         _r(relational.rate(F.when(bad, (F.col("answer") == "violation").cast("double")))).alias("sensitivity"),

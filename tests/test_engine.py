@@ -184,7 +184,7 @@ def test_summary_of_six_metrics(spark):
     assert list(got) == list(metrics.SUMMARY)
     first, sparse, robust, hours = (got[m] for m in ("descriptive_accuracy", "visual_sparsity_top5", "robustness_level1_answer_survival", "efficiency_total_pipeline_1000hr"))
     assert (first.overall, first.compliant, first.fall_hazard, first.struck_by_risk, first.n) == (pytest.approx(1 / 3), 0.5, 0.0, None, "3")
-    assert (sparse.overall, sparse.fall_hazard, sparse.n) == (0.75, None, "2") and robust.n == "8"
+    assert (sparse.overall, sparse.fall_hazard, sparse.n) == (0.75, None, "3") and robust.n == "12"  # a null score is a row too
     assert (hours.overall, hours.compliant, hours.direction) == (2.5, None, "lower_better") and hours.n.startswith("n/a")
 
 
