@@ -37,17 +37,23 @@ def low_light(image: Pixels, gamma: float = 2.5) -> Pixels:
 
 
 def occlude(image: Pixels, fraction: float = 0.2) -> Pixels:
-    """Black wherever a pixel is at most half a side from the centre, the side being that of a square of that share of the area."""
+    """A black square of that share of the area, in the middle."""
     h, w = image.shape[:2]
     side = round((fraction * w * h) ** 0.5)
-    rows, columns = (np.abs(2 * (np.arange(n) - (n - side) // 2) - side + 1) < side for n in (h, w))
-    return np.where((rows[:, None] & columns)[..., None], 0, image).astype(np.uint8)
+    top, left = (h - side) // 2, (w - side) // 2
+    out = image.copy()
+    out[max(top, 0) : max(top + side, 0), max(left, 0) : max(left + side, 0)] = 0
+    return out
+
+
+#: A colour's share of its grey, of 65536. Fixed values.
+GREY = np.array([19595, 38470, 7471])
 
 
 def contrast_shift(image: Pixels, factor: float = 0.3) -> Pixels:
-    """Blended with the mean grey: 1 changes nothing, less flattens."""
-    grey = int((image @ np.array([0.299, 0.587, 0.114])).mean() + 0.5)
-    return np.clip(grey + factor * (image.astype(float) - grey), 0, 255).astype(np.uint8)
+    """Blended with the mean grey, of whole greys: 1 changes nothing, less flattens. Fractions are cut off, in single precision."""
+    grey = np.float32(int(((image @ GREY + 32768) >> 16).mean() + 0.5))
+    return np.clip(grey + np.float32(factor) * (image.astype(np.float32) - grey), 0, 255).astype(np.uint8)
 
 
 def _frame(box: tuple[float, ...], image: Pixels) -> tuple[int, int, int, int] | None:
@@ -68,24 +74,49 @@ def mask_region(image: Pixels, box: tuple[float, ...], mode: str = "black", radi
     return out
 
 
-def _resized(image: Pixels, height: int, width: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned; floats."""
-    rows = np.clip((np.arange(height) + 0.5) * image.shape[0] / height - 0.5, 0, image.shape[0] - 1)
-    columns = np.clip((np.arange(width) + 0.5) * image.shape[1] / width - 0.5, 0, image.shape[1] - 1)
-    r, c = rows.astype(int), columns.astype(int)
-    r1, c1 = np.minimum(r + 1, image.shape[0] - 1), np.minimum(c + 1, image.shape[1] - 1)
-    extra = (1,) * (image.ndim - 2)
-    fr, fc = (rows - r).reshape(-1, 1, *extra), (columns - c).reshape(1, -1, *extra)
-    x = image.astype(float)
-    upper = x[r][:, c] * (1 - fc) + x[r][:, c1] * fc
-    return upper * (1 - fr) + (x[r1][:, c] * (1 - fc) + x[r1][:, c1] * fc) * fr
+def _bilinear(x: np.ndarray) -> np.ndarray:
+    return np.maximum(1 - abs(x), 0)
+
+
+def _bicubic(x: np.ndarray) -> np.ndarray:
+    x = abs(x)
+    return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((x - 5) * x + 8) * x - 4, 0) * -0.5)
+
+
+#: Filters by their reach, in pixels of the source or, where it shrinks, of the result.
+FILTERS: dict[str, tuple[Callable[[np.ndarray], np.ndarray], float]] = {"bilinear": (_bilinear, 1.0), "bicubic": (_bicubic, 2.0)}
+_BITS = 22
+
+
+def _weights(source: int, size: int, name: str) -> np.ndarray:
+    """What each pixel of a line has of each of its source, as whole numbers of 2**-22."""
+    kernel, reach = FILTERS[name]
+    scale = source / size
+    wide = max(scale, 1.0)
+    centre = (np.arange(size)[:, None] + 0.5) * scale
+    first, last = np.floor(np.maximum(centre - reach * wide + 0.5, 0)), np.floor(np.minimum(centre + reach * wide + 0.5, source))
+    at = np.arange(source)[None, :]
+    w = np.where((at >= first) & (at < last), kernel((at - centre + 0.5) / wide), 0)
+    w = w / w.sum(axis=1, keepdims=True) * (1 << _BITS)
+    return np.trunc(w + np.where(w < 0, -0.5, 0.5)).astype(np.int64)
+
+
+def resized(image: Pixels, height: int, width: int, name: str = "bicubic") -> Pixels:
+    """Columns first, then rows, each rounded to whole levels."""
+    out = image.astype(np.int64)
+    for axis, size in ((1, width), (0, height)):
+        if out.shape[axis] != size:
+            summed = np.tensordot(_weights(out.shape[axis], size, name), out, (1, axis))  # the new axis comes first
+            out = np.clip((np.moveaxis(summed, 0, axis) + (1 << (_BITS - 1))) >> _BITS, 0, 255)
+    return out.astype(np.uint8)
 
 
 def paste_patch(image: Pixels, box: tuple[float, ...], patch: Pixels) -> Pixels:
+    """The patch resized to the rounded and clipped box; a box outside changes nothing."""
     out, at = image.copy(), _frame(box, image)
     if at:
         x0, y0, x1, y1 = at
-        out[y0:y1, x0:x1] = np.rint(_resized(patch, y1 - y0, x1 - x0)).astype(np.uint8)
+        out[y0:y1, x0:x1] = resized(patch, y1 - y0, x1 - x0)
     return out
 
 
@@ -115,29 +146,37 @@ def lettering(text: str) -> np.ndarray:
 
 
 def overlay_boxes(image: Pixels, boxes: list[tuple[float, ...]], labels: list[str | None] | None = None, colour: tuple[int, int, int] = (255, 0, 0), width: int = 3) -> Pixels:
-    """Outlines of boxes, each with its label, if any, above it, or inside where there is no room above."""
+    """Outlines of boxes, their corners cut to whole pixels and both included, growing inwards; what is outside is not drawn.
+
+    Labels stand twelve rows above their box, or at the top, two columns in; boxes and labels go together as far as both
+    reach. Inverted boxes have no outline.
+    """
     out = image.copy()
-    for box, label in zip(boxes, labels or [None] * len(boxes), strict=True):
-        at = _frame(box, image)
-        if not at:
-            continue
-        x0, y0, x1, y1 = at
-        inner = out[y0 + width : y1 - width, x0 + width : x1 - width].copy()
-        out[y0:y1, x0:x1] = colour
-        if inner.size:
-            out[y0 + width : y1 - width, x0 + width : x1 - width] = inner
+    h, w = image.shape[:2]
+    for box, label in zip(boxes, labels if labels is not None else [None] * len(boxes), strict=False):
+        x0, y0, x1, y1 = (int(v) for v in box)
+        if x1 >= x0 and y1 >= y0:
+            x, y = np.arange(w), np.arange(h)
+            across, down = (x >= x0) & (x <= x1), (y >= y0) & (y <= y1)
+            left_right, top_bottom = across & ((x < x0 + width) | (x > x1 - width)), down & ((y < y0 + width) | (y > y1 - width))
+            out[(down[:, None] & left_right[None, :]) | (top_bottom[:, None] & across[None, :])] = colour
         if label:
-            top, left = (y0 - 6, x0) if y0 >= 6 else (y0 + width + 1, x0 + width + 1)
-            ink = lettering(label)[: max(0, out.shape[0] - top), : max(0, out.shape[1] - left)]
-            out[top : top + ink.shape[0], left : left + ink.shape[1]][ink] = colour
+            _write(out, int(box[0] + 2), int(max(box[1] - 12, 0)), label, colour)
     return out
 
 
+def _write(out: Pixels, left: int, top: int, text: str, colour: tuple[int, int, int]) -> None:
+    ink = lettering(text)[max(-top, 0) :, max(-left, 0) :]
+    left, top = max(left, 0), max(top, 0)
+    ink = ink[: max(0, out.shape[0] - top), : max(0, out.shape[1] - left)]
+    out[top : top + ink.shape[0], left : left + ink.shape[1]][ink] = colour
+
+
 def overlay_heatmap(image: Pixels, heatmap: np.ndarray, alpha: float = 0.5, gamma: float = 1.0) -> Pixels:
-    """Each pixel moved towards red, by up to alpha where the enlarged map is 1."""
-    towards = np.array([255.0, 0.0, 0.0]) - image
-    share = alpha * _resized(np.clip(heatmap, 0.0, 1.0) ** gamma, *image.shape[:2])
-    return np.rint(image + share[..., None] * towards).astype(np.uint8)
+    """Each pixel moved towards red, by up to alpha where the map is 1. The map is cut to 256 levels and then enlarged; so is the result."""
+    levels = (np.clip(heatmap, 0.0, 1.0) ** gamma * 255).astype(np.uint8)
+    share = (alpha * (resized(levels, *image.shape[:2], "bilinear") / 255.0))[..., None]
+    return (image * (1 - share) + np.array([255.0, 0.0, 0.0]) * share).astype(np.uint8)
 
 
 #: The image perturbations of the robustness metric by name.

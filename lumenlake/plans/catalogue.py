@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -744,9 +745,37 @@ def _pixel_sql(value: str, more: str = "", source: str = "e") -> str:
     return f"{_PIXELS}{more} SELECT vec_id, md5(string_agg(format('{{:02x}}', ({value})::INT), '' ORDER BY i)) AS digest FROM {source} GROUP BY 1"
 
 
-_KERNEL = "k AS (SELECT d::INT AS d, exp(-0.5 * pow(d / 8.0::DOUBLE, 2)) / (SELECT sum(exp(-0.5 * pow(o / 8.0::DOUBLE, 2))) FROM range(-24, 25) r(o)) AS w FROM range(-24, 25) r(d))"
-_BLURRED = f""", {_KERNEL}, b1 AS (SELECT e.vec_id, e.i, e.ch, e.x, e.y, sum(k.w * o.v) AS v FROM e, k, e o WHERE o.vec_id = e.vec_id AND o.ch = e.ch AND o.x = e.x AND o.y = least(greatest(e.y + k.d, 0), 3) GROUP BY ALL),
-b2 AS (SELECT e.vec_id, e.i, sum(k.w * o.v) AS v FROM b1 e, k, b1 o WHERE o.vec_id = e.vec_id AND o.ch = e.ch AND o.y = e.y AND o.x = least(greatest(e.x + k.d, 0), 15) GROUP BY ALL)"""
+def _blurred(radius: int, x0: int, y0: int, x1: int, y1: int, source: str = "e") -> str:
+    """b2: the pixels of a part of each picture, blurred inside it."""
+    reach = 3 * radius
+    weight = f"exp(-0.5 * pow({{}} / {radius}.0::DOUBLE, 2))"
+    part = f"x BETWEEN {x0} AND {x1} AND y BETWEEN {y0} AND {y1}"
+    return f""", part AS (SELECT * FROM {source} WHERE {part}), k AS (SELECT d::INT AS d, {weight.format('d')} / (SELECT sum({weight.format('o')}) FROM range(-{reach}, {reach + 1}) r(o)) AS w FROM range(-{reach}, {reach + 1}) r(d)),
+b1 AS (SELECT e.vec_id, e.i, e.ch, e.x, e.y, sum(k.w * o.v) AS v FROM part e, k, part o WHERE o.vec_id = e.vec_id AND o.ch = e.ch AND o.x = e.x AND o.y = least(greatest(e.y + k.d, {y0}), {y1}) GROUP BY ALL),
+b2 AS (SELECT e.vec_id, e.i, sum(k.w * o.v) AS v FROM b1 e, k, b1 o WHERE o.vec_id = e.vec_id AND o.ch = e.ch AND o.y = e.y AND o.x = least(greatest(e.x + k.d, {x0}), {x1}) GROUP BY ALL)"""
+
+
+def _line_sql(name: str, source: int, size: int, kernel: str = "bicubic") -> str:
+    """A view o, i, k: what pixel o of a resized line has of pixel i of its source, in 2**-22."""
+    weight, reach = {"bicubic": ("CASE WHEN d < 1 THEN (1.5 * d - 2.5) * d * d + 1 WHEN d < 2 THEN (((d - 5) * d + 8) * d - 4) * -0.5 ELSE 0 END", 2), "bilinear": ("greatest(1 - d, 0)", 1)}[kernel]
+    return f"""{name}_c AS (SELECT o::INT AS o, (o + 0.5::DOUBLE) * {source} / {size} AS c, greatest({source} / {size}::DOUBLE, 1) AS f FROM range({size}) r(o)),
+{name}_d AS (SELECT o, i::INT AS i, abs((i - c + 0.5::DOUBLE) / f)::DOUBLE AS d FROM {name}_c, range({source}) r(i) WHERE i >= floor(greatest(c - {reach} * f + 0.5, 0)) AND i < floor(least(c + {reach} * f + 0.5, {source}))),
+{name}_w AS (SELECT o, i, ({weight})::DOUBLE AS w FROM {name}_d), {name} AS (SELECT o, i, trunc(w / sum(w) OVER (PARTITION BY o) * 4194304 + CASE WHEN w < 0 THEN -0.5 ELSE 0.5 END)::BIGINT AS k FROM {name}_w)"""
+
+
+def _resized_sql(name: str, source: str, keys: str, size: tuple[int, int], to: tuple[int, int], kernel: str = "bicubic") -> str:
+    """A view keys, x, y, v: source (keys, x, y, v; height and width as size) as large as to. Columns first, then rows."""
+    level = "least(greatest(floor((sum(k * v) + 2097152) / 4194304::DOUBLE), 0), 255)::INT"
+    return f"""{_line_sql(f'{name}_x', size[1], to[1], kernel)}, {_line_sql(f'{name}_y', size[0], to[0], kernel)},
+{name}_1 AS (SELECT {keys}, o AS x, y, {level} AS v FROM {source} JOIN {name}_x ON i = x GROUP BY ALL), {name} AS (SELECT {keys}, x, o AS y, {level} AS v FROM {name}_1 JOIN {name}_y ON i = y GROUP BY ALL)"""
+
+
+def _tall(df: DataFrame) -> DataFrame:
+    """The pictures six times one below the other: 24 x 16."""
+    return df.withColumns({"pixels": F.concat(*["pixels"] * 6), "height": F.lit(24)})
+
+
+_TALL = ", h AS (SELECT vec_id, v, ch, x, y + 4 * r AS y, i + 192 * r AS i FROM e, range(6) r(r))"
 
 
 @query(_pixel_sql("v"))
@@ -776,36 +805,72 @@ def image_occlude(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(images.perturb(_pictures(spark, sf), "quarter", {"quarter": lambda x: images.occlude(x, 0.25)}))
 
 
-@query(_pixel_sql("round_even(v, 0)", _BLURRED, "b2"))
+@query(_pixel_sql("round_even(v, 0)", _blurred(8, 0, 0, 15, 3), "b2"))
 def image_blur(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(images.perturb(_pictures(spark, sf), "blur"))
 
 
-@query(_pixel_sql("trunc(least(greatest(g + 0.3::DOUBLE * (v - g), 0), 255))", ", g AS (SELECT vec_id, floor(avg(CASE ch WHEN 0 THEN 0.299 WHEN 1 THEN 0.587 ELSE 0.114 END::DOUBLE * v) * 3 + 0.5) AS g FROM e GROUP BY 1), f AS (SELECT e.*, g.g FROM e JOIN g USING (vec_id))", "f"))
+@query(_pixel_sql("trunc(least(greatest(g + 0.3::FLOAT * (v::FLOAT - g), 0), 255))", ", l AS (SELECT vec_id, i // 3 AS p, (sum(v * CASE ch WHEN 0 THEN 19595 WHEN 1 THEN 38470 ELSE 7471 END) + 32768) // 65536 AS l FROM e GROUP BY ALL), g AS (SELECT vec_id, floor(avg(l) + 0.5)::FLOAT AS g FROM l GROUP BY 1), f AS (SELECT e.*, g.g FROM e JOIN g USING (vec_id))", "f"))
 def image_contrast(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(images.perturb(_pictures(spark, sf), "contrast_shift"))
 
 
+@query(_pixel_sql("coalesce(round_even(b, 0), v)", _blurred(25, 2, 1, 12, 3) + ", m AS (SELECT e.*, b2.v AS b FROM e LEFT JOIN b2 USING (vec_id, i))", "m"))
+def image_mask_blur(spark: SparkSession, sf: str) -> DataFrame:
+    return _digest(images.perturb(_pictures(spark, sf), "mask", {"mask": lambda x: images.mask_region(x, (1.6, 1.4, 12.7, 9.0), "blur")}))
+
+
 @query(_pixel_sql("CASE WHEN x BETWEEN 2 AND 8 AND y BETWEEN 1 AND 2 THEN 0 ELSE v END"))
 def image_mask(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(images.perturb(_pictures(spark, sf), "mask", {"mask": lambda x: images.mask_region(x, (2.2, 0.8, 9.4, 3.1))}))
 
 
-@query(_pixel_sql("CASE WHEN x BETWEEN 2 AND 8 AND y BETWEEN 1 AND 2 THEN CASE ch WHEN 0 THEN 235 WHEN 1 THEN 220 ELSE 200 END ELSE v END"))
+def _colours() -> images.Pixels:
+    """A patch of many colours, five rows of six."""
+    y, x, ch = np.indices((5, 6, 3))
+    return ((x * 37 + y * 53 + ch * 71) % 256).astype(np.uint8)
+
+
+_PATCH = "q0 AS (SELECT x::INT AS x, y::INT AS y, ch::INT AS ch, (x * 37 + y * 53 + ch * 71) % 256 AS v FROM range(6) a(x), range(5) b(y), range(3) c(ch))"
+_HAT = "q0 AS (SELECT x::INT AS x, y::INT AS y, ch::INT AS ch, CASE WHEN pow((x - 30) / 28.0::DOUBLE, 2) + pow((y - 28) / 26.0::DOUBLE, 2) <= 1 THEN [255, 210, 0] ELSE [235, 220, 200] END[ch + 1] AS v FROM range(60) a(x), range(60) b(y), range(3) c(ch))"
+
+
+def _pasted_sql(patch: str, size: tuple[int, int], x0: int, y0: int, x1: int, y1: int) -> str:
+    more = f", {patch}, {_resized_sql('q2', 'q0', 'ch', size, (y1 - y0, x1 - x0))}, z AS (SELECT e.* REPLACE (coalesce(q2.v, e.v) AS v) FROM e LEFT JOIN q2 ON q2.x = e.x - {x0} AND q2.y = e.y - {y0} AND q2.ch = e.ch)"
+    return _pixel_sql("v", more, "z")
+
+
+@query(_pasted_sql(_PATCH, (5, 6), 2, 0, 13, 3))
 def image_patch(spark: SparkSession, sf: str) -> DataFrame:
-    """A patch of one colour, so that its enlargement is that colour too."""
-    return _digest(images.perturb(_pictures(spark, sf), "patch", {"patch": lambda x: images.paste_patch(x, (2, 1, 9, 3), images.hard_hat_patch()[:2, :2])}))
+    """A patch of many colours, wider and lower than it was."""
+    return _digest(images.perturb(_pictures(spark, sf), "patch", {"patch": lambda x: images.paste_patch(x, (2, -0.4, 13, 3.4), _colours())}))
+
 
+@query(_pasted_sql(_HAT, (60, 60), 5, 0, 14, 4))
+def image_hat(spark: SparkSession, sf: str) -> DataFrame:
+    """The hard-hat patch, made small."""
+    return _digest(images.perturb(_pictures(spark, sf), "patch", {"patch": lambda x: images.paste_patch(x, (5, 0, 14, 4), images.hard_hat_patch())}))
 
-@query(_pixel_sql("CASE WHEN x BETWEEN 2 AND 8 AND y BETWEEN 0 AND 2 AND NOT (x BETWEEN 3 AND 7 AND y = 1) THEN CASE ch WHEN 0 THEN 255 ELSE 0 END ELSE v END"))
+
+_LETTERS = "t AS (SELECT c::INT + 3 AS x, r::INT + 1 AS y FROM (SELECT unnest(['X.X.XXX', 'X.X..X.', 'XXX..X.', 'X.X..X.', 'X.X.XXX']) AS line, unnest(range(5)) AS r), range(7) c(c) WHERE line[c + 1] = 'X')"
+_OUTLINE = "x BETWEEN 1 AND 14 AND y BETWEEN 13 AND 22 AND NOT (x BETWEEN 4 AND 11 AND y BETWEEN 16 AND 19)"
+
+
+@query(_pixel_sql(f"CASE WHEN ({_OUTLINE}) OR (x, y) IN (SELECT (x, y) FROM t) OR (x >= 12 AND y BETWEEN 2 AND 4) THEN CASE ch WHEN 0 THEN 255 ELSE 0 END ELSE v END", f"{_TALL}, {_LETTERS}", "h"))
 def image_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    return _digest(images.perturb(_pictures(spark, sf), "boxes", {"boxes": lambda x: images.overlay_boxes(x, [(2, 0, 9, 3), (30, 30, 40, 40)], width=1)}))
+    """Outlines three pixels wide with a label, one of them partly outside."""
+    drawn = lambda x: images.overlay_boxes(x, [(1.9, 13, 14.7, 22.2), (12, 2, 40, 4)], ["hi", None])
+    return _digest(images.perturb(_tall(_pictures(spark, sf)), "boxes", {"boxes": drawn}))
+
+
+_HEAT = f"{_TALL}, {a.HEATMAPS}, n AS (SELECT vec_id, {a.MIN_MAX} AS c FROM maps), n0 AS (SELECT vec_id, unnest(c) AS v, generate_subscripts(c, 1) - 1 AS i FROM n), n1 AS (SELECT vec_id, (i % 8)::INT AS x, (i // 8)::INT AS y, trunc(pow(v, 0.5) * 255)::INT AS v FROM n0)"
 
 
-@query(_pixel_sql("round_even(v + 0.5::DOUBLE * pow(heat, 2.0) * (CASE ch WHEN 0 THEN 255 ELSE 0 END - v), 0)", f", {a.HEATMAPS}, n AS (SELECT vec_id, {a.MIN_MAX} AS c FROM maps), w AS (SELECT e.*, n.c[i // 3 + 1] AS heat FROM e JOIN n USING (vec_id))", "w"))
+@query(_pixel_sql("trunc(v * (1 - 0.5::DOUBLE * (heat / 255.0::DOUBLE)) + CASE ch WHEN 0 THEN 255 ELSE 0 END * (0.5::DOUBLE * (heat / 255.0::DOUBLE)))", f"{_HEAT}, {_resized_sql('n2', 'n1', 'vec_id', (8, 8), (24, 16), 'bilinear')}, w AS (SELECT h.*, n2.v AS heat FROM h JOIN n2 USING (vec_id, x, y))", "w"))
 def image_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    """Maps of 8 x 8 over pictures of 24 x 16."""
     maps = a.heatmaps(spark, sf).select("vec_id", h.min_max(F.col("raw")).alias("heatmap"))
-    return _digest(images.overlay_heatmaps(_pictures(spark, sf).join(maps, "vec_id"), 4, _WIDE, gamma=2.0))
+    return _digest(images.overlay_heatmaps(_tall(_pictures(spark, sf)).join(maps, "vec_id"), 8, 8, gamma=0.5))
 
 
 # Inference boundary

@@ -253,17 +253,63 @@ def test_images():
 
 
 def test_labels_on_pictures():
-    grey = np.full((30, 40, 3), 90, np.uint8)
-    plain = images.overlay_boxes(grey, [(5, 10, 30, 25)])
-    named = images.overlay_boxes(grey, [(5, 10, 30, 25)], ["hard hat"])
+    grey = np.full((40, 50, 3), 90, np.uint8)
+    plain = images.overlay_boxes(grey, [(5, 20.7, 30, 35)])
+    named = images.overlay_boxes(grey, [(5, 20.7, 30, 35)], ["hard hat"])
     changed = (plain != named).any(axis=2)
-    assert changed.sum() == images.lettering("hard hat")[:, :35].sum() and set(np.argwhere(changed)[:, 0]) <= set(range(4, 9))
-    inside = images.overlay_boxes(grey, [(0, 2, 39, 29)], ["w?"])
-    assert (inside != images.overlay_boxes(grey, [(0, 2, 39, 29)])).any(axis=2).sum() == images.lettering("w?").sum()
-    assert (images.overlay_boxes(grey, [(50, 50, 60, 60)], ["far"]) == grey).all()
+    assert changed.sum() == images.lettering("hard hat").sum() and set(np.argwhere(changed)[:, 0]) == set(range(8, 13)) and np.argwhere(changed)[:, 1].min() == 7
+    top = images.overlay_boxes(grey, [(30, 2, 45, 30)], ["w? long"])  # at the top, cut off at the right
+    assert (top[:2] != 90).any(axis=2).sum() == images.lettering("w? long")[:2, :18].sum()
+    outline = (plain != grey).any(axis=2)
+    assert outline[20:36, 5:31].sum() == outline.sum() == 26 * 16 - 20 * 10  # corners included, three wide
+    assert (images.overlay_boxes(grey, [(9, 9, 5, 5), (60, 60, 70, 70)]) == grey).all()
+    assert (images.overlay_boxes(grey, [(45, 10, 80, 30)])[10:31, 48:] == grey[10:31, 48:])[3:18].all()  # its right side is outside
+    assert (images.overlay_boxes(grey, [(1, 1, 9, 9), (20, 20, 29, 29)], ["only"]) == images.overlay_boxes(grey, [(1, 1, 9, 9)], ["only"])).all()
     assert len({images.lettering(c).tobytes() for c in images.GLYPHS}) == len(images.GLYPHS)
 
 
+def _line(values, size, kernel, reach):
+    """A line of samples resized, one at a time, in whole levels."""
+    out, scale = [], len(values) / size
+    wide = max(scale, 1)
+    for o in range(size):
+        centre = (o + 0.5) * scale
+        at = range(max(0, int(max(centre - reach * wide + 0.5, 0))), min(len(values), int(centre + reach * wide + 0.5)))
+        w = [kernel(abs((i - centre + 0.5) / wide)) for i in at]
+        out.append(min(255, max(0, math.floor(sum(values[i] * x for i, x in zip(at, w, strict=True)) / sum(w) + 0.5))))
+    return out
+
+
+@pytest.mark.parametrize(("name", "kernel", "reach"), [("bilinear", lambda d: max(0, 1 - d), 1), ("bicubic", lambda d: 1.5 * d**3 - 2.5 * d**2 + 1 if d < 1 else -0.5 * (d**3 - 5 * d**2 + 8 * d - 4) if d < 2 else 0, 2)])
+def test_resizing(name, kernel, reach):
+    rng = np.random.default_rng(5)
+    for (h, w), (to_h, to_w) in (((5, 6), (11, 3)), ((24, 24), (30, 47)), ((60, 60), (7, 9)), ((4, 4), (4, 4)), ((1, 1), (3, 2))):
+        image = rng.integers(0, 256, (h, w, 3), np.uint8)
+        wide = np.array([[_line(image[y, :, c].tolist(), to_w, kernel, reach) for c in range(3)] for y in range(h)]).transpose(0, 2, 1)
+        want = np.array([[_line(wide[:, x, c].tolist(), to_h, kernel, reach) for c in range(3)] for x in range(to_w)]).transpose(2, 0, 1)
+        got = images.resized(image, to_h, to_w, name)
+        assert got.shape == want.shape and abs(got.astype(int) - want).max() <= 1 and (got != want).mean() < 0.1  # halves fall either way: weights are whole numbers there
+    assert (images.resized(np.full((3, 5, 3), 200, np.uint8), 9, 4, name) == 200).all()
+
+
+def test_heat_maps_are_cut_to_levels():
+    rng = np.random.default_rng(9)
+    image, heat = rng.integers(0, 256, (48, 72, 3), np.uint8), rng.random((24, 24)) * 1.4 - 0.2
+    levels = images.resized((np.clip(heat, 0, 1) ** 0.7 * 255).astype(np.uint8), 48, 72, "bilinear")
+    got = images.overlay_heatmap(image, heat, 0.6, 0.7)
+    for y, x in ((0, 0), (47, 71), (13, 40)):
+        share = 0.6 * (levels[y, x] / 255)
+        assert got[y, x].tolist() == [int(image[y, x, c] * (1 - share) + (255.0 if c == 0 else 0.0) * share) for c in range(3)]
+
+
+def test_contrast_is_about_whole_greys():
+    image = np.array([[[10, 200, 30], [255, 255, 255]], [[0, 0, 0], [1, 2, 3]]], np.uint8)
+    greys = [(19595 * r + 38470 * g + 7471 * b + 32768) >> 16 for r, g, b in image.reshape(-1, 3).tolist()]
+    mean = int(sum(greys) / 4 + 0.5)
+    assert images.contrast_shift(image, 0.5).ravel().tolist() == [int(mean + 0.5 * (v - mean)) for v in image.ravel().tolist()]
+    assert images.contrast_shift(image, 0.0).ravel().tolist() == [mean] * 12
+
+
 def test_null_pixels_stay_null(spark):
     df = spark.createDataFrame([("a", 1, 1, bytearray(b"abc")), ("b", 1, 1, None)], "name string, height int, width int, pixels binary")
     assert {r.name: r.pixels is None for r in images.perturb(df, "low_light").collect()} == {"a": False, "b": True}
