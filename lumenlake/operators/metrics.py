@@ -91,6 +91,15 @@ def patch_flip(base: Column, patched: Column) -> Column:
     return (base == "violation") & (patched == "compliant")
 
 
+#: Whom the patch test is for, and how many of them.
+PATCH_CLASS, PATCH_RULE, PATCH_ROWS = "ppe_violation", "rule_1", 20
+
+
+def patch_candidates(rows: DataFrame, workers: Column, order: list[Column], n: int = PATCH_ROWS) -> DataFrame:
+    """The first n samples of the class and rule that a hat can change and that have a worker to put it on."""
+    return rows.filter((F.col("primary_class") == PATCH_CLASS) & (F.col("assigned_rule_id") == PATCH_RULE) & (workers > 0)).orderBy(*order).limit(n)
+
+
 # Efficiency
 def timing_stats(ms: str | Column) -> list[Column]:
     """n, mean, exact median, population deviation and maximum; null statistics without rows."""
@@ -117,6 +126,43 @@ def extrapolate(ms: Column, n: int) -> list[Column]:
     return [seconds.alias("seconds"), (seconds / 60).alias("minutes"), (seconds / 3600).alias("hours")]
 
 
+def efficiency(predictions: DataFrame, regions: DataFrame, attribution: DataFrame, sampled: DataFrame, n_calibration: int = 15, n_runs: int = 3, n_full: int = 1000) -> DataFrame:
+    """What each stage costs: the table efficiency_summary, four rows.
+
+    predictions (image_id, assigned_rule_id, inference_ms) give the first stage, with regions (n_regions,
+    top_region_source) the reruns of the second. The other two are timed on the first n_calibration samples by image_id
+    and scaled to all: attribution (image_id, ms) without samples of the grid, which no phrase explains, and sampled
+    reruns (image_id, ms).
+    """
+    keys = ["image_id", "assigned_rule_id"]
+    merged = predictions.join(regions.select(*keys, "n_regions", "top_region_source"), keys)
+    few = merged.select("image_id", "top_region_source", F.col("assigned_rule_id").alias("rule")).orderBy("image_id", "rule").limit(n_calibration)
+    few = relational.first_by(few, ["image_id"], [F.col("rule")])
+    ms, calls = F.col("inference_ms"), reruns(F.col("n_regions"))
+    base = predictions.agg(F.avg(ms).alias("b_mean"), (F.sum(ms) / 1000).alias("b_total"), F.count("*").alias("n"))
+    again = merged.agg(F.avg(calls.cast("double")).alias("a_calls"), F.avg(calls * ms).alias("a_mean"), (F.sum(calls * ms) / 1000).alias("a_total"))
+    shown = few.filter("top_region_source != 'grid'").join(attribution, "image_id").agg(F.avg("ms").alias("s_mean"))
+    runs = few.join(sampled, "image_id").agg(F.avg("ms").alias("r_mean"))
+    one = base.join(again).join(shown).join(runs)  # a row each
+    scaled = F.concat(F.lit(f"{n_calibration} calibration samples, scaled to "), F.col("n").cast("string"))
+
+    def stage(day: int, name: str, calls: Column, call: Column, sample: Column, total: Column, n: Column) -> Column:
+        _, minutes, hours = extrapolate(sample, n_full)
+        return F.struct(
+            F.lit(day).alias("day"), F.lit(name).alias("name"), calls.cast("double").alias("calls_per_sample"), call.alias("mean_ms_per_call"), sample.alias("mean_ms_per_sample"),
+            total.alias("observed_total_seconds"), n.cast("string").alias("n_observed"), minutes.alias("extrapolated_1000_minutes"), hours.alias("extrapolated_1000_hours"),
+        )
+
+    c, sampled_ms = F.col, F.col("r_mean") * n_runs
+    stages = [
+        stage(3, "baseline_inference", F.lit(1), c("b_mean"), c("b_mean"), c("b_total"), c("n")),
+        stage(5, "descriptive_accuracy_reruns", c("a_calls"), c("b_mean"), c("a_mean"), c("a_total"), c("n")),
+        stage(6, "cross_attention_attribution", F.lit(1), c("s_mean"), c("s_mean"), c("s_mean") * c("n") / 1000, scaled),
+        stage(7, "stability_sampled_reruns", F.lit(n_runs), c("r_mean"), sampled_ms, sampled_ms * c("n") / 1000, scaled),
+    ]
+    return one.select(F.inline(F.array(*stages)))
+
+
 # Completeness
 def completeness(accuracy: DataFrame, regions: DataFrame, samples: DataFrame, predictions: DataFrame, quality: DataFrame, masked: DataFrame) -> DataFrame:
     """Verdicts with what breaks them down, a row for each of accuracy that has its region, sample and prediction.

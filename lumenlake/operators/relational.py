@@ -43,6 +43,21 @@ def rate_by_class(rows: DataFrame, value: Column, cls: str = "primary_class") ->
     return [rate(value).alias("overall"), *(rate(F.when(F.col(cls) == c, value.cast("double"))).alias(c) for c in rules.CLASSES), F.count("*").alias("n")]
 
 
+def rates_long(rows: DataFrame, value: Column, cls: str = "primary_class", rule: str = "assigned_rule_id") -> DataFrame:
+    """level, class, rule, rate and n: overall, by class, by rule and by both, from one pass over rows.
+
+    level is `overall`, `class`, `rule` or `class_rule`; what a level does not tell apart is null. A class without rows has
+    its row of level class, with a null rate and n 0.
+    """
+    found = rows.select(F.col(cls).alias("c"), F.col(rule).alias("r"), value.cast("double").alias("v"))
+    sets = found.groupingSets([["c", "r"], ["c"], ["r"], []], "c", "r").agg(F.grouping_id("c", "r").alias("g"), rate(F.col("v")).alias("rate"), F.count("*").alias("n"))
+    level = F.element_at(F.array(*map(F.lit, ("class_rule", "class", "rule", "overall"))), F.col("g").cast("int") + 1)
+    found = sets.select(level.alias("level"), F.col("c").alias("class"), F.col("r").alias("rule"), "rate", "n")
+    names = rows.sparkSession.createDataFrame([("class", c) for c in rules.CLASSES], "level string, class string")
+    none = names.join(found.filter("level = 'class'").select("level", "class"), ["level", "class"], "left_anti")
+    return found.unionByName(none.select("level", "class", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("double").alias("rate"), F.lit(0).cast("long").alias("n")))
+
+
 def shares(rows: DataFrame, *keys: str) -> DataFrame:
     """Each value's count and its share of all rows: one pass over rows, the total is that of the counts."""
     counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))

@@ -416,6 +416,14 @@ def rate_by_class(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*(_r(F.col(c)).alias(c) for c in ("overall", *rules.CLASSES)), "n")
 
 
+@query(f"""{_ACCURACY}, g AS (SELECT CASE grouping(primary_class, assigned_rule_id) WHEN 0 THEN 'class_rule' WHEN 1 THEN 'class' WHEN 2 THEN 'rule' ELSE 'overall' END AS level, primary_class AS class, assigned_rule_id AS rule, round(avg(changed_1::INT), 6) AS rate, count(*) AS n
+  FROM acc GROUP BY GROUPING SETS ((), (primary_class), (assigned_rule_id), (primary_class, assigned_rule_id)))
+SELECT * FROM g UNION ALL SELECT 'class', c, NULL, NULL, 0 FROM (SELECT unnest(['ppe_violation', 'fall_hazard', 'struck_by_risk', 'compliant']) AS c) WHERE c NOT IN (SELECT primary_class FROM acc)""")
+def rates_long(spark: SparkSession, sf: str) -> DataFrame:
+    found = relational.rates_long(_accuracy(spark, sf), F.col("changed_1"))
+    return found.select("level", "class", "rule", _r(F.col("rate")).alias("rate"), "n")
+
+
 _SURVIVAL = ", ".join(a.answer_sql(f"p{p}", kept=f"({{t}}ord + {p}) % 4 <> 0") for p in range(4))
 _HALF = "x AS (SELECT sample_id, avg((x.answer = y.answer)::INT) FILTER (WHERE x.run < y.run) AS agreement, 1 AS k FROM runs x JOIN runs y USING (sample_id) GROUP BY 1)"
 
@@ -488,13 +496,36 @@ def stable_but_moved(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), _r(relational.rate(F.coalesce(F.col("object_box_iou") < 0.3, F.lit(False)))).alias("rate"))
 
 
-@query(f"{_ACCURACY}, p AS (SELECT base, base = 'violation' AND changed_1 AS flip FROM acc) SELECT round(avg(flip::INT), 6) AS naive_rate, round(avg(flip::INT) FILTER (WHERE base = 'violation'), 6) AS eligible_rate, count(*) AS n, count(*) FILTER (WHERE base = 'violation') AS n_eligible FROM p")
+def _patched(spark: SparkSession, sf: str) -> DataFrame:
+    """The patch test's candidates with their answers before and, as recorded under a perturbation, after."""
+    found = metrics.patch_candidates(_accuracy(spark, sf), F.col("workers"), [F.col("image_id")])
+    return found.withColumn("flip", metrics.patch_flip(F.col("base"), F.col("lost_1")))
+
+
+_CANDIDATES = f"""{_ACCURACY}, {a.answer_sql('p1', kept='({t}ord + 1) % 4 <> 0')}, cand AS (SELECT acc.*, p1.answer AS patched, base = 'violation' AND p1.answer = 'compliant' AS flip FROM acc JOIN a0 USING (sample_id) JOIN p1 USING (sample_id)
+  WHERE primary_class = 'ppe_violation' AND assigned_rule_id = 'rule_1' AND a0.workers > 0 ORDER BY image_id LIMIT 20)"""
+
+
+@query(f"{_CANDIDATES} SELECT round(avg(flip::INT), 6) AS naive_rate, round(avg(flip::INT) FILTER (WHERE base = 'violation'), 6) AS eligible_rate, count(*) AS n, count(*) FILTER (WHERE base = 'violation') AS n_eligible FROM cand")
 def flip_rate_corrected(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _accuracy(spark, sf).withColumn("patched", F.when(F.col("changed_1"), F.when(F.col("base") == "violation", "compliant").otherwise("violation")).otherwise(F.col("base")))
-    found = rows.agg(*relational.corrected_rate(metrics.patch_flip(F.col("base"), F.col("patched")), F.col("base") == "violation"))
+    found = _patched(spark, sf).agg(*relational.corrected_rate(F.col("flip"), F.col("base") == "violation"))
     return found.select(_r(F.col("naive_rate")).alias("naive_rate"), _r(F.col("eligible_rate")).alias("eligible_rate"), "n", "n_eligible")
 
 
+@query(f"""{_CANDIDATES}, f AS (SELECT cand.*, x1 - x0 AS w, y1 - y0 AS h, x0, y0 FROM cand JOIN boxes USING (sample_id) WHERE ord = 1), b AS (SELECT *, least(w, h * 0.22 * 1.3) AS hw, h * 0.22 AS hh FROM f),
+r AS (SELECT *, greatest(round_even((x0 + (w - hw) / 2) / 4, 0), 0) AS l, greatest(round_even(y0 / 4, 0), 0) AS t, least(round_even((x0 + (w - hw) / 2 + hw) / 4, 0), 160) AS rr, least(round_even((y0 + hh) / 4, 0), 120) AS bb FROM b)
+SELECT image_id, base AS baseline_answer, patched AS patched_answer, flip AS flipped_to_compliant, (greatest(rr - l, 0) * greatest(bb - t, 0))::BIGINT AS patched_pixels FROM r""")
+def patch_stretch(spark: SparkSession, sf: str) -> DataFrame:
+    """A hat pasted on the first worker's head in a dark picture of each candidate; its pixels are counted in the picture."""
+    first = a.boxes(spark, sf).filter("ord = 1 and role = 'worker'").select("sample_id", g.head(_box()).alias("head"))
+    quarter = g.box(*(F.col(f"head.{c}") / 4 for c in ("x0", "y0", "x1", "y1")))
+    rows = _patched(spark, sf).join(first, "sample_id").select("image_id", "base", "lost_1", "flip", quarter.alias("box"))
+    dark = rows.withColumns({"height": F.lit(120), "width": F.lit(160), "pixels": F.unhex(F.repeat(F.lit("00"), 120 * 160 * 3))})
+    pasted = images.paste_patches(dark, images.hard_hat_patch())
+    bright = F.regexp_count(F.decode("pixels", "ISO-8859-1"), F.lit("(?s)[\\x80-\\xff].."))  # a pixel of the patch, its red first
+    return pasted.select("image_id", F.col("base").alias("baseline_answer"), F.col("lost_1").alias("patched_answer"), F.col("flip").alias("flipped_to_compliant"), bright.cast("long").alias("patched_pixels"))
+
+
 @query(f"{_ACCURACY} SELECT image_id, assigned_rule_id, CASE WHEN assigned_rule_id <> 'rule_4' THEN changed_1 END AS answer_changed, CASE WHEN assigned_rule_id = 'rule_4' THEN 'rule_4_has_no_second_phrasing' END AS excluded_reason FROM acc")
 def prompt_exclusion(spark: SparkSession, sf: str) -> DataFrame:
     reason = metrics.excluded_level_2(F.col("assigned_rule_id"))
@@ -596,6 +627,31 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("event_type").alias("stage"), _r(F.col("ms")).alias("mean_ms"), _r(F.col("ms") * 3).alias("mean_ms_per_sample"), _r(F.col("ms") * 3 * F.col("n") / 1000).alias("total_seconds"))
 
 
+_STAGES = f"""WITH {a.SAMPLES}, {a.BOXES}, n AS (SELECT sample_id, count(*) AS n FROM boxes GROUP BY 1),
+p AS (SELECT image_id, assigned_rule_id, o_totalprice / 1000 AS ms, coalesce(n.n, 16) AS n, n.n IS NULL AS grid, o_totalprice / 700 + 1 AS shown, o_totalprice / 900 + 2 AS rerun FROM samples LEFT JOIN n USING (sample_id)),
+q AS (SELECT *, CASE WHEN n >= 2 THEN 2 ELSE 1 END AS calls FROM p), c AS (SELECT * FROM q ORDER BY image_id LIMIT 15),
+s AS (SELECT 3 AS day, 'baseline_inference' AS name, 1.0::DOUBLE AS calls, avg(ms) AS per_call, avg(ms) AS per_sample, sum(ms) / 1000 AS total, count(*)::VARCHAR AS n_observed FROM q
+UNION ALL SELECT 5, 'descriptive_accuracy_reruns', avg(calls), avg(ms), avg(calls * ms), sum(calls * ms) / 1000, count(*)::VARCHAR FROM q
+UNION ALL SELECT 6, 'cross_attention_attribution', 1, avg(shown), avg(shown), avg(shown) * (SELECT count(*) FROM q) / 1000, '15 calibration samples, scaled to ' || (SELECT count(*) FROM q) FROM c WHERE NOT grid
+UNION ALL SELECT 7, 'stability_sampled_reruns', 3, avg(rerun), avg(rerun) * 3, avg(rerun) * 3 * (SELECT count(*) FROM q) / 1000, '15 calibration samples, scaled to ' || (SELECT count(*) FROM q) FROM c)"""
+
+
+@query(f"{_STAGES} SELECT day, name, round(calls, 6) AS calls_per_sample, round(per_call, 6) AS mean_ms_per_call, round(per_sample, 6) AS mean_ms_per_sample, round(total, 4) AS observed_total_seconds, n_observed, round(per_sample / 60, 6) AS extrapolated_1000_minutes, round(per_sample / 3600, 6) AS extrapolated_1000_hours FROM s")
+def efficiency_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Four stages: two timed on every sample, two on a few of them and scaled."""
+    n = a.boxes(spark, sf).groupBy("sample_id").agg(F.count("*").alias("n"))
+    rows = a.samples(spark, sf).join(n, "sample_id", "left")
+    price = F.col("o_totalprice")
+    found = metrics.efficiency(
+        rows.select("image_id", "assigned_rule_id", (price / 1000).alias("inference_ms")),
+        rows.select("image_id", "assigned_rule_id", F.coalesce("n", F.lit(16)).alias("n_regions"), F.when(F.col("n").isNull(), "grid").otherwise("model").alias("top_region_source")),
+        rows.select("image_id", (price / 700 + 1).alias("ms")),
+        rows.select("image_id", (price / 900 + 2).alias("ms")),
+    )
+    rounded = {c: F.round(c, 4 if "total" in c else 6) + F.lit(0.0) for c in found.columns if c not in ("day", "name", "n_observed")}
+    return found.withColumns(rounded)
+
+
 # Findings
 
 
@@ -880,20 +936,38 @@ def _prompts(spark: SparkSession, sf: str) -> DataFrame:
     return a.table(spark, sf, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("image_id"), F.lit(rules.PERSON).alias("phrase"))
 
 
-def _synthetic_sql(runs: str, seed: str) -> str:
-    """Of a digest's 32 bytes the first says how many boxes there are, the last the confidence."""
-    byte = lambda k: f"('0x' || substr(d, {2 * k + 1}, 2))::INT"
-    return f"WITH s AS (SELECT lpad(c_custkey::VARCHAR, 7, '0') AS image_id, r.run, sha256(lpad(c_custkey::VARCHAR, 7, '0') || '|worker|' || {seed}) AS d FROM customer, {runs} r(run)) SELECT image_id, run, ({byte(0)} % 4)::BIGINT AS n_boxes, round(0.5 + {byte(31)} / 510.0::DOUBLE, 6) AS confidence FROM s"
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every picture, asked for red."""
+    image = F.struct("height", "width", "pixels").alias("image")
+    return _pictures(spark, sf).select(F.col("vec_id").cast("string").alias("image_id"), F.lit("red").alias("phrase"), image)
+
+
+@query(f"{_PIXELS}, s AS (SELECT vec_id, min(x) AS l, min(y) AS t, max(x) + 1 AS r, max(y) + 1 AS b, count(*) AS n FROM e WHERE ch = 0 AND v >= 40 GROUP BY 1) "
+       "SELECT p.vec_id::VARCHAR AS image_id, l::DOUBLE AS x0, t::DOUBLE AS y0, r::DOUBLE AS x1, b::DOUBLE AS y1, round(coalesce(n / ((r - l) * (b - t))::DOUBLE, 0), 6) AS confidence FROM p LEFT JOIN s USING (vec_id)")
+def infer_colours(spark: SparkSession, sf: str) -> DataFrame:
+    """A backend that grounds colours in the pixels, with an option of its own."""
+    found = inference.run_task(_asked(spark, sf), inference.ColourBackend, level=40)
+    first = F.get("boxes", F.lit(0))
+    return found.select("image_id", *(F.get(first, F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))), _r(F.col("confidence")).alias("confidence"))
 
 
-@query(_synthetic_sql("range(0, 1)", "0"))
-def infer_synthetic(spark: SparkSession, sf: str) -> DataFrame:
-    return inference.run_task(_prompts(spark, sf), inference.SyntheticBackend).select("image_id", F.lit(0).cast("long").alias("run"), F.size("boxes").cast("long").alias("n_boxes"), "confidence")
+@query(f"{_PIXELS}, r AS (SELECT vec_id, i // 3 AS cell, v::DOUBLE AS v FROM e WHERE ch = 0), k AS (SELECT *, max(v) OVER w - min(v) OVER w AS span, min(v) OVER w AS low FROM r WINDOW w AS (PARTITION BY vec_id)) "
+       "SELECT vec_id::VARCHAR AS image_id, cell, round(CASE WHEN span > 0 THEN (v - low) / span ELSE 0.0 END, 6) AS v, 1 AS n_generated_tokens FROM k")
+def infer_attention(spark: SparkSession, sf: str) -> DataFrame:
+    """A backend's attention as it comes, to heat maps."""
+    rows = _asked(spark, sf)
+    maps = attribution.heat_maps(rows, inference.attention(rows, inference.ColourBackend), ["image_id", "phrase"], 64)
+    cells = maps.select("image_id", F.posexplode("heatmap").alias("cell", "v"), F.col("n_generated_tokens").cast("long").alias("n_generated_tokens"))
+    return cells.select("image_id", F.col("cell").cast("long").alias("cell"), _r(F.col("v")).alias("v"), "n_generated_tokens")
 
 
-@query(_synthetic_sql("range(1, 4)", "r.run"))
+@query(f"WITH {a.runs_sql()} SELECT lpad(c_custkey::VARCHAR, 7, '0') AS image_id, k.run AS run, round(value, 6) AS confidence, x1 FROM customer CROSS JOIN range(1, 4) k(run) LEFT JOIN runs ON sample_id = c_custkey AND runs.run = k.run")
 def infer_reruns(spark: SparkSession, sf: str) -> DataFrame:
-    return inference.reruns(_prompts(spark, sf), inference.SyntheticBackend, 3).select("image_id", F.col("run").cast("long").alias("run"), F.size("boxes").cast("long").alias("n_boxes"), "confidence")
+    """Three runs of each prompt from recorded answers, some of which were never run."""
+    runs = a.runs(spark, sf)
+    recorded = runs.select(F.lpad(F.col("sample_id").cast("string"), 7, "0").alias("image_id"), F.lit(rules.PERSON).alias("phrase"), "run", F.array(g.to_list(F.col("box"))).alias("boxes"), F.col("value").alias("confidence"))
+    found = inference.replay_runs(_prompts(spark, sf), recorded)
+    return found.select("image_id", F.col("run").cast("long").alias("run"), _r(F.col("confidence")).alias("confidence"), F.get(F.get("boxes", F.lit(0)), F.lit(2)).alias("x1"))
 
 
 @query("SELECT lpad(c_custkey::VARCHAR, 7, '0') AS image_id, CASE WHEN c_custkey % 2 = 0 THEN round(c_acctbal, 6) END AS confidence FROM customer")

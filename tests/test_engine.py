@@ -1,10 +1,14 @@
 """Invariants of geometry, answers, metrics and tables on small inputs."""
 
 import math
+import os
 import random
+import sys
+import uuid
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geometry as g
@@ -204,15 +208,109 @@ def test_phrases(spark):
         both("rule_7", 0)
 
 
-def test_reruns_are_runs_of_their_own(spark):
-    rows = spark.createDataFrame([(f"{i:02}", "worker") for i in range(6)], "image_id string, phrase string")
-    got = inference.reruns(rows, inference.SyntheticBackend, 4).collect()
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't have this module
+
+
+class Echo:
+    """A backend that answers with its seed and options, and counts how often it is loaded in a folder of files."""
+
+    def __init__(self, folder):
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+
+    def ground(self, image_ids, images, phrases, seeds, **options):
+        return [([[float(s), 0.0, 1.0, 1.0]], float(options.get("temperature", 0)), float(len(p))) for s, p in zip(seeds, phrases, strict=True)]
+
+    def attend(self, image_ids, images, phrases, **options):
+        return [[np.full((2, 3), float(i)), np.full((2, 3), float(i) + 1)] if int(i) % 2 else [] for i in image_ids]
+
+
+def _prompts(spark, n):
+    return spark.createDataFrame([(f"{i:02}", "worker") for i in range(n)], "image_id string, phrase string")
+
+
+def test_reruns_are_runs_of_their_own(spark, tmp_path):
+    folder = str(tmp_path)
+    got = inference.reruns(_prompts(spark, 6), lambda: Echo(folder), 4).collect()
     assert sorted((r.image_id, r.run) for r in got) == [(f"{i:02}", k) for i in range(6) for k in range(1, 5)]
-    assert len({str(r.boxes) for r in got}) > 6
-    again = inference.run_task(rows, inference.SyntheticBackend, seed=2).collect()
-    assert {(r.image_id, r.confidence) for r in got if r.run == 2} == {(r.image_id, r.confidence) for r in again}
+    assert all(r.boxes[0][0] == r.run and r.confidence == 0.7 and r.inference_ms == 6 for r in got)
+    assert {r.boxes[0][0] for r in inference.run_task(_prompts(spark, 3), lambda: Echo(folder), seed=2).collect()} == {2.0}
     with pytest.raises(ValueError):
-        inference.reruns(rows, inference.SyntheticBackend, 0)
+        inference.reruns(_prompts(spark, 6), lambda: Echo(folder), 0)
+
+
+def test_recorded_reruns(spark):
+    recorded = spark.createDataFrame([("00", "worker", 1, 0.5), ("00", "worker", 3, 0.7), ("01", "other", 1, 0.1)], "image_id string, phrase string, run int, confidence double")
+    got = sorted((r.image_id, r.run, r.confidence) for r in inference.replay_runs(_prompts(spark, 2), recorded, 3).collect())
+    assert got == [("00", 1, 0.5), ("00", 2, None), ("00", 3, 0.7), ("01", 1, None), ("01", 2, None), ("01", 3, None)]
+
+
+def test_a_worker_loads_its_backend_once(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = _prompts(spark, 60).repartition(12)
+    load = lambda: Echo(folder)
+    for _ in range(2):
+        assert inference.run_task(rows, load).count() == 60 and inference.run_task(rows, load, temperature=0.3).agg(F.max("confidence")).first()[0] == 0.3
+    loads = [x.split("-")[0] for x in os.listdir(folder)]
+    assert 0 < len(loads) == len(set(loads)) <= 8  # four threads; 48 tasks have asked
+
+
+def test_attention_of_a_backend(spark, tmp_path):
+    folder = str(tmp_path)
+    got = inference.attention(_prompts(spark, 6), lambda: Echo(folder)).collect()
+    assert sorted((r.image_id, r.step, tuple(r.weights)) for r in got) == sorted((f"{i:02}", k, (float(i + k),) * 3) for i in (1, 3, 5) for k in (0, 1) for _ in range(2))
+    maps = attribution.heat_maps(_prompts(spark, 2), inference.attention(_prompts(spark, 2), lambda: Echo(folder)), ["image_id", "phrase"], 2)
+    assert {r.image_id: r.n_generated_tokens for r in maps.collect()} == {"00": 0, "01": 2}
+
+
+def test_colours_are_grounded_in_pixels(spark):
+    picture = np.zeros((4, 5, 3), np.uint8)
+    picture[1:3, 2:5, 0] = 200
+    picture[2, 2, 0] = 90
+    image = {"height": 4, "width": 5, "pixels": bytearray(picture.tobytes())}
+    rows = spark.createDataFrame([("a", "red", image), ("b", "blue", image), ("c", "red", None), ("d", "hat", image)], "image_id string, phrase string, image struct<height: int, width: int, pixels: binary>")
+    got = {r.image_id: (r.boxes, r.confidence) for r in inference.run_task(rows, inference.ColourBackend).collect()}
+    assert got == {"a": ([[2.0, 1.0, 5.0, 3.0]], pytest.approx(5 / 6)), "b": ([], 0.0), "c": ([], None), "d": ([], None)}
+    assert inference.run_task(rows.filter("image_id = 'a'"), inference.ColourBackend, level=80).first().confidence == 1.0
+    assert {r.image_id: len(r.weights) for r in inference.attention(rows, inference.ColourBackend).collect()} == {"a": 21, "b": 21}
+
+
+def test_patch_candidates(spark):
+    rows = spark.createDataFrame([(f"{i:03}", ("ppe_violation", "compliant")[i % 5 == 0], ("rule_1", "rule_2")[i % 7 == 0], i % 3) for i in range(200)], "image_id string, primary_class string, assigned_rule_id string, workers int")
+    got = [r.image_id for r in metrics.patch_candidates(rows, F.col("workers"), [F.col("image_id")]).collect()]
+    assert sorted(got) == [f"{i:03}" for i in range(200) if i % 5 and i % 7 and i % 3][:20]
+    head, hat = (10.0, 5.0, 40.0, 30.0), images.hard_hat_patch()
+    df = spark.createDataFrame([(1, 48, 64, bytearray(48 * 64 * 3), head), (2, 48, 64, bytearray(48 * 64 * 3), None), (3, 48, 64, None, head)], f"k int, height int, width int, pixels binary, box {BOX}")
+    got = {r.k: r.pixels for r in images.paste_patches(df, hat).collect()}
+    assert (np.frombuffer(got[1], np.uint8).reshape(48, 64, 3) == images.paste_patch(np.zeros((48, 64, 3), np.uint8), head, hat)).all() and not any(got[2]) and got[3] is None
+
+
+def test_long_rates(spark):
+    rows = spark.createDataFrame([("compliant", "rule_1", True), ("compliant", "rule_2", False), ("fall_hazard", "rule_2", None), (None, "rule_2", True)], "primary_class string, assigned_rule_id string, hit boolean")
+    got = {(r.level, r["class"], r.rule): (r.rate, r.n) for r in relational.rates_long(rows, F.col("hit")).collect()}
+    assert got == {
+        ("overall", None, None): (pytest.approx(2 / 3), 4),
+        ("class", "compliant", None): (0.5, 2), ("class", "fall_hazard", None): (None, 1), ("class", None, None): (1.0, 1), ("class", "ppe_violation", None): (None, 0), ("class", "struck_by_risk", None): (None, 0),
+        ("rule", None, "rule_1"): (1.0, 1), ("rule", None, "rule_2"): (0.5, 3),
+        ("class_rule", "compliant", "rule_1"): (1.0, 1), ("class_rule", "compliant", "rule_2"): (0.0, 1), ("class_rule", "fall_hazard", "rule_2"): (None, 1), ("class_rule", None, "rule_2"): (1.0, 1),
+    }
+
+
+def test_efficiency_of_four_stages(spark):
+    n = 40
+    ms, regions, shown, runs = ([float(i * k % 17 + 1) for i in range(n)] for k in (3, 5, 7, 11))
+    ids = [f"{i:03}" for i in range(n)]
+    counts = [int(x) % 4 or 16 for x in regions]
+    predictions = spark.createDataFrame([(i, "rule_1", m) for i, m in zip(ids, ms, strict=True)], "image_id string, assigned_rule_id string, inference_ms double")
+    held = spark.createDataFrame([(i, "rule_1", c, "grid" if c == 16 else "model") for i, c in zip(ids, counts, strict=True)], "image_id string, assigned_rule_id string, n_regions int, top_region_source string")
+    timed = lambda v: spark.createDataFrame(list(zip(ids, v, strict=True)), "image_id string, ms double")
+    got = {r.day: r for r in metrics.efficiency(predictions, held, timed(shown), timed(runs)).collect()}
+    cost = [m * (2 if c >= 2 else 1) for m, c in zip(ms, counts, strict=True)]
+    scored = np.mean([s for s, c in zip(shown[:15], counts, strict=False) if c != 16])
+    assert (got[3].mean_ms_per_sample, got[3].observed_total_seconds, got[3].n_observed) == (pytest.approx(np.mean(ms)), pytest.approx(sum(ms) / 1000), "40")
+    assert (got[5].calls_per_sample, got[5].mean_ms_per_call, got[5].mean_ms_per_sample) == pytest.approx((np.mean([2 if c >= 2 else 1 for c in counts]), np.mean(ms), np.mean(cost)))
+    assert (got[6].mean_ms_per_call, got[6].observed_total_seconds, got[6].n_observed) == (pytest.approx(scored), pytest.approx(scored * n / 1000), "15 calibration samples, scaled to 40")
+    assert (got[7].calls_per_sample, got[7].mean_ms_per_sample, got[7].extrapolated_1000_hours) == pytest.approx((3, 3 * np.mean(runs[:15]), 3 * np.mean(runs[:15]) / 3600))
+    assert got[3].name == "baseline_inference" and got[7].extrapolated_1000_minutes == pytest.approx(3 * np.mean(runs[:15]) / 60)
 
 
 def test_rates_skip_nan(spark):
@@ -320,10 +418,10 @@ def test_cells_that_are_no_numbers(spark):
     assert [r.x for r in rows.select(tables.number(F.col("x")).alias("x")).collect()] == [1.5, None, None, None, None]
 
 
-def test_inference_is_asked_for_what_is_left_only(spark):
-    rows = spark.createDataFrame([(f"{i:03}", "worker") for i in range(20)], "image_id string, phrase string")
-    a = inference.run_task(rows.filter("image_id < '010'"), inference.SyntheticBackend).orderBy("image_id").collect()
-    b = inference.run_task(rows.repartition(3), inference.SyntheticBackend).filter("image_id < '010'").orderBy("image_id").collect()
+def test_inference_is_asked_for_what_is_left_only(spark, tmp_path):
+    folder, rows = str(tmp_path), _prompts(spark, 20)
+    a = inference.run_task(rows.filter("image_id < '10'"), lambda: Echo(folder)).orderBy("image_id").collect()
+    b = inference.run_task(rows.repartition(3), lambda: Echo(folder)).filter("image_id < '10'").orderBy("image_id").collect()
     assert a == b and len(a) == 10
 
 

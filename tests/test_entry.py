@@ -10,7 +10,7 @@ import pytest
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
-CHECKED = ["box_area", "top_region", "coverage_answer", "coverage_answer_in_row", "answer_rule", "balanced_sample", "metric_summary", "robustness_compare", "answer_agreement", "region_overlap", "topk_mass_ratio", "json_roundtrip", "timing_stats", "image_files", "image_scan", "image_low_light", "image_occlude", "image_blur", "image_contrast", "image_mask", "image_patch", "image_hat", "image_mask_blur", "crowded_coverage", "crowded_pairs", "confidence_quantiles", "robustness_rates", "verdict_share", "sens_spec", "image_boxes", "image_heatmap", "infer_synthetic", "infer_reruns", "bounded_completeness", "poor_info_subset", "worker_lost_audit", "baseline_rehydration", "attention_heatmap", "csv_typed", "csv_text", "json_table", "answer_phrases", "prompt_texts", "figure_budget"]
+CHECKED = ["box_area", "top_region", "coverage_answer", "coverage_answer_in_row", "answer_rule", "balanced_sample", "metric_summary", "robustness_compare", "answer_agreement", "region_overlap", "topk_mass_ratio", "json_roundtrip", "timing_stats", "image_files", "image_scan", "image_low_light", "image_occlude", "image_blur", "image_contrast", "image_mask", "image_patch", "image_hat", "image_mask_blur", "crowded_coverage", "crowded_pairs", "confidence_quantiles", "robustness_rates", "verdict_share", "sens_spec", "image_boxes", "image_heatmap", "infer_colours", "infer_attention", "infer_reruns", "infer_replay", "flip_rate_corrected", "patch_stretch", "rates_long", "efficiency_summary", "bounded_completeness", "poor_info_subset", "worker_lost_audit", "baseline_rehydration", "attention_heatmap", "csv_typed", "csv_text", "json_table", "answer_phrases", "prompt_texts", "figure_budget"]
 
 
 def test_entry_gives_rows(spark):
