@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
+from ._documents import with_plain_names
 from ._arrow import LOWER, group_starts, hash_spans, ngrams, ranges, row_of, slices, utf8, within, words
 
 SEED = 3
@@ -252,4 +253,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item; an empty table stays empty and an empty benchmark changes nothing.
     """
     found = _store.written(matches(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return with_plain_names(docs, ("doc_id", "text"), lambda plain: plain.join(found, "doc_id", "left_anti").select(*plain.columns))

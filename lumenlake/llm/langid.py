@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ._arrow import slices, utf8
+from ._documents import with_plain_names
 
 DEPTH = 3
 UNKNOWN = "und"
@@ -154,8 +155,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     priors, 0.0 for `und`. Only text is looked at, all of it; rows with equal texts get equal values; an empty table gives
     no rows.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = StructType([*docs.select(*keep).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return with_plain_names(docs.drop("lang_pred", "score"), ("text",), lambda plain: _predicted(plain, model))
+
+
+def _predicted(docs: DataFrame, model: Model) -> DataFrame:
+    keep = docs.columns
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.key not in _scorers and model.langs:
@@ -172,4 +177,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

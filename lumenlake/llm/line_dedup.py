@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store
+from ._documents import with_plain_names
 
 SHINGLE = 5
 #: Lines with fewer words are never removed: only those without any.
@@ -183,15 +184,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A document that loses lines and has no word left goes; null, empty and blank texts and rows without doc_id stay;
     repeated rows lose the same lines; an empty table gives no rows.
     """
-    names = docs.columns
-    own, gone = "__digest", "__gone"
-    while {own, gone} & set(names):
-        own, gone = f"_{own}", f"_{gone}"
-    lost = _removed(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"), F.col("gone").alias(gone))
+    return with_plain_names(docs, ("doc_id", "text"), lambda plain: _without_lines(plain, min_words))
+
+
+def _without_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    lost = _removed(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of"), "gone")
     text = F.col("text").cast("string")
-    left = docs.withColumn(own, F.xxhash64(text))
-    left = left.join(lost, (left["doc_id"].cast("long") == lost["__id"]) & (left[own] == lost["__of"]), "left").withColumn(own, F.split(text, "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(gone))
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(own), i)), "\n"))
+    left = docs.withColumn("_own", F.xxhash64(text))
+    left = left.join(lost, (left["doc_id"].cast("long") == lost["_id"]) & (left["_own"] == lost["_of"]), "left").withColumn("_own", F.split(text, "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_own") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_own"), i)), "\n"))
     left = left.withColumn("text", text)
-    return left.filter(F.col(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*names)
+    return left.filter(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
