@@ -499,3 +499,22 @@ def test_pipeline(spark):
             kept = docs
     assert seen[0] >= seen[1] >= seen[2] >= seen[3] >= seen[4] > 0.8 * seen[0] and len(c.STAGES) == 5
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    """Names with dots, blanks and quotes, and names that operators use inside; and very long texts, which stay as they are."""
+    import corpus_pipeline as c
+
+    spark.createDataFrame([(1, " ".join(f"q{i}x" for i in range(24)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"w{i}" for i in range(700_000))  # five megabytes
+    line = "one two three four five six seven eight"
+    rows = [(1, long, "en"), (2, f"{line}\nanother line", None), (3, f"{line}\nthird", "en")]
+    names = ["a.b", "x y", "__id", "__of", "__digest", "lang_pred", "__lang_pred", "score", "_again", "gone", "_own", "other_0", "of``it"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"`{n.replace('`', '``')}` int" for n in names))
+    for name, stage in c.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        held = {r["doc_id"]: tuple(r) for r in got.collect()}
+        assert got.columns == docs.columns and set(held) == {1, 2, 3} and held[1][1] == long, name
+        assert all(r[3:] == tuple(range(len(names))) for r in held.values()), name
+        assert held[3][1] == ("third" if name == "line_dedup" else rows[2][1]), name
+    assert sum(r.length for r in c.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) > 700_000
