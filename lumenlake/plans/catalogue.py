@@ -13,7 +13,7 @@ from lumenlake.functions import heatmaps as h
 from lumenlake.functions import labels, rules
 from lumenlake.operators import attribution, decide, images, inference, metrics, near, quantiles, relational, sampling
 from lumenlake.sources import pictures, tables
-from lumenlake.streaming import windows
+from lumenlake.streaming import pools, windows
 
 from . import adapters as a
 
@@ -983,3 +983,14 @@ def infer_replay(spark: SparkSession, sf: str) -> DataFrame:
 def windowed_rates(spark: SparkSession, sf: str) -> DataFrame:
     rows = windows.rates(a.table(spark, sf, "events"), "1 hour")
     return rows.select(F.unix_seconds("start").alias("start"), "event_type", "n", _r(F.col("mean_value")).alias("mean_value"))
+
+
+@query(f"WITH {a.SAMPLES} SELECT image_id, primary_class, row_number() OVER (PARTITION BY primary_class ORDER BY sample_id, image_id) AS place FROM samples QUALIFY place <= 500")
+def stream_pools(spark: SparkSession, sf: str) -> DataFrame:
+    """The pools of the balanced sample from a stream of the samples."""
+    rows = a.samples(spark, sf).select("sample_id", "image_id", "primary_class")
+    source = tables.scratch(spark, "stream")
+    rows.write.mode("overwrite").parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    found = pools.fill(stream, list(rules.CLASSES), "primary_class", "image_id", "sample_id", 500, f"{tables.scratch(spark, 'pools')}/out", tables.scratch(spark, "offsets"))
+    return found.select("image_id", "primary_class", F.col("place").cast("long").alias("place"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenlake import workers
 from lumenlake.operators import metrics, near, ordering, quantiles
 from lumenlake.sources import tables
+from lumenlake.streaming import pools
 
 
 def test_places_in_an_order(spark):
@@ -111,3 +112,30 @@ def test_workers_keep_the_latest_of_a_kind():
     make = lambda x: lambda: made.append(x) or [x]
     first = workers.kept("test", 1, make(1))
     assert workers.kept("test", 1, make(2)) is first and workers.kept("test", 2, make(3)) == [3] and workers.kept("test", 1, make(4)) == [4] and made == [1, 3, 4]
+
+
+def test_pools_of_a_stream_survive_a_restart(spark, tmp_path):
+    rng = random.Random(4)
+    classes, parts = ["often", "rare", "some"], 6
+    rows = [(f"{i:05}", rng.choices(classes, [8, 1, 3])[0], rng.randrange(1000)) for i in range(900)]
+    schema, cap, want = "image_id string, primary_class string, pos int", 25, {c: [] for c in classes}
+    for k in range(parts):  # a file each, one after the other
+        part = rows[150 * k : 150 * (k + 1)]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for r in sorted(part, key=lambda r: (r[2], r[0])):
+            if len(want[r[1]]) < cap:
+                want[r[1]].append(r[0])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = lambda **more: pools.fill(stream, classes, "primary_class", "image_id", "pos", cap, str(tmp_path / "out"), str(tmp_path / "cp"), **more)
+    batches = lambda: sorted(p.name for p in (tmp_path / "out").glob("batch=*"))
+    run(wait=lambda q: len(batches()) >= 1)  # stopped early
+    assert 1 <= len(batches()) < parts
+    got = {c: [None] * cap for c in classes}
+    found = run().collect()
+    for r in found:
+        got[r.primary_class][r.place - 1] = r.image_id
+    assert got == want and len(found) == sum(map(len, want.values())) == 3 * cap
+    n = len(batches())
+    assert run().count() == len(found) and len(batches()) == n < parts + 1  # full: nothing more is read
+    with pytest.raises(ValueError):
+        pools.pools(stream, "primary_class", "image_id", "pos", 0)
