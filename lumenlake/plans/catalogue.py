@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import geometry as g
 from lumenlake.functions import heatmaps as h
 from lumenlake.functions import labels, rules
-from lumenlake.operators import attribution, decide, images, inference, metrics, near, quantiles, relational, sampling
+from lumenlake.operators import attribution, crossmodal, decide, images, inference, intervals, metrics, near, quantiles, relational, sampling
 from lumenlake.sources import pictures, tables
 from lumenlake.streaming import pools, windows
 
@@ -596,6 +596,43 @@ def baseline_rehydration(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("image_id", "answer", F.size("workers").cast("long").alias("workers"), _r(F.aggregate("objects", F.lit(0.0), lambda s, b: s + b.x0 + b.y1)).alias("x"), "confidence")
 
 
+# How sure rates are, and whether attention agrees with boxes: beyond the reference, which only plans them
+
+_TIMES = " + ".join(f"(u >= {t})::INT" for t in intervals.thresholds())
+
+
+@query(f"""{_ACCURACY}, g AS (SELECT image_id, primary_class, changed_1::INT::DOUBLE AS v, r.d FROM acc, range(25) r(d)), x AS (SELECT *, md5(image_id || '#42#' || d) AS h FROM g),
+u AS (SELECT primary_class, d * 8 + i AS r, v, ('0x' || substr(h, (i * 4 + 1)::INT, 4))::INT AS u FROM x, range(8) r(i)), w AS (SELECT primary_class, r, v, {_TIMES} AS w FROM u),
+m AS (SELECT primary_class, r, sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL), s AS (SELECT primary_class, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1)
+SELECT primary_class, count(*) AS n, round(avg(changed_1::INT), 6) AS estimate, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM acc JOIN s USING (primary_class) GROUP BY 1""")
+def rate_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    found = intervals.bootstrap(_accuracy(spark, sf), F.col("image_id"), "primary_class", F.col("changed_1"), 42)
+    return found.select("primary_class", "n", *(_r(F.col(c)).alias(c) for c in ("estimate", "low", "high")))
+
+
+_CHOOSE = "(lgamma({n} + 1.0::DOUBLE) - lgamma({k} + 1.0::DOUBLE) - lgamma({n} - {k} + 1.0::DOUBLE))"
+
+
+@query(f"""{_ACCURACY}, c AS (SELECT primary_class AS c, count(*) AS n, count(*) FILTER (WHERE changed_1) AS h FROM acc GROUP BY 1), p AS (SELECT a.c AS first, b.c AS second, a.n AS na, b.n AS nb, a.h AS ha, a.h + b.h AS hits, a.n + b.n AS n, a.h / a.n::DOUBLE - b.h / b.n::DOUBLE AS difference FROM c a JOIN c b ON a.c < b.c),
+k AS (SELECT *, unnest(range(greatest(0, hits - nb), least(na, hits) + 1)) AS k FROM p), e AS (SELECT *, exp({_CHOOSE.format(n='hits', k='k')} + {_CHOOSE.format(n='(n - hits)', k='(na - k)')} - {_CHOOSE.format(n='n', k='na')}) AS share FROM k)
+SELECT first, second, round(any_value(difference), 6) AS difference, round(least(1.0, sum(share) FILTER (WHERE abs(k * n - na * hits) >= abs(ha * n - na * hits))), 6) AS p_value FROM e GROUP BY ALL""")
+def class_differences(spark: SparkSession, sf: str) -> DataFrame:
+    found = intervals.differences(_accuracy(spark, sf), "primary_class", F.col("changed_1"))
+    return found.select("first", "second", _r(F.col("difference")).alias("difference"), _r(F.col("p_value")).alias("p_value"))
+
+
+@query(f"""WITH {a.RANKED}, {a.HEATMAPS}, n AS (SELECT vec_id, {a.MIN_MAX} AS c FROM maps), u AS (SELECT vec_id, unnest(c) AS v, generate_subscripts(c, 1) - 1 AS i, list_position(c, list_max(c)) - 1 AS peak FROM n),
+e AS (SELECT vec_id, v, i = peak AS top, ((i % 8) + 0.5::DOUBLE) * 80 AS x, ((i // 8) + 0.5::DOUBLE) * 60 AS y FROM u), t AS (SELECT * FROM ranked WHERE rank = 1)
+SELECT sample_id, round(sum(CASE WHEN x >= x0 AND x < x1 AND y >= y0 AND y < y1 THEN v ELSE 0 END) / sum(v), 6) AS mass, bool_or(top AND x >= x0 AND x < x1 AND y >= y0 AND y < y1) AS hit FROM t JOIN e ON vec_id = sample_id % (SELECT count(*) FROM embeddings) GROUP BY 1""")
+def attention_in_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each sample's map is in its top region, and whether its peak is."""
+    maps = a.heatmaps(spark, sf)
+    areas = crossmodal.summed_area(maps.select("vec_id", h.min_max(F.col("raw")).alias("heatmap")), (8, 8))
+    rows = a.ranked(spark, sf).filter("rank = 1").drop("area").join(areas, F.col("vec_id") == F.col("sample_id") % maps.count())
+    where = (_box(), (8, 8), (a.HEIGHT, a.WIDTH))
+    return rows.select("sample_id", _r(crossmodal.mass_in(F.col("area"), *where)).alias("mass"), crossmodal.points_at(F.col("peak"), *where).alias("hit"))
+
+
 # Efficiency
 
 
