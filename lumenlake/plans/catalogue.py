@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import geometry as g
 from lumenlake.functions import heatmaps as h
 from lumenlake.functions import labels, rules
-from lumenlake.operators import attribution, crossmodal, decide, images, inference, intervals, metrics, near, quantiles, relational, sampling
+from lumenlake.operators import attribution, crossmodal, decide, images, inference, intervals, metrics, near, quantiles, relational, sampling, stratify
 from lumenlake.sources import pictures, tables
 from lumenlake.streaming import pools, windows
 
@@ -610,6 +610,16 @@ def rate_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("primary_class", "n", *(_r(F.col(c)).alias(c) for c in ("estimate", "low", "high")))
 
 
+@query(f"WITH {a.SAMPLES}, l AS (SELECT unnest(string_split(violated, '|')) AS label FROM samples), n AS (SELECT label, count(*) AS n FROM l WHERE label <> '' GROUP BY 1) SELECT label, f.fold::INT AS fold, n AS of_all, true AS near FROM n, range(3) f(fold)")
+def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Three folds of the samples: near says that a fold has its ratio of a label's rows, give or take one."""
+    ratios = [0.7, 0.2, 0.1]
+    rows = stratify.split(a.samples(spark, sf), F.col("violated_rules"), F.col("image_id"), ratios, 42)
+    found = rows.select("fold", F.explode("violated_rules").alias("label")).groupBy("label").agg(F.count("*").alias("of_all"), *(F.count_if(F.col("fold") == k).alias(f"f{k}") for k in range(3)))
+    each = [F.struct(F.lit(k).alias("fold"), (F.abs(F.col(f"f{k}") - r * F.col("of_all")) <= 1.000001).alias("near")) for k, r in enumerate(ratios)]
+    return found.select("label", "of_all", F.inline(F.array(*each)))
+
+
 _CHOOSE = "(lgamma({n} + 1.0::DOUBLE) - lgamma({k} + 1.0::DOUBLE) - lgamma({n} - {k} + 1.0::DOUBLE))"
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geometry as g
-from lumenlake.operators import crossmodal, intervals
+from lumenlake.operators import crossmodal, intervals, stratify
 
 
 def _replicates(rows, cls, seed, n):
@@ -97,3 +97,35 @@ def test_mass_in_boxes(spark):
         inside = [r.x0 <= (i % 7 + 0.5) * 12 < r.x1 and r.y0 <= (i // 7 + 0.5) * 10 < r.y1 for i in range(35)]
         assert r.mass == pytest.approx(sum(v for v, x in zip(plain, inside, strict=True) if x) / sum(plain), abs=1e-12)
         assert r.hit is inside[plain.index(max(plain))]
+
+
+def test_folds_keep_every_label(spark):
+    rng = random.Random(11)
+    for trial in range(30):
+        sets = {tuple(sorted(rng.sample("abcd", k))) for k in (0, 1, 1, 1, 2, 2, 3)}
+        counts = {s: rng.choice([1, 2, 7, 40, 1000]) for s in sets}
+        ratios = rng.choice([[0.8, 0.1, 0.1], [1, 1], [3, 1, 1, 1]])
+        found = stratify.plan(counts, ratios)
+        assert {s: sum(v) for s, v in found.items()} == counts and min(min(v) for v in found.values()) >= 0
+        for j, r in enumerate(ratios):
+            share = r / sum(ratios)
+            for label in "abcd":
+                n = sum(c for s, c in counts.items() if label in s)
+                assert abs(sum(v[j] for s, v in found.items() if label in s) - share * n) <= 1 + 1e-9, (trial, counts, found)
+            assert abs(sum(v[j] for v in found.values()) - share * sum(counts.values())) <= 1 + 1e-9
+
+
+def test_rows_find_their_fold(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([["a"], ["b", "a"], ["a", "b", "a"], [], None, ["c"]])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, labels array<string>").repartition(5)
+    got = {r.id: r.fold for r in stratify.split(df, F.col("labels"), F.col("id"), [0.5, 0.25, 0.25], 3).collect()}
+    assert len(got) == 400 and got == {r.id: r.fold for r in stratify.split(df.repartition(2), F.col("labels"), F.col("id"), [0.5, 0.25, 0.25], 3).collect()}
+    for label in ("a", "b", "c"):
+        own = [got[i] for i, x in rows if x and label in x]
+        assert all(abs(own.count(j) - share * len(own)) <= 1 for j, share in enumerate((0.5, 0.25, 0.25)))
+    other = {r.id: r.fold for r in stratify.split(df, F.col("labels"), F.col("id"), [0.5, 0.25, 0.25], 4).collect()}
+    assert other != got
+    assert stratify.split(df.filter("false"), F.col("labels"), F.col("id"), [1, 1], 3).count() == 0
+    with pytest.raises(ValueError):
+        stratify.split(df, F.col("labels"), F.col("id"), [0, 0], 3)
