@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import geometry as g
 from lumenlake.functions import heatmaps as h
 from lumenlake.functions import labels, rules
-from lumenlake.operators import attribution, crossmodal, decide, images, inference, intervals, metrics, near, quantiles, relational, sampling, stratify
+from lumenlake.operators import attribution, crossmodal, decide, images, inference, intervals, metrics, near, quantiles, relational, rollout, sampling, stratify
 from lumenlake.sources import pictures, tables
 from lumenlake.streaming import pools, windows
 
@@ -620,6 +620,23 @@ def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("label", "of_all", F.inline(F.array(*each)))
 
 
+_LAYER = """l{n} AS (SELECT label, i, j, (w + (i = j)::INT) / sum(w + (i = j)::INT) OVER (PARTITION BY label, i) AS w FROM (SELECT s.label, s.i, s.j, coalesce(m.w, 0) AS w FROM slots s LEFT JOIN m ON m.label = s.label AND m.i = s.i AND m.j = s.j AND m.layer = {n}))"""
+
+
+@query(f"""WITH {a.HEATMAPS}, e AS (SELECT vec_id, label, unnest(raw) AS v, generate_subscripts(raw, 1) - 1 AS c FROM maps), w AS (SELECT label, vec_id % 3 AS layer, c // 8 AS i, c % 8 AS j, abs(v) / sum(abs(v)) OVER (PARTITION BY vec_id, c // 8) AS w FROM e),
+m AS (SELECT label, layer, i, j, avg(w) AS w FROM w GROUP BY ALL), slots AS (SELECT DISTINCT label, i.i, j.j FROM maps, range(8) i(i), range(8) j(j)), {', '.join(_LAYER.format(n=n) for n in range(3))},
+p AS (SELECT a.label, a.i, b.j, sum(a.w * b.w) AS w FROM l1 a JOIN l0 b ON a.label = b.label AND a.j = b.i GROUP BY ALL), q AS (SELECT a.label, a.i, b.j, sum(a.w * b.w) AS w FROM l2 a JOIN p b ON a.label = b.label AND a.j = b.i GROUP BY ALL)
+SELECT label, i AS token, j AS "from", round(w, 6) AS w FROM q""")
+def attention_rollout(spark: SparkSession, sf: str) -> DataFrame:
+    """Three layers of eight tokens for each label, the maps being their heads, in blocks of three."""
+    at = lambda i: F.transform(F.slice("raw", i * 8 + 1, 8), lambda x: F.abs(x))
+    rows = a.heatmaps(spark, sf).select("label", (F.col("vec_id") % 3).alias("layer"), F.posexplode(F.array(*(at(i) for i in range(8)))).alias("row", "w"))
+    share = F.transform("w", lambda x: x / h.total(F.col("w")))
+    found = rollout.rollout(rows.select("label", "layer", "row", share.alias("weights")), ["label"], 8, 3)
+    cells = found.select("label", F.col("row").cast("long").alias("token"), F.posexplode("weights").alias("from", "w"))
+    return cells.select("label", "token", F.col("from").cast("long").alias("from"), _r(F.col("w")).alias("w"))
+
+
 _CHOOSE = "(lgamma({n} + 1.0::DOUBLE) - lgamma({k} + 1.0::DOUBLE) - lgamma({n} - {k} + 1.0::DOUBLE))"
 
 

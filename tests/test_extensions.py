@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geometry as g
-from lumenlake.operators import crossmodal, intervals, stratify
+from lumenlake.operators import crossmodal, intervals, rollout, stratify
 
 
 def _replicates(rows, cls, seed, n):
@@ -129,3 +129,27 @@ def test_rows_find_their_fold(spark):
     assert stratify.split(df.filter("false"), F.col("labels"), F.col("id"), [1, 1], 3).count() == 0
     with pytest.raises(ValueError):
         stratify.split(df, F.col("labels"), F.col("id"), [0, 0], 3)
+
+
+@pytest.mark.parametrize(("size", "block"), [(7, 3), (4, 4), (5, 9), (6, 2)])
+def test_rollout_is_a_chain_of_products(spark, size, block):
+    rng = np.random.default_rng(size)
+    rows, want = [], {}
+    for image in ("a", "b"):
+        chain = np.eye(size)
+        for layer in (2, 5, 11):
+            heads = rng.random((2, size, size))
+            lacks = rng.integers(0, size) if layer == 5 else None
+            rows += [(image, layer, i, head[i].tolist()) for head in heads for i in range(size) if i != lacks]
+            mean = heads.mean(axis=0)
+            if lacks is not None:
+                mean[lacks] = 0
+            step = mean + np.eye(size)
+            chain = step / step.sum(axis=1, keepdims=True) @ chain
+        want[image] = chain
+    df = spark.createDataFrame(rows, "image string, layer int, row int, weights array<double>").repartition(4)
+    got = rollout.rollout(df, ["image"], size, block).collect()
+    assert len(got) == 2 * size
+    for r in got:
+        assert r.weights == pytest.approx(want[r.image][r.row].tolist()) and sum(r.weights) == pytest.approx(1)
+    assert rollout.rollout(df.filter("false"), ["image"], size, block).count() == 0
