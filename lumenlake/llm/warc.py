@@ -349,9 +349,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for r in b.slice(k, 256).to_pylist():
                 name = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
-                headers = {"WARC-Record-ID": name(r["page_id"]), "WARC-Date": "2000-01-01T00:00:00Z", "WARC-Target-URI": r["url"], "WARC-Payload-Digest": sha1_label(r["digest"]), "Content-Type": "application/http;msgtype=response", "X-Page-Id": r["page_id"], "X-Payload-Length": r["size"], "X-Payload-Sha1": r["digest"]}
+                headers = {"WARC-Record-ID": name(r["page_id"]), "WARC-Date": "2000-01-01T00:00:00Z", "WARC-Target-URI": r["url"], "WARC-Payload-Digest": sha1_label(r["digest"]), "Content-Type": "application/http;msgtype=response", "X-Page-Id": r["page_id"]}
                 if r["response_id"] is not None:
-                    headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": name(r["response_id"]), "X-Refers-To-Page-Id": r["response_id"]}
+                    headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": name(r["response_id"])}
                     rows.append(("revisit", headers, http_block(None)))
                 else:
                     rows.append(("response", headers, http_block(r["html"] or b"")))
@@ -373,7 +373,7 @@ def write_pages(pages: DataFrame, path: str) -> None:
     same = _store.written(same.filter("copies > 1"), "copies")
     known = _store.lookup(rows, same, ["digest", "size"], "copies", "left")
     known = known.withColumn("response_id", F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
-    records = known.select("page_id", "url", "html", "digest", "size", "response_id").mapInArrow(_records, "record_type string, headers map<string,string>, block binary")
+    records = known.select("page_id", "url", "html", "digest", "response_id").mapInArrow(_records, "record_type string, headers map<string,string>, block binary")
     register(pages.sparkSession)
     records.write.format("warc").mode("append").save(path)
 
@@ -382,9 +382,10 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Archive pages in the shared folder and describe them from the archives read back, a row for each row of pages.
 
     Returns page_id, payload_bytes, payload_digest (hex SHA-1), record_type and refers_to (the response's page_id, null for
-    responses); lengths and digests of responses are those of the decoded payloads, of revisits those in their headers.
-    Null html is an empty payload; page_id may be null or repeated, and equal large payloads of which none has a page_id
-    are all responses; an empty table gives no rows; other columns are ignored.
+    responses). Lengths and digests are those of decoded payloads: a revisit's are those of the record that its
+    WARC-Refers-To names, whose page_id refers_to is. Null html is an empty payload; very long pages are archived and read
+    whole; page_id may be null or repeated, and equal large payloads of which none has a page_id are all responses; an
+    empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     path = _store.new_path(spark, "warc")
@@ -398,6 +399,13 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     def number(name: str) -> Column:
         return F.col("headers").getItem(name).cast("long")
 
-    responses = records("response", "true").select(number("x-page-id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    revisits = records("revisit", "false").select(number("x-page-id").alias("page_id"), number("x-payload-length").alias("payload_bytes"), F.col("headers").getItem("x-payload-sha1").alias("payload_digest"), "record_type", number("x-refers-to-page-id").alias("refers_to"))
-    return responses.unionByName(revisits)
+    described = [F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")]
+    responses = _store.written(records("response", "true").select(number("x-page-id").alias("page_id"), "record_id", *described), "responses")
+    revisits = _store.written(records("revisit", "false").select(number("x-page-id").alias("page_id"), F.col("refers_to_id").alias("record_id")), "revisits")
+    # What is revisited, with how often; a page that many revisit is looked up by broadcast.
+    wanted = revisits.groupBy("record_id").agg(F.count("*").alias("copies"))
+    first = responses.join(wanted, "record_id").groupBy("record_id").agg(*(F.first(c).alias(c) for c in ("payload_bytes", "payload_digest", "copies")), F.first("page_id").alias("refers_to"))
+    found = _store.lookup(revisits, _store.written(first, "revisited"), ["record_id"], "copies", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    responses = responses.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")})
+    return responses.select(*columns).unionByName(found.withColumn("record_type", F.lit("revisit")).select(*columns))
