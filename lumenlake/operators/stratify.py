@@ -2,12 +2,14 @@
 
 Rows are counted by their set of labels; only these counts are planned: labels are few, so are their sets. The plan goes label by
 label, the rarest first, gives each fold its share of every set that has the label, and hands what does not divide to the
-fold that lacks the label most; then single rows of a set move between folds as long as that brings labels closer to
-their targets. Rows find their fold from their place among the rows of their set, in the order of a digest.
+fold that lacks the label most; then single rows move between folds, or change places, as long as that brings labels closer
+to their targets. Rows find their fold from their place among the rows of their set, in the order of a digest.
 """
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,26 +57,34 @@ def plan(counts: dict[tuple[str, ...], int], ratios: list[float]) -> dict[tuple[
 
 
 def _improve(found: np.ndarray, has: np.ndarray, target: np.ndarray, whole: np.ndarray) -> None:
-    """Move single rows while the squares of what labels and folds are off get less."""
+    """Move a row of a set to another fold, or exchange it for one of another set, while the squares of what labels and folds are off get less."""
+    traits = np.append(has, np.ones((len(has), 1)), axis=1)  # labels, and being a row
+    off = np.append(has.T @ found - target, (found.sum(axis=0) - whole)[None, :], axis=0)
+    size = (traits**2).sum(axis=1)
+    swap = 2 * (size[:, None] + size[None, :] - 2 * traits @ traits.T)  # the squares of what an exchange changes
     while True:
-        off, size = has.T @ found - target, found.sum(axis=0) - whole
         best = (-1e-9, None)
-        for s in range(len(found)):
-            own = has[s] @ off + size  # a row less there and one more here changes the squares by this
-            weight = has[s].sum() + 1
-            for a in np.flatnonzero(found[s] > 0):
-                for b in range(found.shape[1]):
-                    if a != b:
-                        best = min(best, (2 * (own[b] - own[a]) + 2 * weight, (s, int(a), b)), key=lambda x: x[0])
+        for a, b in permutations(range(found.shape[1]), 2):
+            pull = 2 * traits @ (off[:, b] - off[:, a])
+            alone = np.where(found[:, a] > 0, pull + 2 * size, np.inf)
+            both = np.where((found[:, a] > 0)[:, None] & (found[:, b] > 0)[None, :], pull[:, None] - pull[None, :] + swap, np.inf)
+            for change in (alone, both):
+                if change.size and change.min() < best[0]:
+                    best = (float(change.min()), (a, b, *np.unravel_index(int(change.argmin()), change.shape)))
         if best[1] is None:
             return
-        s, a, b = best[1]
-        found[s, a] -= 1
-        found[s, b] += 1
+        a, b, there, *back = (int(x) for x in best[1])
+        moved = traits[there].copy()
+        found[there, [a, b]] += [-1, 1]
+        for s in back:
+            found[s, [a, b]] += [1, -1]
+            moved -= traits[s]
+        off[:, a] -= moved
+        off[:, b] += moved
 
 
 def split(rows: DataFrame, labels: Column, key: Column, ratios: list[float], seed: int) -> DataFrame:
-    """rows with fold, from 0: each fold has its ratio of every label, as near as whole rows allow.
+    """rows with fold, from 0: each fold has its ratio of every label within a row, but for rare cases of a little more.
 
     labels: an array of text, null being none; order and repeats in it do not matter. key tells rows apart and, with the
     seed, decides which rows of a set go where; rows of equal keys may be in any of their set's folds.
