@@ -48,3 +48,10 @@ def test_query_equals_its_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got, want = __spark_entry__.queries()[name](spark, SF).toPandas(), con.sql(__spark_entry__.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and _rows(got) == _rows(want)
+
+
+def test_the_corrected_flip_rate_is_over_every_sample(spark):
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["flip_rate_corrected"](spark, SF).first()
+    assert found.n == spark.read.parquet(f"{SF}/orders.parquet").count() and 0 < found.n_eligible < found.n
