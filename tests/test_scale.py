@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,35 @@ def test_subjects_in_one_place_are_settled_at_once(spark):
     assert near.near(a, a, 1.0).count() == 3000
 
 
+def _arrays(boxes):
+    return [(np.stack([b[c].to_numpy(float) for c in near.CORNERS]), b) for b in boxes]
+
+
+@pytest.mark.parametrize(("wide", "high"), [(3000, 50), (50, 3000)])
+def test_crowds_are_counted_by_slabs(spark, monkeypatch, wide, high):
+    """Samples of very many slabs and of one, cut along either axis, with boxes over many slabs: as all pairs say."""
+    monkeypatch.setattr(near, "SLAB", 60)
+    rng = np.random.default_rng(wide)
+    sides = []
+    for n in (900, 700):
+        x, y, w, h = rng.integers(0, wide, n) / 3, rng.integers(0, high, n) / 4, rng.choice([-2, 0, 1, 9, 700], n, p=[0.05, 0.2, 0.3, 0.4, 0.05]), rng.choice([0, 2, 7, 300], n)
+        sides.append(pd.DataFrame({"sample_id": rng.choice([1, 2, 3], n, p=[0.8, 0.18, 0.02]), "ord": np.arange(n), "x0": x, "y0": y, "x1": x + w, "y1": y + h}))
+    (one, a), (two, b) = _arrays(sides)
+    made = [spark.createDataFrame(t).repartition(3) for t in sides]
+    for limit in (0.0, 2.0, 25.0):
+        want = np.array([near._one_by_one(one[:, [i]], two[:, (b.sample_id == a.sample_id[i]).to_numpy()], limit)[0] for i in range(len(a))])
+        assert {tuple(r) for r in near.pair_counts(*made, limit).collect()} == {(int(k), int(v)) for k, v in pd.Series(want).groupby(a.sample_id).sum().items() if v}
+        assert sorted(tuple(r) for r in near.near(*made, limit).collect()) == sorted((int(a.sample_id[i]), i) for i in np.flatnonzero(want))
+        assert {tuple(r) for r in near._near_counts(*made, limit).collect()} == {(int(k), int(v)) for k, v in pd.Series(want > 0).groupby(a.sample_id).sum().items() if v}
+        assert sum(r.pairs for r in near.pair_counts(*made, limit).collect()) == near.pairs(*made, limit).count()
+
+
+def test_as_many_pairs_as_would_never_end(spark):
+    """Sixteen hundred million pairs of one place."""
+    a = spark.range(40000).select(F.lit(0).alias("sample_id"), F.col("id").alias("ord"), *(F.lit(float(v)).alias(c) for c, v in zip(near.CORNERS, (10, 10, 20, 20), strict=True)))
+    assert near.pair_counts(a, a, 1.0).first().pairs == 40000**2
+
+
 def test_workers_keep_the_latest_of_a_kind():
     made = []
     make = lambda x: lambda: made.append(x) or [x]
