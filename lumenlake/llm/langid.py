@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from lumenlake import workers
+
 from ._arrow import slices, utf8
 from ._documents import with_plain_names
 
@@ -144,9 +146,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs (any columns, text among them) with lang_pred and score added, in the place of columns of these names.
 
@@ -163,15 +162,13 @@ def _predicted(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.key not in _scorers and model.langs:
-            _scorers.clear()  # one model at a time in a worker
-            _scorers[model.key] = Scorer(model)
+        scorer = workers.kept("language model", model.key, lambda: Scorer(model)) if model.langs else None
         for batch in slices(batches, "text", 1 << 20):
             texts = batch["text"].to_pylist()
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             known = np.array([any(map(str.isalpha, t or "")) for t in texts], bool) & bool(model.langs)
-            if model.langs:
-                bits = _scorers[model.key].bits(*utf8(batch["text"]))
+            if scorer:
+                bits = scorer.bits(*utf8(batch["text"]))
                 best = bits.argmin(axis=1)
                 score = np.where(known, 1 / np.exp2(-(bits - bits.min(axis=1, keepdims=True)).clip(0, 1000)).sum(axis=1), 0.0)
             names = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]

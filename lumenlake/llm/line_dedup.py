@@ -104,7 +104,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     still removes later ones. Lines end at line feeds; words are runs of non-space characters. Lines without words, or with
     fewer than min_words, are never removed. Rows that repeat doc_id and text are one document, with other texts they are
     documents of their own in the order of their digests; rows without doc_id or text have no lines here; an empty
-    table gives no rows; other columns are ignored. Written tables of its work remain: call it in a `_store.scope`.
+    table gives no rows; other columns are ignored. Written tables of its work remain: call it in a `_store.scope`. Those
+    that nothing reads any more, and shuffle files, go between the steps.
     """
     lines = _lines(docs, min_words)
     table = _rarity(lines)
@@ -114,6 +115,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = _store.written(rows.select(*PLACE, "n", "set", "also", F.transform(F.slice("o", F.lit(1), kept), lambda x: F.hash(x)).alias("prefix")), "lines")
     firsts = rows.groupBy("set", "also", "n").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), F.first("prefix").alias("prefix"))
     firsts = _store.written(firsts, "firsts")
+    places = _store.written(rows.drop("prefix"), "places")
+    _store.drop(rows)
 
     group = Window.partitionBy("token")
     token = firsts.select("set", "n", F.posexplode("prefix").alias("i", "token"))
@@ -121,10 +124,12 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     token = token.withColumn("of", F.count("*").over(group)).withColumn("short", F.count_if(short).over(group)).withColumn("least", F.min("n").over(group))
     # the greatest set that can be similar, if it has the token at its first place, is at least the least one
     token = token.filter((F.col("of") > 1) & (F.col("short") > 0) & (F.col("least") * NUMER <= (NUMER + DENOM) * (F.col("n") - F.col("i")) - F.col("n") * NUMER))
-    shared = _store.written(token.select("token", "i", "n", "set"), "tokens")
-    shared = shared.join(firsts.select("set", "n", "first", "copies"), ["set", "n"]).select("token", "i", "n", "first", "copies")
+    some = _store.written(token.select("token", "i", "n", "set"), "tokens")
+    _store.free_shuffles(docs.sparkSession)
+    shared = some.join(firsts.select("set", "n", "first", "copies"), ["set", "n"]).select("token", "i", "n", "first", "copies")
     shared = shared.withColumn("earliest", F.min(F.struct("first", "n", "i")).over(group)).withColumn("common", F.max(F.struct("copies", "first", "n", "i")).over(group))
     shared = _store.written(shared, "shared")
+    _store.drop(some)
 
     def passes(a: str, b: str) -> Column:
         """Whether set a is earlier than b and can be similar to it, by length and places of the shared token."""
@@ -134,6 +139,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return (F.col(f"{a}_first") < F.col(f"{b}_first")) & (room >= need) & (F.least(an, bn) * DENOM >= F.greatest(an, bn) * NUMER)
 
     full = _store.written(_full(docs, shared.select("first").distinct()), "full")  # of all sets that can be similar to another
+    _store.free_shuffles(docs.sparkSession)
     later = [F.col(x).alias(f"b_{x}") for x in ("first", "n", "i")]
 
     def found(pairs: DataFrame) -> DataFrame:
@@ -148,6 +154,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return shared.select(*later, *fields).filter(passes("a", "b"))
 
     one = _store.written(found(to("earliest").union(to("common"))), "settled")
+    _store.free_shuffles(docs.sparkSession)
     rest = shared.join(one, shared["first"] == one["b_first"], "left_anti").select("token", *later)
     every = shared.select("token", *(F.col(x).alias(f"a_{x}") for x in ("first", "n", "i")))
     two = found(rest.join(every, "token").filter(passes("a", "b")))
@@ -155,7 +162,9 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     marked = firsts.drop("prefix").join(matched.withColumn("gone", F.lit(True)), "first", "left").filter("gone or copies > 1")
     marked = _store.written(marked, "marked")
-    again = _store.lookup(rows.drop("prefix"), marked, ["set", "also", "n"], "copies").filter(F.col("gone") | (F.struct(*PLACE) > F.col("first")))
+    for table in (shared, full, one):
+        _store.drop(table)
+    again = _store.lookup(places, marked, ["set", "also", "n"], "copies").filter(F.col("gone") | (F.struct(*PLACE) > F.col("first")))
     return again.select(*PLACE).distinct()
 
 

@@ -1,6 +1,7 @@
 """Repeats, suffix arrays, near duplicates and lines against brute force."""
 
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenlake.llm import line_dedup, minhash, repeats, suffix, suffix_dedup
+from lumenlake.llm import _store, line_dedup, minhash, repeats, suffix, suffix_dedup
 from lumenlake.llm.graph import components
 
 
@@ -309,3 +310,11 @@ def test_line_variants(spark):
 def test_documents_without_lines_go(spark):
     df = spark.createDataFrame([(1, "a b c d\nx y z"), (2, "a b c d"), (3, None), (4, ""), (5, "a b c d\nmore of it")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()), key=str) == [(1, "a b c d\nx y z"), (3, None), (4, ""), (5, "more of it")]
+
+
+def test_line_dedup_keeps_no_table_that_nothing_reads(spark, docs):
+    with _store.scope():
+        found = line_dedup.removed_lines(docs)
+        left = {path.rsplit("/", 1)[1].rpartition("-")[0] for _, path in _store._open.scopes[-1] if os.path.isdir(path.removeprefix("file://"))}
+        assert {"places", "firsts", "marked"} <= left and not left & {"lines", "tokens", "shared", "full", "settled"}
+        assert found.count() > 0

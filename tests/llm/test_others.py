@@ -518,3 +518,19 @@ def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
         assert all(r[3:] == tuple(range(len(names))) for r in held.values()), name
         assert held[3][1] == ("third" if name == "line_dedup" else rows[2][1]), name
     assert sum(r.length for r in c.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) > 700_000
+
+
+def test_a_worker_holds_one_language_model(spark):
+    """Not one a task, which stay until Python's garbage is collected: it lives in the worker's own module."""
+    rows = spark.createDataFrame([("one two three", "a"), ("vier fünf sechs", "b")] * 20, "text string, lang string").repartition(4)
+    model = langid.train(rows)
+    assert langid.predict(rows, model).count() == 40
+
+    def held(batches):
+        import sys
+
+        for _ in batches:
+            home = getattr(sys.modules.get("_lumenlake_worker"), "__dict__", {})
+            yield pa.RecordBatch.from_pydict({"key": [str(home.get("language model", ("none",))[0])]})
+
+    assert model.key in {r.key for r in rows.mapInArrow(held, "key string").collect()}
