@@ -63,13 +63,16 @@ def _with_tokens(lines: DataFrame) -> DataFrame:
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, digest, line_no and the hashes of words (h) of each line that can be removed."""
     every = _rows(docs).select(*ROW, F.posexplode("lines").alias("line_no", "line"))
-    return every.select(*PLACE, _hashes(F.col("line")).alias("h")).filter(F.size("h") >= max(min_words, 1))
+    # a filter on h would be moved down and split and hash every line once more
+    every = every.filter(F.ltrim("line", F.lit(" \t\x0b\x0c\r")) != "")
+    lines = every.select(*PLACE, _hashes(F.col("line")).alias("h"))
+    return lines.filter(F.size("h") >= min_words) if min_words > 1 else lines
 
 
 def _rarity(lines: DataFrame) -> Column:
     """A number for each cell of token hashes: how often its tokens occur in all lines, in eighths of a power of two, as the high byte of a long."""
     starts = F.sequence(F.lit(0), F.greatest(F.size("h") - SHINGLE, F.lit(0)))
-    each = lines.select("h", F.explode(starts).alias("i"))
+    each = lines.select("h", F.explode_outer(starts).alias("i"))  # starts are never empty; explode would add a filter on h
     three = [F.xxhash64(*(F.get("h", F.col("i") + k) for k in range(at, at + 3))) for at in (0, 2)]
     cells = each.select(F.xxhash64(*three).bitwiseAND(CELLS - 1).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
     table = [0] * CELLS
@@ -80,8 +83,8 @@ def _rarity(lines: DataFrame) -> Column:
 
 
 def _ranked(token: Column, table: Column) -> Column:
-    """A number that orders tokens by the byte of their cell, then by hash."""
-    return F.get(table, token.bitwiseAND(CELLS - 1)).bitwiseOR(F.shiftrightunsigned(token, 9))
+    """A number that orders tokens by the byte of their cell, then by hash. It is never null, and Spark sorts such longs as they are."""
+    return F.coalesce(F.get(table, token.bitwiseAND(CELLS - 1)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(token, 9))
 
 
 def _least_overlap(n: Column, m: Column) -> Column:

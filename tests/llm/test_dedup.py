@@ -318,3 +318,16 @@ def test_line_dedup_keeps_no_table_that_nothing_reads(spark, docs):
         left = {path.rsplit("/", 1)[1].rpartition("-")[0] for _, path in _store._open.scopes[-1] if os.path.isdir(path.removeprefix("file://"))}
         assert {"places", "firsts", "marked"} <= left and not left & {"lines", "tokens", "shared", "full", "settled"}
         assert found.count() > 0
+
+
+def test_lines_are_split_and_hashed_once(docs):
+    """No filter repeats the hashing of words, which is most of the work."""
+    for found in (line_dedup._lines(docs, 1), line_dedup._with_tokens(line_dedup._lines(docs, 1))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambdafunction" in plan and not any("lambdafunction" in x for x in plan.splitlines() if "Filter" in x)
+
+
+def test_blank_lines_of_every_kind(spark):
+    rows = [(1, " \t\x0b\x0c\r \n\t\n\na b\x0bc\n\xa0"), (2, "\r\n a\tb c\n\x0c\n\x85\n\xa0")]
+    got = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows) == {(2, 1), (2, 4)}
