@@ -11,6 +11,9 @@ What passes is verified on the full token sets.
 A set that many lines nearly repeat would pair with all of them. So the sets of a prefix token are first compared with two
 of them only, the earliest and the most repeated; later members that match are settled. Only the others are compared
 with every earlier set that passes the filters.
+
+Large inputs take these steps in rounds, each for the tokens or sets of some hashes, so that disk holds a round's shuffle files
+only. Where few rows of a large table meet a small one, a table of bits holds most others back before the shuffle.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ MIN_WORDS = 1
 NUMER, DENOM = 3, 4
 #: Cells of the table of token counts.
 CELLS = 1 << 16
+#: A round for each so many tokens of all lines, and how many rounds there are at most.
+ROUND, ROUNDS = 1 << 25, 4
 #: The row of a line: repeated doc_ids are told apart by a digest of the text.
 ROW = ["doc_id", "digest"]
 PLACE = [*ROW, "line_no"]
@@ -69,17 +74,19 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return lines.filter(F.size("h") >= min_words) if min_words > 1 else lines
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """A number for each cell of token hashes: how often its tokens occur in all lines, in eighths of a power of two, as the high byte of a long."""
+def _rarity(lines: DataFrame) -> tuple[Column, int]:
+    """A number for each cell of token hashes: how often its tokens occur in all lines, in eighths of a power of two, as the high byte of a long;
+    and how many tokens there are."""
     starts = F.sequence(F.lit(0), F.greatest(F.size("h") - SHINGLE, F.lit(0)))
     each = lines.select("h", F.explode_outer(starts).alias("i"))  # starts are never empty; explode would add a filter on h
     three = [F.xxhash64(*(F.get("h", F.col("i") + k) for k in range(at, at + 3))) for at in (0, 2)]
     cells = each.select(F.xxhash64(*three).bitwiseAND(CELLS - 1).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    table = [0] * CELLS
+    table, total = [0] * CELLS, 0
     for cell, n in cells.collect():  # at most CELLS rows
         table[cell] = min(255, int(8 * math.log2(n)))
+        total += n
     high = (((x << 55) + 2**63) % 2**64 - 2**63 for x in table)
-    return F.expr(f"from_json('[{','.join(map(str, high))}]', 'array<bigint>')")  # a constant, which the optimizer folds
+    return F.expr(f"from_json('[{','.join(map(str, high))}]', 'array<bigint>')"), total  # a constant, which the optimizer folds
 
 
 def _ranked(token: Column, table: Column) -> Column:
@@ -92,12 +99,25 @@ def _least_overlap(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * NUMER / F.lit(NUMER + DENOM))
 
 
-def _full(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """first and all tokens of the lines at firsts: their documents are read again, and only those lines are looked at."""
-    wanted = firsts.select("first.*").groupBy(*ROW).agg(F.collect_set("line_no").alias("wanted"))
-    some = _rows(docs).join(wanted, ROW).select(*ROW, "lines", F.explode("wanted").alias("line_no"))
-    some = some.select(*PLACE, F.get("lines", F.col("line_no")).alias("line")).groupBy(*PLACE).agg(F.first("line").alias("line"))  # repeated rows
-    return _with_tokens(some.select(F.struct(*PLACE).alias("first"), _hashes(F.col("line")).alias("h")))
+def _in_round(key: Column, i: int, rounds: int) -> Column:
+    """Whether a hash is of round i. Low bits are left to tables of bits."""
+    return F.pmod(F.shiftright(key, 32), F.lit(rounds)) == i
+
+
+def _full(docs: DataFrame, firsts: DataFrame, rounds: int) -> DataFrame:
+    """first and all tokens of the lines at firsts, as a written table: their documents are read again, and only those lines are shuffled."""
+    firsts = firsts.select("first.*")
+
+    def some(i: int) -> DataFrame:
+        mine = _in_round(F.xxhash64("doc_id"), i, rounds)
+        wanted = firsts.filter(mine)
+        place = F.xxhash64(*PLACE)
+        held = _store.among(wanted.select(place))
+        lines = _rows(docs).filter(mine).select(*ROW, F.posexplode("lines").alias("line_no", "line")).filter(held(place))
+        lines = lines.join(wanted, PLACE, "left_semi").groupBy(*PLACE).agg(F.first("line").alias("line"))  # repeated rows
+        return _with_tokens(lines.select(F.struct(*PLACE).alias("first"), _hashes(F.col("line")).alias("h")))
+
+    return _store.in_rounds(docs.sparkSession, some, rounds, "full")
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -111,7 +131,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     that nothing reads any more, and shuffle files, go between the steps.
     """
     lines = _lines(docs, min_words)
-    table = _rarity(lines)
+    table, total = _rarity(lines)
+    rounds = max(1, min(ROUNDS, total // ROUND))
     ordered = _with_tokens(lines).select(*PLACE, F.sort_array(F.transform("tokens", lambda t: _ranked(t, table))).alias("o"))
     kept = F.col("n") - F.ceil(F.col("n") * NUMER / F.lit(DENOM)).cast("int") + 1
     rows = ordered.select(*PLACE, F.size("o").alias("n"), F.xxhash64("o").alias("set"), F.xxhash64(F.lit(0), "o").alias("also"), "o")
@@ -127,8 +148,9 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     token = token.withColumn("of", F.count("*").over(group)).withColumn("short", F.count_if(short).over(group)).withColumn("least", F.min("n").over(group))
     # the greatest set that can be similar, if it has the token at its first place, is at least the least one
     token = token.filter((F.col("of") > 1) & (F.col("short") > 0) & (F.col("least") * NUMER <= (NUMER + DENOM) * (F.col("n") - F.col("i")) - F.col("n") * NUMER))
-    some = _store.written(token.select("token", "i", "n", "set"), "tokens")
-    _store.free_shuffles(docs.sparkSession)
+    some = _store.in_rounds(docs.sparkSession, lambda i: token.filter(F.pmod("token", F.lit(rounds)) == i).select("token", "i", "n", "set"), rounds, "tokens")
+    wide, firsts = firsts, _store.written(firsts.drop("prefix"), "firsts")
+    _store.drop(wide)
     shared = some.join(firsts.select("set", "n", "first", "copies"), ["set", "n"]).select("token", "i", "n", "first", "copies")
     shared = shared.withColumn("earliest", F.min(F.struct("first", "n", "i")).over(group)).withColumn("common", F.max(F.struct("copies", "first", "n", "i")).over(group))
     shared = _store.written(shared, "shared")
@@ -141,31 +163,37 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         room = F.lit(1) + F.least(an - 1 - ai, bn - 1 - bi)
         return (F.col(f"{a}_first") < F.col(f"{b}_first")) & (room >= need) & (F.least(an, bn) * DENOM >= F.greatest(an, bn) * NUMER)
 
-    full = _store.written(_full(docs, shared.select("first").distinct()), "full")  # of all sets that can be similar to another
-    _store.free_shuffles(docs.sparkSession)
+    full = _full(docs, shared.select("first").distinct(), rounds)  # of all sets that can be similar to another
     later = [F.col(x).alias(f"b_{x}") for x in ("first", "n", "i")]
 
     def found(pairs: DataFrame) -> DataFrame:
-        """The first places of later sets that are similar to the earlier set of a pair."""
-        pairs = _store.written(pairs.select("a_first", "b_first").distinct(), "pairs")
-        both = pairs.join(full.toDF("a_first", "a"), "a_first").join(full.toDF("b_first", "b"), "b_first")
-        common = F.size(F.array_intersect("a", "b"))
-        return both.filter(common * DENOM >= (F.size("a") + F.size("b") - common) * NUMER).select("b_first").distinct()
+        """The first places of later sets that are similar to the earlier set of a pair, as a written table."""
+
+        def some(i: int) -> DataFrame:
+            mine = lambda first: _in_round(F.xxhash64(first), i, rounds)
+            some = _store.written(pairs.filter(mine("b_first")).select("a_first", "b_first").distinct(), "pairs")
+            held = _store.among(some.select(F.xxhash64("a_first").alias("h")).union(some.select(F.xxhash64("b_first"))))
+            own = full.filter(held(F.xxhash64("first")))
+            both = some.join(own.toDF("a_first", "a"), "a_first").join(own.filter(mine("first")).toDF("b_first", "b"), "b_first")
+            common = F.size(F.array_intersect("a", "b"))
+            return both.filter(common * DENOM >= (F.size("a") + F.size("b") - common) * NUMER).select("b_first").distinct()
+
+        return _store.in_rounds(docs.sparkSession, some, rounds, "settled")
 
     def to(pivot: str) -> DataFrame:
         fields = [F.col(f"{pivot}.{x}").alias(f"a_{x}") for x in ("first", "n", "i")]
         return shared.select(*later, *fields).filter(passes("a", "b"))
 
-    one = _store.written(found(to("earliest").union(to("common"))), "settled")
-    _store.free_shuffles(docs.sparkSession)
+    one = found(to("earliest").union(to("common")))
     rest = shared.join(one, shared["first"] == one["b_first"], "left_anti").select("token", *later)
     every = shared.select("token", *(F.col(x).alias(f"a_{x}") for x in ("first", "n", "i")))
     two = found(rest.join(every, "token").filter(passes("a", "b")))
+    _store.drop(full)
     matched = one.union(two).withColumnRenamed("b_first", "first").distinct()
 
     marked = firsts.drop("prefix").join(matched.withColumn("gone", F.lit(True)), "first", "left").filter("gone or copies > 1")
     marked = _store.written(marked, "marked")
-    for table in (shared, full, one):
+    for table in (shared, one, two):
         _store.drop(table)
     again = _store.lookup(places, marked, ["set", "also", "n"], "copies").filter(F.col("gone") | (F.struct(*PLACE) > F.col("first")))
     return again.select(*PLACE).distinct()
@@ -202,9 +230,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def _without_lines(docs: DataFrame, min_words: int) -> DataFrame:
     lost = _removed(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of"), "gone")
     text = F.col("text").cast("string")
-    left = docs.withColumn("_own", F.xxhash64(text))
-    left = left.join(lost, (left["doc_id"].cast("long") == lost["_id"]) & (left["_own"] == lost["_of"]), "left").withColumn("_own", F.split(text, "\n"))
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text))
+    held = _store.among(lost.select(F.xxhash64("_id", "_of")))(row)
+    left = docs.filter(held).withColumn("_own", F.xxhash64(text))
+    # hashed, not sorted: lists of lines are short, texts are not
+    left = left.join(lost.hint("shuffle_hash"), (left["doc_id"].cast("long") == lost["_id"]) & (left["_own"] == lost["_of"]), "left").withColumn("_own", F.split(text, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_own") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_own"), i)), "\n"))
     left = left.withColumn("text", text)
-    return left.filter(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    left = left.filter(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    return left.union(docs.filter(~held))

@@ -320,6 +320,41 @@ def test_line_dedup_keeps_no_table_that_nothing_reads(spark, docs):
         assert found.count() > 0
 
 
+def test_lines_in_rounds(spark, docs, rows, monkeypatch):
+    """Rounds find what brute force finds, and each leaves nothing but its part."""
+    monkeypatch.setattr(line_dedup, "ROUND", 1)
+    made = []
+    written = _store.in_rounds
+    monkeypatch.setattr(_store, "in_rounds", lambda spark, make, rounds, name: made.append((name, rounds)) or written(spark, make, rounds, name))
+    with _store.scope():
+        got = [(r.doc_id, r.line_no) for r in line_dedup.removed_lines(docs.union(docs)).collect()]  # repeated rows
+        assert not any("/pairs-" in path and os.path.isdir(path.removeprefix("file://")) for _, path in _store._open.scopes[-1])
+    assert set(got) == brute_lines(rows) and len(got) == len(set(got))
+    assert made == [("tokens", line_dedup.ROUNDS), ("full", line_dedup.ROUNDS), ("settled", line_dedup.ROUNDS), ("settled", line_dedup.ROUNDS)]
+
+
+def test_texts_that_lose_no_line_are_not_shuffled(spark):
+    rng = random.Random(5)
+    rows = [(d, " ".join(f"{rng.random()}" for _ in range(1000)) + ("\nsame line here" if d < 2 else "")) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = _store.written(docs, "docs")
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = line_dedup.dedup_lines(docs)
+        began = shuffled()
+        assert {r.doc_id: r.text for r in left.collect()} == dict(rows) | {1: rows[1][1].split("\n")[0]}
+        assert shuffled() - began < sum(len(t) for _, t in rows) / 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_lines_are_split_and_hashed_once(docs):
     """No filter repeats the hashing of words, which is most of the work."""
     for found in (line_dedup._lines(docs, 1), line_dedup._with_tokens(line_dedup._lines(docs, 1))):

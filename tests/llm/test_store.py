@@ -25,6 +25,14 @@ def test_scopes(spark):
     assert _there(spark) == before
 
 
+def test_hashes_are_held_back_but_never_lost(spark):
+    rows = spark.range(-3000, 3000).selectExpr("id", "xxhash64(id) AS h")
+    test = _store.among(rows.filter("id % 3 = 0").select("h"))
+    passed = {r.id for r in rows.filter(test(rows["h"])).collect()}
+    assert passed >= {i for i in range(-3000, 3000) if i % 3 == 0} and len(passed) < 2100
+    assert rows.filter(_store.among(rows.filter("false").select("h"))(rows["h"])).count() == 0
+
+
 def test_the_pipeline_leaves_its_result_only(spark):
     import corpus_pipeline
 
